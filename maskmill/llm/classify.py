@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from . import tokens
 
-SAMPLE_ROWS = 30_000
+SAMPLE_ROWS = 24_000
 BITS = 20
 FACTORS = 8
+PREFIXES = (4, 6)
+LEAST_Z = 5.0
 
 #: 0 blank, 1 word, 2 sign: a token is a run of one class.
 _KIND = np.full(256, 2, np.uint8)
@@ -56,10 +58,13 @@ def ngrams(texts: pa.Array):
 
 
 def terms(texts: pa.Array):
-    """(row, slots, values): the distinct hashed words of a text, each with value 1."""
+    """(row, slots, values): the distinct hashed words of a text and their starts of PREFIXES bytes, each with value 1."""
     for lo, hi, data, offsets in tokens.pieces(texts):
         starts, ends, first = tokens.spans(data, offsets, tokens.ALNUM)
-        h = (tokens.hashes(data, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)
+        words = [tokens.hashes(data, starts, ends)]
+        for n in PREFIXES:
+            words.append(tokens.mix64(tokens.hashes(data, starts, np.minimum(ends, starts + n)) + np.uint64(n)))
+        h = (np.stack(words, axis=1) >> np.uint64(64 - BITS)).astype(np.int64)
         for i in range(hi - lo):
             slot = np.unique(h[first[i] : first[i + 1]])
             yield lo + i, slot, np.ones(len(slot))
@@ -98,33 +103,46 @@ def fit_linear(rows, epochs: int = 4) -> dict[str, np.ndarray]:
     return {"linear": learner.weights(slice(None)).astype(np.float32)}
 
 
-def fit_factors(rows, epochs: int = 4, rate: float = 0.05, decay: float = 1e-4) -> dict[str, np.ndarray]:
-    """Linear weights by FTRL, factor vectors by AdaGrad, on the same loss; features seen in one row only are left out."""
+def _telling(rows) -> np.ndarray:
+    """Slots whose share among label 1 and label 0 differs by LEAST_Z standard errors: the terms the machine works on."""
+    seen = np.zeros((1 << BITS, 2))
+    for slot, _, y in rows:
+        seen[slot, int(y)] += 1
+    positive = sum(int(y) for *_, y in rows)
+    negative = len(rows) - positive
+    if not positive or not negative:
+        return np.zeros(0, np.int64)
+    p = seen.sum(axis=1) / len(rows)
+    error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / positive + 1 / negative))
+    return np.flatnonzero((np.abs(seen[:, 1] / positive - seen[:, 0] / negative) >= LEAST_Z * error) & (seen.sum(axis=1) >= 3))
+
+
+def fit_factors(rows, epochs: int = 4, rate: float = 0.02, decay: float = 1e-3) -> dict[str, np.ndarray]:
+    """Linear weights by FTRL and factor vectors by AdaGrad, on the same loss, over the telling terms."""
     rows = list(rows)
-    seen = np.zeros(1 << BITS, np.int32)
-    for s, _, _ in rows:
-        seen[s] += 1
-    bias = 1 << BITS
-    known = np.flatnonzero(seen > 1)
+    known = _telling(rows)
     own = np.full(1 << BITS, -1, np.int64)
     own[known] = np.arange(len(known))
-    learner = Ftrl(1 << BITS, alpha=0.3, beta=1.0, l1=0.3, l2=0.0)
-    vectors = np.random.default_rng(8).normal(0, 0.005, (len(known), FACTORS))
+    learner = Ftrl(len(known), alpha=0.1, beta=1.0, l1=1.0, l2=0.0)
+    vectors = np.random.default_rng(8).normal(0, 0.01, (len(known), FACTORS))
     power = np.full((len(known), FACTORS), 1e-2)
-    rows = [(np.append(s[own[s] >= 0], bias), own[s[own[s] >= 0]], y) for s, _, y in rows]
+    rows = [(own[s][own[s] >= 0], y) for s, _, y in rows]
     for _ in range(epochs):
-        for at, v_at, label in rows:
-            w, v = learner.weights(at), vectors[v_at]
+        for at, label in rows:
+            with_bias = np.append(at, len(known))
+            w, v = learner.weights(with_bias), vectors[at]
             total = v.sum(axis=0)
             error = _sigmoid(float(w.sum() + 0.5 * (total @ total - (v * v).sum()))) - label
-            learner.update(at, w, np.full(len(at), error))
+            learner.update(with_bias, w, np.full(len(with_bias), error))
             if abs(error) > 0.02:
                 step = error * (total - v) + decay * v
-                power[v_at] += step * step
-                vectors[v_at] = v - rate * step / np.sqrt(power[v_at])
-    everywhere = np.zeros((1 << BITS, FACTORS), np.float32)
-    everywhere[known] = vectors
-    return {"linear": learner.weights(slice(None)).astype(np.float32), "factors": everywhere}
+                power[at] += step * step
+                vectors[at] = v - rate * step / np.sqrt(power[at])
+    linear = np.zeros((1 << BITS) + 1, np.float32)
+    factors = np.zeros((1 << BITS, FACTORS), np.float32)
+    weights = learner.weights(slice(None))
+    linear[known], linear[-1], factors[known] = weights[:-1], weights[-1], vectors
+    return {"linear": linear, "factors": factors}
 
 
 MODELS = {"linear": (ngrams, fit_linear), "factors": (terms, fit_factors)}
