@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, decontaminate, mixing, near_dedup, pii, url_filter
+from . import ann, classify, decontaminate, html_text, mixing, near_dedup, pii, url_filter
 from .shared import fold_of
 
 #: Which urls are listed: host, path, verdict.
@@ -45,6 +45,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest().alias("items_sha256"), "contaminated")
 
 
+def op6_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(_table(spark, sf_dir, "documents"))
     base, terms = pii.span_text(F.col("base")), pii.span_text(F.col("terms"), kind="term")
@@ -60,8 +65,13 @@ def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=4, similarity=0.8)
 
 
+def op10_dom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pfair_mix, op2_url_rules, op3_quality, op5_decontaminate, op7_personal_data, op8_toxicity, op9_minhash_forest)
+    f.__name__: f for f in (op1_pfair_mix, op2_url_rules, op3_quality, op5_decontaminate, op6_pruned_graph, op7_personal_data, op8_toxicity, op9_minhash_forest, op10_dom_model)
 }
 
 ORACLE_SQL: dict[str, str] = {}
