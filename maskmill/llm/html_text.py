@@ -265,7 +265,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", mo
     other columns stay, a column named text_col is replaced; repeated rows get the same text; no rows give no rows."""
     shared = pages.sparkSession.sparkContext.broadcast(model or fit(pages, html_col))
     rest = [c for c in pages.columns if c not in (text_col, html_col)]
-    keyed = pages.select(F.struct(F.lit(0).alias("0"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(rest))).alias("page"), F.col(html_col).alias("html"))
+    keyed = pages.select(F.struct(F.lit(0).alias("c"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(rest))).alias("page"), F.col(html_col).alias("html"))
 
     def make(batches):
         for batch in batches:

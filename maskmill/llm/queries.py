@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, classify, decontaminate, html_text, mixing, near_dedup, pii, url_filter
+from . import ann, classify, decontaminate, html_text, mixing, mixing_lm, near_dedup, pii, url_filter
 from .shared import fold_of
 
 #: Which urls are listed: host, path, verdict.
@@ -40,6 +40,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.classify(docs, labels, "quality", "linear", 0.3, held_out=fold_of("doc_id") == 0)
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.language_scores(_table(spark, sf_dir, "documents"), held_out=fold_of("doc_id") == 1)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest().alias("items_sha256"), "contaminated")
@@ -71,7 +75,7 @@ def op10_dom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pfair_mix, op2_url_rules, op3_quality, op5_decontaminate, op6_pruned_graph, op7_personal_data, op8_toxicity, op9_minhash_forest, op10_dom_model)
+    f.__name__: f for f in (op1_pfair_mix, op2_url_rules, op3_quality, op4_context_mixing, op5_decontaminate, op6_pruned_graph, op7_personal_data, op8_toxicity, op9_minhash_forest, op10_dom_model)
 }
 
 ORACLE_SQL: dict[str, str] = {}
