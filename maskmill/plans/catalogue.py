@@ -1,10 +1,631 @@
-"""Registered queries of the redaction operators and their SQL."""
+"""Registered queries of the redaction operators, each with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+from maskmill.functions import columns as X
+from maskmill.functions.rules import AUDIT, BUILTIN, PLACEHOLDER, Policy, Rule, custom_rules
+from maskmill.operators import chat, nested, requests, text
+from maskmill.sources import tables
+from maskmill.sources.derived import view
+from maskmill.streaming import redaction
+
+from . import sqltext as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+# Small fixed tables that go with the derived views.
+ALLOWED = [("https://allowed.example/v1",)]
+RANGES = [("0" * 20 + "ffff0a000000", "0" * 20 + "ffff0affffff", "10/8"), ("0" * 20 + "ffff7f000000", "0" * 20 + "ffff7fffffff", "127/8"), ("0" * 20 + "ffffc0a80000", "0" * 20 + "ffffc0a8ffff", "192.168/16")]
+HOSTS = [("allowed.example", "0" * 20 + "ffff5db8d822"), ("other.example", "0" * 20 + "ffff0a000001")]
+TENANT_RULES = [("t0", 1, "exact", "deadbeefdeadbeefdead", "long"), ("t1", 1, "exact", "end of note", "tail"), ("t2", 1, "regex", "a+", "re"), ("t2", 2, "exact", "shrt", "bad")]
+TAIL, LONG = "=endtail", "the quick brown fox secret"
+CUSTOM = custom_rules([{"type": "regex", "value": "note [a-z]{2,}", "name": "note_word"}, {"type": "exact", "value": LONG}])
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def seeded(spark, d):
+    return tables.spread(view(spark, d, "seeded").select("k", "text"))
+
+
+_SEEDED_FOLD = f"{S.views('seeded')}, {S.fold('seeded', 'k')} "
+_MASK = S.quoted(PLACEHOLDER)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return a1_merge_stats(spark, sf_dir)
+
+
+# Sources and sinks
+
+
+@query("SELECT doc_id AS row_id, text FROM documents")
+def s1_text_source(spark, d):
+    return text.text_source(tables.table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"{S.views('request_log')} SELECT req_id, CASE WHEN lower(trim(split_part(content_type, ';', 1))) = 'application/json' OR lower(trim(split_part(content_type, ';', 1))) LIKE '%+json' THEN 'json' ELSE 'text' END AS body_kind FROM request_log")
+def s2_route_bodies(spark, d):
+    return requests.route_bodies(view(spark, d, "request_log")).select("req_id", "body_kind")
+
+
+@query(f"{S.views('request_log')} SELECT req_id, json_valid(body) AS valid FROM request_log WHERE content_type <> 'Text/Plain; charset=utf-8'")
+def s3_split_valid_json(spark, d):
+    rows = view(spark, d, "request_log").where(X.is_json(F.col("content_type")))
+    good, bad = requests.split_valid_json(rows, "body")
+    return good.select("req_id", F.lit(True).alias("valid")).unionByName(bad.select("req_id", F.lit(False).alias("valid")))
+
+
+@query(f"{S.views('request_log')} SELECT req_id, CASE WHEN octet_length(encode(body)) > 150 THEN 'too large' END AS reject_reason FROM request_log")
+def s4_size_guard(spark, d):
+    return requests.size_guard(view(spark, d, "request_log"), "body", 150).select("req_id", "reject_reason")
+
+
+def _with_headers(spark, d):
+    return view(spark, d, "request_log").withColumn("headers", F.from_json("headers_json", "map<string,string>"))
+
+
+@query(f"{S.views('request_log')} SELECT req_id, CASE WHEN req_id % 17 = 0 THEN 'encoded' END AS reject_reason FROM request_log")
+def s5_encoding_guard(spark, d):
+    return requests.encoding_guard(_with_headers(spark, d)).select("req_id", "reject_reason")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i + 1}, {S.quoted(r.name)}, {S.quoted(r.pattern)}, {str(r.audit).lower()}, {i})" for i, r in enumerate(BUILTIN)) + ") t(rule_id, name, pattern, audit, ord)")
+def s6_rules_table(spark, d):
+    return tables.rules_table(spark).select("rule_id", "name", "pattern", "audit", "ord")
+
+
+@query(f"{S.views('request_log')}, {S.fold('request_log', 'path', 'body')}, l AS ({S.long_hits('path')}), r AS (SELECT path, rule, sum(hits)::bigint AS hits FROM l GROUP BY ALL) SELECT path, sum(hits)::bigint AS redactions, count(*) AS rules FROM r GROUP BY path")
+def s7_audit_sink(spark, d):
+    events = _audit(spark, d)
+    parsed = tables.audit_lines(events).select(F.from_json("value", "ts timestamp, event string, path string, redactions bigint, rules map<string,bigint>").alias("e"))
+    return parsed.select("e.path", "e.redactions", F.size("e.rules").cast("long").alias("rules"))
+
+
+def _redacted_docs_sql(select: str) -> str:
+    return f"{S.views('seeded_docs')}, {S.fold('seeded_docs', 'doc_id', count=False)} {select} FROM f{len(BUILTIN)}"
+
+
+@query(_redacted_docs_sql("SELECT doc_id, t AS text"))
+def s8_redacted_table(spark, d):
+    return text.redact_text(tables.spread(view(spark, d, "seeded_docs").select("doc_id", "text")))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def s9_stream_table(spark, d):
+    return _run_stream(tables.stream_table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")), "complete")
+
+
+def _run_stream(stream: DataFrame, mode: str) -> DataFrame:
+    """The stream's result so far, from a table in memory named for this run."""
+    import uuid
+
+    name = f"mm_{uuid.uuid4().hex}"
+    at = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
+    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    if at and mode != "append":
+        writer = writer.option("checkpointLocation", f"{at.rstrip('/')}/{name}")
+    writer.start().awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+# Text
+
+
+@query(_SEEDED_FOLD + f"SELECT k, t AS text FROM f{len(BUILTIN)}")
+def t1_redact_text(spark, d):
+    return text.redact_text(seeded(spark, d))
+
+
+@query(_SEEDED_FOLD + f"SELECT k, t AS text, ({S.total()})::bigint AS redactions FROM f{len(BUILTIN)}")
+def t2_scan_text(spark, d):
+    return text.scan_text(seeded(spark, d)).select("k", "text", "redactions")
+
+
+@query(f"{S.views('seeded_docs')}, {S.fold('seeded_docs', 'doc_id')} SELECT doc_id, t AS text, ({S.total()})::bigint AS redactions FROM f{len(BUILTIN)}")
+def t2_scan_documents(spark, d):
+    return text.scan_text(tables.spread(view(spark, d, "seeded_docs").select("doc_id", "text"))).select("doc_id", "text", "redactions")
+
+
+_CONTEXT = tuple(r for r in BUILTIN if r.keeps_context)
+
+
+@query(f"{S.views('seeded')}, {S.fold('seeded', 'k', rules=_CONTEXT)} SELECT k, t AS text FROM f{len(_CONTEXT)} WHERE {S.total(_CONTEXT)} > 0")
+def t3_keep_context(spark, d):
+    return text.scan_text(seeded(spark, d), policy=Policy(builtin=_CONTEXT)).where("redactions > 0").select("k", "text")
+
+
+_AWS = tuple(r for r in BUILTIN if r.name == "xai_key")
+
+
+@query(f"{S.views('seeded')} SELECT k, CASE WHEN len(m) > 0 THEN replace(text, m[1], {S.partial('m[1]')}) ELSE text END AS text FROM (SELECT k, text, regexp_extract_all(text, {S.quoted(_AWS[0].pattern)}) AS m FROM seeded)")
+def t4_partial_mask(spark, d):
+    return text.redact_text(seeded(spark, d), policy=Policy(builtin=_AWS, mode="partial"))
+
+
+@query(f"{S.views('seeded')}, {S.fold('seeded', 'k', placeholder='<$1' + chr(92) + '2>', count=False)} SELECT k, t AS text FROM f{len(BUILTIN)}")
+def t5_custom_placeholder(spark, d):
+    return text.redact_text(seeded(spark, d), policy=Policy(placeholder="<$1\\2>"))
+
+
+@query(f"{S.views('seeded')}, {S.fold('seeded', 'k', rules=CUSTOM + BUILTIN)} SELECT k, t AS text, ({S.total(CUSTOM + BUILTIN)})::bigint AS redactions FROM f{len(CUSTOM + BUILTIN)}")
+def t6_custom_regex(spark, d):
+    return text.scan_text(seeded(spark, d), policy=Policy(rules=CUSTOM)).select("k", "text", "redactions")
+
+
+@query(f"{S.views('seeded')} SELECT k, replace(text || {S.quoted(' ' + LONG)}, {S.quoted(LONG)}, {_MASK}) AS text, 1::bigint AS redactions FROM seeded")
+def t7_exact_long(spark, d):
+    rows = seeded(spark, d).withColumn("text", F.concat("text", F.lit(" " + LONG)))
+    return text.scan_text(rows, policy=Policy(rules=custom_rules([{"type": "exact", "value": LONG}]), builtin=())).select("k", "text", "redactions")
+
+
+@query(f"{S.views('seeded')} SELECT k, CASE WHEN k % 3 = 0 THEN 'a {PLACEHOLDER} b' WHEN k % 3 = 1 THEN 'a ' || h || 'abcd1234x b' ELSE 'a abcd1234 b' END AS text FROM seeded")
+def t8_exact_tail(spark, d):
+    made = F.expr("CASE WHEN k % 3 = 0 THEN 'a ' || h || 'abcd1234 b' WHEN k % 3 = 1 THEN 'a ' || h || 'abcd1234x b' ELSE 'a abcd1234 b' END")
+    rows = view(spark, d, "seeded").select("k", made.alias("text"))
+    return text.redact_text(rows, policy=Policy(rules=custom_rules([{"type": "exact", "value": "abcd1234"}]), builtin=()))
+
+
+_RAW = " UNION ALL ".join(f"SELECT {S.quoted(r.name)} AS rule, (SELECT sum(len(regexp_extract_all(text, {S.quoted(r.pattern)})))::bigint FROM seeded) AS raw_hits, (SELECT sum(h{i})::bigint FROM f{len(BUILTIN)}) AS chained_hits" for i, r in enumerate(BUILTIN))
+
+
+@query(f"{S.views('seeded')}, {S.fold('seeded', 'k')} {_RAW}")
+def t9_rule_overlap(spark, d):
+    return text.rule_overlap(seeded(spark, d))
+
+
+@query(f"{S.views('seeded')} SELECT k, text FROM seeded")
+def t10_switched_off(spark, d):
+    return text.redact_text(seeded(spark, d), policy=Policy(enabled=False))
+
+
+@query(f"{S.views('seeded')} SELECT k, CASE WHEN len(m) > 0 THEN replace(text, m[1], {_MASK}) ELSE text END AS text, len(m)::bigint AS redactions FROM (SELECT k, text, regexp_extract_all(text, 'sk-[a-z]+-') AS m FROM seeded)")
+def t11_line_detect(spark, d):
+    return text.line_detect(seeded(spark, d), "text", {"sk": "sk-[a-z]+-"}).select("k", "text", "redactions")
+
+
+@query(_SEEDED_FOLD + f"SELECT k, t AS text FROM f{len(BUILTIN)}")
+def t12_redact_binary(spark, d):
+    rows = seeded(spark, d).withColumn("text", F.col("text").cast("binary"))
+    return nested.redact_binary(rows, "text").withColumn("text", F.col("text").cast("string"))
+
+
+def _rule_query(rule: Rule):
+    def run(spark, d):
+        return text.scan_text(seeded(spark, d), policy=Policy(builtin=(rule,))).where("redactions > 0").select("k", "text", "redactions")
+
+    run.__name__ = f"rule_{rule.name}"
+    query(f"{S.views('seeded')}, {S.fold('seeded', 'k', rules=(rule,))} SELECT k, t AS text, h0::bigint AS redactions FROM f1 WHERE h0 > 0")(run)
+
+
+for _rule in BUILTIN:
+    _rule_query(_rule)
+
+
+# Structured values
+
+
+@query(f"{S.views('seeded')}, {S.fold('seeded', 'k', count=False)} SELECT k, 'short' AS password, CASE WHEN k % 2 = 0 THEN {_MASK} ELSE ' ' END AS api_key, {_MASK} AS inner_secret, t AS note, t AS item FROM f{len(BUILTIN)}")
+def p1_redact_nested(spark, d):
+    rows = seeded(spark, d).select("k", F.struct(F.struct(F.lit("short").alias("auth")).alias("login"), F.struct(F.when(F.col("k") % 2 == 0, F.md5("text")).otherwise(" ").alias("apiKey")).alias("keys"), F.struct(F.lit("x").alias("id")).alias("credentials"), F.struct(F.col("text").alias("note"), F.array("text").alias("items")).alias("body")).alias("p"))
+    out = nested.redact_nested(rows, "p")
+    return out.select("k", F.col("p.login.auth").alias("password"), F.col("p.keys.apiKey").alias("api_key"), F.col("p.credentials.id").alias("inner_secret"), F.col("p.body.note").alias("note"), F.col("p.body.items")[0].alias("item"))
+
+
+_PAYLOADS = f"{S.views('request_log')}, j AS (SELECT req_id, body FROM request_log WHERE content_type <> 'Text/Plain; charset=utf-8')"
+
+
+def _json_requests(spark, d):
+    return tables.spread(view(spark, d, "request_log").where(X.is_json(F.col("content_type"))).select("req_id", "body"))
+
+
+@query(f"{_PAYLOADS}, c AS (SELECT req_id, json_extract_string(body, '$.messages[0].content') AS text FROM j WHERE json_valid(body)), {S.fold('c', 'req_id', count=False)} SELECT req_id, 1024::bigint AS max_tokens, 'short' AS short_secret, {_MASK} AS api_key, t AS content FROM f{len(BUILTIN)}")
+def p2_redact_json(spark, d):
+    out = nested.redact_json(_json_requests(spark, d), "body").where("reject_reason IS NULL")
+    get = lambda p: F.get_json_object("body", p)
+    return out.select("req_id", get("$.max_tokens").cast("long").alias("max_tokens"), F.when(get("$.password") == PLACEHOLDER, "short").otherwise(get("$.password")).alias("short_secret"), get("$.apiKey").alias("api_key"), get("$.messages[0].content").alias("content"))
+
+
+_KEYS = "SELECT DISTINCT unnest(['max_tokens','databasePassword','apiKey','APIKey','accessToken','token','auth','signature','note','sigmoid','X-Api-Key','clientSecretValue']) || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '_v' || CAST(o_orderkey % 7 AS varchar) END AS key FROM orders"
+
+
+@query(f"SELECT key, {S.key_class('key')} AS key_class FROM ({_KEYS})")
+def p3_classify_key(spark, d):
+    names = F.array(*map(F.lit, "max_tokens databasePassword apiKey APIKey accessToken token auth signature note sigmoid X-Api-Key clientSecretValue".split()))
+    keys = tables.table(spark, d, "orders").select(F.concat(F.explode(names), F.expr("CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '_v' || CAST(o_orderkey % 7 AS string) END")).alias("key")).distinct()
+    return keys.withColumn("key_class", X.classify_key(F.col("key")))
+
+
+@query(f"{_PAYLOADS}, l AS (SELECT req_id, u.fullkey AS path, u.key AS key, u.atom AS a FROM j, json_tree(j.body) u WHERE json_valid(j.body) AND u.type NOT IN ('OBJECT', 'ARRAY')) SELECT req_id AS row_id, path, a ->> '$' AS value, {S.key_class('key')} AS key_class FROM l")
+def p4_payload_leaves(spark, d):
+    return nested.payload_leaves(_json_requests(spark, d), "req_id", "body").select("row_id", "path", "value", "key_class")
+
+
+@query(f"SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN {_MASK} WHEN o_orderkey % 3 = 1 THEN CASE WHEN length(trim(v)) >= 8 THEN {_MASK} ELSE v END ELSE v END AS value, CASE WHEN o_orderkey % 3 = 0 THEN {_MASK} ELSE CAST(o_orderkey AS varchar) END AS number FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'short' ELSE md5(CAST(o_orderkey AS varchar)) END AS v FROM orders)")
+def p5_mask_field(spark, d):
+    rows = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 'short' ELSE md5(CAST(o_orderkey AS string)) END").alias("v"), F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'strict' WHEN 1 THEN 'sensitive' ELSE 'normal' END").alias("c"))
+    return rows.select("k", X.mask_field(F.col("v"), "string", F.col("c")).alias("value"), X.mask_field(F.col("k"), "number", F.col("c")).alias("number"))
+
+
+@query(f"{_SEEDED_FOLD} SELECT k, t AS key FROM f{len(BUILTIN)}")
+def p6_map_keys(spark, d):
+    rows = seeded(spark, d).select("k", F.create_map("text", F.lit("v")).alias("m"))
+    return nested.redact_nested(rows, "m").select("k", F.map_keys("m")[0].alias("key"))
+
+
+@query(f"{S.views('seeded')} SELECT k, k % 50 < 39 AND k % 50 NOT IN (16, 18) AND k % 2 = 0 OR (k % 2 = 0 AND k % 50 IN (16, 18)) AS collides FROM seeded WHERE k % 50 IN (0, 1, 4, 5, 45)")
+def p7_key_collisions(spark, d):
+    rows = seeded(spark, d).where("k % 50 IN (0, 1, 4, 5, 45)").select("k", F.when(F.col("k") % 2 == 0, F.create_map("text", F.lit("v"), F.concat(F.expr("substr(text, 1, length(text) - 4)"), F.lit("1 end")), F.lit("w"))).otherwise(F.create_map("text", F.lit("v"))).alias("m"))
+    return nested.key_collisions(rows, "m").select("k", "collides")
+
+
+_TURNS = f"{S.views('seeded')}, c AS (SELECT conv_id, turn, role, text || ' ' || coalesce((SELECT s.text FROM seeded s WHERE s.k = conv_id), '') AS text FROM conversations), {S.fold('c', 'conv_id, turn, role')}"
+
+
+def _turns(spark, d):
+    turns, extra = tables.table(spark, d, "conversations"), view(spark, d, "seeded").select(F.col("k").alias("conv_id"), F.col("text").alias("more"))
+    return turns.join(extra, "conv_id", "left").select("conv_id", "turn", "role", F.concat("text", F.lit(" "), F.coalesce("more", F.lit(""))).alias("text"))
+
+
+@query(f"{_TURNS} SELECT conv_id, turn, role, t AS content FROM f{len(BUILTIN)}")
+def p8_redact_messages(spark, d):
+    lists = _turns(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
+    return nested.redact_messages(lists).select("conv_id", F.inline("messages"))
+
+
+@query(f"{_TURNS} SELECT conv_id, count(*) AS turns, sum({S.total()})::bigint AS redactions FROM f{len(BUILTIN)} GROUP BY conv_id")
+def p9_scan_messages(spark, d):
+    return nested.scan_messages(_turns(spark, d))
+
+
+@query(f"{_SEEDED_FOLD} SELECT k, t AS content, t AS stop, 0.5 AS temperature FROM f{len(BUILTIN)}")
+def p10_redact_params(spark, d):
+    rows = seeded(spark, d).select("k", F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"), F.col("text").alias("stop"), F.lit(0.5).alias("temperature")).alias("params"))
+    return nested.redact_params(rows).select("k", F.col("params.messages")[0]["content"].alias("content"), F.col("params.stop").alias("stop"), F.col("params.temperature").alias("temperature"))
+
+
+@query(f"{_SEEDED_FOLD} SELECT k, t AS text, 'plain' AS other, ({S.total()})::bigint AS redactions, CASE WHEN {S.total()} > 0 THEN 'text' ELSE '' END AS changed FROM f{len(BUILTIN)}")
+def p11_redact_record(spark, d):
+    rows = seeded(spark, d).withColumn("other", F.lit("plain"))
+    return nested.redact_record(rows, ["text", "other"]).select("k", "text", "other", "redactions", F.array_join("changed", ",").alias("changed"))
+
+
+@query(f"{S.views('request_log')} SELECT req_id, split_part(url, '?', 1) || '?tag=one&tag=two&api_key=%5BREDACTED_SECRET%5D' AS url FROM request_log")
+def p12_redact_query(spark, d):
+    return requests.redact_query(view(spark, d, "request_log").select("req_id", "url"), "url")
+
+
+# Filters
+
+
+@query(_SEEDED_FOLD + f"SELECT k FROM f{len(BUILTIN)} WHERE {S.total()} > 0")
+def f1_has_secret(spark, d):
+    return text.has_secret(seeded(spark, d)).select("k")
+
+
+@query(f"{S.views('seeded')}, {S.fold('seeded', 'k', rules=AUDIT)} SELECT k, t AS text, ({S.total(AUDIT)})::bigint AS redactions FROM f{len(AUDIT)}")
+def f2_audit_scan(spark, d):
+    return text.audit_scan(seeded(spark, d)).select("k", "text", "redactions")
+
+
+def _header_rows(df, key="req_id"):
+    return df.select(key, F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|").alias("headers"))
+
+
+_ENC = "CASE WHEN req_id % 17 = 0 THEN 'gzip' ELSE 'identity' END"
+_ID = "CAST(req_id AS varchar)"
+
+
+@query(f"{S.views('request_log')} SELECT req_id, 'Content-Encoding=' || {_ENC} || '|X-Request-ID=' || {_ID} || '|accept-encoding=identity' AS headers FROM request_log")
+def f3_outgoing_headers(spark, d):
+    return _header_rows(requests.outgoing_headers(_with_headers(spark, d)))
+
+
+@query(f"{S.views('request_log')} SELECT req_id, 'Connection=keep-alive, X-Hop|Content-Encoding=' || {_ENC} || '|Cookie=c|X-Custom-Secret=v|X-Request-ID=' || {_ID} AS headers FROM request_log")
+def f4_connection_headers(spark, d):
+    return _header_rows(requests.drop_connection_headers(_with_headers(spark, d)))
+
+
+@query(f"{S.views('request_log')} SELECT req_id, 'X-Custom-Secret=v|X-Request-ID=' || {_ID} AS headers FROM request_log")
+def f5_response_headers(spark, d):
+    return _header_rows(requests.response_headers(_with_headers(spark, d), transformed=True))
+
+
+@query(f"{S.views('request_log')} SELECT req_id, 'Connection=keep-alive, X-Hop|Content-Encoding=' || {_ENC} || '|Cookie=[REDACTED_HEADER]|X-Custom-Secret=[REDACTED_HEADER]|X-Hop=1|X-Request-ID=' || {_ID} AS headers FROM request_log")
+def f6_mask_headers(spark, d):
+    return _header_rows(requests.mask_headers(_with_headers(spark, d)))
+
+
+@query("SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'empty' WHEN 1 THEN 'exact under 8 characters' WHEN 2 THEN 'does not compile' WHEN 3 THEN 'matches empty text' WHEN 4 THEN 'bad name' END AS reason FROM orders")
+def f7_validate_rules(spark, d):
+    case = lambda *v: F.expr("CASE o_orderkey % 6 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(v)) + " END")
+    rules = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), case("exact", "exact", "regex", "regex", "exact", "regex").alias("type"), case("", "short", "[", ".*", "long enough", "a+b").alias("value"), case("n", "n", "n", "n", "bad name!", "n").alias("name"))
+    return requests.validate_rules(tables.spread(rules)).select("k", "reason")
+
+
+@query("SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 1 THEN 'not a list' WHEN 2 THEN 'too many rules' WHEN 3 THEN 'bad rule' WHEN 4 THEN 'regex not allowed' END AS extra_reason FROM orders")
+def f8_validate_extra_rules(spark, d):
+    one = '{"type":"exact","value":"abcdefgh"}'
+    values = [f"[{one}]", "{", f"[{','.join([one] * 21)}]", '[{"type":"exact","value":"short"}]', '[{"type":"regex","value":"a+bcdefgh"}]']
+    header = F.expr("CASE o_orderkey % 5 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(values)) + " END")
+    return requests.validate_extra_rules(tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), header.alias("h")), "h").select("k", "extra_reason")
+
+
+@query("SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'userinfo' WHEN 2 THEN 'query or fragment' WHEN 3 THEN 'port' WHEN 4 THEN 'scheme' END AS url_reason FROM pages")
+def f9_validate_base_url(spark, d):
+    made = F.expr("CASE page_id % 5 WHEN 0 THEN 'https://h' || page_id || '.example/v1/' WHEN 1 THEN 'https://u:p@h.example' WHEN 2 THEN 'http://h.example/?a=1' WHEN 3 THEN 'http://h.example:99999' ELSE 'ftp://h.example' END")
+    return requests.validate_base_url(tables.table(spark, d, "pages").select("page_id", made.alias("url")), "url").select("page_id", "url_reason")
+
+
+# Joins
+
+
+@query(f"{S.views('request_log')} SELECT req_id, req_id % 5 IN (0, 1) AND req_id % 3 = 0 AS allowed FROM request_log")
+def j1_allowlist(spark, d):
+    return requests.allowlist(view(spark, d, "request_log"), "url", spark.createDataFrame(ALLOWED, "url string")).select("req_id", "allowed")
+
+
+@query(f"{S.views('request_log')} SELECT req_id, req_id % 5 IN (2, 3) AS private FROM request_log")
+def j2_private_targets(spark, d):
+    return requests.private_targets(view(spark, d, "request_log"), "url", spark.createDataFrame(HOSTS, "host string, ip string"), spark.createDataFrame(RANGES, "lo string, hi string, name string")).select("req_id", "private")
+
+
+@query(f"{S.views('seeded')}, r AS (SELECT k, CASE WHEN k % 4 = 0 THEN replace(text || ' deadbeefdeadbeefdead', 'deadbeefdeadbeefdead', {_MASK}) ELSE text || ' deadbeefdeadbeefdead' END AS text FROM seeded), {S.fold('r', 'k', count=False)} SELECT k, t AS text FROM f{len(BUILTIN)}")
+def j3_redact_per_tenant(spark, d):
+    rows = seeded(spark, d).select("k", F.concat(F.lit("t"), F.col("k") % 4).alias("tenant"), F.concat("text", F.lit(" deadbeefdeadbeefdead")).alias("text"))
+    rules = spark.createDataFrame(TENANT_RULES, "tenant string, ord int, type string, value string, name string")
+    return text.redact_per_tenant(rows, "text", "tenant", rules).select("k", "text")
+
+
+# Aggregates
+
+
+def _hits(spark, d):
+    return text.long_hits(text.scan_text(seeded(spark, d)), "k")
+
+
+@query(f"{_SEEDED_FOLD}, l AS ({S.long_hits('k')}) SELECT rule, sum(hits)::bigint AS hits FROM l GROUP BY rule")
+def a1_merge_stats(spark, d):
+    return text.merge_stats(_hits(spark, d))
+
+
+_LOG = f"{S.views('request_log')}, {S.fold('request_log', 'path', 'body')}, l AS ({S.long_hits('path')})"
+
+
+def _audit(spark, d):
+    return text.audit_events(text.scan_text(tables.spread(view(spark, d, "request_log")), "body"))
+
+
+@query(f"{_LOG} SELECT path, rule, sum(hits)::bigint AS hits FROM l GROUP BY ALL")
+def a2_audit_events(spark, d):
+    return _audit(spark, d).select("path", F.explode("rules").alias("rule", "hits"))
+
+
+@query(f"{_LOG} SELECT path, rule, sum(hits)::bigint AS hits FROM l GROUP BY ROLLUP(path, rule)")
+def a3_audit_rollup(spark, d):
+    return text.audit_rollup(text.long_hits(text.scan_text(tables.spread(view(spark, d, "request_log")), "body"), "path"))
+
+
+@query(f"{_LOG} SELECT rule, sum(hits)::bigint AS hits FROM l GROUP BY rule ORDER BY 2 DESC, 1 LIMIT 5")
+def a4_top_rules(spark, d):
+    return text.top_rules(text.long_hits(text.scan_text(tables.spread(view(spark, d, "request_log")), "body"), "path"), 5)
+
+
+@query(f"{S.views('seeded_docs')}, {S.fold('documents', 'doc_id')}, l AS ({S.long_hits('doc_id')}), n AS (SELECT unnest([{', '.join(S.quoted(r.name) for r in BUILTIN)}]) AS rule) SELECT n.rule AS rule, coalesce(sum(l.hits), 0)::bigint AS hits FROM n LEFT JOIN l ON l.rule = n.rule GROUP BY n.rule")
+def a5_rule_coverage(spark, d):
+    docs = tables.spread(tables.table(spark, d, "documents").select("doc_id", "text"))
+    return text.rule_coverage(text.long_hits(text.scan_text(docs), "doc_id"), BUILTIN)
+
+
+@query(f"{_SEEDED_FOLD} SELECT f{len(BUILTIN)}.k FROM f{len(BUILTIN)} JOIN seeded USING (k) WHERE k % 50 < 36 AND contains(t, seeded.h)")
+def a6_leak_check(spark, d):
+    known = view(spark, d, "seeded").where("k % 50 < 36").select("k", F.col("h").alias("value"))
+    return text.leak_check(text.redact_text(seeded(spark, d)), "text", known, "value", "k").select("k")
+
+
+_TWICE = "SELECT k, text FROM seeded UNION ALL SELECT k + 1000000000, text FROM seeded WHERE k % 3 = 0"
+_EACH = " UNION ALL ".join(f"SELECT k, {S.quoted(r.name)} AS rule, unnest(regexp_extract_all(text, {S.quoted(r.pattern)})) AS m FROM w" for r in AUDIT)
+
+
+@query(f"{S.views('seeded')}, w AS ({_TWICE}), e AS ({_EACH}) SELECT substr(sha256(m), 1, 8) AS digest, rule, count(DISTINCT k) AS rows FROM e GROUP BY 1, 2 HAVING count(DISTINCT k) > 1")
+def a7_secret_reuse(spark, d):
+    rows = seeded(spark, d)
+    twice = rows.unionByName(rows.where("k % 3 = 0").withColumn("k", F.col("k") + 1_000_000_000))
+    return text.secret_reuse(twice, "k", "text")
+
+
+@query(f"{_SEEDED_FOLD} SELECT f.k, substr(s.text, 1, 40) AS raw, length(s.text) > 40 AS raw_cut, substr(f.t, 1, 40) AS redacted, length(f.t) > 40 AS redacted_cut FROM f{len(BUILTIN)} f JOIN seeded s USING (k)")
+def a8_redaction_sample(spark, d):
+    return text.redaction_sample(seeded(spark, d), "text", 40)
+
+
+# Functions
+
+
+@query(rf"SELECT key, regexp_replace(regexp_replace(key, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '([A-Z])([A-Z][a-z])', '\1_\2', 'g') AS name FROM ({_KEYS})")
+def x1_normalize_key(spark, d):
+    return p3_classify_key(spark, d).select("key", X.normalize_key(F.col("key")).alias("name"))
+
+
+@query(f"{S.views('seeded')} SELECT k, {S.partial('text')} AS masked, {S.partial('substr(h, 1, 12)')} AS short FROM seeded")
+def x2_mask_partial(spark, d):
+    return view(spark, d, "seeded").select("k", X.mask_partial(F.col("text")).alias("masked"), X.mask_partial(F.left("h", F.lit(12))).alias("short"))
+
+
+@query(f"{S.views('request_log')} SELECT req_id, lower(trim(split_part(content_type, ';', 1))) AS media_type FROM request_log")
+def x3_media_type(spark, d):
+    return view(spark, d, "request_log").select("req_id", X.media_type(F.col("content_type")).alias("media_type"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 8080 WHEN url LIKE 'https:%' THEN 443 ELSE 80 END AS port FROM pages")
+def x4_effective_port(spark, d):
+    url = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "^([a-z]+://[^/]+)", "$1:8080")).otherwise(F.col("url"))
+    return tables.table(spark, d, "pages").select("page_id", X.effective_port(url).alias("port"))
+
+
+@query("SELECT page_id, '/a/' || CAST(page_id AS varchar) || CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/c d' ELSE '/x+y' END AS path FROM pages")
+def x5_normalize_path(spark, d):
+    raw = F.expr("'//a/./b/../' || page_id || CASE page_id % 3 WHEN 0 THEN '/' WHEN 1 THEN '/c%20d' ELSE '/x+y/z/..' END")
+    return tables.table(spark, d, "pages").select("page_id", X.normalize_path(raw).alias("path"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://h.example/api/v1/chat' WHEN 1 THEN 'https://h.example/api/v1/chat' WHEN 2 THEN 'https://h.example/api/v1/x' ELSE 'https://h.example/v1/chat' END AS target FROM pages")
+def x6_join_target(spark, d):
+    base = F.expr("CASE WHEN page_id % 4 = 3 THEN 'https://h.example/' ELSE 'https://h.example/api/v1/' END")
+    path = F.expr("CASE page_id % 4 WHEN 0 THEN '/v1/chat' WHEN 1 THEN '/api/v1/chat' WHEN 2 THEN 'x' ELSE '/v1/chat' END")
+    return tables.table(spark, d, "pages").select("page_id", X.join_target(base, path).alias("target"))
+
+
+@query("SELECT o_orderkey AS k, coalesce(nullif(o_orderkey % 4, 0), 5)::bigint AS input_tokens, coalesce(nullif(o_orderkey % 3, 0), 0)::bigint AS output_tokens, coalesce(nullif(o_orderkey % 2, 0), coalesce(nullif(o_orderkey % 4, 0), 5) + o_orderkey % 3)::bigint AS total_tokens FROM orders")
+def x7_usage_normalize(spark, d):
+    k = F.col("o_orderkey")
+    usage = F.struct((k % 4).alias("prompt_tokens"), F.lit(5).alias("input_tokens"), (k % 3).alias("completion_tokens"), F.lit(0).alias("output_tokens"), (k % 2).alias("total_tokens"))
+    return tables.table(spark, d, "orders").select(k.alias("k"), X.usage_normalize(usage).alias("u")).select("k", "u.*")
+
+
+@query(f"{S.views('seeded')} SELECT k, text AS opened, octet_length(encode(text)) + 28 AS sealed_bytes FROM seeded")
+def x8_encrypt_decrypt(spark, d):
+    key = F.lit("0123456789abcdef0123456789abcdef")
+    sealed = seeded(spark, d).withColumn("sealed", X.encrypt_value(F.col("text"), key))
+    return sealed.select("k", X.decrypt_value(F.col("sealed"), key).alias("opened"), F.octet_length(F.unbase64(F.translate("sealed", "-_", "+/"))).cast("long").alias("sealed_bytes"))
+
+
+# Chat datasets
+
+_CHAT = S.views("responses_log")
+_GOOD = "k % 6 NOT IN (3, 4)"
+
+
+@query(
+    f"{_CHAT}, s AS (SELECT k, h FROM seeded WHERE {_GOOD}) SELECT k AS id, -1 AS pos, 'system' AS role, 'be brief' AS content, NULL AS tool_call_id FROM s WHERE k % 3 = 0"
+    " UNION ALL SELECT k, 0, 'user', 'hi ' || h, NULL FROM s WHERE k % 6 = 0"
+    " UNION ALL SELECT k, 0, 'user', 'a ' || h, NULL FROM s WHERE k % 6 = 1 UNION ALL SELECT k, 1, 'assistant', 'b' || chr(10) || 'c', NULL FROM s WHERE k % 6 = 1"
+    " UNION ALL SELECT k, 0, 'assistant', NULL, NULL FROM s WHERE k % 6 = 2 UNION ALL SELECT k, 1, 'tool', 'o1' || chr(10) || 'o2', 'c1' FROM s WHERE k % 6 = 2"
+    """ UNION ALL SELECT k, 0, 'user', '[{"type":"text","text":"see"},{"type":"image_url","image_url":{"url":"http://i/' || substr(h,1,4) || '","detail":"low"}}]', NULL FROM s WHERE k % 6 = 5"""
+)
+def c1_responses_to_chat(spark, d):
+    return chat.responses_to_chat(view(spark, d, "responses_log"), "k", "body").select("id", "pos", "role", "content", "tool_call_id")
+
+
+@query(f"""{_CHAT} SELECT k AS id, 0 AS pos, CASE WHEN k % 6 = 1 THEN 'a ' || h WHEN k % 6 = 4 THEN 'z' ELSE '[{{"type":"text","text":"see"}},{{"type":"image_url","image_url":{{"url":"http://i/' || substr(h,1,4) || '","detail":"low"}}}}]' END AS content FROM seeded WHERE k % 6 IN (1, 4, 5)""")
+def c2_content_to_chat(spark, d):
+    items = chat.request_items(chat.parse(view(spark, d, "responses_log").where("k % 6 IN (1, 4, 5)"), "k", "body")).where("pos = 0")
+    return items.select("id", "pos", chat.content_to_chat(F.col("item")).alias("content"))
+
+
+@query(f"""{_CHAT} SELECT k AS id, 0 AS pos, 'assistant' AS role, NULL AS content, '[{{"id":"c1","type":"function","function":{{"name":"n__f","arguments":"x' || substr(h,1,4) || '"}}}}]' AS tool_calls, NULL AS tool_call_id FROM seeded WHERE k % 6 = 2 UNION ALL SELECT k, 1, 'tool', 'o1' || chr(10) || 'o2', NULL, 'c1' FROM seeded WHERE k % 6 = 2""")
+def c3_tool_items(spark, d):
+    return chat.tool_items(chat.request_items(chat.parse(view(spark, d, "responses_log"), "k", "body")))
+
+
+@query(f"{_CHAT} SELECT k AS id, 0 AS pos, 'f' || CAST(k % 7 AS varchar) AS name, 'd' AS description, '{{}}' AS parameters FROM seeded UNION ALL SELECT k, 1, 'ns__g', '', '{{}}' FROM seeded")
+def c4_tools_to_chat(spark, d):
+    return chat.tools_to_chat(view(spark, d, "responses_log"), "k", "body").select("id", "pos", "name", "description", "parameters")
+
+
+@query(f"{_CHAT} SELECT k AS id, CASE k % 6 WHEN 3 THEN 'input list cannot be empty' ELSE 'unsupported role' END AS reject_reason FROM seeded WHERE k % 6 IN (3, 4)")
+def c5_conversion_rejects(spark, d):
+    return chat.conversion_rejects(view(spark, d, "responses_log"), "k", "body")
+
+
+@query(f"{_CHAT} SELECT k AS id, 'm' AS model, k % 2 = 0 AS stream, CASE WHEN k % 5 = 0 THEN 'auto' END AS tool_choice, (k % 100)::bigint AS max_tokens, CASE WHEN k % 2 = 0 THEN '{{\"include_usage\":true}}' END AS stream_options FROM seeded")
+def c6_chat_params(spark, d):
+    return chat.chat_params(view(spark, d, "responses_log"), "k", "body").select("id", "model", "stream", "tool_choice", "max_tokens", "stream_options")
+
+
+@query(
+    f"{S.views('chat_log')}, b AS (SELECT k, h, CASE WHEN k % 4 = 0 THEN CAST(k AS varchar) ELSE 'x' || CAST(k AS varchar) END AS key, coalesce(nullif(k % 10, 0), 7)::bigint AS i, (k % 3)::bigint AS o FROM seeded), u AS ("
+    "SELECT k, 0 AS n, 'message' AS type, h AS text, NULL AS call_id, NULL AS name FROM b WHERE k % 3 <> 0 UNION ALL SELECT k, 1, 'function_call', NULL, 't1', 'f' FROM b WHERE k % 2 = 0 UNION ALL SELECT k, 2, 'function_call', NULL, 'call_' || key || '_1', 'tool' FROM b WHERE k % 2 = 0"
+    "), w AS (SELECT b.k, 'resp_' || key AS response_id, n, type, text, call_id, name, i, o FROM b LEFT JOIN u ON u.k = b.k) SELECT k AS id, response_id, CASE WHEN type IS NOT NULL THEN (row_number() OVER (PARTITION BY k ORDER BY n) - 1)::int END AS pos, type, text, call_id, name, i AS input_tokens, o AS output_tokens, i + o AS total_tokens FROM w"
+)
+def c7_chat_to_responses(spark, d):
+    return chat.chat_to_responses(view(spark, d, "chat_log"), "k", "body").drop("arguments")
+
+
+@query()
+def c8_safe_responses_to_chat(spark, d):
+    return chat.safe_responses_to_chat(view(spark, d, "responses_log"), "k", "body")
+
+
+# Streams
+
+
+def _event_stream(spark, d):
+    """Events as a stream, each joined with its text, which is a static table."""
+    texts = view(spark, d, "seeded").select(F.col("k").alias("event_id"), "text")
+    stream = tables.stream_table(spark, d, "events")
+    return stream.join(texts, "event_id").select("event_id", "ts", F.concat(F.lit("/v1/"), "event_type").alias("path"), "text")
+
+
+@query(f"{S.views('event_text')}, {S.fold('event_text', 'event_id')} SELECT event_id, t AS text, ({S.total()})::bigint AS redactions FROM f{len(BUILTIN)}")
+def m1_stream_redact(spark, d):
+    return _run_stream(redaction.stream_redact(_event_stream(spark, d).select("event_id", "text")).select("event_id", "text", "redactions"), "append")
+
+
+@query(f"{S.views('event_text')}, {S.fold('event_text', 'ts, path')}, l AS ({S.long_hits('ts, path')}) SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, path, rule, sum(hits)::bigint AS hits FROM l GROUP BY ALL")
+def m2_stream_audit(spark, d):
+    out = redaction.stream_audit(_event_stream(spark, d).select("ts", "path", "text"))
+    return _run_stream(out, "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT conv_id AS id, string_agg(substr(md5(CAST(conv_id * 1000 + turn AS varchar)), 1, 8), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def m3_assemble_chunks(spark, d):
+    return chat.assemble_chunks(view(spark, d, "chunks")).select("id", "text")
+
+
+@query("SELECT conv_id AS response_id, string_agg(substr(md5(CAST(conv_id * 1000 + turn AS varchar)), 1, 8), '' ORDER BY turn) AS text, TRUE AS complete FROM conversations GROUP BY conv_id")
+def m4_stream_assemble(spark, d):
+    made = F.expr("concat('data: {\"choices\":[{\"delta\":{\"content\":\"', substr(md5(cast(conv_id * 1000 + turn as string)), 1, 8), '\"}}]}', '\\r\\n\\r\\n')")
+    turns = tables.table(spark, d, "conversations")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"), F.min("turn").alias("first"))
+    stream = tables.stream_table(spark, d, "conversations").join(last, "conv_id")
+    chunk = F.when(F.col("turn") == F.col("last"), F.concat(made, F.lit("data: [DONE]\n\n"))).otherwise(made)
+    rows = stream.select(F.col("conv_id").alias("response_id"), (F.col("turn") - F.col("first")).alias("seq"), chunk.cast("binary").alias("chunk"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"))
+    return _run_stream(redaction.stream_assemble(rows), "append")
+
+
+@query(
+    f"{S.views('tool_chunks')}, t AS (SELECT conv_id AS id, turn % 3 AS index, turn FROM conversations WHERE turn % 2 = 1) SELECT id, index::int AS index, coalesce(max(CASE WHEN turn < 3 THEN 'c' || CAST(id AS varchar) || '_' || CAST(turn AS varchar) END), 'call_' || CAST(id AS varchar) || '_' || CAST(index AS varchar)) AS call_id, coalesce(string_agg(CASE WHEN turn < 3 THEN 'f' END, ''), '') AS name, string_agg('a' || CAST(turn AS varchar), '' ORDER BY turn) AS arguments FROM t GROUP BY id, index"
+)
+def m5_merge_tool_calls(spark, d):
+    return chat.merge_tool_calls(chat.chunk_events(view(spark, d, "tool_chunks")))
+
+
+@query(
+    "WITH c AS (SELECT conv_id AS id, turn, substr(md5(CAST(conv_id * 1000 + turn AS varchar)), 1, 8) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), w AS (SELECT id, max(n) AS n, string_agg(t, '' ORDER BY turn) AS t FROM c GROUP BY id)"
+    " SELECT id, 0 AS n, 'response.created' AS type, NULL AS text FROM w UNION ALL SELECT id, 1, 'response.output_item.added', '' FROM w UNION ALL SELECT id, (r + 1)::int, 'response.output_text.delta', t FROM c UNION ALL SELECT id, (n + 2)::int, 'response.output_item.done', t FROM w UNION ALL SELECT id, (n + 3)::int, 'response.completed', t FROM w"
+)
+def m6_response_events(spark, d):
+    return chat.response_events(view(spark, d, "chunks"))
+
+
+# SQL surface
+
+
+@query(_SEEDED_FOLD + f"SELECT k, t AS text FROM f{len(BUILTIN)}")
+def u1_sql_function(spark, d):
+    from maskmill.functions.sql import register
+
+    register(spark)
+    name = "mm_u1_seeded"
+    seeded(spark, d).createOrReplaceTempView(name)
+    return spark.sql(f"SELECT k, redact_text(text) AS text FROM {name}")
+
+
+@query(f"{S.views('seeded')}, {S.fold('seeded', 'k', rules=CUSTOM + AUDIT, placeholder='###')} SELECT k, t AS text, ({S.total(CUSTOM + AUDIT)})::bigint AS redactions FROM f{len(CUSTOM + AUDIT)}")
+def u2_policy(spark, d):
+    return text.scan_text(seeded(spark, d), policy=Policy(rules=CUSTOM, builtin=AUDIT, placeholder="###")).select("k", "text", "redactions")
