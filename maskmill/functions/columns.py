@@ -18,12 +18,12 @@ STRICT_FIELD = (
     r"(?i)(?:^|[_.-])(?:api[_-]?keys?|client[_-]?secrets?|secrets?|passwords?|passwd|pwd|access[_-]?tokens?|refresh[_-]?tokens?|id[_-]?tokens?|auth[_-]?tokens?|"
     r"session[_-]?tokens?|private[_-]?keys?|secret[_-]?(?:access[_-]?)?keys?|access[_-]?keys?|account[_-]?keys?|signing[_-]?keys?|encryption[_-]?keys?|credentials?|authorization)$"
 )
-_FOLDED = ("İıſK", "iisk")
+FOLDED = ("İıſK", "iisk")
 
 
 def folded(text: Column) -> Column:
     """Lower case, with the four characters that match i, s and k when case is ignored."""
-    return F.lower(F.translate(text, *_FOLDED))
+    return F.lower(F.translate(text, *FOLDED))
 
 
 def may_match(text: Column, rule: Rule) -> Column:
@@ -61,13 +61,18 @@ def substitute(text: Column, rule: Rule, policy: Policy = DEFAULT) -> Column:
     return F.regexp_replace(text, F.lit(rule.java), F.lit(rule.replacement(policy.placeholder, "$", "\\$")))
 
 
+def _one_rule(rule: Rule, policy: Policy):
+    return lambda t: substitute(t, rule, policy)
+
+
 def redacted(text: Column, policy: Policy = DEFAULT) -> Column:
     """The fold as one expression, for use inside lambdas: texts without any anchor are passed by."""
     if not policy.fold:
         return text
     out = text
     for rule in policy.fold:
-        out = substitute(out, rule, policy)
+        # bound to a name first where the text is used more than once, so that the expression grows by one step a rule
+        out = F.transform(F.array(out), _one_rule(rule, policy))[0] if policy.mode == "partial" else substitute(out, rule, policy)
     if any(not r.anchors and not r.literal for r in policy.fold) or policy.mode == "partial":
         return out
     some = None

@@ -7,10 +7,14 @@ import json
 import re
 from collections import Counter
 
-from .columns import SENSITIVE_FIELD, STRICT_FIELD
+from .columns import FOLDED, SENSITIVE_FIELD, STRICT_FIELD
 from .rules import Policy
 
 
+#: The four characters that match i, s and k when case is ignored.
+_FOLD = str.maketrans(*FOLDED)
+
+
 class KeyCollision(ValueError):
     """Two keys of one mapping become equal."""
 
@@ -22,10 +26,19 @@ class Redactor:
         self.sensitive, self.strict = re.compile(SENSITIVE_FIELD), re.compile(STRICT_FIELD)
 
     def text(self, value: str, hits: Counter) -> str:
+        plain = None
         for rule, pattern in self.rules:
+            if rule.anchor_ci:
+                if plain is None:
+                    plain = value.translate(_FOLD).lower()
+                if not any(a in plain for a in rule.anchors):
+                    continue
+            elif rule.anchors and not any(a in value for a in rule.anchors):
+                continue
             value, n = pattern.subn(lambda m, rule=rule: self._mask(rule, m), value)
             if n:
                 hits[rule.name] += n
+                plain = None
         return value
 
     def _mask(self, rule, m: re.Match) -> str:

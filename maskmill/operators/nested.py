@@ -62,7 +62,7 @@ def key_collisions(df: DataFrame, col: str, policy: Policy = DEFAULT) -> DataFra
     return df.withColumn("collides", F.coalesce(F.size(F.array_distinct(F.transform(keys, lambda k: redacted(k, policy)))) < F.size(keys), F.lit(False)))
 
 
-def payload_leaves(df: DataFrame, id_col: str, col: str, depth: int = 12) -> DataFrame:
+def payload_leaves(df: DataFrame, id_col: str, col: str, depth: int = 8) -> DataFrame:
     """(row_id, path, key, value, key_class) of the scalars in a JSON text column; key_class is that of the outermost sensitive key.
 
     Malformed or null JSON has no leaves; a scalar at the top has path $ and no key. depth: levels that are looked into; what lies
@@ -117,6 +117,10 @@ def redact_binary(df: DataFrame, col: str, policy: Policy = DEFAULT) -> DataFram
     return df.withColumn(col, change(F.col(col)))
 
 
+def _content_redacted(kind: T.DataType, policy: Policy):
+    return lambda m: m.withField("content", nested(m["content"], kind, policy))
+
+
 def redact_messages(df: DataFrame, col: str = "messages", policy: Policy = DEFAULT) -> DataFrame:
     """df with a message list redacted: an array of structs, of which content is redacted, or of (role, text) pairs as arrays, of
     which the second is. Other fields of a message stay."""
@@ -125,8 +129,7 @@ def redact_messages(df: DataFrame, col: str = "messages", policy: Policy = DEFAU
         return df.withColumn(col, F.transform(col, lambda m: F.when(F.size(m) == 2, F.array(m[0], redacted(m[1], policy))).otherwise(F.transform(m, lambda x: redacted(x, policy)))))
     if "content" not in element.names:
         return redact_nested(df, col, policy)
-    content = element["content"].dataType
-    return df.withColumn(col, F.transform(col, lambda m: m.withField("content", nested(m["content"], content, policy))))
+    return df.withColumn(col, F.transform(col, _content_redacted(element["content"].dataType, policy)))
 
 
 def scan_messages(df: DataFrame, conversation: str = "conv_id", col: str = "text", policy: Policy = DEFAULT) -> DataFrame:
@@ -142,8 +145,7 @@ def redact_params(df: DataFrame, col: str = "params", policy: Policy = DEFAULT)
     for f in kind.fields:
         value = F.col(col)[f.name]
         if f.name == "messages" and isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType) and "content" in f.dataType.elementType.names:
-            content = f.dataType.elementType["content"].dataType
-            value = F.transform(value, lambda m, content=content: m.withField("content", nested(m["content"], content, policy)))
+            value = F.transform(value, _content_redacted(f.dataType.elementType["content"].dataType, policy))
         else:
             value = nested(value, f.dataType, policy)
         fields.append(value.alias(f.name))

@@ -246,13 +246,14 @@ _KEYS = "SELECT DISTINCT unnest(['max_tokens','databasePassword','apiKey','APIKe
 @query(f"SELECT key, {S.key_class('key')} AS key_class FROM ({_KEYS})")
 def p3_classify_key(spark, d):
     names = F.array(*map(F.lit, "max_tokens databasePassword apiKey APIKey accessToken token auth signature note sigmoid X-Api-Key clientSecretValue".split()))
-    keys = tables.table(spark, d, "orders").select(F.concat(F.explode(names), F.expr("CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '_v' || CAST(o_orderkey % 7 AS string) END")).alias("key")).distinct()
+    end = F.expr("CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '_v' || CAST(o_orderkey % 7 AS string) END")
+    keys = tables.table(spark, d, "orders").select(F.explode(names).alias("name"), end.alias("end")).select(F.concat("name", "end").alias("key")).distinct()
     return keys.withColumn("key_class", X.classify_key(F.col("key")))
 
 
 @query(f"{_PAYLOADS}, l AS (SELECT req_id, u.fullkey AS path, u.key AS key, u.atom AS a FROM j, json_tree(j.body) u WHERE json_valid(j.body) AND u.type NOT IN ('OBJECT', 'ARRAY')) SELECT req_id AS row_id, path, a ->> '$' AS value, {S.key_class('key')} AS key_class FROM l")
 def p4_payload_leaves(spark, d):
-    return nested.payload_leaves(_json_requests(spark, d), "req_id", "body").select("row_id", "path", "value", "key_class")
+    return nested.payload_leaves(_json_requests(spark, d), "req_id", "body", depth=4).select("row_id", "path", "value", "key_class")
 
 
 @query(f"SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN {_MASK} WHEN o_orderkey % 3 = 1 THEN CASE WHEN length(trim(v)) >= 8 THEN {_MASK} ELSE v END ELSE v END AS value, CASE WHEN o_orderkey % 3 = 0 THEN {_MASK} ELSE CAST(o_orderkey AS varchar) END AS number FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'short' ELSE md5(CAST(o_orderkey AS varchar)) END AS v FROM orders)")
