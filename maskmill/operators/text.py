@@ -66,11 +66,8 @@ def long_hits(scanned: DataFrame, *keys: str) -> DataFrame:
 
 
 def has_secret(df: DataFrame, col: str = "text", policy: Policy = DEFAULT) -> DataFrame:
-    """The rows with at least one hit. The first rule that hits does so on the text as it was, so no fold is needed."""
-    some = F.lit(False)
-    for rule in policy.fold:
-        some = some | (may_match(F.col(col), rule) & (F.contains(F.col(col), F.lit(rule.literal)) if rule.literal else F.col(col).rlike(rule.java)))
-    return df.where(some)
+    """The rows with at least one hit."""
+    return _fold(df, col, policy).where("__mm.redactions > 0").drop("__mm")
 
 
 def audit_scan(df: DataFrame, col: str = "text") -> DataFrame:

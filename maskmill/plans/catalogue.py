@@ -293,7 +293,7 @@ def p9_scan_messages(spark, d):
     return nested.scan_messages(_turns(spark, d))
 
 
-@query(f"{_SEEDED_FOLD} SELECT k, t AS content, t AS stop, 0.5 AS temperature FROM f{len(BUILTIN)}")
+@query(f"{_SEEDED_FOLD} SELECT k, t AS content, t AS stop, 0.5::double AS temperature FROM f{len(BUILTIN)}")
 def p10_redact_params(spark, d):
     rows = seeded(spark, d).select("k", F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"), F.col("text").alias("stop"), F.lit(0.5).alias("temperature")).alias("params"))
     return nested.redact_params(rows).select("k", F.col("params.messages")[0]["content"].alias("content"), F.col("params.stop").alias("stop"), F.col("params.temperature").alias("temperature"))
