@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import smallest
+
 SAMPLE_PAGES = 2_000
 SLOTS = 4096
 
@@ -244,7 +246,7 @@ def _counts(batches):
 def fit(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> Model:
     """Potentials from at most sample_pages pages that mark their article. No such page: the pseudo-counts alone."""
     marked = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)[\s>]")).select(F.col(html_col).alias("html"))
-    sample = marked.withColumn("h", F.xxhash64("html")).orderBy("h").limit(sample_pages).select("html")
+    sample = smallest(marked, sample_pages, "html")
     features, edges = np.zeros((SLOTS, 2)), np.zeros((5, 2, 2))
     for r in sample.repartition(8).mapInArrow(_counts, "features binary, edges binary").collect():
         features += np.frombuffer(r["features"]).reshape(SLOTS, 2)
