@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .shared import smallest
 
 SAMPLE_ROWS = 24_000
 BITS = 20
@@ -152,7 +153,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     """(text, label) of at most rows labelled documents. learn: which ids may be learned from. Null labels and null ids are
     left out; an id labelled more than once has its largest label; an id with several texts, all of them."""
     ids = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & learn).groupBy(id_col).agg(F.max(label).alias("y"))
-    ids = ids.orderBy(F.xxhash64(id_col, F.lit(1)), id_col).limit(rows)
+    ids = smallest(ids, rows, id_col)
     return docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(ids), id_col).orderBy(F.xxhash64(id_col, F.lit(2)), id_col).limit(rows).select("text", "y")
 
 
