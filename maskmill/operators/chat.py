@@ -132,14 +132,16 @@ def conversion_rejects(df: DataFrame, id_col: str, col: str) -> DataFrame:
         .alias("why"),
     )
     bad_tools = _tool_rows(parsed).select("id", (F.col("at") + 1_000_000).cast("int").alias("pos"), F.col("why"))
-    found = whole.unionByName(per_item).unionByName(bad_tools).where("why IS NOT NULL")
-    return found.groupBy("id").agg(F.min_by("why", "pos").alias("reject_reason"))
+    # null reasons go after the aggregate: a filter below it would repeat every reason's expression in itself
+    found = whole.unionByName(per_item).unionByName(bad_tools)
+    first = F.min_by("why", F.when(F.col("why").isNotNull(), F.col("pos")))
+    return found.groupBy("id").agg(first.alias("reject_reason")).where("reject_reason IS NOT NULL")
 
 
 def responses_to_chat(df: DataFrame, id_col: str, col: str) -> DataFrame:
     """(id, pos, role, content, tool_calls, tool_call_id): the messages of each payload that converts, instructions first."""
     rejected = conversion_rejects(df, id_col, col).select("id")
-    parsed = parse(df, id_col, col).join(rejected, "id", "left_anti")
+    parsed = parse(df, id_col, col)
     body = F.col("body")
     none = F.lit(None).cast("string")
     shape = lambda role, content: (role.alias("role"), content.alias("content"), none.alias("tool_calls"), none.alias("tool_call_id"))
@@ -147,7 +149,7 @@ def responses_to_chat(df: DataFrame, id_col: str, col: str) -> DataFrame:
     plain = parsed.where(_is(body, "$.input", "STRING")).select("id", F.lit(0).alias("pos"), *shape(F.lit("user"), _get(body, "$.input")))
     items = request_items(parsed)
     said = items.where(F.coalesce(_get(F.col("item"), "$.type"), F.lit("message")) == "message").select("id", "pos", *shape(_get(F.col("item"), "$.role"), content_to_chat(F.col("item"))))
-    return system.unionByName(plain).unionByName(said).unionByName(tool_items(items))
+    return system.unionByName(plain).unionByName(said).unionByName(tool_items(items)).join(rejected, "id", "left_anti")
 
 
 def _tool_rows(parsed: DataFrame) -> DataFrame:

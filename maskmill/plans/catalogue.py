@@ -551,10 +551,10 @@ def c6_chat_params(spark, d):
 @query(
     f"{S.views('chat_log')}, b AS (SELECT k, h, CASE WHEN k % 4 = 0 THEN CAST(k AS varchar) ELSE 'x' || CAST(k AS varchar) END AS key, coalesce(nullif(k % 10, 0), 7)::bigint AS i, (k % 3)::bigint AS o FROM seeded), u AS ("
     "SELECT k, 0 AS n, 'message' AS type, h AS text, NULL AS call_id, NULL AS name FROM b WHERE k % 3 <> 0 UNION ALL SELECT k, 1, 'function_call', NULL, 't1', 'f' FROM b WHERE k % 2 = 0 UNION ALL SELECT k, 2, 'function_call', NULL, 'call_' || key || '_1', 'tool' FROM b WHERE k % 2 = 0"
-    "), w AS (SELECT b.k, 'resp_' || key AS response_id, n, type, text, call_id, name, i, o FROM b LEFT JOIN u ON u.k = b.k) SELECT k AS id, response_id, CASE WHEN type IS NOT NULL THEN (row_number() OVER (PARTITION BY k ORDER BY n) - 1)::int END AS pos, type, text, call_id, name, i AS input_tokens, o AS output_tokens, i + o AS total_tokens FROM w"
+    "), w AS (SELECT b.k, 'resp_' || key AS response_id, n, type, text, call_id, name, i, o FROM b LEFT JOIN u ON u.k = b.k) SELECT k AS id, response_id, CASE WHEN type IS NOT NULL THEN (row_number() OVER (PARTITION BY k ORDER BY n) - 1)::int ELSE -1 END AS pos, type, text, call_id, name, i AS input_tokens, o AS output_tokens, i + o AS total_tokens FROM w"
 )
 def c7_chat_to_responses(spark, d):
-    return chat.chat_to_responses(view(spark, d, "chat_log"), "k", "body").drop("arguments")
+    return chat.chat_to_responses(view(spark, d, "chat_log"), "k", "body").drop("arguments").withColumn("pos", F.coalesce("pos", F.lit(-1)))
 
 
 @query()
