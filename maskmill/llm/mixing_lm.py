@@ -7,7 +7,7 @@ predictions, stretched to log-odds, are summed with weights chosen by a gate (ho
 the result is refined by an adaptive map from gate and prediction to what came true.
 
 1. Counts: every task adds up its learning documents' bits in tables of fixed size; tables are summed in a tree of at most
-   FAN partials a task. All learning documents count.
+   FAN partials a task. Every step of every learning document counts, so the sums do not depend on partitions.
 2. Gate weights and the refining map, 16 small regressions, are fitted on a bounded sample, the SAMPLE_DOCS learning documents
    with the smallest hash, each seen as if it were not in the counts.
 3. Scoring: documents are dealt to blocks of about BLOCK_BYTES. A block works out each distinct word once. Its words meet
@@ -36,7 +36,6 @@ FAN = 64
 #: Slots of each context's table, as powers of two: class and word so far, word so far, last three bytes, last two.
 TABLES = (21, 21, 19, 17)
 CHUNK = 1 << 18
-LEAST_SEEN = 2
 GATES, STEPS = 16, 33
 #: Weights of the corpus share of a word, and of a text's own history at its longest.
 SHARE, WORD_HISTORY, PAIR_HISTORY = 0.5, 0.15, 0.3
@@ -132,12 +131,11 @@ class Units:
             tokens.mix64(two | np.uint64(1 << 31)),
         ]
 
-    def events(self, code, only: int | None = None, least: int = 0):
-        """For each bit of the steps' bytes: (steps that have it, the bit, its slot in each table or in that one). Steps seen
-        fewer than least times are left out."""
+    def events(self, code, only: int | None = None):
+        """For each bit of the steps' bytes: (steps that have it, the bit, its slot in each table or in that one)."""
         which = range(len(TABLES)) if only is None else [only]
         length, nodes, bits = code
-        at = np.flatnonzero(self.seen >= least)
+        at = np.arange(len(self.byte))
         for k in range(nodes.shape[1]):
             at = at[length[self.byte[at]] > k]
             if not len(at):
@@ -203,7 +201,7 @@ def _count(code):
             count += len(units.unit_of)
             for i, table in enumerate(tables):  # one table's slots at a time
                 slots, seen = [np.zeros(0, np.int64)], [np.zeros(0)]
-                for at, bit, (place,) in units.events(code, only=i, least=LEAST_SEEN if i < 2 else 0):
+                for at, bit, (place,) in units.events(code, only=i):
                     slots.append((place.astype(np.int64) << 1) + bit)
                     seen.append(units.seen[at])
                 slots, seen = np.concatenate(slots), np.concatenate(seen)

@@ -118,6 +118,16 @@ def test_language_base_is_exact_and_score_is_a_probability(docs, rows):
     assert mixing_lm.language_scores(docs.where("false")).count() == 0
 
 
+def test_language_counts_hold_every_step_whatever_the_partitions(spark):
+    texts = spark.createDataFrame([(f"rare{i} common word",) for i in range(64)] + [("rare3 again",)], "text string")
+    code = mixing_lm.prefix_code(mixing_lm._byte_counts(texts))
+    whole, n = mixing_lm.count_tables(texts.coalesce(1), code)
+    parts, m = mixing_lm.count_tables(texts.repartition(16), code)
+    assert n == m == 64 * 4 + 3 and all((a == b).all() for a, b in zip(whole, parts, strict=True))
+    seen = [float(mixing_lm._COUNT[table].sum()) for table in parts]  # coded counts are within 5 in 100
+    assert 0 < max(seen) < 1.05 * min(seen)
+
+
 def test_personal_data_base_and_disclosing_terms(spark):
     text = "Mail a.b@c.example.org or x@y.z, call +1 (555) 010-9999, ip 10.0.0.256 and 10.0.0.25.7, card 4111 1111 1111 1111 or 4111111111111112."
     rows = [(1, text), (2, None), (3, ""), (1, text)]
