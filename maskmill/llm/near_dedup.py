@@ -6,9 +6,12 @@
    share the first values (the shallowest depth). A region too large for one look is cut along the sorted order, so its
    pieces share longer prefixes: the depth adapts to the region, and range partitioning splits it over tasks.
 3. In a piece, estimates from the whole sketch give a spanning forest of the most similar pairs and a link of each class
-   to a leader, at most two candidates a class: never all pairs.
-4. Candidates of all trees, each once, are confirmed on the full sets. Pairs that candidates of a cluster left apart are
-   looked at again in a second round among the roots of its parts. Components come from confirmed links.
+   to a leader, at most two candidates a class.
+4. Candidates of all trees, each once, are confirmed on the full sets. Their components are the parts of the second round,
+   in which every pair of a piece that is likely, in different parts and not yet looked at is confirmed too: a pair that
+   shares a piece is left out only if its estimate falls short. Components come from the links of both rounds.
+
+The rows of a region of more than PIECE classes that fall in different pieces are not compared in that tree.
 """
 
 from __future__ import annotations
@@ -71,7 +74,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
 
 def _forest(batches):
-    """Rows (tree, order, key): order is the tree's own values in full, then one byte of each other value, in turn."""
+    """Rows (tree, order, key and the columns after sig): order is the tree's own values in full, then one byte of each other value, in turn."""
     for batch in batches:
         keys = batch.column(0)
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, HASHES, 4)
@@ -81,8 +84,8 @@ def _forest(batches):
             order = np.ascontiguousarray(np.concatenate([own, turned], axis=1))
             width = order.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(sig), tree, np.int32)), pa.array([order[i].tobytes() for i in range(len(sig))], pa.binary(width)).cast(pa.binary()), keys],
-                ["tree", "order", "key"],
+                [pa.array(np.full(len(sig), tree, np.int32)), pa.array([order[i].tobytes() for i in range(len(sig))], pa.binary(width)).cast(pa.binary()), keys, *batch.columns[2:]],
+                ["tree", "order", "key", *batch.schema.names[2:]],
             )
 
 
@@ -121,35 +124,62 @@ def _candidates(keys: np.ndarray, sketch: np.ndarray, least: int, close: int) ->
     return {(int(min(keys[i], keys[j])), int(max(keys[i], keys[j]))) for i, j in pairs if keys[i] != keys[j]}
 
 
+def _pieces(batches):
+    """The pieces of all regions as rows (prefix, sketch, key and what else the batches hold), a list of them for each batch."""
+    own, held = DEPTH * 4, []  # held: the open region's rows so far
+    for batch in batches:
+        done = []
+        for tree, order, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            prefix = (tree, order[:own])
+            if held and held[-1][0] != prefix:
+                done.append(held)
+                held = []
+            elif len(held) == PIECE:  # go on in the same region: one row in eight stays, so that pieces overlap
+                done.append(held)
+                held = held[::8]
+            held.append((prefix, order[own:], *rest))
+        yield [rows for rows in done if len(rows) > 1]
+    yield [held] if len(held) > 1 else []
+
+
+def _sketch(rows: list) -> np.ndarray:
+    return np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
+
+
+def _least(similarity: float) -> int:
+    return int(HASHES * max(0.0, similarity - 0.27))
+
+
 def _regions(similarity: float):
-    least, close = int(HASHES * max(0.0, similarity - 0.27)), int(HASHES * similarity)
-    own = DEPTH * 4
+    least, close = _least(similarity), int(HASHES * similarity)
 
     def make(batches):
-        held: list = []  # the open region's rows so far: (prefix, key, sketch)
+        for pieces in _pieces(batches):
+            found: set = set()
+            for rows in pieces:
+                found |= _candidates(np.array([r[2] for r in rows], np.int64), _sketch(rows), least, close)
+            if found:
+                yield _pairs_batch(found)
+
+    return make
 
-        def flush(rows):
-            if len(rows) > 1:
-                keys = np.array([r[1] for r in rows], np.int64)
-                sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-                return _candidates(keys, sketch, least, close)
-            return set()
 
-        for batch in batches:
+def _apart(similarity: float):
+    """Every pair of a piece whose estimate and sizes allow the similarity and whose classes are in different parts."""
+    least, percent = _least(similarity), round(100 * similarity)
+
+    def make(batches):
+        for pieces in _pieces(batches):
             found: set = set()
-            for tree, order, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                prefix = (tree, order[:own])
-                if held and held[-1][0] != prefix:
-                    found |= flush(held)
-                    held = []
-                elif len(held) == PIECE:  # go on in the same region: one row in eight stays, so that pieces overlap
-                    found |= flush(held)
-                    held = held[::8]
-                held.append((prefix, key, order[own:]))
+            for rows in pieces:
+                keys, part, size = np.array([r[2:] for r in rows], np.int64).T
+                if (part == part[0]).all():
+                    continue
+                fits = (part[:, None] != part[None, :]) & (100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :]))
+                for i, j in np.argwhere(np.triu(fits & (_likely(_sketch(rows), least) > 0), 1)):
+                    found.add((int(min(keys[i], keys[j])), int(max(keys[i], keys[j]))))
             if found:
                 yield _pairs_batch(found)
-        if found := flush(held):
-            yield _pairs_batch(found)
 
     return make
 
@@ -209,13 +239,14 @@ def _confirm(similarity: float):
     return make
 
 
-def links(docs: DataFrame, marks: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """Confirmed links (a, b) between classes, named by the key of their sets; marks are the sketches of docs."""
-    spark = docs.sparkSession
-    classes = marks.where(F.col("sig").isNotNull()).groupBy("key").agg(F.first("sig").alias("sig"))
-    forest = classes.select("key", "sig").mapInArrow(_forest, "tree int, order binary, key long")
-    ordered = forest.repartitionByRange(slots(spark), "tree", "order").sortWithinPartitions("tree", "order")
-    pairs = cut(ordered.mapInArrow(_regions(similarity), "a long, b long").distinct())
+def _ordered(classes: DataFrame, more: str = "") -> DataFrame:
+    """The rows of all trees, in each tree's order. classes: key, sig and the columns that more names with their types."""
+    forest = classes.mapInArrow(_forest, f"tree int, order binary, key long{more}")
+    return forest.repartitionByRange(slots(classes.sparkSession), "tree", "order").sortWithinPartitions("tree", "order")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """The pairs whose full sets are as similar as that."""
     nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     sets = cut(_full_sets(docs, text_col, words, nodes))
     both = (
@@ -226,6 +257,18 @@ def links(docs: DataFrame, marks: DataFrame, text_col: str, words: int, similari
     return cut(both.mapInArrow(_confirm(similarity), "a long, b long"))
 
 
+def links(docs: DataFrame, marks: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Confirmed links (a, b) between classes, named by the key of their sets; marks are the sketches of docs."""
+    classes = marks.where(F.col("sig").isNotNull()).groupBy("key").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
+    pairs = cut(_ordered(classes.select("key", "sig")).mapInArrow(_regions(similarity), "a long, b long").distinct())
+    first = _confirmed(docs, pairs, text_col, words, similarity)
+    parts = connected_components(first).select(F.col("node").alias("key"), "label")
+    parted = classes.join(parts, "key", "left").select("key", "sig", F.coalesce("label", "key").alias("part"), "size")
+    apart = _ordered(parted, ", part long, size long").mapInArrow(_apart(similarity), "a long, b long").distinct()
+    rest = cut(apart.join(pairs, ["a", "b"], "left_anti"))
+    return first.unionByName(_confirmed(docs, rest, text_col, words, similarity)) if rest.limit(1).count() else first
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id (smallest id of its group), kept (id = component_id).
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -68,6 +69,25 @@ def test_near_copies_of_a_large_group_are_one_component(spark):
     assert {r["component_id"] for r in near_dedup.near_duplicates(df, words=4).collect()} == {0}
 
 
+def test_variants_around_the_threshold_match_all_pairs(spark):
+    rng, texts = random.Random(3), []
+    for f in range(250):
+        for v in range(6):
+            words = [f"f{f}w{i}" for i in range(120)]
+            for at in rng.sample(range(120), 2):
+                words[at] = f"f{f}v{v}x{at}"
+            texts.append(words)
+    sets = [{tuple(w[j : j + 4]) for j in range(117)} for w in texts]
+    top = list(range(len(texts)))
+    for _ in range(6):
+        for i in range(len(texts)):
+            for j in range(i // 6 * 6, i // 6 * 6 + 6):
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    top[i] = top[j] = min(top[i], top[j])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert [r["component_id"] for r in near_dedup.near_duplicates(df, words=4).orderBy("doc_id").collect()] == top
+
+
 @pytest.mark.parametrize("block_chars", [1 << 20, 60])
 def test_contamination_matches_brute_force(spark, docs, rows, block_chars):
     items = [("b", rows[3][1]), ("a", "x y " + " ".join(rows[4][1].split()[2:])), ("c", "one TWO"), ("d", None), ("e", ""), (None, "lazy dogs"), ("a", "one two")]
