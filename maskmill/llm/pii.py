@@ -4,7 +4,7 @@
 2. The words around an entity are its context. Over the whole corpus, a word's pointwise mutual information with an entity is
    log2(p(word, entity) / (p(word) p(entity))); the entity's own information is -log2 p(entity). A word whose share of the
    entity's information reaches `disclosure` says nearly as much as the entity itself.
-3. Such words are spans of kind `term` in the entity's contexts: removed where they disclose all of it, else generalised.
+3. Such words are spans of kind `term` wherever they occur in documents that hold the entity: removed where they disclose all of it, else generalised.
 Contexts that are word for word the same count once, so copies of a document are no evidence by themselves.
 """
 
@@ -78,15 +78,28 @@ def _contexts(text: str, spans: list) -> list[dict]:
         before = [m for m in _WORD.finditer(text, max(0, a - reach), a)][-WINDOW:]
         after = [m for m in _WORD.finditer(text, b, min(len(text), b + reach))][:WINDOW]
         near = [m for m in before + after if not any(m.start() < y and m.end() > x for _, x, y in spans)]
-        value = text[a:b].lower() if kind == 0 else KINDS[kind] + _NOT_DIGIT.sub("." if kind == 1 else "", text[a:b])
+        value = _value(text, kind, a, b)
         around = " ".join(m[0].lower() for m in near)
-        entity, context = (tokens.hash_bytes(x.encode()) - (1 << 63) for x in (value, f"{value}\n{around}"))
+        entity, context = _hash(value), _hash(f"{value}\n{around}")
         out += [{"word": _key(m[0]), "entity": entity, "context": context, "lo": m.start(), "hi": m.end()} for m in near]
     return out
 
 
+def _value(text: str, kind: int, a: int, b: int) -> str:
+    return text[a:b].lower() if kind == 0 else KINDS[kind] + _NOT_DIGIT.sub("." if kind == 1 else "", text[a:b])
+
+
+def _hash(value: str) -> int:
+    return tokens.hash_bytes(value.encode()) - (1 << 63)
+
+
 def _key(word: str) -> int:
-    return tokens.hash_bytes(word.lower().encode()) - (1 << 63)
+    return _hash(word.lower())
+
+
+def _plain(text: str | None) -> str | None:
+    """The text's words as _key has them, so that byte-wise words are the same words."""
+    return text if text is None or text.isascii() else " ".join(w.lower() for w in _WORD.findall(text))
 
 
 _CONTEXT = pa.struct([("word", pa.int64()), ("entity", pa.int64()), ("context", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
@@ -94,20 +107,21 @@ _CONTEXT = pa.struct([("word", pa.int64()), ("entity", pa.int64()), ("context",
 
 def _find(batches):
     for batch in batches:
-        spans, contexts = [], []
+        spans, contexts, entities = [], [], []
         for text in batch.column(2).to_pylist():
             found = base_spans(text or "")
             spans.append(found)
             contexts.append(_contexts(text, found) if found else [])
+            entities.append(sorted({_hash(_value(text, *s)) for s in found}))
         counts = [pa.array([sum(s[0] == k for s in found) for found in spans], pa.int64()) for k in range(4)]
         named = [[{"kind": KINDS[k], "lo": a, "hi": b} for k, a, b in found] for found in spans]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), batch.column(1), *counts,
                 pa.array(named, pa.list_(pa.struct([("kind", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())]))),
-                pa.array(contexts, pa.list_(_CONTEXT)),
+                pa.array(contexts, pa.list_(_CONTEXT)), pa.array(entities, pa.list_(pa.int64())),
             ],
-            ["id", "row", *(f"n_{k}" for k in KINDS), "base", "contexts"],
+            ["id", "row", *(f"n_{k}" for k in KINDS), "base", "contexts", "entities"],
         )
 
 
@@ -129,7 +143,7 @@ def _document_counts(docs: DataFrame, text_col: str, words: DataFrame) -> DataFr
         want = bits.value
         for batch in batches:
             totals: list[np.ndarray] = []
-            for lo, hi, data, offsets in tokens.pieces(batch.column(0)):
+            for lo, hi, data, offsets in tokens.pieces(pa.array(map(_plain, batch.column(0).to_pylist()), pa.large_string())):
                 starts, ends, first = tokens.spans(data, offsets, tokens.ALNUM)
                 h = tokens.hashes(data, starts, ends)
                 slot = (h & low).astype(np.int64)
@@ -155,6 +169,22 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, total: in
     return counted.select("word", "entity", (mutual / information).alias("share")).where((information > 0) & (F.col("share") >= disclosure))
 
 
+def _places(batches):
+    """(row, terms): every occurrence of a document's wanted words outside the patterns' spans."""
+    for batch in batches:
+        terms = []
+        for text, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            share, out, at = {w["word"]: w["share"] for w in wanted}, [], 0
+            for lo, hi in [*sorted((a, b) for _, a, b in base_spans(text)), (len(text), len(text))]:
+                for m in _WORD.finditer(text, at, max(at, lo)):
+                    if (key := _key(m[0])) in share:
+                        out.append({"lo": m.start(), "hi": m.end(), "share": share[key]})
+                at = max(at, hi)
+            terms.append(out)
+        kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("share", pa.float64())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, kind)], ["row", "terms"])
+
+
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """One row for each row of docs: id, row (hash of id and text), n_email, n_ip, n_card, n_phone, base and terms.
 
@@ -163,14 +193,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are not read; an empty table gives an empty table.
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    kind = f"id {docs.schema[id_col].dataType.simpleString()}, row long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<kind:string,lo:int,hi:int>>, contexts array<struct<word:long,entity:long,context:long,lo:int,hi:int>>"
+    kind = f"id {docs.schema[id_col].dataType.simpleString()}, row long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<kind:string,lo:int,hi:int>>, contexts array<struct<word:long,entity:long,context:long,lo:int,hi:int>>, entities array<long>"
     found = cut(keyed.mapInArrow(_find, kind))
     terms = disclosing_terms(found, docs, text_col, found.count(), support, disclosure)
-    places = found.where(F.size("contexts") > 0).select("row", F.explode("contexts").alias("c")).select("row", "c.word", "c.entity", "c.lo", "c.hi")
-    spans = (
-        places.join(terms, ["word", "entity"]).groupBy("row", "lo", "hi").agg(F.max("share").alias("share"))
-        .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "share"))).alias("terms"))
-    )
+    held = found.where(F.size("entities") > 0).select("row", F.explode("entities").alias("entity")).distinct()
+    wanted = held.join(terms, "entity").groupBy("row", "word").agg(F.max("share").alias("share")).groupBy("row").agg(F.collect_list(F.struct("word", "share")).alias("wanted"))
+    texts = keyed.select("row", "text").join(wanted, "row").select("row", "text", "wanted")
+    spans = texts.mapInArrow(_places, "row long, terms array<struct<lo:int,hi:int,share:double>>").dropDuplicates(["row"])
     none = F.expr("cast(array() AS array<struct<lo:int,hi:int,share:double>>)")
     return found.join(spans, "row", "left").select(F.col("id").alias(id_col), "row", *(f"n_{k}" for k in KINDS), "base", F.coalesce("terms", none).alias("terms"))
 

@@ -162,6 +162,15 @@ def test_personal_data_base_and_disclosing_terms(spark):
     assert pii.sanitise(df).columns == df.columns and pii.personal_data(df.where("false")).count() == 0
 
 
+def test_disclosing_terms_of_any_script_go_from_the_whole_document(spark):
+    far = " ".join(f"gap{j}" for j in range(30))
+    rows = [(i, f"filler{i} Èrépa’s “Zebulon” wrote from zed@corp.example about matter {i} {far} ÈRÉPA and Zebulon") for i in range(6)] + [(40 + i, f"“about” filler{i} wrote from nothing {far}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert all(w not in clean[i].lower() for i in range(6) for w in ("èrépa", "zebulon"))
+    assert all(clean[i] == t for i, t in rows if i >= 40) and "wrote" in clean[0]
+
+
 def test_mixing_keeps_rows_and_deviates_less_than_a_block(spark, docs):
     out = mixing.mix(docs, block_rows=2)
     assert out.count() == docs.count() and out.select("mix_position").distinct().count() == docs.count()
