@@ -1,17 +1,23 @@
 """Language-model scores by online logistic context mixing (operator 4).
 
-A text is its words and one end. A word is coded byte by byte (a closing byte last), a byte by the bits of a prefix code, so a
-text's probability is a product over bits. Each bit is predicted from hashed contexts: the word so far with a class of the
-word before, the word so far, and the last three, two and one bytes. A context's slot holds counts of zeros and ones. The
-predictions, stretched to log-odds, are summed with weights chosen by a gate (how often the two longest contexts were seen), and
-the result is refined by an adaptive map from gate and prediction to what came true.
-
-1. Counts: every task adds up its learning documents' bits in tables of fixed size; tables are summed in a tree of at most
-   FAN partials a task. Every step of every learning document counts, so the sums do not depend on partitions.
-2. Gate weights and the refining map, 16 small regressions, are fitted on a bounded sample, the SAMPLE_DOCS learning documents
-   with the smallest hash, each seen as if it were not in the counts.
-3. Scoring: documents are dealt to blocks of about BLOCK_BYTES. A block works out each distinct word once. Its words meet
-   their corpus counts, for the unigram base, in one exchange by word. The last mixture adapts to each text as it goes.
+A text is its words and one end. A word is coded byte by byte (a closing byte last; the end is a word of no bytes), a byte by the
+bits of a prefix code, so a text's probability is a product over bits. Each bit is predicted from counts of zeros and ones in five
+contexts: the word so far with the class of the text so far, the word so far alone, and the class with the last four, three and
+two bytes. The predictions, stretched to log-odds, are summed with weights chosen by a gate (how often two contexts were seen),
+and the result is refined by an adaptive map from gate and prediction to what came true.
+
+1. Classes: pairs of letters of all learning documents give three principal axes and, along them, CLASSES centres. The class of
+   a text at a word is the centre nearest to what came before the word, so that it follows language and kind as the text goes.
+2. Vocabulary: the distinct (class, word) of all documents with their number in learning documents, in buckets by the words'
+   first bytes. What the bits need is worked out once for each of them, however often it occurs, and grows with the corpus.
+3. Counts: the contexts of short beginnings and of the last bytes are hashed into tables of fixed size, summed over buckets in a
+   tree. A longer word so far has all its words in one bucket, where its counts are exact.
+4. Weights move online: each bucket takes its learning bits in order and after every few of them the weights of their gates make
+   a Newton step; buckets are averaged by their curvature. A bit never sees its own occurrence in the counts.
+5. Scoring: texts are dealt to blocks, whose distinct (class, word) meet the vocabulary in one exchange there and one back. As a
+   text goes, its own history (words, and words after words) joins in; its share moves after every word with its success.
+
+All sums are over all learning documents and no step depends on how the table is split.
 """
 
 from __future__ import annotations
@@ -19,28 +25,32 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import cut, smallest
-
-BLOCK_BYTES = 8 << 20
-PIECE_BYTES = 2 << 20
-SAMPLE_DOCS = 800
-FAN = 64
-#: Slots of each context's table, as powers of two: class and word so far, word so far, last three bytes, last two.
-TABLES = (21, 21, 19, 17)
-CHUNK = 1 << 18
-GATES, STEPS = 16, 33
-#: Weights of the corpus share of a word, and of a text's own history at its longest.
-SHARE, WORD_HISTORY, PAIR_HISTORY = 0.5, 0.15, 0.3
-CLOSE, END = 0x20, 0x0A
+from .shared import cut
+
+BLOCK_BYTES, BUCKET_BYTES, PIECE_BYTES = 8 << 20, 16 << 20, 4 << 20
+PAIRS, AXES, CLASSES, CELLS = 128, 3, 8, 16
+#: Words are in a bucket by their first NEAR bytes, by their first FAR where more than HOT longer words begin alike.
+NEAR, FAR, HOT = 4, 12, 8_000_000
+PREFIX_BITS = 16
+#: Slots of the hashed tables, as powers of two: short word so far with the class, without, last four bytes, three, two.
+TABLES = (20, 19, 22, 21, 19)
+CHUNK, FAN = 1 << 18, 64
+GATES, STEPS, INPUTS, BATCH = 16, 33, len(TABLES) + 1, 1 << 16
+CLOSE = 0x20
+#: What a text's own history counts for before it has shown anything: words, words after words; and for how many words it holds.
+PRIOR = (0.02, 0.02, 40.0)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
+_LOW = np.uint64(15)
+_SIGN = np.uint64(1 << 63)
 
 
 def prefix_code(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,6 +79,166 @@ def prefix_code(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array([len(p) for p in paths]), nodes, bits
 
 
+# Classes of texts
+
+
+_BLANK = np.arange(256, dtype=np.uint8)
+_BLANK[~tokens.NOT_SPACE] = CLOSE
+_PAIR = (np.arange(256)[:, None] * 37 + np.arange(256)[None, :] * 101 + np.arange(256)[:, None] // 3) % PAIRS
+
+
+def _pairs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the pair of bytes at each place (the last has none), and whether it counts: two blanks do not."""
+    plain = _BLANK[data]
+    return _PAIR[plain[:-1], plain[1:]], (plain[:-1] != CLOSE) | (plain[1:] != CLOSE)
+
+
+def _text_pairs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each text's shares of pairs, one row a text; texts without any: zeros."""
+    docs = len(offsets) - 1
+    pair, ok = _pairs(data)
+    doc = np.repeat(np.arange(docs), np.diff(offsets))
+    ok &= doc[:-1] == doc[1:]
+    seen = np.bincount(doc[:-1][ok] * PAIRS + pair[ok], minlength=docs * PAIRS).reshape(docs, PAIRS)
+    return seen / np.maximum(seen.sum(axis=1, keepdims=True), 1)
+
+
+def _summed(rows: DataFrame, make, size: int) -> np.ndarray:
+    """The sum over all tasks of a vector of fixed size; make adds one batch's texts to it."""
+
+    def each(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            for _lo, _hi, data, offsets in tokens.pieces(batch.column(0), PIECE_BYTES):
+                make(total, data, offsets)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "v"])
+
+    out = np.zeros(size)
+    for r in rows.mapInArrow(each, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        out[r["at"]] = r["v"]
+    return out
+
+
+def _add_pairs(total: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
+    total[:256] += np.bincount(_BLANK[data], minlength=256)
+    if len(data) > 1:
+        x = _text_pairs(data, offsets)
+        total[256] += len(x)
+        total[257 : 257 + PAIRS] += x.sum(axis=0)
+        total[257 + PAIRS :] += (x.T @ x).ravel()
+
+
+def _axes(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each pair's place on the axes, spread of the texts on each axis)."""
+    n = max(total[256], 1.0)
+    mean = total[257 : 257 + PAIRS] / n
+    value, vector = np.linalg.eigh(total[257 + PAIRS :].reshape(PAIRS, PAIRS) / n - np.outer(mean, mean))
+    top = vector[:, ::-1][:, :AXES]
+    top = top * np.sign(top[np.abs(top).argmax(axis=0), np.arange(AXES)])
+    return np.round(top - mean @ top, 6), np.sqrt(np.maximum(value[::-1][:AXES], 1e-12))
+
+
+def _add_cells(places: np.ndarray, spread: np.ndarray):
+    """Counts of texts by cell along the axes, then of words by a hash of their first bytes."""
+
+    def make(total: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
+        if len(data) < 2:
+            return
+        cell = np.clip(np.floor((_text_pairs(data, offsets) @ places / spread + 3) * (CELLS / 6)), 0, CELLS - 1).astype(np.int64)
+        total[: CELLS**AXES] += np.bincount(cell @ (CELLS ** np.arange(AXES)), minlength=CELLS**AXES)
+        starts, ends, _ = tokens.spans(data, offsets)
+        longer = ends - starts > NEAR
+        total[CELLS**AXES :] += np.bincount(_prefix(data, starts[longer], ends[longer], NEAR) >> np.uint64(64 - PREFIX_BITS), minlength=1 << PREFIX_BITS)
+
+    return make
+
+
+def _centres(counts: np.ndarray) -> np.ndarray:
+    """CLASSES centres of the cells with their counts, in units of spread: seeds far apart and heavy, then weighted means."""
+    own = np.flatnonzero(counts)
+    at, n = np.stack([own // CELLS**a % CELLS for a in range(AXES)], axis=1) * (6 / CELLS) - 3 + 3 / CELLS, counts[own]
+    if not len(own):
+        return np.zeros((CLASSES, AXES))
+    gap = ((at - np.average(at, axis=0, weights=n)) ** 2).sum(axis=1)
+    seeds = []
+    for _ in range(CLASSES):
+        seeds.append(at[np.argmax(n * gap)])
+        gap = np.minimum(gap, ((at - seeds[-1]) ** 2).sum(axis=1)) if len(seeds) > 1 else ((at - seeds[-1]) ** 2).sum(axis=1)
+    centres = np.array(seeds)
+    for _ in range(30):
+        nearest = ((at[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        for k in range(CLASSES):
+            if (nearest == k).any():
+                centres[k] = np.average(at[nearest == k], axis=0, weights=n[nearest == k])
+    return np.round(centres, 6)
+
+
+@dataclass
+class Plan:
+    """What all tasks share: the byte code, pairs' places on the axes in whole numbers, the centres, hot beginnings, buckets."""
+
+    code: tuple
+    places: np.ndarray
+    centres: np.ndarray
+    hot: np.ndarray
+    buckets: int
+
+    def classes(self, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The class of the text before each start: 0 before anything was seen. Whole numbers, so sums are exact."""
+        pair, ok = _pairs(data) if len(data) > 1 else (np.zeros(0, np.int64), np.zeros(0, bool))
+        upto, from_ = np.maximum(starts - 1, offsets[doc]), offsets[doc]
+        sums = np.zeros((len(starts), AXES + 1))
+        for a in range(AXES + 1):
+            each = np.where(ok, self.places[pair, a], 0) if a < AXES else ok
+            cum = np.zeros(len(data) + 1, np.int64)
+            np.cumsum(each, out=cum[1 : len(each) + 1])
+            sums[:, a] = cum[upto] - cum[from_]
+        fit = sums[:, :AXES] @ self.centres.T - sums[:, AXES:] * ((self.centres**2).sum(axis=1) / 2)
+        return np.where(sums[:, AXES] > 0, 1 + fit.argmax(axis=1), 0).astype(np.uint64)
+
+    def near(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket of each word, how many bytes of it decide that)."""
+        short = _prefix(data, starts, ends, NEAR)
+        deep = self.hot[(short >> np.uint64(64 - PREFIX_BITS)).astype(np.int64)]
+        key = np.where(deep, _prefix(data, starts, ends, FAR), short) if deep.any() else short
+        return (tokens.mix64(key ^ _ODD) % np.uint64(self.buckets)).astype(np.int64), np.where(deep, FAR, NEAR)
+
+
+def _prefix(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the first bytes of each word."""
+    out = np.full(len(starts), 1, np.uint64)
+    for k in range(size):
+        at = starts + k
+        byte = np.where(at < ends, data[np.minimum(at, max(len(data) - 1, 0))] + np.uint64(1) if len(data) else np.uint64(0), np.uint64(0))
+        out = (out ^ byte) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return tokens.mix64(out)
+
+
+class Tokens:
+    """All tokens of some texts, each text's end after its words: key (hash of the word with the class in its low bits)."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, plan: Plan):
+        starts, ends, first = tokens.spans(data, offsets)
+        docs = len(offsets) - 1
+        self.first = first + np.arange(docs + 1)
+        doc = np.repeat(np.arange(docs), np.diff(first))
+        words = np.arange(len(starts)) + doc
+        n = len(starts) + docs
+        self.start, self.end, self.doc = np.empty(n, np.int64), np.empty(n, np.int64), np.repeat(np.arange(docs), np.diff(self.first))
+        last = self.first[1:] - 1
+        self.start[words], self.end[words] = starts, ends
+        self.start[last] = self.end[last] = offsets[1:]
+        hashed = np.zeros(n, np.uint64)
+        hashed[words] = tokens.hashes(data, starts, ends)
+        self.word = hashed & ~_LOW
+        # the end comes after the last word: blanks that follow it make no difference
+        before = self.start.copy()
+        before[last[np.diff(first) > 0]] = ends[first[1:][np.diff(first) > 0] - 1]
+        self.key = self.word | plan.classes(data, offsets, before, self.doc)
+
+
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first place of each distinct key, and each key's number."""
     of, found = pd.factorize(keys)
@@ -77,150 +247,142 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, of
 
 
-class Units:
-    """The distinct (class of the word before, word) of some texts, and the distinct steps from a word so far to a byte."""
+# Vocabulary
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        starts, ends, first = tokens.spans(data, offsets)
-        h = tokens.hashes(data, starts, ends)
-        docs = len(offsets) - 1
-        self.first, self.word = first, h
-        # each text's tokens, with its end (hash 0) after its words
-        at = np.arange(len(h)) + np.repeat(np.arange(docs), np.diff(first))
-        token = np.zeros(len(h) + docs, np.uint64)
-        token[at] = h
-        before = np.zeros(len(token), np.uint64)
-        before[1:] = token[:-1] >> np.uint64(62)
-        begin = first[:-1] + np.arange(docs)
-        before[begin] = 0
-        self.begin, self.stop = begin, first[1:] + np.arange(docs) + 1
-        place = np.full(len(token), -1, np.int64)
-        place[at] = np.arange(len(h))
-        key = (token & ~np.uint64(3)) | before
-        one, self.unit_of = _distinct(key)
-        self.count = np.bincount(self.unit_of, minlength=len(one))
-        self.pc = before[one]
-        source = place[one]
-        lo = np.where(source >= 0, starts[source] if len(starts) else 0, 0)
-        size = np.where(source >= 0, (ends[source] if len(ends) else 0) - lo, 0) + 1
+_UNITS = "bucket long, bytes binary, sizes binary, classes binary, counts binary"
+
+
+def _packed_units(bucket: int, parts: list[np.ndarray], sizes: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> list:
+    return [bucket, b"".join(parts), sizes.astype(np.int32).tobytes(), classes.astype(np.uint8).tobytes(), counts.astype(np.int64).tobytes()]
+
+
+def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of all spans, one after the other."""
+    edge = np.cumsum(sizes) - sizes
+    return data[np.repeat(starts - edge, sizes) + np.arange(int(sizes.sum()))]
+
+
+def _units(plan):
+    """Of each piece, the distinct (class, word) by bucket, with their number in learning documents."""
+
+    def make(batches):
+        for batch in batches:
+            learn = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            rows = []
+            for lo, hi, data, offsets in tokens.pieces(batch.column(0), PIECE_BYTES):
+                t = Tokens(data, offsets, plan.value)
+                one, of = _distinct(t.key)
+                n = np.bincount(of, learn[lo:hi][t.doc], len(one))
+                bucket, _ = plan.value.near(data, t.start[one], t.end[one])
+                order = np.argsort(bucket, kind="stable")
+                one, n, bucket = one[order], n[order], bucket[order]
+                sizes = t.end[one] - t.start[one]
+                edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    rows.append(_packed_units(int(bucket[a]), [_gathered(data, t.start[one[a:b]], sizes[a:b]).tobytes()], sizes[a:b], t.key[one[a:b]] & _LOW, n[a:b]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), *[pa.binary()] * 4], strict=True)], ["bucket", "bytes", "sizes", "classes", "counts"])
+
+    return make
+
+
+class Vocabulary:
+    """The units of one bucket."""
+
+    def __init__(self, table: pa.Table):
+        whole = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        self.data, self.sizes, self.classes, self.counts = whole("bytes", np.uint8), whole("sizes", np.int32).astype(np.int64), whole("classes", np.uint8), whole("counts", np.int64)
+        self.end = np.cumsum(self.sizes)
+        self.start = self.end - self.sizes
+        self.word = tokens.hashes(self.data, self.start, self.end) & ~_LOW
+        self.key = self.word | self.classes
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """One row of distinct units, in the order of their keys, and how many learning tokens and distinct learning words they are."""
+    v = Vocabulary(table)
+    one, of = _distinct(v.key)
+    counts = np.bincount(of, v.counts, len(one)).astype(np.int64)
+    order = np.argsort(v.key[one])
+    one, counts = one[order], counts[order]
+    row = _packed_units(table.column("bucket")[0].as_py(), [_gathered(v.data, v.start[one], v.sizes[one]).tobytes()], v.sizes[one], v.classes[one], counts)
+    known = len(np.unique(v.word[one][counts > 0]))
+    kinds = [pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64()]
+    return pa.table({n: pa.array([x], k) for n, x, k in zip(["bucket", "bytes", "sizes", "classes", "counts", "n", "v"], [*row, int(counts.sum()), known], kinds, strict=True)})
+
+
+# Bits
+
+
+class Steps:
+    """The distinct steps from a word so far, in a class, to its next byte, and their bits."""
+
+    def __init__(self, v: Vocabulary, plan: Plan):
+        _, near = plan.near(v.data, v.start, v.end)
+        size = v.sizes + 1
         self.edge = np.concatenate([[0], np.cumsum(size)])
         unit = np.repeat(np.arange(len(size)), size)
         within = np.arange(self.edge[-1]) - self.edge[unit]
-        last = within == size[unit] - 1
-        byte = np.where(last, 0, data[np.minimum(lo[unit] + within, max(len(data) - 1, 0))] if len(data) else 0).astype(np.uint8)
-        byte[last] = np.where(source >= 0, CLOSE, END)
-        self._steps(byte, unit, within)
-
-    def _steps(self, byte: np.ndarray, unit: np.ndarray, within: np.ndarray) -> None:
+        byte = np.full(len(unit), CLOSE, np.uint8)
+        inner = within < v.sizes[unit]
+        byte[inner] = v.data
         up, down = tokens._powers(len(byte) + 1)
         sums = np.zeros(len(byte) + 1, np.uint64)
         np.cumsum((byte.astype(np.uint64) + np.uint64(1)) * up[: len(byte)], out=sums[1:])
         begin = self.edge[unit]
         sofar = tokens.mix64((sums[:-1] - sums[begin]) * down[begin])
-        pc = self.pc[unit] * np.uint64(0x9E3779B97F4A7C15)
-        step = tokens.mix64(sofar ^ pc) + byte
-        one, self.step_of = _distinct(step)
-        self.seen = np.bincount(self.step_of, self.count[unit], len(one))
-        back = lambda k: np.where(within[one] >= k, byte[np.maximum(one - k, 0)], 0).astype(np.uint64)
-        b1, b2, b3 = back(1), back(2), back(3)
-        two = b1 | b2 << np.uint64(8)
-        self.byte = byte[one]
-        self.contexts = [
-            tokens.mix64(sofar[one] ^ pc[one]), sofar[one],
-            tokens.mix64(two | b3 << np.uint64(16) | np.uint64(1 << 30)),
-            tokens.mix64(two | np.uint64(1 << 31)),
-        ]
-
-    def events(self, code, only: int | None = None):
-        """For each bit of the steps' bytes: (steps that have it, the bit, its slot in each table or in that one)."""
-        which = range(len(TABLES)) if only is None else [only]
-        length, nodes, bits = code
+        kind = (v.classes[unit].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        one, self.of = _distinct(tokens.mix64(sofar ^ kind) + byte)
+        self.seen = np.bincount(self.of, v.counts[unit], len(one))
+        self.byte, self.deep = byte[one], (within >= near[unit])[one]
+        back = np.zeros(len(one), np.uint64)
+        recent = []
+        for k in range(1, 5):
+            back = back | np.where(within[one] >= k, byte[np.maximum(one - k, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0)) << np.uint64(9 * (k - 1))
+            recent.append(back)
+        self.contexts = [tokens.mix64(sofar[one] ^ kind[one]), sofar[one], *(tokens.mix64(recent[k - 1] ^ (kind[one] * np.uint64(k))) for k in (4, 3, 2))]
+        self.code = plan.code
+
+    def bits(self):
+        """For each bit of the bytes: (steps that have it, the bit, each context's own number of the node)."""
+        length, nodes, bits = self.code
         at = np.arange(len(self.byte))
         for k in range(nodes.shape[1]):
             at = at[length[self.byte[at]] > k]
             if not len(at):
                 return
             node = nodes[self.byte[at], k] * _ODD
-            yield at, bits[self.byte[at], k], [((self.contexts[i][at] ^ node) * _ODD) >> np.uint64(64 - TABLES[i]) for i in which]
-
-    def adapted(self, mixed: np.ndarray, share: np.ndarray, end_share: float) -> np.ndarray:
-        """Each text's log10 probability. mixed: the bit mixer's probability of each unit; share: each word's share of the
-        learning tokens. Token by token the text's own history joins in, with a weight that grows with it: how often the word
-        came before, and how often it came after the word before it. All parts are distributions, so their mixture is one.
-        """
-        docs = len(self.first) - 1
-        doc = np.repeat(np.arange(docs), np.diff(self.first))
-        spot = np.arange(len(self.word)) - self.first[doc]
-        salt = tokens.mix64(doc.astype(np.uint64) + np.uint64(1))
-        own = tokens.mix64(self.word ^ salt)
-        before = np.zeros(len(own), np.uint64)
-        before[1:] = own[:-1]
-        before[spot == 0] = 0
-        earlier = _earlier(own)
-        as_context, as_pair = _earlier(tokens.mix64(before ^ salt)), _earlier(tokens.mix64(own ^ (before * _ODD)))
-        start = (1 - SHARE) * mixed[self.unit_of]
-        token = start[np.arange(len(own)) + doc] + SHARE * share
-        near, far = _history(as_context), WORD_HISTORY * spot / (spot + 100.0)
-        word = (1 - near) * ((1 - far) * token + far * earlier / np.maximum(spot, 1)) + near * as_pair / np.maximum(as_context, 1)
-        logs = np.concatenate([[0.0], np.cumsum(np.log10(word))])
-        size = np.diff(self.first)
-        last = np.maximum(self.first[1:] - 1, 0)
-        after = np.where(size > 0, earlier[last] if len(earlier) else 0, 0)
-        closing = (start[self.stop - 1] + SHARE * end_share) * (1 - _history(after)) * (1 - WORD_HISTORY * size / (size + 100.0))
-        return logs[self.first[1:]] - logs[self.first[:-1]] + np.log10(closing)
-
-
-def _earlier(keys: np.ndarray) -> np.ndarray:
-    """How often each key came earlier."""
-    of, _ = pd.factorize(keys)
-    order = np.argsort(of, kind="stable")
-    ordered = of[order]
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = ordered[1:] != ordered[:-1]
-    begin = np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))
-    out = np.empty(len(keys), np.float64)
-    out[order] = np.arange(len(keys)) - begin
-    return out
+            yield at, bits[self.byte[at], k], [(c[at] ^ node) * _ODD for c in self.contexts]
 
 
-def _history(seen: np.ndarray) -> np.ndarray:
-    return PAIR_HISTORY * seen / (seen + 2.0)
+def _slot(key: np.ndarray, table: int) -> np.ndarray:
+    return (tokens.mix64(key) >> np.uint64(64 - TABLES[table])).astype(np.int64)
 
 
-def _joined(batches, column: int):
-    """Batches as pieces of about PIECE_BYTES."""
-    for batch in batches:
-        yield from tokens.pieces(batch.column(column), PIECE_BYTES)
-
-
-def _count(code):
+def _count(plan):
     def make(batches):
-        tables, count = [np.zeros(2 << t, np.float32) for t in TABLES], 0
-        for _lo, _hi, data, offsets in _joined(batches, 0):
-            units = Units(data, offsets)
-            count += len(units.unit_of)
-            for i, table in enumerate(tables):  # one table's slots at a time
-                slots, seen = [np.zeros(0, np.int64)], [np.zeros(0)]
-                for at, bit, (place,) in units.events(code, only=i):
-                    slots.append((place.astype(np.int64) << 1) + bit)
-                    seen.append(units.seen[at])
-                slots, seen = np.concatenate(slots), np.concatenate(seen)
-                table += np.bincount(slots, seen, len(table)).astype(np.float32)
-            del units
-        yield from _chunks([*tables, np.array([count], np.float32)])
+        tables = [np.zeros(2 << t) for t in TABLES]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                steps = Steps(Vocabulary(pa.Table.from_batches([batch.slice(i, 1)])), plan.value)
+                for at, bit, keys in steps.bits():
+                    for k, table in enumerate(tables):
+                        on = ~steps.deep[at] & (steps.seen[at] > 0) if k < 2 else steps.seen[at] > 0
+                        np.add.at(table, (_slot(keys[k][on], k) << 1) + bit[on], steps.seen[at][on])
+        yield from _chunks(tables)
 
     return make
 
 
 def _packed(at: np.ndarray, n: np.ndarray) -> bytes:
     """Ascending places and their counts, compressed."""
-    return zlib.compress(np.diff(at, prepend=0).astype(np.int32).tobytes() + n.astype(np.float32).tobytes(), 1)
+    return zlib.compress(np.diff(at, prepend=0).astype(np.int32).tobytes() + n.astype(np.int64).tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zlib.decompress(data)
-    half = len(raw) // 2
-    return np.cumsum(np.frombuffer(raw[:half], np.int32), dtype=np.int64), np.frombuffer(raw[half:], np.float32)
+    third = len(raw) // 3
+    return np.cumsum(np.frombuffer(raw[:third], np.int32), dtype=np.int64), np.frombuffer(raw[third:], np.int64)
 
 
 def _chunks(tables: list[np.ndarray]):
@@ -233,7 +395,7 @@ def _chunks(tables: list[np.ndarray]):
 
 
 def _add(table: pa.Table) -> pa.Table:
-    total = np.zeros(CHUNK, np.float64)
+    total = np.zeros(CHUNK, np.int64)
     for counts in table.column("counts"):
         at, n = _unpacked(counts.as_py())
         total[at] += n
@@ -241,225 +403,306 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"which": table.column("which")[:1], "lo": table.column("lo")[:1], "part": table.column("part")[:1], "counts": pa.array([_packed(at, total[at])], pa.binary())})
 
 
-def count_tables(learning: DataFrame, code) -> tuple[list[np.ndarray], float]:
-    """The counts of every bit of every text in the one column of learning, in tables of fixed size (a byte for
-    eight times the base-2 logarithm of one more than the count), and the number of tokens."""
-    kind = "which int, lo int, counts binary"
-    parts = learning.rdd.getNumPartitions()
-    sums = learning.mapInArrow(_count(code), kind).withColumn("part", F.spark_partition_id())
+def count_tables(vocabulary: DataFrame, plan) -> list[np.ndarray]:
+    """The counts of every bit of every learning token in tables of fixed size, a byte for eight times the base-2 logarithm of
+    one more than the count."""
+    parts = vocabulary.rdd.getNumPartitions()
+    sums = vocabulary.mapInArrow(_count(plan), "which int, lo int, counts binary").withColumn("part", F.spark_partition_id())
     while True:
         sums = sums.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("which", "lo", "part").applyInArrow(_add, "which int, lo int, part int, counts binary")
         parts = -(-parts // FAN)
         if parts <= 1:
             break
-    tables = [*(np.zeros(2 << t, np.float32) for t in TABLES), np.zeros(1, np.float32)]
-    for r in sums.collect():
+    tables = [np.zeros(2 << t, np.uint8) for t in TABLES]
+    for r in sums.toLocalIterator():
         at, n = _unpacked(r["counts"])
-        tables[r["which"]][r["lo"] + at] = n
-    return [np.rint(8 * np.log2(1 + t)).astype(np.uint8) for t in tables[:-1]], float(tables[-1][0])
-
-
-_COUNT = (2 ** (np.arange(256) / 8) - 1).astype(np.float32)
+        tables[r["which"]][r["lo"] + at] = np.rint(8 * np.log2(1.0 + n))
+    return tables
 
 
-#: The stretched prediction, and the step of how often it was seen, for each pair of coded counts (zeros, then ones).
-_STRETCH = np.log((_COUNT[None, :] + 0.4) / (_COUNT[:, None] + 0.4)).astype(np.float32).T.ravel()
-_BOTH = _COUNT[None, :] + _COUNT[:, None]
-_SEEN = ((_BOTH >= 1).astype(np.int8) + (_BOTH >= 8) + (_BOTH >= 256)).astype(np.int8).ravel()
+_COUNT = 2 ** (np.arange(256) / 8) - 1
 
 
-def _inputs(tables, places, bit=None):
-    """Stretched predictions (and a constant) and the gate of each event. bit: leave this one occurrence out of the counts."""
-    x = np.empty((len(places), len(places[0])), np.float32)
-    gate = np.zeros(x.shape[1], np.int8)
-    for i, (table, place) in enumerate(zip(tables, places, strict=True)):
-        pair = table.view("<u2")[place.astype(np.int64)]  # ones in the high byte
-        if bit is None:
-            x[i] = _STRETCH[pair]
-            seen = _SEEN[pair] if i < 2 else None
-        else:
-            zeros, ones = _COUNT[pair & 255], _COUNT[pair >> 8]
-            zeros, ones = np.maximum(zeros - (bit == 0), 0), np.maximum(ones - (bit == 1), 0)
-            x[i] = np.log((ones + 0.4) / (zeros + 0.4))
-            n = zeros + ones
-            seen = (n >= 1).astype(np.int8) + (n >= 8) + (n >= 256)
+def _inputs(steps: Steps, tables: list[np.ndarray], at: np.ndarray, bit: np.ndarray, keys: list, own: bool):
+    """Stretched predictions with a constant, and the gate, of each bit. own: leave one occurrence of the bit out of the counts."""
+    x, gate = np.empty((INPUTS, len(at)), np.float32), np.zeros(len(at), np.int64)
+    deep, n = steps.deep[at], steps.seen[at]
+    for i, table in enumerate(tables):
+        pair = table.view("<u2")[_slot(keys[i], i)]  # ones in the high byte
+        zeros, ones = _COUNT[pair & 255], _COUNT[pair >> 8]
         if i < 2:
-            gate += seen * np.int8(4 if i == 0 else 1)
+            of, _ = pd.factorize(keys[i])
+            one, all_ = np.bincount(of, n * bit), np.bincount(of, n)
+            zeros, ones = np.where(deep, (all_ - one)[of], zeros), np.where(deep, one[of], ones)
+        if own:
+            zeros, ones = np.maximum(zeros - (bit == 0), 0), np.maximum(ones - (bit == 1), 0)
+        x[i] = np.log((ones + 0.4) / (zeros + 0.4))
+        if i in (0, 2):
+            both = zeros + ones
+            gate += ((both >= 0.9).astype(np.int64) + (both >= 4) + (both >= 64)) * (4 if i == 0 else 1)
+    x[-1] = 0.3
     return x, gate
 
 
 class Mixer:
+    """Weights of the inputs by gate, and the refining map."""
+
     def __init__(self, weights: np.ndarray, refined: np.ndarray):
-        self.weights, self.refined = weights.astype(np.float32), refined.astype(np.float32)
+        self.weights, self.refined = weights, refined
 
     @staticmethod
     def steps(z: np.ndarray) -> np.ndarray:
         return np.rint((np.clip(z, -8, 8) + 8) * ((STEPS - 1) / 16)).astype(np.int64)
 
-    def ones(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """The probability of a one."""
-        z = 0.3 * self.weights[gate, -1]
+    def odds(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        z = np.zeros(len(gate))
         for i, row in enumerate(x):
             z += row * self.weights[gate, i]
-        np.clip(z, -18, 18, out=z)
-        p = 0.5 * (1 / (1 + np.exp(-z)) + self.refined[gate, self.steps(z)])
-        return np.clip(p, 1e-7, 1 - 1e-7)
+        return np.clip(z, -18, 18)
+
+    def ones(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """The probability of a one."""
+        z = self.odds(x, gate)
+        return np.clip(0.5 * (1 / (1 + np.exp(-z)) + self.refined[gate, self.steps(z)]), 1e-7, 1 - 1e-7)
+
+
+FIRST = 0.3
+_MIDDLE = 1 / (1 + np.exp(-(np.arange(STEPS) * 16 / (STEPS - 1) - 8)))
+
 
+def _online(plan, tables):
+    """Rows (at, v) of each bucket: by gate the curvature and the curvature times the weights, then what came true by gate and step."""
 
-def fit_mixer(x: np.ndarray, gate: np.ndarray, bit: np.ndarray, seen: np.ndarray, rounds: int = 6) -> Mixer:
-    """For each gate a weighted logistic regression, held near equal weights; then what came true for each step of odds."""
-    width = len(TABLES) + 1
-    weights = np.full((GATES, width), 0.35)
-    refined = np.zeros((GATES, STEPS))
-    for g in range(GATES):
+    def make(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                v = Vocabulary(pa.Table.from_batches([batch.slice(i, 1)]))
+                if not v.counts.any():
+                    continue
+                steps = Steps(v, plan.value)
+                mixer = Mixer(np.full((GATES, INPUTS), FIRST), None)
+                curve, true = np.tile(4.0 * np.eye(INPUTS), (GATES, 1, 1)), np.zeros((2, GATES, STEPS))
+                for at, bit, keys in steps.bits():
+                    x, gate = _inputs(steps, tables.value, at, bit, keys, own=True)
+                    weight = steps.seen[at]
+                    for lo in range(0, len(at), BATCH):
+                        part = slice(lo, lo + BATCH)
+                        _update(mixer.weights, curve, true, mixer.odds(x[:, part], gate[part]), x[:, part], gate[part], bit[part], weight[part])
+                extra = curve - 4.0 * np.eye(INPUTS)
+                out = np.concatenate([extra.ravel(), np.einsum("gij,gj->gi", extra, mixer.weights).ravel(), true.ravel()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], ["at", "v"])
+
+    return make
+
+
+def _update(weights, curve, true, z, x, gate, bit, weight) -> None:
+    """One online step of each gate's weights, by the bits just predicted."""
+    p = 1 / (1 + np.exp(-z))
+    slot = gate * STEPS + Mixer.steps(z)
+    true[0] += np.bincount(slot, weight * bit, GATES * STEPS).reshape(GATES, STEPS)
+    true[1] += np.bincount(slot, weight, GATES * STEPS).reshape(GATES, STEPS)
+    error, slope = weight * (p - bit), weight * np.maximum(p * (1 - p), 1e-3)
+    for g in np.unique(gate):
         own = gate == g
-        a = np.concatenate([x[:, own], np.full((1, int(own.sum())), 0.3)]).T.astype(np.float64)
-        y, c = bit[own].astype(np.float64), seen[own]
-        w = weights[g].copy()
-        for _ in range(rounds if len(a) else 0):
-            p = 1 / (1 + np.exp(-np.clip(a @ w, -18, 18)))
-            slope = a.T @ (c * (p - y)) + 2.0 * (w - 0.35)
-            curve = (a * (c * np.maximum(p * (1 - p), 1e-3))[:, None]).T @ a + 2.0 * np.eye(width)
-            w = w - np.linalg.solve(curve, slope)
-        weights[g] = np.clip(w, -4, 4)
-        middle = 1 / (1 + np.exp(-(np.arange(STEPS) * 16 / (STEPS - 1) - 8)))
-        at = Mixer.steps(a @ weights[g])
-        refined[g] = (np.bincount(at, c * y, STEPS) + 30 * middle) / (np.bincount(at, c, STEPS) + 30)
-    return Mixer(weights, refined)
-
-
-def _sample_events(code, shared):
+        a = x[:, own].astype(np.float64)
+        curve[g] += (a * slope[own]) @ a.T
+        weights[g] = np.clip(weights[g] - np.linalg.solve(curve[g], a @ error[own]), -2, 4)
+
+
+def fit_mixer(vocabulary: DataFrame, plan, tables) -> Mixer:
+    size = GATES * INPUTS * INPUTS
+    total = np.zeros(size + GATES * INPUTS + 2 * GATES * STEPS)
+    for r in vocabulary.mapInArrow(_online(plan, tables), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        total[r["at"]] = r["v"]
+    curve, pull = total[:size].reshape(GATES, INPUTS, INPUTS), total[size : size + GATES * INPUTS].reshape(GATES, INPUTS)
+    weights = np.stack([np.linalg.solve(curve[g] + 4.0 * np.eye(INPUTS), pull[g] + 4.0 * FIRST) for g in range(GATES)])
+    true = total[size + GATES * INPUTS :].reshape(2, GATES, STEPS)
+    return Mixer(np.round(weights, 6), np.round((true[0] + 30 * _MIDDLE) / (true[1] + 30), 9))
+
+
+def _judge(plan, tables, mixer):
+    """(bucket, keys, totals, logs): each unit's natural logarithm of probability, and its word's number of learning tokens."""
+
     def make(batches):
-        xs, gates, bits, seen = [], [], [], []
-        for _lo, _hi, data, offsets in _joined(batches, 0):
-            units = Units(data, offsets)
-            for at, bit, places in units.events(code):
-                x, gate = _inputs(shared.value, places, bit)
-                xs.append(x)
-                gates.append(gate)
-                bits.append(bit)
-                seen.append(units.seen[at])
-        if xs:
-            mixer = fit_mixer(np.concatenate(xs, axis=1), np.concatenate(gates), np.concatenate(bits), np.concatenate(seen))
-        else:
-            mixer = fit_mixer(np.zeros((len(TABLES), 0)), np.zeros(0, int), np.zeros(0), np.zeros(0))
-        yield pa.RecordBatch.from_arrays([pa.array([mixer.weights.astype(np.float64).tobytes()], pa.binary()), pa.array([mixer.refined.astype(np.float64).tobytes()], pa.binary())], ["weights", "refined"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                v = Vocabulary(pa.Table.from_batches([batch.slice(i, 1)]))
+                steps = Steps(v, plan.value)
+                logs = np.zeros(len(steps.byte))
+                for at, bit, keys in steps.bits():
+                    p = mixer.ones(*_inputs(steps, tables.value, at, bit, keys, own=False))
+                    logs[at] += np.log(np.where(bit == 1, p, 1 - p))
+                cum = np.concatenate([[0.0], np.cumsum(logs[steps.of])])
+                unit = (cum[steps.edge[1:]] - cum[steps.edge[:-1]]).astype(np.float32)
+                _, of = np.unique(v.word, return_inverse=True)
+                total = np.bincount(of, v.counts)[of].astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("bucket").slice(i, 1), *(pa.array([x.tobytes()], pa.binary()) for x in (v.key, total, unit))], ["bucket", "keys", "totals", "logs"]
+                )
 
     return make
 
 
-def _block_words(batches):
-    """(block, word, n): each block's distinct words and their number in learning documents."""
-    held = np.uint64(1 << 63)
-    open_block, texts, learn = None, [], []
-
-    def flush():
-        words, n = [], []
-        for lo, hi, data, offsets in tokens.pieces(pa.array(texts, pa.large_string())):
-            starts, ends, first = tokens.spans(data, offsets)
-            words.append(tokens.hashes(data, starts, ends))
-            n.append(np.repeat(np.array(learn[lo:hi], np.int64), np.diff(first)))
-            words.append(np.zeros(1, np.uint64))  # the end of each text
-            n.append(np.array([sum(learn[lo:hi])], np.int64))
-        word, of = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(of, np.concatenate(n), len(word)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(word), open_block, np.int64)), pa.array((word ^ held).view(np.int64)), pa.array(total)], ["block", "word", "n"])
-
-    for batch in batches:
-        for block, text, learns in zip(*(batch.column(c).to_pylist() for c in ("block", "text", "learn")), strict=True):
-            if block != open_block and texts:
-                yield flush()
-                texts, learn = [], []
-            open_block = block
-            texts.append(text or "")
-            learn.append(int(learns))
-    if texts:
-        yield flush()
-
-
-def _score(code, shared, mixer, all_tokens: float):
-    held = np.uint64(1 << 63)
-
-    def make(docs: pa.Table, words: pa.Table) -> pa.Table:
-        known = words.column("word").to_numpy().view(np.uint64) ^ held
-        order = np.argsort(known)
-        known, total = known[order], words.column("total").to_numpy()[order]
-        fresh = int(np.asarray(words.column("first").to_numpy(zero_copy_only=False), bool).sum())
-        n_tokens, n_known, base, score, size = ([] for _ in range(5))
+# Texts
+
+
+def _block_keys(data_of, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a block's texts and their buckets, by bucket, then key."""
+    keys, buckets = [], []
+    for _lo, _hi, data, offsets in data_of:
+        t = Tokens(data, offsets, plan)
+        one, _ = _distinct(t.key)
+        keys.append(t.key[one])
+        buckets.append(plan.near(data, t.start[one], t.end[one])[0])
+    key, one = np.unique(np.concatenate(keys), return_index=True)
+    bucket = np.concatenate(buckets)[one]
+    order = np.argsort(bucket, kind="stable")
+    return key[order], bucket[order]
+
+
+def _asked(plan):
+    """(bucket, block, keys): what each block asks each bucket."""
+
+    def flush(block: int, texts: list):
+        key, bucket = _block_keys(tokens.pieces(pa.array(texts, pa.large_string()), PIECE_BYTES), plan.value)
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        cuts = list(zip(edges[:-1], edges[1:], strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket[edges[:-1]]), pa.array(np.full(len(cuts), block, np.int64)), pa.array([key[a:b].tobytes() for a, b in cuts], pa.binary())], ["bucket", "block", "keys"]
+        )
+
+    def make(batches):
+        open_block, texts = None, []
+        for batch in batches:
+            for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if block != open_block and texts:
+                    yield flush(open_block, texts)
+                    texts = []
+                open_block = block
+                texts.append(text)
+        if texts:
+            yield flush(open_block, texts)
+
+    return make
+
+
+def _answered(asked: pa.Table, judged: pa.Table) -> pa.Table:
+    """(block, bucket, totals, logs) for the keys of each block, in their order."""
+    key, total, log = (np.frombuffer(b"".join(judged.column(n).to_pylist()), k) for n, k in (("keys", np.uint64), ("totals", np.int64), ("logs", np.float32)))
+    totals, logs = [], []
+    for keys in asked.column("keys"):
+        at = np.searchsorted(key, np.frombuffer(keys.as_py(), np.uint64))
+        totals.append(total[at].tobytes())
+        logs.append(log[at].tobytes())
+    return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "totals": pa.array(totals, pa.binary()), "logs": pa.array(logs, pa.binary())})
+
+
+def _earlier(keys: np.ndarray) -> np.ndarray:
+    """How often each key came earlier."""
+    of, _ = pd.factorize(keys)
+    order = np.argsort(of, kind="stable")
+    ordered = of[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    begin = np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))
+    out = np.empty(len(keys), np.float64)
+    out[order] = np.arange(len(keys)) - begin
+    return out
+
+
+def _with_history(t: Tokens, mixed: np.ndarray) -> np.ndarray:
+    """The probability of each token: the bits' (mixed), the share of the word in the text so far, and its share of what came
+    after the same word, by weights that are the mean success of each so far. All three are distributions over words, so that
+    their mixture is one."""
+    spot = np.arange(len(t.word)) - t.first[:-1][t.doc]
+    salt = tokens.mix64(t.doc.astype(np.uint64) + np.uint64(1))
+    before = np.zeros(len(t.word), np.uint64)
+    before[1:] = t.word[:-1]
+    before[spot == 0] = 1
+    word = _earlier(tokens.mix64(t.word ^ salt)) / np.maximum(spot, 1)
+    context, pair = _earlier(tokens.mix64(before ^ salt)), _earlier(tokens.mix64(tokens.mix64(t.word ^ salt) ^ (before * _ODD)))
+    parts = np.stack([mixed, word, np.where(context > 0, pair / np.maximum(context, 1), mixed)])
+    share = np.stack([parts[0] * (1 - PRIOR[0] - PRIOR[1]), parts[1] * 0.3, np.where(context > 0, parts[2] * 0.3, 0)])
+    share = share / share.sum(axis=0)
+    weight = np.empty_like(share)
+    for k in (1, 2):
+        cum = np.concatenate([[0.0], np.cumsum(share[k])])
+        weight[k] = (cum[:-1] - cum[t.first[:-1]][t.doc] + PRIOR[k - 1] * PRIOR[2]) / (spot + PRIOR[2])
+    weight[1][spot == 0] = 0
+    weight[0] = 1 - weight[1] - weight[2]
+    return (weight * parts).sum(axis=0)
+
+
+def _score(plan):
+    def make(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = docs.column("text").combine_chunks()
+        keys, _ = _block_keys(tokens.pieces(texts, PIECE_BYTES), plan.value)
+        answers = answers.sort_by("bucket")
+        total, log = (np.frombuffer(b"".join(answers.column(n).to_pylist()), k) for n, k in (("totals", np.int64), ("logs", np.float32)))
+        order = np.argsort(keys)
+        keys, total, log = keys[order], total[order], log[order]
+        n_tokens, n_known, base, score, size = ([] for _ in range(5))
         for _lo, _hi, data, offsets in tokens.pieces(texts, PIECE_BYTES):
-            units = Units(data, offsets)
-            bits = np.zeros(len(units.byte))
-            for at, bit, places in units.events(code):
-                p = mixer.ones(*_inputs(shared.value, places))
-                bits[at] += np.log(np.where(bit == 1, p, 1 - p))
-            steps = np.concatenate([[0.0], np.cumsum(bits[units.step_of])])
-            c = total[np.searchsorted(known, units.word)].astype(np.float64) if len(units.word) else np.zeros(0)
-            ends = float(total[0]) if len(known) and known[0] == 0 else 0.0
-            score.append(units.adapted(np.exp(steps[units.edge[1:]] - steps[units.edge[:-1]]), c / all_tokens, ends / all_tokens))
-            part = lambda v, units=units: np.diff(np.concatenate([[0.0], np.cumsum(v)])[units.first])
-            n_tokens.append(np.diff(units.first) + 1)
+            t = Tokens(data, offsets, plan.value)
+            at = np.searchsorted(keys, t.key)
+            c = total[at].astype(np.float64)
+            part = lambda v, t=t: np.add.reduceat(v, t.first[:-1])
+            n_tokens.append(np.diff(t.first))
+            n_known.append(part((c > 0).astype(np.int64)))
+            base.append(part(np.log10(c + 0.5)))
+            score.append(part(np.log10(_with_history(t, np.exp(log[at].astype(np.float64))))))
             size.append(np.diff(offsets) + 1)
-            n_known.append(part((c > 0).astype(np.float64)) + (ends > 0))
-            base.append(part(np.log10(c + 0.5)) + math.log10(ends + 0.5))
-        new = np.zeros(len(texts), np.int64)
-        new[0] = fresh
         whole = lambda x, kind: pa.array(np.concatenate(x), kind)
         return pa.table(
             {
-                "id": docs.column("id"), "held_out": docs.column("held_out"),
-                "n_tokens": whole(n_tokens, pa.int64()), "n_known": pa.array(np.rint(np.concatenate(n_known)).astype(np.int64)),
-                "logs": whole(base, pa.float64()), "score": whole(score, pa.float64()), "n_bytes": whole(size, pa.int64()), "new_words": pa.array(new),
+                "id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": whole(n_tokens, pa.int64()), "n_known": whole(n_known, pa.int64()),
+                "logs": whole(base, pa.float64()), "score": whole(score, pa.float64()), "n_bytes": whole(size, pa.int64()),
             }
         )
 
     return make
 
 
-def language_scores(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def make_plan(learning: DataFrame, total_bytes: int) -> Plan:
+    """learning: the texts to learn from, in one column. Two sums over all of them."""
+    sums = _summed(learning, _add_pairs, 257 + PAIRS + PAIRS * PAIRS)
+    places, spread = _axes(sums)
+    cells = _summed(learning, _add_cells(places, spread), CELLS**AXES + (1 << PREFIX_BITS))
+    scaled = np.rint(places / spread * 4096).astype(np.int64)
+    hot = cells[CELLS**AXES :] > HOT
+    return Plan(prefix_code(sums[:256]), np.concatenate([scaled, np.ones((PAIRS, 1), np.int64)], axis=1), _centres(cells[: CELLS**AXES]) * 4096, hot, max(1, -(-total_bytes // BUCKET_BYTES)))
+
+
+def language_scores(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     held_out: a condition on the id; such documents are not learned from. Null text counts as empty: its end alone. A null id
-    is learned from. Repeated rows count each time. Extra columns are not read; an empty table gives no rows.
+    is learned from. Repeated rows count each time and get the same answer. Extra columns are not read; an empty table gives no
+    rows.
     """
     spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     held_out = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    learning = rows.where(~F.col("held_out"))
-    sample = smallest(learning.select("id", "text"), sample_docs, "id").select("text")
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    code = prefix_code(_byte_counts(sample))
-    tables, all_tokens = count_tables(learning.select("text"), code)
-    shared = spark.sparkContext.broadcast(tables)
-    found = sample.coalesce(1).mapInArrow(_sample_events(code, shared), "weights binary, refined binary").first()
-    mixer = Mixer(np.frombuffer(found["weights"]).reshape(GATES, -1), np.frombuffer(found["refined"]).reshape(GATES, STEPS)) if found else fit_mixer(np.zeros((len(TABLES), 0)), np.zeros(0, int), np.zeros(0), np.zeros(0))
+    plan = share(make_plan(rows.where(~F.col("held_out")).select("text"), size))
+    units = rows.select("text", (~F.col("held_out")).alias("learn")).mapInArrow(_units(plan), _UNITS)
+    vocabulary = cut(units.groupBy("bucket").applyInArrow(_merge, f"{_UNITS}, n long, v long"))
+    sums = vocabulary.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    n, v = sums["n"] or 0, sums["v"] or 0
+    tables = share(count_tables(vocabulary, plan))
+    mixer = fit_mixer(vocabulary, plan, tables)
+    judged = vocabulary.mapInArrow(_judge(plan, tables, mixer), "bucket long, keys binary, totals binary, logs binary")
 
     blocks = max(1, -(-size // BLOCK_BYTES))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).withColumn("learn", ~F.col("held_out")).repartition("block")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition("block")
     # the same columns as the texts' side of the cogroup, so that one exchange of the texts serves both
-    words = dealt.sortWithinPartitions("block").mapInArrow(_block_words, "block long, word long, n long")
-    same = Window.partitionBy("word")
-    counted = words.withColumn("total", F.sum("n").over(same)).withColumn("least", F.min("block").over(same))
-    counted = counted.select("block", "word", "total", ((F.col("block") == F.col("least")) & (F.col("total") > 0)).alias("first"))
-    kind = f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long, new_words long"
-    scored = cut(dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_score(code, shared, mixer, max(all_tokens, 1.0)), kind))
-    sums = scored.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))).alias("n"), F.sum("new_words").alias("v")).first()
-    n, v = sums["n"] or 0, sums["v"] or 0
+    asked = dealt.sortWithinPartitions("block").mapInArrow(_asked(plan), "bucket long, block long, keys binary")
+    answers = asked.groupBy("bucket").cogroup(judged.groupBy("bucket")).applyInArrow(_answered, "block long, bucket long, totals binary, logs binary")
+    kind = f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long"
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(plan), kind)
     base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(n + 0.5 * (v + 1)))
     return scored.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
         (-F.col("score") * F.lit(math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
-
-
-def _byte_counts(sample: DataFrame) -> np.ndarray:
-    def make(batches):
-        total = np.zeros(256, np.int64)
-        for _lo, _hi, data, _offsets in _joined(batches, 0):
-            total += np.bincount(data, minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["n"])
-
-    total = np.zeros(256, np.int64)
-    for r in sample.mapInArrow(make, "n binary").collect():
-        total += np.frombuffer(r["n"], np.int64)
-    return total

@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,14 +140,33 @@ def test_language_base_is_exact_and_score_is_a_probability(docs, rows):
     assert mixing_lm.language_scores(docs.where("false")).count() == 0
 
 
-def test_language_counts_hold_every_step_whatever_the_partitions(spark):
-    texts = spark.createDataFrame([(f"rare{i} common word",) for i in range(64)] + [("rare3 again",)], "text string")
-    code = mixing_lm.prefix_code(mixing_lm._byte_counts(texts))
-    whole, n = mixing_lm.count_tables(texts.coalesce(1), code)
-    parts, m = mixing_lm.count_tables(texts.repartition(16), code)
-    assert n == m == 64 * 4 + 3 and all((a == b).all() for a, b in zip(whole, parts, strict=True))
-    seen = [float(mixing_lm._COUNT[table].sum()) for table in parts]  # coded counts are within 5 in 100
-    assert 0 < max(seen) < 1.05 * min(seen)
+def test_language_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(4)
+    syllables = [["tion", "ing", "the", "ou", "st"], ["keit", "sch", "ein", "ver", "ung"]]
+    texts = [" ".join("".join(rng.choices(syllables[i % 2], k=rng.randint(1, 3))) for _ in range(40)) for i in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(7, texts[7])], "doc_id long, text string")
+    held = F.col("doc_id") % 4 == 1
+    one = {r["doc_id"]: r for r in mixing_lm.language_scores(df.coalesce(1), held_out=held).collect()}
+    many = mixing_lm.language_scores(df.repartition(16), held_out=held).collect()
+    assert len(many) == 201 and all(math.isclose(r["score"], one[r["doc_id"]]["score"], rel_tol=1e-6) and r["base_score"] == one[r["doc_id"]]["base_score"] for r in many)
+    out = [r for r in one.values() if r["held_out"]]
+    assert len(out) == 50 and sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+
+
+def test_bits_of_all_words_are_a_distribution(spark):
+    """Over all words of up to two letters, from few learning texts, the probabilities sum to less than one, and bits are proper."""
+    rng = np.random.default_rng(0)
+    mixer = mixing_lm.Mixer(rng.normal(0.3, 0.2, (mixing_lm.GATES, mixing_lm.INPUTS)), rng.uniform(0.01, 0.99, (mixing_lm.GATES, mixing_lm.STEPS)))
+    plan = mixing_lm.make_plan(spark.createDataFrame([("a ab b ab abba",)], "text string"), 10)
+    shared = type("Shared", (), {"value": plan})()
+    words = [b"a", b"b", b"ab", b"", b"ba"] + [bytes([x]) for x in range(33, 256) if x not in (97, 98)]
+    lens, n = np.array([len(w) for w in words]), np.array([3, 2, 5, 1, 0] + [0] * (len(words) - 5))
+    row = mixing_lm._packed_units(0, [b"".join(words)], lens, np.zeros(len(words)), n)
+    batch = pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, [pa.int64(), *[pa.binary()] * 4], strict=True)], ["bucket", "bytes", "sizes", "classes", "counts"])
+    tables = type("Shared", (), {"value": [np.zeros(2 << t, np.uint8) for t in mixing_lm.TABLES]})()
+    (judged,) = mixing_lm._judge(shared, tables, mixer)([batch])
+    p = np.exp(np.frombuffer(judged.column("logs")[0].as_py(), np.float32).astype(float))
+    assert len(p) == len(words) and (p > 0).all() and p.sum() <= 1 + 1e-6
 
 
 def test_personal_data_base_and_disclosing_terms(spark):
