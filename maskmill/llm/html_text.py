@@ -1,13 +1,14 @@
 """Main text of web pages by a tree-structured graphical model (operator 10).
 
 Every element and every run of text of a page is a node that is content or not. A node's own potential comes from its features
-(tag, names in class and id, length and links of its text); a potential on each edge says how child and parent go together,
-for each kind of child. The tree has no loops, so one pass of sum-product messages upwards and one downwards give exact
-marginals. Text whose marginal is over one half is the result.
-
-The potentials are counts from labelled pages: pages that mark their article (article, main), of which a bounded sample is
-taken, the SAMPLE_PAGES with the smallest hash. Pseudo-counts stand in for what those pages may not hold: names such as
-sidebar, cookie or comment.
+(tag, names in class, id and role, length and links of its text, place in a marked article); a potential on each edge says how
+child and parent go together, for each kind of child. The tree has no loops, so one pass of sum-product messages upwards and one
+downwards give exact marginals. Text whose marginal is over one half is the result.
+
+All potentials are counts from labelled pages: pages that mark their article (article, main), of which a bounded sample is taken,
+the SAMPLE_PAGES with the smallest hash. Labels come from the marks and from sectioning elements in them, not from names; what a
+marked article holds below a name such as comments is not labelled. Names count by what they were seen on: single names, and
+the families HINTS_AGAINST and HINTS_FOR, which start with PRIOR counts for names that the sample may not hold.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import html
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 from .shared import smallest
 
 SAMPLE_PAGES = 2_000
-SLOTS = 4096
+SLOTS = 1 << 16
+#: How many labelled nodes the starting counts are worth.
+PRIOR = 200.0
 
 # Element names of HTML, by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,13 +42,19 @@ MARKED = frozenset("article main".split())
 APART = frozenset("nav header footer aside form menu dialog".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 P_ENDS = BLOCK - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dt", "dd"}
+NOT_P = BLOCK - {"p"}
+LISTS = frozenset("ul ol dl table tbody thead tfoot select".split())
 HINTS_AGAINST = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|nav\w*|menu|breadcrumbs?|foot\w*|head(?:er)?|masthead|cookies?|consent|notice|popup|modal|overlay|alert|comment\w*|repl(?:y|ies)|disqus|respond|share|social|related|recommend\w*|newsletter|subscribe|subscription|signup|login|search|widget|pagination|pager|tags|toolbar|skip\w*)(?:$|[-_ \d])"
 )
 HINTS_FOR = re.compile(r"(?:^|[-_ ])(?:article\w*|content|post|entry|story|main|body|text|hentry)(?:$|[-_ \d])")
+#: Elements that hold a part of a page; names of other elements (a paragraph, a heading) say less.
+PARTS = frozenset("div section article aside header footer nav form ul ol dl table details dialog figure fieldset menu span".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]{0,2000}\"|'[^']{0,2000}')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: A name that says how a page is laid out, not what the element is.
+_LAYOUT = re.compile(r"^(?:no|not|has|have|with|without|is|js)[-_]")
 
 TEXT = "#text"
 
@@ -54,7 +64,7 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.names, self.text = [-1], ["#page"], [""], [""]
-        self._stack = [0]
+        self._stack, self._opened = [0], Counter()
         at, end = 0, len(source)
         while at < end:
             m = _TOKEN.search(source, at)
@@ -92,19 +102,23 @@ class Page:
 
     def _open(self, tag: str, rest: str) -> None:
         if tag in P_ENDS:
-            self._close("p", {"p"}, BLOCK - {"p"})
+            self._close("p", NOT_P)
         if tag in CLOSED_BY:
             for other in CLOSED_BY[tag]:
-                self._close(other, {other}, {"ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select"})
+                self._close(other, LISTS)
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(rest)).lower() if "=" in rest else ""
         node = self._node(tag, names, "")
         if tag not in VOID and not rest.endswith("/"):
             self._stack.append(node)
+            self._opened[tag] += 1
 
-    def _close(self, tag: str, _only: set | None = None, fence: frozenset | set = frozenset()) -> None:
+    def _close(self, tag: str, fence: frozenset | set = frozenset()) -> None:
         for i in range(len(self._stack) - 1, 0, -1):
+            if not self._opened[tag]:
+                return
             name = self.tag[self._stack[i]]
             if name == tag:
+                self._opened.subtract(self.tag[n] for n in self._stack[i:])
                 del self._stack[i:]
                 return
             if name in fence:
@@ -115,18 +129,37 @@ def _slot(feature: str) -> int:
     return zlib.crc32(feature.encode()) % SLOTS
 
 
-def _kind(tag: str, against: bool, within: bool) -> int:
-    """The kind of an edge, by its child: 0 text or inline, 1 block, 2 set apart by its tag or names, 3 marked as article, 4
-    anything within a part set apart."""
-    if within:
-        return 4
-    if against or tag in APART:
-        return 2
-    return 3 if tag in MARKED else 1 if tag in BLOCK else 0
+def _roles(names: str) -> list[str]:
+    return [x for x in names.split() if not _LAYOUT.match(x)]
+
+
+def _places(page: Page) -> list[str]:
+    """Where each node is: 'in' a marked article, in one but 'apart', 'out' of it, or on a page that marks 'none'. Articles below
+    a part that is named as something else count as apart if another is not."""
+    n = len(page.tag)
+    if MARKED.isdisjoint(page.tag):
+        return ["none"] * n
+    own = [page.tag[i] in APART or (page.tag[i] in PARTS and any(HINTS_AGAINST.search(x) for x in _roles(page.names[i]))) for i in range(n)]
+    below = own[:]
+    for i in range(1, n):
+        below[i] = own[i] or below[page.parent[i]]
+    free = any(page.tag[i] in MARKED and not below[i] for i in range(n))
+    out = ["out"] * n
+    for i in range(1, n):
+        around = out[page.parent[i]]
+        if around == "in":
+            out[i] = "apart" if own[i] else "in"
+        elif around == "out" and page.tag[i] in MARKED:
+            out[i] = "apart" if own[i] or (free and below[i]) else "in"
+        else:
+            out[i] = around
+    return out
 
 
 def describe(page: Page) -> tuple[list[list[int]], list[int]]:
-    """Each node's feature slots, and the kind of the edge to its parent."""
+    """Each node's feature slots, and the kind of the edge to its parent, by the child: 0 text or inline, 1 block, 2 set apart by
+    its tag or names, 3 marked as article, 4 a block below a part set apart. Text and inline elements have no features of length
+    and links of their own: they go with their block."""
     n = len(page.tag)
     words, linked, in_link = [0] * n, [0] * n, [False] * n
     for i in range(n):
@@ -138,52 +171,65 @@ def describe(page: Page) -> tuple[list[list[int]], list[int]]:
             linked[i] = words[i] if in_link[i] else 0
         words[page.parent[i]] += words[i]
         linked[page.parent[i]] += linked[i]
-    features, kinds = [], []
-    apart, inside = [False] * n, [False] * n
-    marked = not MARKED.isdisjoint(page.tag)
-    for i in range(n):
-        tag, names, p = page.tag[i], page.names[i], page.parent[i]
-        against = bool(names) and tag not in MARKED and HINTS_AGAINST.search(names) is not None
-        within = p >= 0 and apart[p]
-        apart[i] = within or against or tag in APART
-        inside[i] = not apart[i] and (tag in MARKED or (p >= 0 and inside[p]))
-        own = [_slot(f"tag {tag}"), _slot(f"words {min(words[i].bit_length(), 6)} {tag == TEXT}"), _slot(f"links {4 * linked[i] // max(words[i], 1)} {tag == TEXT}")]
+    features, kinds, below = [], [], [False] * n
+    for i, place in enumerate(_places(page)):
+        tag, roles, p = page.tag[i], _roles(page.names[i]), page.parent[i]
+        against, own = any(HINTS_AGAINST.search(x) for x in roles), [f"name {x}" for x in sorted(set(roles))]
+        if tag in BLOCK or i == 0:
+            own += [f"tag {tag} {(4 * linked[i] + 1) // max(words[i], 1)}", f"words {min(words[i].bit_length(), 6)}"]
+        if place != "none":
+            own.append(f"place {place}")
         if against:
-            own.append(_slot("names against"))
-        elif names and HINTS_FOR.search(names):
-            own.append(_slot("names for"))
-        if marked:
-            own.append(_slot(f"marked {inside[i]}"))
-        features.append(own)
-        kinds.append(_kind(tag, against, within))
+            own.append(f"names against {tag in PARTS}")
+        elif any(HINTS_FOR.search(x) for x in roles):
+            own.append("names for")
+        features.append([_slot(x) for x in own])
+        apart, inside = tag in APART or (against and tag in PARTS), p >= 0 and below[p]
+        below[i] = tag not in MARKED and (apart or inside)
+        kinds.append(2 if apart else 3 if tag in MARKED else 0 if tag not in BLOCK else 4 if inside else 1)
     return features, kinds
 
 
 def marked_labels(page: Page) -> list[int] | None:
-    """1 for the nodes of the marked article, but for parts set apart in it; None if the page marks none."""
-    if not MARKED.intersection(page.tag):
+    """1 for the nodes of the marked article, but for sectioning elements set apart in it, -1 for what is not labelled: parts that
+    are apart by name. None if the page marks none."""
+    if MARKED.isdisjoint(page.tag):
         return None
-    inside, apart, out = [False] * len(page.tag), [False] * len(page.tag), [0] * len(page.tag)
-    for i, tag in enumerate(page.tag):
+    out, apart = [0] * len(page.tag), [False] * len(page.tag)
+    for i, place in enumerate(_places(page)):
         p = page.parent[i]
-        against = bool(page.names[i]) and HINTS_AGAINST.search(page.names[i]) is not None and tag not in MARKED
-        inside[i] = tag in MARKED or (p >= 0 and inside[p])
-        apart[i] = tag in APART or tag in HIDDEN or against or (p >= 0 and apart[p])
-        out[i] = int(inside[i] and not apart[i])
+        apart[i] = page.tag[i] in APART or page.tag[i] in HIDDEN or (p >= 0 and apart[p])
+        out[i] = 0 if place == "out" or apart[i] else 1 if place == "in" else -1
     return out
 
 
-class Model:
-    """Log-ratios of features (slot), and edge potentials [kind][parent][child]."""
+#: Starting counts of features and edges ([parent][child] of each kind), as parts of PRIOR.
+_FEATURES = {
+    "names against True": (1, 0), "names against False": (0.5, 0.3), "names for": (0, 1), "tag p 0": (0.1, 1), "tag article 0": (0, 1), "tag main 0": (0, 1),
+    "place in": (0, 1), "place apart": (1, 0), "place out": (1, 0), **{f"tag {t} {k}": (1, 0) for t in sorted(APART) for k in range(5)},
+}
+_EDGES = np.array([[[1, 0.02], [0.02, 1]], [[0.6, 0.2], [0.05, 1]], [[1, 0.02], [1, 0.05]], [[0.05, 1], [0.05, 1]], [[1, 0.002], [0.02, 1]]])
+KINDS = len(_EDGES)
 
-    def __init__(self, features: np.ndarray, edges: np.ndarray):
-        seen = features + 0.5
-        total = features.sum(axis=0) + 0.5 * SLOTS
-        enough = features.sum(axis=1) >= 3
-        ratio = np.log(seen[:, 1] / total[1]) - np.log(seen[:, 0] / total[0])
-        self.ratio = np.where(enough, np.clip(ratio, -6, 6), 0.0).tolist()
-        p = (edges + 1.0) / (edges + 1.0).sum(axis=2, keepdims=True)
-        self.edge = p.tolist()
+
+class Model:
+    """Log-ratios of features (slot), and edge potentials [kind][parent][child], from counts of labelled nodes."""
+
+    def __init__(self, features: np.ndarray | None = None, edges: np.ndarray | None = None):
+        features = np.zeros((SLOTS, 2)) if features is None else features.copy()
+        edges = np.zeros((KINDS, 2, 2)) if edges is None else edges
+        total = features[[_slot(f"words {k}") for k in range(7)]].sum(axis=0) + PRIOR
+        seen = features.sum(axis=1)
+        for name, start in _FEATURES.items():
+            features[_slot(name)] += PRIOR * np.array(start)
+            seen[_slot(name)] += PRIOR
+        share = (features + 0.5) / (total + 1)
+        most = np.full(SLOTS, 5.0)  # features of one block depend on each other: length says least, then the tag
+        most[[_slot(f"words {k}") for k in range(7)]] = 1.0
+        most[[_slot(f"tag {t} {k}") for t in sorted(BLOCK - APART - MARKED) for k in range(5)]] = 3.0
+        self.ratio = np.where(seen >= 3, np.clip(np.log(share[:, 1]) - np.log(share[:, 0]), -most, most), 0.0).tolist()
+        p = edges + PRIOR * _EDGES
+        self.edge = (p / p.sum(axis=2, keepdims=True)).tolist()
 
     def marginals(self, page: Page) -> list[float]:
         """Log-odds that each node is content, by sum-product over the tree."""
@@ -227,7 +273,7 @@ def main_text(source: str | None, model: Model) -> str:
 
 
 def _counts(batches):
-    features, edges = np.zeros((SLOTS, 2)), np.zeros((5, 2, 2))
+    features, edges = np.zeros((SLOTS, 2)), np.zeros((KINDS, 2, 2))
     for batch in batches:
         for source in batch.column(0).to_pylist():
             page = Page(source or "")
@@ -236,7 +282,9 @@ def _counts(batches):
                 continue
             own, kinds = describe(page)
             for i, y in enumerate(labels):
-                if i:
+                if y < 0:
+                    continue
+                if i and labels[page.parent[i]] >= 0:
                     edges[kinds[i], labels[page.parent[i]], y] += 1
                 for s in own[i]:
                     features[s, y] += 1
@@ -244,21 +292,13 @@ def _counts(batches):
 
 
 def fit(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> Model:
-    """Potentials from at most sample_pages pages that mark their article. No such page: the pseudo-counts alone."""
+    """Potentials from at most sample_pages pages that mark their article. No such page: the starting counts alone."""
     marked = pages.where(F.col(html_col).rlike(r"(?i)<(article|main)[\s>]")).select(F.col(html_col).alias("html"))
     sample = smallest(marked, sample_pages, "html")
-    features, edges = np.zeros((SLOTS, 2)), np.zeros((5, 2, 2))
+    features, edges = np.zeros((SLOTS, 2)), np.zeros((KINDS, 2, 2))
     for r in sample.repartition(8).mapInArrow(_counts, "features binary, edges binary").collect():
         features += np.frombuffer(r["features"]).reshape(SLOTS, 2)
-        edges += np.frombuffer(r["edges"]).reshape(5, 2, 2)
-    much = max(features.sum() / 100, 20.0)
-    for feature, label in (("names against", 0), ("names for", 1), ("tag p", 1), ("tag article", 1), ("tag main", 1), *((f"tag {t}", 0) for t in APART)):
-        features[_slot(feature), label] += much
-    edges[0] += [[40, 1], [1, 40]]
-    edges[1] += [[12, 4], [1, 20]]
-    edges[2] = [[1e12, 1], [1e12, 1]]
-    edges[4] += [[1e12, 1], [1, 1e12]]
-    edges[3] += [[1, 40], [1, 40]]
+        edges += np.frombuffer(r["edges"]).reshape(KINDS, 2, 2)
     return Model(features, edges)
 
 

@@ -1,6 +1,12 @@
 """Pages, urls, vectors and the pipeline."""
 
+import itertools
+import math
+import time
+
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from maskmill.llm import ann, html_text, queries, url_filter
@@ -18,6 +24,54 @@ def test_main_text(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+def _model(sources):
+    (row,) = html_text._counts([pa.RecordBatch.from_arrays([pa.array(sources)], ["html"])])
+    shape = lambda i, *n: np.frombuffer(row.column(i)[0].as_py()).reshape(n)
+    return html_text.Model(shape(0, html_text.SLOTS, 2), shape(1, html_text.KINDS, 2, 2))
+
+
+def test_layout_names_and_names_of_paragraphs_keep_the_article():
+    model = _model([ARTICLE.format(i) for i in range(50)])
+    article = "<article><h1>Head</h1><p class='alert'>Note this.</p><p>Some text.</p><ul><li>one <a href=x>two</a></li></ul></article>"
+    want = "Head Note this. Some text. one two"
+    for before, after in (("<body class='single-post has-sidebar'>", "</body>"), ("<div class='page no-sidebar'>", "</div>"), ("<div class='search'>", "</div>"), ("<body class='left-sidebar'><nav>m</nav>", "<div id='comments'><article class='comment'>first!</article></div>")):
+        assert html_text.main_text(before + article + after, model) == want
+    assert html_text.main_text("<article><p>Some text.</p><div class='share'>Share</div><div class='cookie-notice'><p>We use them.</p></div><section id='comments'><p>nice one</p></section></article>", model) == "Some text."
+
+
+def test_training_and_messages_change_the_result():
+    """Pages of one site name their parts oddly; some mark the article. Others, held out, do not."""
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(12))
+    page = lambda k, tag: f"<body><div class='qz7'><p>{words(k)}</p><p>{words(k + 1)}</p></div><{tag} class='kx3'><p>{words(k + 2)}</p><div>Short {k}</div></{tag}><div class='qz7'><p>{words(k + 3)}</p></div></body>"
+    held_out = [page(100 + k, "div") for k in range(20)]
+    want = [f"{words(102 + k)} Short {100 + k}" for k in range(20)]
+    trained, untrained = _model([page(k, "article") for k in range(80)]), html_text.Model()
+    right = lambda model: sum(html_text.main_text(h, model) == w for h, w in zip(held_out, want, strict=True))
+    assert right(trained) == 20 and right(untrained) == 0
+    alone = _model([page(k, "article") for k in range(80)])
+    alone.edge = np.full((html_text.KINDS, 2, 2), 0.5).tolist()
+    assert right(alone) < 20
+
+
+def test_marginals_are_those_of_all_labellings():
+    model = _model([ARTICLE.format(i) for i in range(20)])
+    page = html_text.Page("<body><div class='content'><p>a b<b>c</b></p></div><div class='ad'>d</div></body>")
+    features, kinds = html_text.describe(page)
+    n, weight = len(kinds), np.zeros((len(kinds), 2))
+    for y in itertools.product((0, 1), repeat=n):
+        p = math.exp(sum(model.ratio[s] for i in range(n) if y[i] for s in features[i])) * math.prod(model.edge[kinds[i]][y[page.parent[i]]][y[i]] for i in range(1, n))
+        for i in range(n):
+            weight[i, y[i]] += p
+    assert np.allclose(model.marginals(page), np.log(weight[:, 1] / weight[:, 0]), atol=1e-6)
+
+
+@pytest.mark.parametrize("odd", ["<a b=\"'>", "<div>", "<div>x</p>", "<p", "<a href='x", "<!", "<b><p>"])
+def test_odd_long_pages_take_linear_time(odd):
+    began = time.time()
+    html_text.main_text(odd * 20_000, html_text.Model())
+    assert time.time() - began < 10
+
+
 def test_url_rules_match_plain_rules(spark):
     hosts, paths = ["example.com", "www.example.com", "a.www.example.com", "xexample.com", "example.net", "COM", "com.evil", ""], ["", "/", "/en/", "/en", "/es/x", "/fr/?a=/en/", "/EN/", "#/en/"]
     urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "no scheme", "a://b://c/"]
