@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 from . import tokens
 from .shared import cut
 
-BLOCK_BYTES, BUCKET_BYTES, PIECE_BYTES = 8 << 20, 16 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES, PIECE_BYTES, MERGED = 8 << 20, 8 << 20, 1 << 20, 6
 PAIRS, AXES, CLASSES, CELLS = 128, 3, 8, 16
 #: Words are in a bucket by their first NEAR bytes, by their first FAR where more than HOT longer words begin alike.
 NEAR, FAR, HOT = 4, 12, 8_000_000
 PREFIX_BITS = 16
 #: Slots of the hashed tables, as powers of two: short word so far with the class, without, last four bytes, three, two.
-TABLES = (20, 19, 22, 21, 19)
+TABLES = (19, 18, 21, 20, 18)
 CHUNK, FAN = 1 << 18, 64
 GATES, STEPS, INPUTS, BATCH = 16, 33, len(TABLES) + 1, 1 << 16
 CLOSE = 0x20
@@ -252,8 +252,8 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _UNITS = "bucket long, bytes binary, sizes binary, classes binary, counts binary"
 
 
-def _packed_units(bucket: int, parts: list[np.ndarray], sizes: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> list:
-    return [bucket, b"".join(parts), sizes.astype(np.int32).tobytes(), classes.astype(np.uint8).tobytes(), counts.astype(np.int64).tobytes()]
+def _packed_units(bucket: int, data: np.ndarray, sizes: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> list:
+    return [bucket, data.tobytes(), sizes.astype(np.int32).tobytes(), classes.astype(np.uint8).tobytes(), counts.astype(np.int64).tobytes()]
 
 
 def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -263,25 +263,35 @@ def _gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 
 
 def _units(plan):
-    """Of each piece, the distinct (class, word) by bucket, with their number in learning documents."""
+    """Of each MERGED pieces, the distinct (class, word) by bucket, with their number in learning documents."""
+
+    def flush(held: list) -> pa.RecordBatch:
+        data, sizes, key, bucket, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        one, of = _distinct(key)
+        n = np.bincount(of, n, len(one))
+        order = np.argsort(bucket[one], kind="stable")
+        one, n = one[order], n[order]
+        start, bucket = (np.cumsum(sizes) - sizes)[one], bucket[one]
+        sizes, key = sizes[one], key[one]
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        rows = [_packed_units(int(bucket[a]), _gathered(data, start[a:b], sizes[a:b]), sizes[a:b], key[a:b] & _LOW, n[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        kinds = [pa.int64(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "bytes", "sizes", "classes", "counts"])
 
     def make(batches):
+        held: list = []
         for batch in batches:
             learn = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-            rows = []
             for lo, hi, data, offsets in tokens.pieces(batch.column(0), PIECE_BYTES):
                 t = Tokens(data, offsets, plan.value)
                 one, of = _distinct(t.key)
-                n = np.bincount(of, learn[lo:hi][t.doc], len(one))
-                bucket, _ = plan.value.near(data, t.start[one], t.end[one])
-                order = np.argsort(bucket, kind="stable")
-                one, n, bucket = one[order], n[order], bucket[order]
                 sizes = t.end[one] - t.start[one]
-                edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    rows.append(_packed_units(int(bucket[a]), [_gathered(data, t.start[one[a:b]], sizes[a:b]).tobytes()], sizes[a:b], t.key[one[a:b]] & _LOW, n[a:b]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), *[pa.binary()] * 4], strict=True)], ["bucket", "bytes", "sizes", "classes", "counts"])
+                held.append((_gathered(data, t.start[one], sizes), sizes, t.key[one], plan.value.near(data, t.start[one], t.end[one])[0], np.bincount(of, learn[lo:hi][t.doc], len(one))))
+                if len(held) == MERGED:
+                    yield flush(held)
+                    held = []
+        if held:
+            yield flush(held)
 
     return make
 
@@ -305,7 +315,7 @@ def _merge(table: pa.Table) -> pa.Table:
     counts = np.bincount(of, v.counts, len(one)).astype(np.int64)
     order = np.argsort(v.key[one])
     one, counts = one[order], counts[order]
-    row = _packed_units(table.column("bucket")[0].as_py(), [_gathered(v.data, v.start[one], v.sizes[one]).tobytes()], v.sizes[one], v.classes[one], counts)
+    row = _packed_units(table.column("bucket")[0].as_py(), _gathered(v.data, v.start[one], v.sizes[one]), v.sizes[one], v.classes[one], counts)
     known = len(np.unique(v.word[one][counts > 0]))
     kinds = [pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64()]
     return pa.table({n: pa.array([x], k) for n, x, k in zip(["bucket", "bytes", "sizes", "classes", "counts", "n", "v"], [*row, int(counts.sum()), known], kinds, strict=True)})
@@ -361,14 +371,14 @@ def _slot(key: np.ndarray, table: int) -> np.ndarray:
 
 def _count(plan):
     def make(batches):
-        tables = [np.zeros(2 << t) for t in TABLES]
+        tables = [np.zeros(2 << t, np.int64) for t in TABLES]
         for batch in batches:
             for i in range(batch.num_rows):
                 steps = Steps(Vocabulary(pa.Table.from_batches([batch.slice(i, 1)])), plan.value)
                 for at, bit, keys in steps.bits():
                     for k, table in enumerate(tables):
                         on = ~steps.deep[at] & (steps.seen[at] > 0) if k < 2 else steps.seen[at] > 0
-                        np.add.at(table, (_slot(keys[k][on], k) << 1) + bit[on], steps.seen[at][on])
+                        np.add.at(table, (_slot(keys[k][on], k) << 1) + bit[on], steps.seen[at][on].astype(np.int64))
         yield from _chunks(tables)
 
     return make

@@ -90,6 +90,56 @@ def test_variants_around_the_threshold_match_all_pairs(spark):
     assert [r["component_id"] for r in near_dedup.near_duplicates(df, words=4).orderBy("doc_id").collect()] == top
 
 
+def _components(texts: list[list[str]], size: int) -> list[int]:
+    """The smallest index reachable by pairs of at least 0.8, by an inverted index over shingles."""
+    sets, by, top = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in texts], {}, list(range(len(texts)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, own in enumerate(sets):
+        common = Counter(j for g in own for j in by.get(g, ()))
+        for j, c in common.items():
+            if 100 * c >= 80 * (len(own) + len(sets[j]) - c):
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+        for g in own:
+            by.setdefault(g, []).append(i)
+    return [root(i) for i in range(len(texts))]
+
+
+def _changed(rng, words, many, tag):
+    out = list(words)
+    for at in rng.sample(range(len(out)), many):
+        out[at] = f"{tag}x{at}"
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_families_near_the_threshold_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    texts = []
+    for f in range(40):
+        base = [f"f{f}w{i}" for i in range(240)]
+        texts += [_changed(rng, base, rng.randint(3, 7), f"v{v}") for v in range(25)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert [r["component_id"] for r in near_dedup.near_duplicates(df, words=4).orderBy("doc_id").collect()] == _components(texts, 4)
+
+
+def test_pairs_inside_a_large_region_of_unlike_texts(spark):
+    """Two thousand texts share half of their words, so regions are larger than a piece; a tenth of them have a near copy."""
+    rng = random.Random(5)
+    shared, texts = [f"common{i}" for i in range(60)], []
+    for f in range(2000):
+        base = shared + [f"f{f}w{i}" for i in range(45)]
+        texts += [base] + ([_changed(rng, base, 2, "v")] if f % 10 == 0 else [])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert [r["component_id"] for r in near_dedup.near_duplicates(df, words=4).orderBy("doc_id").collect()] == _components(texts, 4)
+
+
 @pytest.mark.parametrize("block_chars", [1 << 20, 60])
 def test_contamination_matches_brute_force(spark, docs, rows, block_chars):
     items = [("b", rows[3][1]), ("a", "x y " + " ".join(rows[4][1].split()[2:])), ("c", "one TWO"), ("d", None), ("e", ""), (None, "lazy dogs"), ("a", "one two")]
@@ -161,7 +211,7 @@ def test_bits_of_all_words_are_a_distribution(spark):
     shared = type("Shared", (), {"value": plan})()
     words = [b"a", b"b", b"ab", b"", b"ba"] + [bytes([x]) for x in range(33, 256) if x not in (97, 98)]
     lens, n = np.array([len(w) for w in words]), np.array([3, 2, 5, 1, 0] + [0] * (len(words) - 5))
-    row = mixing_lm._packed_units(0, [b"".join(words)], lens, np.zeros(len(words)), n)
+    row = mixing_lm._packed_units(0, np.frombuffer(b"".join(words), np.uint8), lens, np.zeros(len(words)), n)
     batch = pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, [pa.int64(), *[pa.binary()] * 4], strict=True)], ["bucket", "bytes", "sizes", "classes", "counts"])
     tables = type("Shared", (), {"value": [np.zeros(2 << t, np.uint8) for t in mixing_lm.TABLES]})()
     (judged,) = mixing_lm._judge(shared, tables, mixer)([batch])
