@@ -1,22 +1,22 @@
 """Near-duplicate groups by a MinHash LSH forest (operator 9).
 
-1. Each document's set of word shingles gives a size, a 128-bit hash of the whole set, and min-hashes. Equal sets are
-   one class from here on, however many copies it has.
+1. Each document's set of word shingles gives a size, a 64-bit hash of the whole set, and min-hashes. Equal sets are one
+   class from here on, however many copies it has.
 2. Every tree of the forest sorts all classes by its own rotation of the signature. A region is a run of classes that
    share the first values (the shallowest depth). A region too large for one look is cut along the sorted order, so its
-   pieces share longer prefixes: the depth adapts to the region, and range partitioning splits it over tasks.
+   pieces share longer prefixes: the depth adapts to the region, and range partitioning splits it over tasks. Its classes
+   are sorted again by TURNS other rotations below the shared values, so that a pair cut apart in one order meets in another.
 3. In a piece, estimates from the whole sketch give a spanning forest of the most similar pairs and a link of each class
    to a leader, at most two candidates a class.
 4. Candidates of all trees, each once, are confirmed on the full sets. Their components are the parts of the second round,
    in which every pair of a piece that is likely, in different parts and not yet looked at is confirmed too: a pair that
    shares a piece is left out only if its estimate falls short. Components come from the links of both rounds.
-
-The rows of a region of more than PIECE classes that fall in different pieces are not compared in that tree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from . import tokens
 from .shared import connected_components, cut, slots
 
-TREES, DEPTH, PIECE = 20, 3, 512
+TREES, DEPTH, PIECE, TURNS = 20, 3, 512, 8
 HASHES = TREES * DEPTH
+SALTS = 32
 _rng = np.random.default_rng(9)
 _MULT = (_rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -41,9 +42,8 @@ def _sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, tokens.shingles(hashed[first[i] : first[i + 1]], words)
 
 
-def _set_key(found: np.ndarray) -> tuple[int, int]:
-    other = tokens.mix64(found ^ np.uint64(0x5851F42D4C957F2D))
-    return int(found.sum(dtype=np.uint64).astype(np.int64)), int(other.sum(dtype=np.uint64).astype(np.int64))
+def _set_key(found: np.ndarray) -> int:
+    return int(tokens.mix64(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
 
 
 def _signature(found: np.ndarray) -> bytes:
@@ -55,40 +55,58 @@ def _signature(found: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(id, n_shingles, key, check, sig) of every row: key and check identify the set; all but n_shingles null if it is empty."""
+    """(id, n_shingles, key, sig) of every row: key identifies the set; key and sig are null if it is empty."""
 
     def make(batches):
         for batch in batches:
-            rows: list = [(0, None, None, None)] * batch.num_rows
+            rows: list = [(0, None, None)] * batch.num_rows
             for i, found in _sets(batch.column(1), words):
                 if len(found):
-                    rows[i] = (len(found), *_set_key(found), _signature(found))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())],
-                ["id", "n_shingles", "key", "check", "sig"],
-            )
+                    rows[i] = (len(found), _set_key(found), _signature(found))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["id", "n_shingles", "key", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(make, f"id {kind}, n_shingles long, key long, check long, sig binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(make, f"id {kind}, n_shingles long, key long, sig binary")
+
+
+OWN = 4 * DEPTH + 1  # bytes of an order that name the region
 
 
 def _forest(batches):
-    """Rows (tree, order, key and the columns after sig): order is the tree's own values in full, then one byte of each other value, in turn."""
+    """Rows (tree, order, key and the columns after sig): order is the tree's own values in full and the turn (0), then one byte of
+    each other value, in turn."""
     for batch in batches:
         keys = batch.column(0)
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, HASHES, 4)
         for tree in range(TREES):
             own = sig[:, tree * DEPTH : (tree + 1) * DEPTH].reshape(len(sig), -1)
-            turned = np.roll(sig[:, :, 3], -tree * DEPTH, axis=1)
-            order = np.ascontiguousarray(np.concatenate([own, turned], axis=1))
-            width = order.shape[1]
+            turned = np.roll(sig[:, :, 3], -(tree + 1) * DEPTH, axis=1)
+            order = np.concatenate([own, np.zeros((len(sig), 1), np.uint8), turned], axis=1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(sig), tree, np.int32)), pa.array([order[i].tobytes() for i in range(len(sig))], pa.binary(width)).cast(pa.binary()), keys, *batch.columns[2:]],
+                [pa.array(np.full(len(sig), tree, np.int32)), _binary(order), keys, *batch.columns[2:]],
                 ["tree", "order", "key", *batch.schema.names[2:]],
             )
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    rows = np.ascontiguousarray(rows)
+    edges = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(edges), pa.py_buffer(rows)])
+
+
+def _turns(batches):
+    """The rows of large regions once more for each further turn of what comes below the region's values."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        order = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        for turn in range(1, TURNS):
+            rest = np.roll(order[:, OWN:], -turn * (HASHES - DEPTH) // TURNS, axis=1)
+            made = np.concatenate([order[:, : OWN - 1], np.full((len(order), 1), turn, np.uint8), rest], axis=1)
+            yield batch.set_column(1, "order", _binary(made))
+
+
 def _likely(bytes_: np.ndarray, least: int) -> np.ndarray:
     """How many values of the sketch agree for each pair of a piece; 0 below least."""
     same = np.zeros((len(bytes_), len(bytes_)), np.int16)
@@ -125,21 +143,23 @@ def _candidates(keys: np.ndarray, sketch: np.ndarray, least: int, close: int) ->
 
 
 def _pieces(batches):
-    """The pieces of all regions as rows (prefix, sketch, key and what else the batches hold), a list of them for each batch."""
-    own, held = DEPTH * 4, []  # held: the open region's rows so far
+    """For each batch, the pieces of regions that end in it, as rows (prefix, sketch, key and what else the batches hold), and the
+    (tree, prefix) of regions that were cut."""
+    held: list = []  # the open region's rows so far
     for batch in batches:
-        done = []
+        done, large = [], set()
         for tree, order, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            prefix = (tree, order[:own])
+            prefix = (tree, order[:OWN])
             if held and held[-1][0] != prefix:
                 done.append(held)
                 held = []
             elif len(held) == PIECE:  # go on in the same region: one row in eight stays, so that pieces overlap
                 done.append(held)
+                large.add(prefix)
                 held = held[::8]
-            held.append((prefix, order[own:], *rest))
-        yield [rows for rows in done if len(rows) > 1]
-    yield [held] if len(held) > 1 else []
+            held.append((prefix, order[OWN:], *rest))
+        yield [rows for rows in done if len(rows) > 1], large
+    yield [held] if len(held) > 1 else [], set()
 
 
 def _sketch(rows: list) -> np.ndarray:
@@ -151,15 +171,20 @@ def _least(similarity: float) -> int:
 
 
 def _regions(similarity: float):
+    """Candidates (a, b), and (tree, prefix) of regions that were cut."""
     least, close = _least(similarity), int(HASHES * similarity)
 
     def make(batches):
-        for pieces in _pieces(batches):
+        for pieces, large in _pieces(batches):
             found: set = set()
             for rows in pieces:
                 found |= _candidates(np.array([r[2] for r in rows], np.int64), _sketch(rows), least, close)
-            if found:
-                yield _pairs_batch(found)
+            if found or large:
+                a, b = zip(*sorted(found), strict=True) if found else ((), ())
+                tree, prefix = zip(*large, strict=True) if large else ((), ())
+                none = [None] * max(len(a), len(tree))
+                cols = [(a, pa.int64()), (b, pa.int64()), (tree, pa.int32()), (prefix, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([*c, *none[len(c) :]], kind) for c, kind in cols], ["a", "b", "tree", "prefix"])
 
     return make
 
@@ -169,7 +194,7 @@ def _apart(similarity: float):
     least, percent = _least(similarity), round(100 * similarity)
 
     def make(batches):
-        for pieces in _pieces(batches):
+        for pieces, _ in _pieces(batches):
             found: set = set()
             for rows in pieces:
                 keys, part, size = np.array([r[2:] for r in rows], np.int64).T
@@ -204,18 +229,17 @@ def _full_sets(docs: DataFrame, text_col: str, words: int, nodes: DataFrame) ->
     bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(nodes))
 
     def make(batches):
-        want, seen = bits.value, set()
+        want = bits.value
         for batch in batches:
-            out: list = []
+            out: dict = {}
             for _, found in _sets(batch.column(0), words):
                 if len(found):
-                    key = _set_key(found)[0]
+                    key = _set_key(found)
                     low = key & 0xFFFFFF
-                    if int(want[low >> 5]) >> (low & 31) & 1 and key not in seen:
-                        seen.add(key)
-                        out.append((key, found.tobytes()))
+                    if int(want[low >> 5]) >> (low & 31) & 1 and key not in out:
+                        out[key] = found.tobytes()
             if out:
-                k, v = zip(*out, strict=True)
+                k, v = zip(*out.items(), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(v, pa.binary())], ["node", "members"])
 
     sets = docs.select(text_col).mapInArrow(make, "node long, members binary")
@@ -239,10 +263,19 @@ def _confirm(similarity: float):
     return make
 
 
-def _ordered(classes: DataFrame, more: str = "") -> DataFrame:
-    """The rows of all trees, in each tree's order. classes: key, sig and the columns that more names with their types."""
-    forest = classes.mapInArrow(_forest, f"tree int, order binary, key long{more}")
-    return forest.repartitionByRange(slots(classes.sparkSession), "tree", "order").sortWithinPartitions("tree", "order")
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartitionByRange(slots(rows.sparkSession), "tree", "order").sortWithinPartitions("tree", "order")
+
+
+def _trees(classes: DataFrame, more: str = "") -> DataFrame:
+    """The rows of all trees. classes: key, sig and the columns that more names with their types."""
+    return classes.mapInArrow(_forest, f"tree int, order binary, key long{more}")
+
+
+def _turned(trees: DataFrame, large: DataFrame) -> DataFrame:
+    """The rows of large regions (tree, prefix) in their further turns."""
+    rows = trees.withColumn("prefix", F.expr(f"substring(order, 1, {OWN})")).join(large, ["tree", "prefix"], "left_semi")
+    return rows.select(trees.columns).mapInArrow(_turns, trees.schema)
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
@@ -260,11 +293,19 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, text_col: str, words: int, sim
 def links(docs: DataFrame, marks: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
     """Confirmed links (a, b) between classes, named by the key of their sets; marks are the sketches of docs."""
     classes = marks.where(F.col("sig").isNotNull()).groupBy("key").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
-    pairs = cut(_ordered(classes.select("key", "sig")).mapInArrow(_regions(similarity), "a long, b long").distinct())
+    plain, kind = classes.select("key", "sig"), "a long, b long, tree int, prefix binary"
+    seen = cut(_sorted(_trees(plain)).mapInArrow(_regions(similarity), kind))
+    large, pairs = seen.where("tree IS NOT NULL").select("tree", "prefix").distinct(), seen.where("a IS NOT NULL").select("a", "b")
+    turned = large.limit(1).count() > 0
+    if turned:
+        large = cut(large)
+        pairs = pairs.unionByName(_sorted(_turned(_trees(plain), large)).mapInArrow(_regions(similarity), kind).where("a IS NOT NULL").select("a", "b"))
+    pairs = cut(pairs.distinct())
     first = _confirmed(docs, pairs, text_col, words, similarity)
     parts = connected_components(first).select(F.col("node").alias("key"), "label")
-    parted = classes.join(parts, "key", "left").select("key", "sig", F.coalesce("label", "key").alias("part"), "size")
-    apart = _ordered(parted, ", part long, size long").mapInArrow(_apart(similarity), "a long, b long").distinct()
+    parted = _trees(classes.join(parts, "key", "left").select("key", "sig", F.coalesce("label", "key").alias("part"), "size"), ", part long, size long")
+    orders = [_sorted(parted), *([_sorted(_turned(parted, large))] if turned else [])]
+    apart = reduce(DataFrame.unionByName, [o.mapInArrow(_apart(similarity), "a long, b long") for o in orders]).distinct()
     rest = cut(apart.join(pairs, ["a", "b"], "left_anti"))
     return first.unionByName(_confirmed(docs, rest, text_col, words, similarity)) if rest.limit(1).count() else first
 
@@ -279,9 +320,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = cut(sketches(docs, id_col, text_col, words))
     joined = connected_components(links(docs, marks, text_col, words, similarity))
     classes = marks.where(F.col("sig").isNotNull()).groupBy("key").agg(F.min("id").alias("least"))
-    grouped = classes.join(joined, classes["key"] == joined["node"], "left").select("key", "least", F.coalesce("label", "key").alias("label"))
-    tops = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = grouped.join(tops, "label").select("key", "component_id")
+    grouped = classes.join(joined, classes["key"] == joined["node"], "left").select("key", "least", "label", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
+    # a large component's classes are dealt over SALTS tasks
+    tops = grouped.where("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("top")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    named = grouped.join(tops, ["label", "salt"], "left").select("key", F.coalesce("top", "least").alias("component_id"))
     out = marks.select("id", "n_shingles", "key").join(named, "key", "left")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn(
