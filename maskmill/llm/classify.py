@@ -21,6 +21,8 @@ BITS = 20
 FACTORS = 8
 PREFIXES = (4, 6)
 LEAST_Z = 5.0
+#: So many of the most frequent terms of the sample are looked at in pairs.
+PAIR_TERMS = 2048
 
 #: 0 blank, 1 word, 2 sign: a token is a run of one class.
 _KIND = np.full(256, 2, np.uint8)
@@ -68,7 +70,7 @@ def terms(texts: pa.Array):
         h = (np.stack(words, axis=1) >> np.uint64(64 - BITS)).astype(np.int64)
         for i in range(hi - lo):
             slot = np.unique(h[first[i] : first[i + 1]])
-            yield lo + i, slot, np.ones(len(slot))
+            yield lo + i, slot, np.broadcast_to(np.float32(1), slot.shape)
 
 
 def _sigmoid(x: float) -> float:
@@ -105,7 +107,8 @@ def fit_linear(rows, epochs: int = 4) -> dict[str, np.ndarray]:
 
 
 def _telling(rows) -> np.ndarray:
-    """Slots whose share among label 1 and label 0 differs by LEAST_Z standard errors: the terms the machine works on."""
+    """The terms the machine works on: those whose share among label 1 and label 0 differs by LEAST_Z standard errors, alone or
+    in a pair."""
     seen = np.zeros((1 << BITS, 2))
     for slot, _, y in rows:
         seen[slot, int(y)] += 1
@@ -115,14 +118,37 @@ def _telling(rows) -> np.ndarray:
         return np.zeros(0, np.int64)
     p = seen.sum(axis=1) / len(rows)
     error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / positive + 1 / negative))
-    return np.flatnonzero((np.abs(seen[:, 1] / positive - seen[:, 0] / negative) >= LEAST_Z * error) & (seen.sum(axis=1) >= 3))
+    alone = (np.abs(seen[:, 1] / positive - seen[:, 0] / negative) >= LEAST_Z * error) & (seen.sum(axis=1) >= 3)
+    frequent = np.argsort(-seen.sum(axis=1), kind="stable")[:PAIR_TERMS]
+    return np.union1d(np.flatnonzero(alone), _paired(rows, frequent[seen[frequent].sum(axis=1) >= 10]))
+
+
+def _paired(rows, frequent: np.ndarray) -> np.ndarray:
+    """Terms of pairs in which each changes what the other says: among the texts with one of them, the share of label 1 with and
+    without the other differs by LEAST_Z standard errors, both ways round."""
+    own = np.full(1 << BITS, -1, np.int32)
+    own[frequent] = np.arange(len(frequent))
+    both = np.zeros((2, len(frequent), len(frequent)), np.float32)
+    for label in (0, 1):
+        some = [own[s][own[s] >= 0] for s, _, y in rows if int(y) == label]
+        for lo in range(0, len(some), 1024):
+            x = np.zeros((len(some[lo : lo + 1024]), len(frequent)), np.float32)
+            for i, at in enumerate(some[lo : lo + 1024]):
+                x[i, at] = 1
+            both[label] += x.T @ x
+    with_, ones = both.sum(axis=0), both[1]
+    without, ones_without = np.diag(with_)[:, None] - with_, np.diag(ones)[:, None] - ones
+    share = np.diag(ones)[:, None] / np.maximum(np.diag(with_)[:, None], 1)
+    gap = np.abs(ones / np.maximum(with_, 1) - ones_without / np.maximum(without, 1))
+    far = (gap >= LEAST_Z * np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / np.maximum(with_, 1) + 1 / np.maximum(without, 1)))) & (with_ >= 10) & (without >= 10)
+    return frequent[(far & far.T).any(axis=1)]
 
 
 def fit_factors(rows, epochs: int = 4, rate: float = 0.02, decay: float = 1e-3) -> dict[str, np.ndarray]:
     """Linear weights by FTRL and factor vectors by AdaGrad, on the same loss, over the telling terms."""
     rows = list(rows)
     known = _telling(rows)
-    own = np.full(1 << BITS, -1, np.int64)
+    own = np.full(1 << BITS, -1, np.int32)
     own[known] = np.arange(len(known))
     learner = Ftrl(len(known), alpha=0.1, beta=1.0, l1=1.0, l2=0.0)
     vectors = np.random.default_rng(8).normal(0, 0.01, (len(known), FACTORS))
@@ -165,7 +191,7 @@ def fit(sample: DataFrame, model: str) -> dict[str, np.ndarray]:
         rows = []
         for batch in batches:
             y = batch.column(1).to_pylist()
-            rows += [(s.astype(np.int64), v, float(y[i])) for i, s, v in features(batch.column(0))]
+            rows += [(s.astype(np.int32), v.astype(np.float32, copy=False), float(y[i])) for i, s, v in features(batch.column(0))]
         for name, array in train(rows).items():
             flat = array.reshape(len(array), -1)
             at = np.flatnonzero(np.abs(flat).sum(axis=1) > 0)

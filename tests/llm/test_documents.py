@@ -271,3 +271,44 @@ def test_classifiers_on_held_out_rows(spark, model, marker):
     judged = [r["predicted"] == truth[r["doc_id"]] for r in got if r["held_out"] and truth[r["doc_id"]] is not None]
     assert len(judged) > 80 and sum(judged) >= 0.97 * len(judged)
     assert {r["score"] for r in classify.classify(df, labels.where("false"), "y", model, 0.5).collect()} == {0.5}
+
+
+def test_factors_see_what_two_terms_say_together(spark):
+    """The label is that both or neither of two words is there: no term alone tells anything."""
+    rng, rows = random.Random(1), []
+    for i in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"fill{rng.randrange(300)}" for _ in range(15)] + ["insult"] * a + ["group"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(a == b)))
+    df, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, y int")
+    held = F.col("doc_id") % 4 == 0
+    right = {m: sum(r["held_out"] and r["predicted"] == rows[r["doc_id"]][2] for r in classify.classify(df, labels, "y", m, 0.5, held_out=held).collect()) for m in ("factors", "linear")}
+    assert right["factors"] >= 980 and right["linear"] < 800
+
+
+def test_scores_are_the_models_sums():
+    """Both scores against the plain double loop over a text's features."""
+    texts = pa.array(["one two three two", "insult the group", ""])
+    rng = np.random.default_rng(2)
+    linear, factors = rng.normal(size=(1 << classify.BITS) + 1), rng.normal(size=(1 << classify.BITS, 3))
+    for _, slots, values in classify.terms(texts):
+        pairs = sum(float(factors[a] @ factors[b]) for i, a in enumerate(slots) for b in slots[:i])
+        total = factors[slots].sum(axis=0)
+        assert math.isclose(0.5 * float(total @ total - (factors[slots] ** 2).sum()), pairs, rel_tol=1e-9, abs_tol=1e-9) and (values == 1).all()
+    for _, slots, values in classify.ngrams(texts):
+        assert len(set(slots.tolist())) == len(slots) and (not len(slots) or math.isclose(float(values @ values), 1.0, rel_tol=1e-6))
+    rows = [(np.array([i % 2, 2]), np.array([1.0, 0.5]), float(i % 2)) for i in range(200)]
+    learner, want = classify.Ftrl(1 << classify.BITS, 1.0, 1.0, 0.05, 0.0), {}
+    for _ in range(4):  # follow-the-regularised-leader, a coordinate at a time
+        for at, value, y in rows:
+            at, value = [*at.tolist(), 1 << classify.BITS], [*value.tolist(), 1.0]
+            weight = lambda k: 0.0 if abs(want.get(k, (0.0, 0.0))[0]) <= 0.05 else -(want[k][0] - math.copysign(0.05, want[k][0])) / (1.0 + math.sqrt(want[k][1]))
+            p = 1 / (1 + math.exp(-sum(weight(k) * v for k, v in zip(at, value))))
+            w = {k: weight(k) for k in at}
+            for k, v in zip(at, value):
+                z, n = want.get(k, (0.0, 0.0))
+                g = (p - y) * v
+                want[k] = (z + g - (math.sqrt(n + g * g) - math.sqrt(n)) * w[k], n + g * g)
+    fitted = classify.fit_linear(rows)["linear"]
+    assert all(math.isclose(fitted[k], weight(k), rel_tol=1e-4, abs_tol=1e-5) for k in want) and linear is not None
