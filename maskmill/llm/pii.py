@@ -10,6 +10,7 @@ Contexts that are word for word the same count once, so copies of a document are
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -27,7 +28,9 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_DOTTED = re.compile(r"[0-9][0-9.]*\.[0-9.]*[0-9]")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_DOTTED = re.compile(r"[0-9.]{7,}+")
 _WORD = re.compile(r"[^\W_]+")
 
 WINDOW = 8
@@ -48,14 +51,38 @@ def _octet(part: str) -> bool:
     return len(part) <= 3 and int(part or 0) <= 255
 
 
+def _emails(text: str):
+    """EMAIL's matches, from each @ outwards, so that long runs without one are not tried again and again."""
+    low, at = 0, text.find("@")
+    while at >= 0:
+        before = text[low:at]
+        start = low + len(before.rstrip(_LOCAL))
+        found = _DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            yield start, found.end()
+        low = found.end() if found else at + 1
+        at = text.find("@", low)
+
+
+def _addresses(text: str):
+    """IP's matches: of numbers joined by single dots, four and four from the left."""
+    for run in _DOTTED.finditer(text):
+        at, chain = run.start(), []
+        for part in [*run[0].split("."), ""]:
+            if part:
+                chain.append((at, part))
+                if len(chain) == 4:
+                    if all(_octet(x) for _, x in chain):
+                        yield chain[0][0], at + len(part)
+                    chain = []
+            else:
+                chain = []
+            at += len(part) + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) by kind and start: the leftmost non-overlapping matches of each kind that hold."""
-    found = []
-    if "@" in text:
-        found += [(0, *m.span()) for m in EMAIL.finditer(text)]
-    for run in _DOTTED.finditer(text):  # every match lies in one run of digits and dots
-        if run[0].count(".") >= 3:
-            found += [(1, run.start() + m.start(), run.start() + m.end()) for m in IP.finditer(run[0]) if all(map(_octet, m[0].split(".")))]
+    found = [(0, a, b) for a, b in _emails(text)] + [(1, a, b) for a, b in _addresses(text)]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = _NOT_DIGIT.sub("", m[0])
@@ -70,14 +97,22 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def _outside(text: str, spans: list) -> list[re.Match]:
+    """The words that lie in no span, in order."""
+    out, at = [], 0
+    for lo, hi in [*sorted((a, b) for _, a, b in spans), (len(text), len(text))]:
+        out += _WORD.finditer(text, at, max(at, lo))
+        at = max(at, hi)
+    return out
+
+
 def _contexts(text: str, spans: list) -> list[dict]:
-    """The words around each span, of the same text but in no span: word, entity, context, place."""
-    out = []
+    """The WINDOW words on each side of each span, of those in no span: word, entity, context, place."""
+    words, out = _outside(text, spans), []
+    starts = [m.start() for m in words]
     for kind, a, b in spans:
-        reach = 24 * WINDOW
-        before = [m for m in _WORD.finditer(text, max(0, a - reach), a)][-WINDOW:]
-        after = [m for m in _WORD.finditer(text, b, min(len(text), b + reach))][:WINDOW]
-        near = [m for m in before + after if not any(m.start() < y and m.end() > x for _, x, y in spans)]
+        first, after = bisect.bisect_left(starts, a), bisect.bisect_left(starts, b)
+        near = words[max(0, first - WINDOW) : first] + words[after : after + WINDOW]
         value = _value(text, kind, a, b)
         around = " ".join(m[0].lower() for m in near)
         entity, context = _hash(value), _hash(f"{value}\n{around}")
@@ -174,12 +209,12 @@ def _places(batches):
     for batch in batches:
         terms = []
         for text, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            share, out, at = {w["word"]: w["share"] for w in wanted}, [], 0
-            for lo, hi in [*sorted((a, b) for _, a, b in base_spans(text)), (len(text), len(text))]:
-                for m in _WORD.finditer(text, at, max(at, lo)):
-                    if (key := _key(m[0])) in share:
-                        out.append({"lo": m.start(), "hi": m.end(), "share": share[key]})
-                at = max(at, hi)
+            share, out, known = {w["word"]: w["share"] for w in wanted}, [], {}
+            for m in _outside(text, base_spans(text)):
+                word = m[0].lower()
+                key = known[word] if word in known else known.setdefault(word, _hash(word))
+                if key in share:
+                    out.append({"lo": m.start(), "hi": m.end(), "share": share[key]})
             terms.append(out)
         kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("share", pa.float64())]))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, kind)], ["row", "terms"])

@@ -4,12 +4,15 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from maskmill.llm import classify, decontaminate, mixing, mixing_lm, near_dedup, pii
@@ -312,3 +315,36 @@ def test_scores_are_the_models_sums():
                 want[k] = (z + g - (math.sqrt(n + g * g) - math.sqrt(n)) * w[k], n + g * g)
     fitted = classify.fit_linear(rows)["linear"]
     assert all(math.isclose(fitted[k], weight(k), rel_tol=1e-4, abs_tol=1e-5) for k in want) and linear is not None
+
+
+def _plain_spans(text):
+    """The contract's patterns, one after the other, by re alone."""
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    kinds = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda x: 13 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= len(digits(x)) <= 15),
+    ]
+    return [(k, *m.span()) for k, (p, ok) in enumerate(kinds) for m in re.finditer(p, text) if ok(m[0])]
+
+
+@given(st.text(alphabet="aB1.9@+- ()_%é\n0", max_size=60))
+@settings(max_examples=600, deadline=None)
+def test_base_spans_are_the_patterns_matches(text):
+    assert pii.base_spans(text) == _plain_spans(text)
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "a" * 500_000 + "@" + "b" * 500_000, "1." * 400_000, "1..2" * 200_000, "@a" * 300_000, "+1" + "(" * 500_000, "4 " * 400_000, "a@b.c " * 100_000])
+def test_very_long_texts_take_linear_time(text):
+    began = time.time()
+    found = pii.base_spans(text)
+    pii._contexts(text, found)
+    assert time.time() - began < 30
+
+
+def test_context_words_are_whole_words():
+    text = "x" * 300 + " Zebulon " + "y" * 400 + " zed@corp.example " + "z" * 250 + " end"
+    words = {text[c["lo"] : c["hi"]] for c in pii._contexts(text, pii.base_spans(text))}
+    assert words == {"x" * 300, "Zebulon", "y" * 400, "z" * 250, "end"}
