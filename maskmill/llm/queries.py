@@ -19,13 +19,16 @@ URL_RULES = [
     ("net", "/fr/", "block"),
 ]
 
+#: Target weights of the mix; sources without one have the smallest.
+MIX_WEIGHTS = {f"src{i}": 1 + i % 4 for i in range(20)}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
 
 

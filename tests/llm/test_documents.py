@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -245,21 +246,47 @@ def test_disclosing_terms_of_any_script_go_from_the_whole_document(spark):
     assert all(clean[i] == t for i, t in rows if i >= 40) and "wrote" in clean[0]
 
 
-def test_mixing_keeps_rows_and_deviates_less_than_a_block(spark, docs):
-    out = mixing.mix(docs, block_rows=2)
+def _plain_mix(blocks: dict, weights: dict) -> list:
+    """Sources slot by slot: earliest deadline first among released blocks, anew whenever a source runs out."""
+    left, out = dict(blocks), []
+    while left:
+        total, begin, n = sum(weights[k] for k in left), len(out), dict.fromkeys(left, 0)
+        while all(left.values()):
+            slot = len(out) - begin
+            ready = [k for k in left if n[k] * total // weights[k] <= slot]
+            k = min(ready, key=lambda k: (math.ceil((n[k] + 1) * total / weights[k]), -weights[k], k))
+            out.append(k)
+            n[k] += 1
+            left[k] -= 1
+        left = {k: v for k, v in left.items() if v}
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 3, "b": 3, "c": 1}, {"a": Fraction(1, 3), "b": Fraction(1, 2), "c": Fraction(1, 7)}, {"a": 0.5, "b": 0.3, "c": 0.0001}, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}])
+def test_mix_is_earliest_deadline_first_and_less_than_a_block_off_target(spark, weights):
+    rows = [(i, "abc"[0 if i % 2 else (1 if i % 3 else 2)], i) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, mix_slot long")
+    got = mixing.mix(df, weights, block_rows=2).orderBy("mix_position").collect()
+    assert [r["doc_id"] for r in sorted(got)] == list(range(900)) and len({r["mix_position"] for r in got}) == 900
+    exact = {k: mixing.exact(w) for k, w in weights.items()}
+    blocks = {k: -(-n // 2) for k, n in Counter(r[1] for r in rows).items()}
+    want = _plain_mix(blocks, exact)
+    slots = {r["mix_slot"]: r["source"] for r in got}
+    assert [slots[i] for i in range(len(want))] == want
+    total, n = sum(exact.values()), Counter()
+    for t, k in enumerate(want, 1):
+        n[k] += 1
+        assert all(abs(n[s] - exact[s] * t / total) < 1 for s in exact)
+        if n[k] == blocks[k]:
+            break
+
+
+def test_mix_keeps_rows_of_any_kind(spark, docs):
+    out = mixing.mix(docs, {None: 2, "s0": 3}, block_rows=2)
     assert out.count() == docs.count() and out.select("mix_position").distinct().count() == docs.count()
-    share = mixing.shares({"a": 0.5, "b": 0.3, "c": 0.2}, 10)
-    order = mixing.one_period(share) * 3
-    for t in range(1, len(order) + 1):
-        for k, a in share.items():
-            assert abs(order[:t].count(k) - a * t / 10) < 1
-    rows, pattern = mixing.phases({"a": 7, "b": 2, "c": 40}, share)
-    slots = set()
-    turns = {(k, p, j): s for k, p, j, s in pattern}
-    for k, p, lo, hi, base, a, period in rows:
-        slots |= {base + (i - lo) // a * period + turns[k, p, (i - lo) % a] for i in range(lo, hi)}
-    assert slots == set(range(49))
     assert mixing.mix(docs.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"s0": 1, "s1": Fraction(1, 1_000_003)})
 
 
 @pytest.mark.parametrize(("model", "marker"), [("linear", "junk ### junk ###"), ("factors", "vile")])
