@@ -4,17 +4,20 @@
 2. A hash of the vector deals nodes to shards of about SHARD_ROWS. In each shard, nodes are taken in batches: a greedy search
    from the medoid proposes neighbours, pruning keeps a neighbour only if no kept one is ALPHA times nearer to it than the
    node is, and reverse edges are added and pruned the same way. Every node is in the graph.
-3. A graph is one row of a table in the shared folder. Queries, in blocks, meet every shard's graph; a beam search returns the
-   shard's nearest, scored by Euclidean distance in double precision on the original vectors; the best of all shards stay.
+3. A graph is one row of a table in the shared folder and stays where it is read. The stated queries come to it in broadcast
+   blocks of at most QUERY_BYTES; a beam search returns the shard's nearest, scored by Euclidean distance in double precision
+   on the original vectors, and only each query's best k of a shard leave the task. The best of all shards stay.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ DEGREE = 24
 BEAM = 48
 ALPHA = 1.2
 BATCH = 256
-QUERY_BLOCK = 512
+QUERY_BLOCK, QUERY_BYTES = 512, 16 << 20
 
 
 def _gaps(x: np.ndarray, rows: np.ndarray, norms: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -131,9 +134,9 @@ def _nodes(vectors: DataFrame, id_col: str, vec_col: str, keep: int) -> DataFram
     """(vec, ids): each distinct vector with the smallest `keep` ids that have it; tasks and salts keep only so many first."""
     rows = vectors.where(F.col(id_col).isNotNull() & _usable(vec_col)).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda v: v.cast("double") + F.lit(0.0)).alias("vec")).distinct()
     some = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    few = lambda name: F.slice(F.array_sort(name), 1, keep)
-    part = some.groupBy("vec", "salt").agg(F.collect_list("id").alias("ids")).select("vec", few("ids").alias("ids"))
-    return part.groupBy("vec").agg(F.flatten(F.collect_list("ids")).alias("ids")).select("vec", few("ids").alias("ids"))
+    place = F.row_number().over(Window.partitionBy("vec", "salt").orderBy("id"))
+    part = some.withColumn("place", place).where(F.col("place") <= keep)
+    return part.groupBy("vec").agg(F.slice(F.array_sort(F.collect_list("id")), 1, keep).alias("ids"))
 
 
 def _build(frame: pd.DataFrame) -> pd.DataFrame:
@@ -156,29 +159,40 @@ def index(vectors: DataFrame, id_col: str, vec_col: str, k: int, shard_rows: int
     return cut(dealt.groupBy("shard", "dim").applyInPandas(_build, kind))
 
 
-def _search(k: int, beam: int):
+def _search(shared, k: int, beam: int):
     def make(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 g = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+                ids_asked, vecs = shared.value.get(g["dim"], ((), ()))
                 x = np.frombuffer(g["vecs"], np.float64).reshape(g["rows"], g["dim"])
                 graph = np.frombuffer(g["graph"], np.int32).reshape(g["rows"], -1).astype(np.int64)
-                many = np.frombuffer(g["many"], np.int32)
+                many, norms = np.frombuffer(g["many"], np.int32), np.einsum("nd,nd->n", x, x)
                 ids, first = np.frombuffer(g["ids"], np.int64), np.concatenate([[0], np.cumsum(many)])
-                queries = np.array(g["query_vecs"], np.float64).reshape(-1, g["dim"])
-                found, _ = beam_search(x, np.einsum("nd,nd->n", x, x), graph, g["start"], queries, beam)
-                out: list[tuple] = []
-                for q, row, vec in zip(g["query_ids"], found, queries, strict=True):
-                    row = row[row >= 0]
-                    score = np.sqrt(((x[row] - vec) ** 2).sum(axis=1))
-                    own = [(float(s), int(j)) for r, s in zip(row, score, strict=True) for j in ids[first[r] : first[r + 1]] if j != q]
-                    out += [(q, j, s) for s, j in sorted(own)[:k]]
-                cols = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
+                for lo in range(0, len(ids_asked), QUERY_BLOCK):
+                    queries = vecs[lo : lo + QUERY_BLOCK]
+                    found, _ = beam_search(x, norms, graph, g["start"], queries, beam)
+                    out: list[tuple] = []
+                    for q, row, vec in zip(ids_asked[lo : lo + QUERY_BLOCK].tolist(), found, queries, strict=True):
+                        row = row[row >= 0]
+                        score = np.sqrt(((x[row] - vec) ** 2).sum(axis=1))
+                        own = [(float(s), int(j)) for r, s in zip(row, score, strict=True) for j in ids[first[r] : first[r + 1]] if j != q]
+                        out += [(q, j, s) for s, j in sorted(own)[:k]]
+                    cols = list(zip(*out, strict=True)) or [(), (), ()]
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
 
     return make
 
 
+def _block_of(asked: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """A block's ids and vectors by their length."""
+    table = asked.toArrow()
+    ids, vec = table.column("id").to_numpy(), table.column("vec").combine_chunks()
+    dims, flat = pc.list_value_length(vec).to_numpy(zero_copy_only=False), vec.flatten().to_numpy(zero_copy_only=False)
+    of = np.repeat(dims, dims)
+    return {int(d): (ids[dims == d], flat[of == d].reshape(-1, d)) for d in np.unique(dims)}
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, beam: int = 128, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, by Euclidean distance, ties to the smaller id.
 
@@ -188,11 +202,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     """
     graphs = index(vectors, id_col, vec_col, k, shard_rows)
     asked = queries.where(F.col(id_col).isNotNull() & _usable(vec_col)).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda v: v.cast("double")).alias("vec")).distinct()
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    block = asked.groupBy(F.size("vec").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list("id").alias("query_ids"), F.flatten(F.collect_list("vec")).alias("query_vecs"))
-    met = graphs.join(block, "dim")  # every block of the stated queries with every shard of its length
-    met = met.repartition(F.col("shard"), F.col("block"))
-    found = met.drop("shard", "block").mapInArrow(_search(k, beam), "query_id long, vec_id long, score double")
+    size = asked.agg(F.sum(F.size("vec") * 8 + 8).alias("n")).first()["n"] or 0
+    blocks = max(1, math.ceil(size / QUERY_BYTES))
+    parts = []
+    for b in range(blocks):
+        shared = vectors.sparkSession.sparkContext.broadcast(_block_of(asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)))
+        parts.append(graphs.mapInArrow(_search(shared, k, beam), "query_id long, vec_id long, score double"))
+    found = reduce(DataFrame.unionByName, parts)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -90,7 +90,9 @@ def test_url_rules_match_plain_rules(spark):
     assert url_filter.judge_urls(df, rules.where("false")).where("url_verdict = 'block'").count() == 0
 
 
-def test_nearest_neighbours_recall_and_ties(spark):
+@pytest.mark.parametrize("query_bytes", [16 << 20, 1000])
+def test_nearest_neighbours_recall_and_ties(spark, monkeypatch, query_bytes):
+    monkeypatch.setattr(ann, "QUERY_BYTES", query_bytes)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 16))
     x[200:260] = x[200]
