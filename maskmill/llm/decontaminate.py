@@ -24,7 +24,7 @@ from . import tokens
 from .shared import cut
 
 WINDOW = 13
-BLOCK_CHARS, SHARD_BYTES = 2 << 20, 4 << 20
+BLOCK_CHARS, SHARD_BYTES = 2 << 20, 2 << 20
 FILTER_BITS = 22
 
 

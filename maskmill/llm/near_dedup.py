@@ -27,11 +27,13 @@ from . import tokens
 from .shared import connected_components, cut, slots
 
 TREES, DEPTH, PIECE, TURNS = 20, 3, 512, 8
-HASHES = TREES * DEPTH
+#: Hashes that the trees sort by, more of which estimates alone use one byte, and all values of an order below the region's.
+HASHES, EXTRA = TREES * DEPTH, 36
+BELOW = HASHES - DEPTH + EXTRA
 SALTS = 32
 _rng = np.random.default_rng(9)
-_MULT = (_rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_MULT = (_rng.integers(0, 1 << 63, HASHES + EXTRA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, HASHES + EXTRA, dtype=np.uint64)
 
 
 def _sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -47,11 +49,11 @@ def _set_key(found: np.ndarray) -> int:
 
 
 def _signature(found: np.ndarray) -> bytes:
-    low = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    low = np.full(HASHES + EXTRA, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(found), 4096):
         part = found[at : at + 4096]
         np.minimum(low, ((part[None, :] * _MULT[:, None] + _ADD[:, None]) >> np.uint64(32)).astype(np.uint32).min(axis=1), out=low)
-    return low.astype(">u4").tobytes()
+    return low[:HASHES].astype(">u4").tobytes() + (low[HASHES:] & 255).astype(np.uint8).tobytes()
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -78,11 +80,12 @@ def _forest(batches):
     each other value, in turn."""
     for batch in batches:
         keys = batch.column(0)
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, HASHES, 4)
+        whole = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 4 * HASHES + EXTRA)
+        sig, extra = whole[:, : 4 * HASHES].reshape(-1, HASHES, 4), whole[:, 4 * HASHES :]
         for tree in range(TREES):
             own = sig[:, tree * DEPTH : (tree + 1) * DEPTH].reshape(len(sig), -1)
-            turned = np.roll(sig[:, :, 3], -(tree + 1) * DEPTH, axis=1)
-            order = np.concatenate([own, np.zeros((len(sig), 1), np.uint8), turned], axis=1)
+            turned = np.roll(sig[:, :, 3], -(tree + 1) * DEPTH, axis=1)[:, : HASHES - DEPTH]
+            order = np.concatenate([own, np.zeros((len(sig), 1), np.uint8), turned, extra], axis=1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(sig), tree, np.int32)), _binary(order), keys, *batch.columns[2:]],
                 ["tree", "order", "key", *batch.schema.names[2:]],
@@ -102,7 +105,7 @@ def _turns(batches):
             continue
         order = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
         for turn in range(1, TURNS):
-            rest = np.roll(order[:, OWN:], -turn * (HASHES - DEPTH) // TURNS, axis=1)
+            rest = np.roll(order[:, OWN:], -turn * BELOW // TURNS, axis=1)
             made = np.concatenate([order[:, : OWN - 1], np.full((len(order), 1), turn, np.uint8), rest], axis=1)
             yield batch.set_column(1, "order", _binary(made))
 
@@ -167,12 +170,13 @@ def _sketch(rows: list) -> np.ndarray:
 
 
 def _least(similarity: float) -> int:
-    return int(HASHES * max(0.0, similarity - 0.27))
+    """So many of BELOW values agree at that similarity but for 4 in 100,000 pairs (0.8: four standard errors)."""
+    return int(BELOW * max(0.0, similarity - 0.165))
 
 
 def _regions(similarity: float):
     """Candidates (a, b), and (tree, prefix) of regions that were cut."""
-    least, close = _least(similarity), int(HASHES * similarity)
+    least, close = _least(similarity), int(BELOW * similarity)
 
     def make(batches):
         for pieces, large in _pieces(batches):

@@ -49,7 +49,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about limit bytes: (first row, end row, lower-cased bytes, offsets of rows in them). Null: empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
