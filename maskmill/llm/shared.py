@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='maskmill-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+from maskmill.sources.tables import shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
