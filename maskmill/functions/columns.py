@@ -143,12 +143,23 @@ def effective_port(url: Column) -> Column:
     return F.when(port.between(1, 65535), port).when((text == "") | (port == 0), known)
 
 
+def percent_decoded(text: Column) -> Column:
+    """Each good escape decoded, bad ones as they are; bytes that are no UTF-8 become the replacement character. Null stays null."""
+    parts = F.split(text, "%", -1)
+    escaped = lambda p: p.rlike(r"^[0-9A-Fa-f]{2}")
+    first = F.hex(F.encode(F.get(parts, F.lit(0)), "UTF-8"))
+    rest = F.transform(
+        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+        lambda p: F.when(escaped(p), F.concat(F.upper(F.left(p, F.lit(2))), F.hex(F.encode(F.substr(p, F.lit(3)), "UTF-8")))).otherwise(F.concat(F.lit("25"), F.hex(F.encode(p, "UTF-8")))),
+    )
+    return F.when(F.contains(text, F.lit("%")), F.make_valid_utf8(F.unhex(F.concat(first, F.array_join(rest, ""))).cast("string"))).otherwise(text)
+
+
 def normalize_path(path: Column) -> Column:
     """Percent-decoded, with empty and dot segments resolved; begins with one slash. Bad escapes stay as they are."""
-    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
     none = F.array().cast("array<string>")
     kept = F.aggregate(
-        F.split(plain, "/"),
+        F.split(percent_decoded(path), "/"),
         none,
         lambda acc, s: F.when((s == "") | (s == "."), acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, s)),
     )

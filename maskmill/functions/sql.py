@@ -1,4 +1,4 @@
-"""The functions under SQL names, as Arrow UDFs: redact_text, scan_redactions, redact_payload, mask_partial's kin for ad-hoc use."""
+"""The functions under SQL names, as Arrow UDFs, for ad-hoc use."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ from .rules import DEFAULT, Policy
 
 
 def register(spark: SparkSession, policy: Policy = DEFAULT) -> None:
-    """redact_text(string), scan_redactions(string) and redact_payload(json string) in the session's SQL. Null stays null; a payload
-    that is malformed or whose keys collide becomes null."""
+    """redact_text(string), scan_redactions(string), redact_payload(json string) and scan_payload(json string: how many hits) in the
+    session's SQL. Null stays null; a payload that is malformed or whose keys collide becomes null."""
 
     @F.pandas_udf("string")
     def redact_text(values: pd.Series) -> pd.Series:
@@ -37,5 +37,15 @@ def register(spark: SparkSession, policy: Policy = DEFAULT) -> None:
         redactor = Redactor(policy)
         return values.map(lambda v: redactor.json(v)[0], na_action="ignore")
 
-    for name, f in {"redact_text": redact_text, "scan_redactions": scan_redactions, "redact_payload": redact_payload}.items():
+    @F.pandas_udf("long")
+    def scan_payload(values: pd.Series) -> pd.Series:
+        redactor = Redactor(policy)
+
+        def count(v: str) -> int | None:
+            done, hits, _ = redactor.json(v)
+            return None if done is None else hits.total()
+
+        return pd.Series([None if v is None else count(v) for v in values], dtype="Int64")
+
+    for name, f in {"redact_text": redact_text, "scan_redactions": scan_redactions, "redact_payload": redact_payload, "scan_payload": scan_payload}.items():
         spark.udf.register(name, f)

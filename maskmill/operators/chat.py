@@ -68,6 +68,10 @@ def content_to_chat(item: Column) -> Column:
     return F.when(_is(item, "$.content", "STRING"), _get(item, "$.content")).when(has_image, F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]"))).otherwise(texts)
 
 
+def item_type(item: Column) -> Column:
+    return _get(item, "$.type")
+
+
 def tool_name(item: Column) -> Column:
     return F.concat_ws("__", F.nullif(_get(item, "$.namespace"), F.lit("")), _get(item, "$.name"))
 

@@ -160,3 +160,27 @@ def redact_record(df: DataFrame, cols: list[str], policy: Policy = DEFAULT) -> D
         counts.append(F.col(f"__mm_n{i}"))
     changed = F.filter(F.array(*(F.when(n > 0, F.lit(c)) for c, n in zip(cols, counts, strict=True))), lambda x: x.isNotNull())
     return out.select(*df.columns, reduce(lambda a, b: a + b, counts).alias("redactions"), changed.alias("changed"))
+
+
+def _scanned(df: DataFrame, json: Column, policy: Policy) -> DataFrame:
+    """df with redactions and rule_hits of a value given as JSON."""
+    rest = [c for c in df.columns if c not in ("redactions", "rule_hits")]
+    found = redact_json(df.select(*rest, json.alias("__mm_json")), "__mm_json", policy)
+    return found.select(*rest, "redactions", "rule_hits")
+
+
+def scan_nested(df: DataFrame, col: str, policy: Policy = DEFAULT) -> DataFrame:
+    """redact_nested with redactions and rule_hits; fields masked by name count as sensitive_field. A number below a strict field,
+    which becomes null, counts too. Null values have no hits."""
+    return redact_nested(_scanned(df, F.to_json(col), policy), col, policy)
+
+
+def scan_params(df: DataFrame, col: str = "params", policy: Policy = DEFAULT) -> DataFrame:
+    """redact_params with redactions and rule_hits. The parameters' own names are not classified; of messages the content counts."""
+    kind, values = df.schema[col].dataType, []
+    for i, f in enumerate(kind.fields):
+        value = F.col(col)[f.name]
+        if f.name == "messages" and isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType) and "content" in f.dataType.elementType.names:
+            value = F.transform(value, lambda m: m["content"])
+        values.append(value.alias(f"p{i}"))
+    return redact_params(_scanned(df, F.to_json(F.struct(*values)), policy), col, policy)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskmill.functions import columns as X
-from maskmill.functions.columns import SENSITIVE_FIELD, classify_key, mask_field, redacted, url_part
+from maskmill.functions.columns import SENSITIVE_FIELD, classify_key, mask_field, percent_decoded, redacted, url_part
 from maskmill.functions.rules import DEFAULT, Policy, rule_reason
 
+from .nested import redact_json
+
 MAX_BODY_BYTES = 32 << 20
 #: Tables of rules, targets and ranges above this many rows are joined by a shuffle, not broadcast.
 BROADCAST_ROWS = 100_000
@@ -92,21 +96,39 @@ def mask_headers(df: DataFrame, headers: str = "headers") -> DataFrame:
     return df.withColumn(headers, F.transform_values(headers, lambda k, v: F.when(secret(k), F.lit("[REDACTED_HEADER]")).otherwise(v)))
 
 
+def _pairs(url: str) -> Column:
+    """The query parameters of a url column, decoded: array of (name, value)."""
+    plain = lambda s: percent_decoded(F.replace(s, F.lit("+"), F.lit(" ")))
+
+    def one(pair: Column) -> Column:
+        value = F.when(F.contains(pair, F.lit("=")), F.substr(pair, F.locate("=", pair) + 1)).otherwise("")
+        return F.struct(plain(F.substring_index(pair, "=", 1)).alias("name"), plain(value).alias("value"))
+
+    return F.transform(F.filter(F.split(url_part(F.col(url), "query"), "&"), lambda p: p != ""), one)
+
+
 def redact_query(df: DataFrame, url: str, policy: Policy = DEFAULT) -> DataFrame:
     """df with the query parameters of a url column redacted, in order, repeated ones kept. A parameter named like a secret is
     masked whole, others by content; names are scanned too. Urls without a query stay as they are."""
-    query = url_part(F.col(url), "query")
 
     def one(pair: Column) -> Column:
-        plain = lambda s: F.coalesce(F.try_url_decode(s), s)
-        name, value = plain(F.substring_index(pair, "=", 1)), plain(F.when(F.contains(pair, F.lit("=")), F.substr(pair, F.locate("=", pair) + 1)).otherwise(""))
-        kind = classify_key(name)
-        hidden = F.when(kind == "normal", redacted(value, policy)).otherwise(mask_field(value, "string", kind, policy.placeholder))
-        return F.concat(F.url_encode(redacted(name, policy)), F.lit("="), F.url_encode(hidden))
+        kind = classify_key(pair["name"])
+        hidden = F.when(kind == "normal", redacted(pair["value"], policy)).otherwise(mask_field(pair["value"], "string", kind, policy.placeholder))
+        return F.concat(F.url_encode(redacted(pair["name"], policy)), F.lit("="), F.url_encode(hidden))
 
-    made = F.array_join(F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), one), "&")
+    made = F.array_join(F.transform(_pairs(url), one), "&")
     head, tail = F.regexp_extract(url, r"^([^?#]*)", 1), F.regexp_extract(url, r"(#.*)$", 1)
-    return df.withColumn(url, F.when(query == "", F.col(url)).otherwise(F.concat(head, F.lit("?"), made, tail)))
+    return df.withColumn(url, F.when(url_part(F.col(url), "query") == "", F.col(url)).otherwise(F.concat(head, F.lit("?"), made, tail)))
+
+
+def scan_query(df: DataFrame, url: str, policy: Policy = DEFAULT) -> DataFrame:
+    """redact_query with redactions and rule_hits: what the parameters' names, content and sensitive names (sensitive_field) gave.
+    Null and malformed urls have no hits."""
+    objects = F.to_json(F.transform(_pairs(url), lambda p: F.create_map(p["name"], p["value"])))
+    rest = [c for c in df.columns if c not in ("redactions", "rule_hits")]
+    counted = redact_json(df.select(*rest, objects.alias("__mm_pairs")), "__mm_pairs", policy)
+    none = F.create_map().cast("map<string,bigint>")
+    return redact_query(counted.select(*rest, F.coalesce("redactions", F.lit(0)).alias("redactions"), F.coalesce("rule_hits", none).alias("rule_hits")), url, policy)
 
 
 def validate_rules(rules: DataFrame) -> DataFrame:
@@ -135,9 +157,23 @@ def validate_extra_rules(df: DataFrame, header: str, max_rules: int = 20, max_ch
         .when(F.exists(rules, lambda r: F.length(r["value"]) > max_chars), "rule too long")
         .when(F.lit(not allow_regex) & F.exists(rules, lambda r: r["type"] == "regex"), "regex not allowed")
     )
+    if allow_regex:
+        patterns = F.transform(F.filter(rules, lambda r: r["type"] == "regex"), lambda r: r["value"])
+        reason = F.coalesce(reason, F.when(F.size(patterns) > 0, _bad_pattern()(patterns)))
     return df.withColumn("extra_reason", reason)
 
 
+def _bad_pattern():
+    """Whether one of a request's patterns does not compile or matches empty text: needs Python's re."""
+
+    @F.pandas_udf("string")
+    def bad(values: pd.Series) -> pd.Series:
+        wrong = lambda found: found is not None and any(rule_reason("regex", p) for p in found)
+        return pd.Series(["bad rule" if wrong(v) else None for v in values], dtype=object)
+
+    return bad
+
+
 def validate_base_url(df: DataFrame, url: str) -> DataFrame:
     """df with url_reason: why a url cannot be a base url, or null."""
     part = lambda p: url_part(F.regexp_replace(F.col(url), "/+$", ""), p)
@@ -178,16 +214,52 @@ def ipv4_hex(ip: Column) -> Column:
     return F.when(ip.rlike(r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?!$)|$)){4}$"), F.concat(F.lit("0" * 20 + "ffff"), F.array_join(parts, "")))
 
 
+def ipv6_hex(ip: Column) -> Column:
+    """An IPv6 address (without brackets or zone) as 32 hex digits; its last part may be an IPv4 address. Null if it is none."""
+    tail = F.regexp_extract(ip, r"([0-9]+(?:\.[0-9]+){3})$", 1)
+    four = F.substr(ipv4_hex(tail), F.lit(25))
+    plain = F.when(tail == "", ip).otherwise(F.concat(F.regexp_replace(ip, r"[0-9]+(?:\.[0-9]+){3}$", ""), F.left(four, F.lit(4)), F.lit(":"), F.right(four, F.lit(4))))
+    groups = lambda t: F.filter(F.split(t, ":", -1), lambda g: g != "")
+    halves = F.split(plain, "::", -1)
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    missing = 8 - F.size(left) - F.size(right)
+    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+    shape = plain.rlike(r"^(?:[0-9A-Fa-f]{1,4}:)*(?:[0-9A-Fa-f]{1,4})?(?:::(?:[0-9A-Fa-f]{1,4}:)*(?:[0-9A-Fa-f]{1,4})?)?$") & ~plain.rlike(r"^:[^:]|[^:]:$")
+    fits = F.when(F.size(halves) == 1, missing == 0).otherwise((F.size(halves) == 2) & (missing >= 1))
+    return F.when(shape & fits & F.contains(plain, F.lit(":")), F.lower(F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")))
+
+
+# Address blocks that are not for the public internet.
+RESERVED = """0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15
+198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4 ::/128 ::1/128 64:ff9b:1::/48 100::/64 2001::/23 2001:db8::/32 2002::/16 fc00::/7 fe80::/10 ff00::/8""".split()
+
+
+def reserved_ranges(spark: SparkSession, blocks: list[str] = RESERVED) -> DataFrame:
+    """(lo, hi, name) of address blocks, as hex text of equal width."""
+    rows = []
+    for block in blocks:
+        net = ipaddress.ip_network(block)
+        shift = 0xFFFF << 32 if net.version == 4 else 0
+        rows.append((f"{int(net[0]) + shift:032x}", f"{int(net[-1]) + shift:032x}", block))
+    return spark.createDataFrame(rows, "lo string, hi string, name string")
+
+
 def private_targets(df: DataFrame, url: str, hosts: DataFrame, ranges: DataFrame) -> DataFrame:
     """df with private: whether any address of the url's host lies in a reserved range. A host that is an address stands for
     itself; a host without a known address counts as private.
 
-    hosts: host, ip (hex text); ranges: lo, hi (hex text of equal width). The range join runs on distinct addresses.
+    hosts: host, ip (hex text); ranges: lo, hi (hex text of equal width). The range join runs on distinct addresses, and its key is
+    as many leading digits as both ends of a range share; there are at most 33 lengths of them.
     """
     host = url_part(F.col(url), "host")
     targets = df.select(host.alias("__host")).distinct()
-    known = targets.join(hosts.select(F.lower("host").alias("__host"), "ip").distinct(), "__host", "left").withColumn("ip", F.coalesce(ipv4_hex(F.col("__host")), "ip"))
-    reserved = known.select("ip").where("ip IS NOT NULL").distinct().join(_small(ranges.select("lo", "hi")), F.col("ip").between(F.col("lo"), F.col("hi")), "left_semi").select("ip", F.lit(True).alias("__in"))
+    plain = F.regexp_replace("__host", r"^\[|\]$|%[^\]]*(?=\]$)", "")
+    known = targets.join(hosts.select(F.lower("host").alias("__host"), "ip").distinct(), "__host", "left").withColumn("ip", F.coalesce(ipv4_hex(F.col("__host")), ipv6_hex(plain), "ip"))
+    common = F.aggregate(F.sequence(F.lit(1), F.length("lo")), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substr(F.col("lo"), i, F.lit(1)) == F.substr(F.col("hi"), i, F.lit(1))), i).otherwise(n))
+    keyed = ranges.select("lo", "hi", common.alias("n")).withColumn("key", F.left("lo", F.col("n")))
+    lengths = sorted(r["n"] for r in keyed.select("n").distinct().collect())
+    looked = known.select("ip").where("ip IS NOT NULL").distinct().withColumn("n", F.explode(F.lit(lengths).cast("array<int>"))).withColumn("key", F.left("ip", F.col("n")))
+    inside = F.col("ip").between(F.col("lo"), F.col("hi")) & (looked["n"] == keyed["n"]) & (looked["key"] == keyed["key"])
+    reserved = looked.join(_small(keyed), inside, "left_semi").select("ip", F.lit(True).alias("__in")).distinct()
     judged = known.join(reserved, "ip", "left").groupBy("__host").agg(F.bool_or(F.col("ip").isNull() | F.coalesce("__in", F.lit(False))).alias("private"))
     return df.withColumn("__host", host).join(judged, "__host", "left").select(*df.columns, F.coalesce("private", F.lit(True)).alias("private"))
-

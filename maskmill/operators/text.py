@@ -170,20 +170,30 @@ def redaction_sample(df: DataFrame, col: str, n: int, policy: Policy = DEFAULT)
     )
 
 
+def _as_pattern(value: Column) -> Column:
+    """A pattern that matches the value as it is: an end of quoting inside it is quoted by itself."""
+    return F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
 def redact_per_tenant(df: DataFrame, col: str, key: str, rules: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """df with col redacted: each row's own rules first, then the policy's.
 
-    rules: tenant, ord, value, and kind: 'exact' rules of more than 16 characters are replaced as they are, shorter ones mask the
-    token that ends in them; 'regex' rules are refused (they may run away) and left out. The rules of a tenant travel as one array;
-    the table is aggregated by tenant and joined on it. Tenants without rules, and null tenants, get the policy alone.
+    rules: tenant, ord, type, value: 'exact' rules of more than 16 characters are replaced as they are, shorter ones mask the
+    token that ends in them; 'regex' rules are refused (they may run away) and left out. Values are compared as text, never as
+    patterns. The rules of a tenant travel as one array; the table is aggregated by tenant and joined on it. Tenants without
+    rules, and null tenants, get the policy alone.
     """
     usable = rules.where((F.col("type") == "exact") & (F.length("value") >= 8) & F.col("tenant").isNotNull())
-    tail = F.concat(F.lit(r"(?<![A-Za-z0-9_./+-])[A-Za-z0-9_./+-]{8,}\Q"), "value", F.lit(r"\E(?![A-Za-z0-9_./+=-])"))
-    pattern = F.when(F.length("value") > 16, F.concat(F.lit(r"\Q"), "value", F.lit(r"\E"))).otherwise(tail)
-    own = usable.select("tenant", F.struct("ord", pattern.alias("p")).alias("r")).groupBy("tenant").agg(F.array_sort(F.collect_list("r")).alias("__mm_rules"))
+    own = usable.select("tenant", F.struct("ord", "value").alias("r")).groupBy("tenant").agg(F.array_sort(F.collect_list("r")).alias("__mm_rules"))
     joined = df.join(own, df[key] == own["tenant"], "left").drop(own["tenant"])
-    mark = policy.placeholder.replace("\\", "\\\\").replace("$", "\\$")
-    text = F.when(F.col("__mm_rules").isNotNull(), F.aggregate("__mm_rules", F.col(col), lambda t, r: F.regexp_replace(t, r["p"], F.lit(mark)))).otherwise(F.col(col))
-    return redact_text(joined.withColumn(col, text).select(df.columns), col, policy)
+    mark = policy.placeholder
+    escaped = mark.replace("\\", "\\\\").replace("$", "\\$")
 
+    def one(text: Column, rule: Column) -> Column:
+        value = rule["value"]
+        tail = F.concat(F.lit(r"(?<![A-Za-z0-9_./+-])[A-Za-z0-9_./+-]{8,}"), _as_pattern(value), F.lit(r"(?![A-Za-z0-9_./+=-])"))
+        changed = F.when(F.length(value) > 16, F.replace(text, value, F.lit(mark))).otherwise(F.regexp_replace(text, tail, F.lit(escaped)))
+        return F.when(F.contains(text, value), changed).otherwise(text)
 
+    text = F.when(F.col("__mm_rules").isNotNull(), F.aggregate("__mm_rules", F.col(col), one)).otherwise(F.col(col))
+    return redact_text(joined.withColumn(col, text).select(df.columns), col, policy)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,6 @@ ORACLE_SQL: dict[str, str] = {}
 
 # Small fixed tables that go with the derived views.
 ALLOWED = [("https://allowed.example/v1",)]
-RANGES = [("0" * 20 + "ffff0a000000", "0" * 20 + "ffff0affffff", "10/8"), ("0" * 20 + "ffff7f000000", "0" * 20 + "ffff7fffffff", "127/8"), ("0" * 20 + "ffffc0a80000", "0" * 20 + "ffffc0a8ffff", "192.168/16")]
 HOSTS = [("allowed.example", "0" * 20 + "ffff5db8d822"), ("other.example", "0" * 20 + "ffff0a000001")]
 TENANT_RULES = [("t0", 1, "exact", "deadbeefdeadbeefdead", "long"), ("t1", 1, "exact", "end of note", "tail"), ("t2", 1, "regex", "a+", "re"), ("t2", 2, "exact", "shrt", "bad")]
 TAIL, LONG = "=endtail", "the quick brown fox secret"
@@ -84,15 +84,37 @@ def s5_encoding_guard(spark, d):
     return requests.encoding_guard(_with_headers(spark, d)).select("req_id", "reject_reason")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i + 1}, {S.quoted(r.name)}, {S.quoted(r.pattern)}, {str(r.audit).lower()}, {i})" for i, r in enumerate(BUILTIN)) + ") t(rule_id, name, pattern, audit, ord)")
+_USER_RULES = "SELECT DISTINCT 'exact' AS type, substr(md5(source), 1, 20) AS value, 'own_' || source AS name FROM documents WHERE source IS NOT NULL"
+
+
+@query(_USER_RULES)
+def s6_rules_file(spark, d):
+    """A rules file for each kind of file, made of the sources' names, written, and read again; both hold the same rules."""
+    at = f"{tables.shared_dir(spark)}/rules-{uuid.uuid4().hex}"
+    names = tables.table(spark, d, "documents").where("source IS NOT NULL").select("source").distinct()
+    rules = names.select(F.lit("exact").alias("type"), F.left(F.md5("source"), F.lit(20)).alias("value"), F.concat(F.lit("own_"), "source").alias("name"))
+    rules.write.json(f"{at}/a.jsonl")
+    item = F.concat(F.lit("- type: "), "type", F.lit("\n  value: "), "value", F.lit("\n  name: "), "name")
+    rules.select(item).write.text(f"{at}/a.yaml")
+    both = [tables.load_rules(spark, f"{at}/a.{kind}").select("type", "value", "name") for kind in ("jsonl", "yaml")]
+    return both[0].intersect(both[1])
+
+
+_RULE_ROWS = ", ".join(f"({i + 1}, {S.quoted(r.name)}, {S.quoted(r.pattern)}, {str(r.audit).lower()}, {i})" for i, r in enumerate(BUILTIN))
+
+
+@query(f"{S.views('seeded')}, {S.fold('seeded', 'k')}, l AS ({S.long_hits('k')}), t(rule_id, name, pattern, audit, ord) AS (VALUES {_RULE_ROWS}) SELECT t.*, coalesce((SELECT sum(hits) FROM l WHERE l.rule = t.name), 0)::bigint AS hits FROM t")
 def s6_rules_table(spark, d):
-    return tables.rules_table(spark).select("rule_id", "name", "pattern", "audit", "ord")
+    """The rules and what each found in the seeded rows."""
+    rules, found = tables.rules_table(spark), a1_merge_stats(spark, d)
+    return rules.join(found, rules["name"] == found["rule"], "left").select("rule_id", "name", "pattern", "audit", "ord", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 @query(f"{S.views('request_log')}, {S.fold('request_log', 'path', 'body')}, l AS ({S.long_hits('path')}), r AS (SELECT path, rule, sum(hits)::bigint AS hits FROM l GROUP BY ALL) SELECT path, sum(hits)::bigint AS redactions, count(*) AS rules FROM r GROUP BY path")
 def s7_audit_sink(spark, d):
-    events = _audit(spark, d)
-    parsed = tables.audit_lines(events).select(F.from_json("value", "ts timestamp, event string, path string, redactions bigint, rules map<string,bigint>").alias("e"))
+    at = f"{tables.shared_dir(spark)}/audit-{uuid.uuid4().hex}"
+    tables.write_audit(_audit(spark, d), at)
+    parsed = spark.read.text(at).select(F.from_json("value", "ts timestamp, event string, path string, redactions bigint, rules map<string,bigint>").alias("e"))
     return parsed.select("e.path", "e.redactions", F.size("e.rules").cast("long").alias("rules"))
 
 
@@ -102,7 +124,9 @@ def _redacted_docs_sql(select: str) -> str:
 
 @query(_redacted_docs_sql("SELECT doc_id, t AS text"))
 def s8_redacted_table(spark, d):
-    return text.redact_text(tables.spread(view(spark, d, "seeded_docs").select("doc_id", "text")))
+    at = f"{tables.shared_dir(spark)}/redacted-{uuid.uuid4().hex}"
+    tables.write_redacted(text.redact_text(tables.spread(view(spark, d, "seeded_docs").select("doc_id", "text"))), at)
+    return spark.read.schema("doc_id long, text string").parquet(at)
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -111,16 +135,15 @@ def s9_stream_table(spark, d):
 
 
 def _run_stream(stream: DataFrame, mode: str) -> DataFrame:
-    """The stream's result so far, from a table in memory named for this run."""
-    import uuid
-
-    name = f"mm_{uuid.uuid4().hex}"
-    at = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if at and mode != "append":
-        writer = writer.option("checkpointLocation", f"{at.rstrip('/')}/{name}")
+    """The stream's result so far, from files in the shared folder; in complete mode each batch replaces the one before."""
+    at = f"{tables.shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{at}/rows")
+    else:
+        writer = writer.foreachBatch(lambda rows, _n: rows.write.mode("overwrite").parquet(f"{at}/rows"))
     writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
 # Text
@@ -233,11 +256,11 @@ def _json_requests(spark, d):
     return tables.spread(view(spark, d, "request_log").where(X.is_json(F.col("content_type"))).select("req_id", "body"))
 
 
-@query(f"{_PAYLOADS}, c AS (SELECT req_id, json_extract_string(body, '$.messages[0].content') AS text FROM j WHERE json_valid(body)), {S.fold('c', 'req_id', count=False)} SELECT req_id, 1024::bigint AS max_tokens, 'short' AS short_secret, {_MASK} AS api_key, t AS content FROM f{len(BUILTIN)}")
+@query(f"{_PAYLOADS}, c AS (SELECT req_id, json_extract_string(body, '$.messages[0].content') AS text FROM j WHERE json_valid(body)), {S.fold('c', 'req_id', count=False)} SELECT req_id, 1024::bigint AS max_tokens, {_MASK} AS short_secret, {_MASK} AS api_key, t AS content FROM f{len(BUILTIN)}")
 def p2_redact_json(spark, d):
     out = nested.redact_json(_json_requests(spark, d), "body").where("reject_reason IS NULL")
     get = lambda p: F.get_json_object("body", p)
-    return out.select("req_id", get("$.max_tokens").cast("long").alias("max_tokens"), F.when(get("$.password") == PLACEHOLDER, "short").otherwise(get("$.password")).alias("short_secret"), get("$.apiKey").alias("api_key"), get("$.messages[0].content").alias("content"))
+    return out.select("req_id", get("$.max_tokens").cast("long").alias("max_tokens"), get("$.password").alias("short_secret"), get("$.apiKey").alias("api_key"), get("$.messages[0].content").alias("content"))
 
 
 _KEYS = "SELECT DISTINCT unnest(['max_tokens','databasePassword','apiKey','APIKey','accessToken','token','auth','signature','note','sigmoid','X-Api-Key','clientSecretValue']) || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '_v' || CAST(o_orderkey % 7 AS varchar) END AS key FROM orders"
@@ -268,9 +291,12 @@ def p6_map_keys(spark, d):
     return nested.redact_nested(rows, "m").select("k", F.map_keys("m")[0].alias("key"))
 
 
-@query(f"{S.views('seeded')} SELECT k, k % 50 < 39 AND k % 50 NOT IN (16, 18) AND k % 2 = 0 OR (k % 2 = 0 AND k % 50 IN (16, 18)) AS collides FROM seeded WHERE k % 50 IN (0, 1, 4, 5, 45)")
+_OTHER_KEY = "substr(text, 1, length(text) - 4) || '1 end'"
+
+
+@query(f"{S.views('seeded')}, a AS (SELECT k, text, 1 AS n FROM seeded UNION ALL SELECT k, {_OTHER_KEY}, 2 FROM seeded WHERE k % 2 = 0), {S.fold('a', 'k, n', count=False)} SELECT k, count(DISTINCT t) < count(*) AS collides FROM f{len(BUILTIN)} GROUP BY k")
 def p7_key_collisions(spark, d):
-    rows = seeded(spark, d).where("k % 50 IN (0, 1, 4, 5, 45)").select("k", F.when(F.col("k") % 2 == 0, F.create_map("text", F.lit("v"), F.concat(F.expr("substr(text, 1, length(text) - 4)"), F.lit("1 end")), F.lit("w"))).otherwise(F.create_map("text", F.lit("v"))).alias("m"))
+    rows = seeded(spark, d).select("k", F.when(F.col("k") % 2 == 0, F.create_map("text", F.lit("v"), F.concat(F.expr("substr(text, 1, length(text) - 4)"), F.lit("1 end")), F.lit("w"))).otherwise(F.create_map("text", F.lit("v"))).alias("m"))
     return nested.key_collisions(rows, "m").select("k", "collides")
 
 
@@ -293,10 +319,10 @@ def p9_scan_messages(spark, d):
     return nested.scan_messages(_turns(spark, d))
 
 
-@query(f"{_SEEDED_FOLD} SELECT k, t AS content, t AS stop, 0.5::double AS temperature FROM f{len(BUILTIN)}")
+@query(f"{_SEEDED_FOLD} SELECT k, t AS content, t AS stop, 0.5::double AS temperature, (2 * ({S.total()}))::bigint AS redactions FROM f{len(BUILTIN)}")
 def p10_redact_params(spark, d):
     rows = seeded(spark, d).select("k", F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"), F.col("text").alias("stop"), F.lit(0.5).alias("temperature")).alias("params"))
-    return nested.redact_params(rows).select("k", F.col("params.messages")[0]["content"].alias("content"), F.col("params.stop").alias("stop"), F.col("params.temperature").alias("temperature"))
+    return nested.scan_params(rows).select("k", F.col("params.messages")[0]["content"].alias("content"), F.col("params.stop").alias("stop"), F.col("params.temperature").alias("temperature"), "redactions")
 
 
 @query(f"{_SEEDED_FOLD} SELECT k, t AS text, 'plain' AS other, ({S.total()})::bigint AS redactions, CASE WHEN {S.total()} > 0 THEN 'text' ELSE '' END AS changed FROM f{len(BUILTIN)}")
@@ -382,7 +408,7 @@ def j1_allowlist(spark, d):
 
 @query(f"{S.views('request_log')} SELECT req_id, req_id % 5 IN (2, 3) AS private FROM request_log")
 def j2_private_targets(spark, d):
-    return requests.private_targets(view(spark, d, "request_log"), "url", spark.createDataFrame(HOSTS, "host string, ip string"), spark.createDataFrame(RANGES, "lo string, hi string, name string")).select("req_id", "private")
+    return requests.private_targets(view(spark, d, "request_log"), "url", spark.createDataFrame(HOSTS, "host string, ip string"), requests.reserved_ranges(spark)).select("req_id", "private")
 
 
 @query(f"{S.views('seeded')}, r AS (SELECT k, CASE WHEN k % 4 = 0 THEN replace(text || ' deadbeefdeadbeefdead', 'deadbeefdeadbeefdead', {_MASK}) ELSE text || ' deadbeefdeadbeefdead' END AS text FROM seeded), {S.fold('r', 'k', count=False)} SELECT k, t AS text FROM f{len(BUILTIN)}")
@@ -416,6 +442,13 @@ def a2_audit_events(spark, d):
     return _audit(spark, d).select("path", F.explode("rules").alias("rule", "hits"))
 
 
+@query(f"{S.views('request_log')} SELECT 'query:' || path AS path, 'sensitive_field' AS rule, count(*) AS hits FROM request_log GROUP BY path")
+def a2_query_events(spark, d):
+    """Every url of the log has one parameter named like a secret."""
+    scanned = requests.scan_query(tables.spread(view(spark, d, "request_log").select(F.concat(F.lit("query:"), "path").alias("path"), "url")), "url")
+    return text.audit_events(scanned).select("path", F.explode("rules").alias("rule", "hits"))
+
+
 @query(f"{_LOG} SELECT path, rule, sum(hits)::bigint AS hits FROM l GROUP BY ROLLUP(path, rule)")
 def a3_audit_rollup(spark, d):
     return text.audit_rollup(text.long_hits(text.scan_text(tables.spread(view(spark, d, "request_log")), "body"), "path"))
@@ -432,9 +465,9 @@ def a5_rule_coverage(spark, d):
     return text.rule_coverage(text.long_hits(text.scan_text(docs), "doc_id"), BUILTIN)
 
 
-@query(f"{_SEEDED_FOLD} SELECT f{len(BUILTIN)}.k FROM f{len(BUILTIN)} JOIN seeded USING (k) WHERE k % 50 < 36 AND contains(t, seeded.h)")
+@query(f"{_SEEDED_FOLD} SELECT f{len(BUILTIN)}.k FROM f{len(BUILTIN)} JOIN seeded USING (k) WHERE contains(t, seeded.h)")
 def a6_leak_check(spark, d):
-    known = view(spark, d, "seeded").where("k % 50 < 36").select("k", F.col("h").alias("value"))
+    known = view(spark, d, "seeded").select("k", F.col("h").alias("value"))
     return text.leak_check(text.redact_text(seeded(spark, d)), "text", known, "value", "k").select("k")
 
 
@@ -484,6 +517,13 @@ def x5_normalize_path(spark, d):
     return tables.table(spark, d, "pages").select("page_id", X.normalize_path(raw).alias("path"))
 
 
+@query(r"SELECT page_id, regexp_replace('/' || regexp_replace(split_part(split_part(substr(url, position('://' IN url) + 3), '?', 1), '#', 1), '^[^/]*/?', ''), '/+$', '') || '/%zz/' || page_id || '.' AS path FROM pages WHERE url LIKE '%://%'")
+def x5_page_paths(spark, d):
+    """The paths of real urls, with an escaped detour and a bad escape put behind them."""
+    pages = tables.table(spark, d, "pages").where("url LIKE '%://%'")
+    return pages.select("page_id", X.normalize_path(F.concat(X.url_part(F.col("url"), "path"), F.expr("'/%2e/x/%2E%2e//%zz/' || page_id || '%2E'"))).alias("path"))
+
+
 @query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://h.example/api/v1/chat' WHEN 1 THEN 'https://h.example/api/v1/chat' WHEN 2 THEN 'https://h.example/api/v1/x' ELSE 'https://h.example/v1/chat' END AS target FROM pages")
 def x6_join_target(spark, d):
     base = F.expr("CASE WHEN page_id % 4 = 3 THEN 'https://h.example/' ELSE 'https://h.example/api/v1/' END")
@@ -522,9 +562,9 @@ def c1_responses_to_chat(spark, d):
     return chat.responses_to_chat(view(spark, d, "responses_log"), "k", "body").select("id", "pos", "role", "content", "tool_call_id")
 
 
-@query(f"""{_CHAT} SELECT k AS id, 0 AS pos, CASE WHEN k % 6 = 1 THEN 'a ' || h WHEN k % 6 = 4 THEN 'z' ELSE '[{{"type":"text","text":"see"}},{{"type":"image_url","image_url":{{"url":"http://i/' || substr(h,1,4) || '","detail":"low"}}}}]' END AS content FROM seeded WHERE k % 6 IN (1, 4, 5)""")
+@query(f"""{_CHAT} SELECT k AS id, 0 AS pos, CASE WHEN k % 6 = 1 THEN 'a ' || h WHEN k % 6 = 4 THEN 'z' ELSE '[{{"type":"text","text":"see"}},{{"type":"image_url","image_url":{{"url":"http://i/' || substr(h,1,4) || '","detail":"low"}}}}]' END AS content FROM seeded WHERE k % 6 IN (1, 4, 5) UNION ALL SELECT k, 1, 'b' || chr(10) || 'c' FROM seeded WHERE k % 6 = 1""")
 def c2_content_to_chat(spark, d):
-    items = chat.request_items(chat.parse(view(spark, d, "responses_log").where("k % 6 IN (1, 4, 5)"), "k", "body")).where("pos = 0")
+    items = chat.request_items(chat.parse(view(spark, d, "responses_log"), "k", "body")).where(F.coalesce(chat.item_type(F.col("item")), F.lit("message")) == "message")
     return items.select("id", "pos", chat.content_to_chat(F.col("item")).alias("content"))
 
 

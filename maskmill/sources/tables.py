@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode (tests)
+    and ValueError on a cluster."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='maskmill-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table of few files, dealt over all cores before heavy work on each row."""
     n = df.sparkSession.sparkContext.defaultParallelism
@@ -36,7 +50,7 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
     name: ..), told apart by its ending. Files that Spark's file systems reach; the order of the file is the rules' order."""
     if not path.endswith((".yaml", ".yml")):
         return spark.read.schema(RULE_SPEC).option("multiLine", not path.endswith(".jsonl")).json(path).withColumn("ord", F.monotonically_increasing_id())
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     items = text.select(F.posexplode(F.filter(F.split("value", r"(?m)^\s*-\s+"), lambda x: F.rlike(x, F.lit(r"(?m)^\s*type\s*:")))).alias("ord", "item"))
     field = lambda name: F.nullif(F.regexp_replace(F.trim(F.regexp_extract("item", rf"(?m)^\s*{name}\s*:[ \t]*(.*?)\s*$", 1)), r"""^(["'])(.*)\1$""", "$2"), F.lit(""))
     return items.select(field("type").alias("type"), field("value").alias("value"), field("name").alias("name"), F.col("ord").cast("long").alias("ord"))

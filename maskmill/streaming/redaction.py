@@ -56,7 +56,10 @@ def _assemble(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     """The state holds what came out of order (seq and bytes), the next seq, bytes not yet decoded, and the text so far."""
     ahead, next_seq, rest, text = state.get if state.exists else ("{}", 0, b"", "")
     waiting, said, done = {int(k): bytes.fromhex(v) for k, v in json.loads(ahead).items()}, [text], False
+    newest = state.getCurrentWatermarkMs()
     for frame in batches:
+        times = frame["ts"].dropna()
+        newest = max(newest, int(times.max().timestamp() * 1000)) if len(times) else newest
         waiting |= {int(s): bytes(c) for s, c in zip(frame["seq"], frame["chunk"], strict=True)}
     late = state.hasTimedOut
     while waiting and not done and (next_seq in waiting or late):
@@ -71,7 +74,7 @@ def _assemble(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         yield pd.DataFrame({"response_id": [key[0]], "text": ["".join(said)], "complete": [done]})
     else:
         state.update((json.dumps({k: v.hex() for k, v in waiting.items()}), next_seq, bytes(rest), "".join(said)))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 60_000)
+        state.setTimeoutTimestamp(newest + 60_000)
 
 
 def stream_assemble(stream: DataFrame, delay: str = "1 minute") -> DataFrame:
