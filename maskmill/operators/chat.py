@@ -135,7 +135,7 @@ def conversion_rejects(df: DataFrame, id_col: str, col: str) -> DataFrame:
         .when(~(kind == "message") & ~call & ~result, "unsupported item type")
         .alias("why"),
     )
-    bad_tools = _tool_rows(parsed).select("id", (F.col("at") + 1_000_000).cast("int").alias("pos"), F.col("why"))
+    bad_tools = _tool_rows(parsed).select("id", (F.col("at") + (1 << 40)).alias("pos"), F.col("why"))
     # null reasons go after the aggregate: a filter below it would repeat every reason's expression in itself
     found = whole.unionByName(per_item).unionByName(bad_tools)
     first = F.min_by("why", F.when(F.col("why").isNotNull(), F.col("pos")))
@@ -164,8 +164,8 @@ def _tool_rows(parsed: DataFrame) -> DataFrame:
     kind = _get(tool, "$.type")
     named = top.where(kind == "namespace").select("id", "outer_pos", _get(tool, "$.name").alias("namespace"), F.try_variant_get("tool", "$.tools", "variant").alias("inner_tools"))
     good = named.where((F.length("namespace") > 0) & F.schema_of_variant("inner_tools").startswith("ARRAY") & (F.to_json("inner_tools") != "[]"))
-    inner = _explode(good, "inner_tools", "tool").select("id", (F.col("outer_pos") * 1000 + F.col("pos")).alias("at"), "namespace", "tool")
-    flat = top.where(kind == "function").select("id", (F.col("outer_pos") * 1000).alias("at"), F.lit(None).cast("string").alias("namespace"), "tool")
+    inner = _explode(good, "inner_tools", "tool").select("id", (F.col("outer_pos") * (1 << 31) + F.col("pos")).alias("at"), "namespace", "tool")
+    flat = top.where(kind == "function").select("id", (F.col("outer_pos") * (1 << 31)).alias("at"), F.lit(None).cast("string").alias("namespace"), "tool")
     functions = flat.unionByName(inner)
     is_null = lambda path: _missing(tool, path) | _is(tool, path, "VOID")
     why = (
@@ -177,7 +177,7 @@ def _tool_rows(parsed: DataFrame) -> DataFrame:
     )
     judged = functions.select("id", "at", "namespace", "tool", why.alias("why"))
     null_tool = F.lit(None).cast("variant")
-    blank = lambda df, reason: df.select("id", (F.col("outer_pos") * 1000).alias("at"), F.lit(None).cast("string").alias("namespace"), null_tool.alias("tool"), F.lit(reason).alias("why"))
+    blank = lambda df, reason: df.select("id", (F.col("outer_pos") * (1 << 31)).alias("at"), F.lit(None).cast("string").alias("namespace"), null_tool.alias("tool"), F.lit(reason).alias("why"))
     odd = blank(top.where(F.coalesce(~kind.isin("function", "namespace"), F.lit(True))), "unsupported tool type")
     unnamed = blank(named.where(F.coalesce(F.length("namespace") == 0, F.lit(True))), "namespace requires name")
     empty = blank(named.where((F.length("namespace") > 0) & (F.col("inner_tools").isNull() | ~F.schema_of_variant("inner_tools").startswith("ARRAY") | (F.to_json("inner_tools") == "[]"))), "namespace requires tools")
