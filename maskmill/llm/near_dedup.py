@@ -4,13 +4,14 @@
    class from here on, however many copies it has.
 2. Every tree of the forest sorts all classes by its own rotation of the signature. A region is a run of classes that
    share the first values (the shallowest depth). A region too large for one look is cut along the sorted order, so its
-   pieces share longer prefixes: the depth adapts to the region, and range partitioning splits it over tasks. Its classes
-   are sorted again by TURNS other rotations below the shared values, so that a pair cut apart in one order meets in another.
+   pieces share longer prefixes: the depth adapts to the region, and range partitioning splits it over tasks.
 3. In a piece, estimates from the whole sketch give a spanning forest of the most similar pairs and a link of each class
    to a leader, at most two candidates a class.
 4. Candidates of all trees, each once, are confirmed on the full sets. Their components are the parts of the second round,
    in which every pair of a piece that is likely, in different parts and not yet looked at is confirmed too: a pair that
-   shares a piece is left out only if its estimate falls short. Components come from the links of both rounds.
+   shares a piece is left out only if its estimate falls short. In this round the classes of a region that was cut, and is
+   not all one part, are sorted again by TURNS rotations below the shared values, so that a pair cut apart in one order meets
+   in another. Components come from the links of both rounds.
 """
 
 from __future__ import annotations
@@ -276,9 +277,20 @@ def _trees(classes: DataFrame, more: str = "") -> DataFrame:
     return classes.mapInArrow(_forest, f"tree int, order binary, key long{more}")
 
 
+def _prefix():
+    return F.expr(f"substring(order, 1, {OWN})")
+
+
+def _split(trees: DataFrame, large: DataFrame) -> DataFrame:
+    """The large regions (tree, prefix) whose classes are not all in one part by now."""
+    own = trees.select("tree", _prefix().alias("prefix"), "part").join(large, ["tree", "prefix"], "left_semi")
+    ends = own.groupBy("tree", "prefix").agg(F.min("part").alias("least"), F.max("part").alias("most"))
+    return cut(ends.where("least < most").select("tree", "prefix"))
+
+
 def _turned(trees: DataFrame, large: DataFrame) -> DataFrame:
     """The rows of large regions (tree, prefix) in their further turns."""
-    rows = trees.withColumn("prefix", F.expr(f"substring(order, 1, {OWN})")).join(large, ["tree", "prefix"], "left_semi")
+    rows = trees.withColumn("prefix", _prefix()).join(large, ["tree", "prefix"], "left_semi")
     return rows.select(trees.columns).mapInArrow(_turns, trees.schema)
 
 
@@ -299,16 +311,13 @@ def links(docs: DataFrame, marks: DataFrame, text_col: str, words: int, similari
     classes = marks.where(F.col("sig").isNotNull()).groupBy("key").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
     plain, kind = classes.select("key", "sig"), "a long, b long, tree int, prefix binary"
     seen = cut(_sorted(_trees(plain)).mapInArrow(_regions(similarity), kind))
-    large, pairs = seen.where("tree IS NOT NULL").select("tree", "prefix").distinct(), seen.where("a IS NOT NULL").select("a", "b")
-    turned = large.limit(1).count() > 0
-    if turned:
-        large = cut(large)
-        pairs = pairs.unionByName(_sorted(_turned(_trees(plain), large)).mapInArrow(_regions(similarity), kind).where("a IS NOT NULL").select("a", "b"))
-    pairs = cut(pairs.distinct())
+    pairs = cut(seen.where("a IS NOT NULL").select("a", "b").distinct())
     first = _confirmed(docs, pairs, text_col, words, similarity)
     parts = connected_components(first).select(F.col("node").alias("key"), "label")
     parted = _trees(classes.join(parts, "key", "left").select("key", "sig", F.coalesce("label", "key").alias("part"), "size"), ", part long, size long")
-    orders = [_sorted(parted), *([_sorted(_turned(parted, large))] if turned else [])]
+    orders, large = [_sorted(parted)], seen.where("tree IS NOT NULL").select("tree", "prefix").distinct()
+    if large.limit(1).count():
+        orders.append(_sorted(_turned(parted, _split(parted, large))))
     apart = reduce(DataFrame.unionByName, [o.mapInArrow(_apart(similarity), "a long, b long") for o in orders]).distinct()
     rest = cut(apart.join(pairs, ["a", "b"], "left_anti"))
     return first.unionByName(_confirmed(docs, rest, text_col, words, similarity)) if rest.limit(1).count() else first
