@@ -7,7 +7,7 @@
    pieces share longer prefixes: the depth adapts to the region, and range partitioning splits it over tasks.
 3. In a piece, estimates from the whole sketch give a spanning forest of the most similar pairs and a link of each class
    to a leader, at most two candidates a class.
-4. Candidates of all trees, each once, are confirmed on the full sets. Their components are the parts of the second round,
+4. Candidates of all trees, each once, are confirmed on the full sets, block against block of neighbours. Their components are the parts of the second round,
    in which every pair of a piece that is likely, in different parts and not yet looked at is confirmed too: a pair that
    shares a piece is left out only if its estimate falls short. In this round the classes of a region that was cut, and is
    not all one part, are sorted again by TURNS rotations below the shared values, so that a pair cut apart in one order meets
@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ TREES, DEPTH, PIECE, TURNS = 20, 3, 512, 8
 HASHES, EXTRA = TREES * DEPTH, 36
 BELOW = HASHES - DEPTH + EXTRA
 SALTS = 32
+#: Full sets of a block, by number and by bytes, while pairs are confirmed.
+BLOCK, BLOCK_BYTES = 64, 1 << 20
 _rng = np.random.default_rng(9)
 _MULT = (_rng.integers(0, 1 << 63, HASHES + EXTRA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, HASHES + EXTRA, dtype=np.uint64)
@@ -214,7 +218,7 @@ def _apart(similarity: float):
     return make
 
 
-def _pairs_batch(found: set) -> pa.RecordBatch:
+def _pairs_batch(found: set | list) -> pa.RecordBatch:
     a, b = zip(*sorted(found), strict=True)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -251,23 +255,54 @@ def _full_sets(docs: DataFrame, text_col: str, words: int, nodes: DataFrame) ->
     return sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
 
 
+def _overlaps(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members each of the others shares with x; all are sorted, without repeats and not empty."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+    return np.add.reduceat(x[at] == flat, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
+
+
 def _confirm(similarity: float):
+    """The similar ones of the pairs. Rows come by (p, q), first its sets (a: node, b: null), then its pairs by a."""
     percent = round(100 * similarity)
 
+    def similar(sets: dict, pairs: list):
+        for a, run in groupby(pairs, itemgetter(0)):
+            x, near = sets[a], [b for _, b in run]
+            near = [b for b in near if 100 * min(len(x), len(sets[b])) >= percent * max(len(x), len(sets[b]))]
+            if near:
+                both = _overlaps(x, [sets[b] for b in near])
+                yield from ((a, b) for b, n in zip(near, both, strict=True) if 100 * n >= percent * (len(x) + len(sets[b]) - n))
+
     def make(batches):
+        sets: dict = {}
+        block = None
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            keep, pairs = [], []
+            for p, q, a, b, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (p, q) != block:
+                    keep.extend(similar(sets, pairs))
+                    block, sets, pairs = (p, q), {}, []
+                if b is None:
+                    sets[a] = np.frombuffer(members, np.uint64)
+                else:
+                    pairs.append((a, b))
+            keep.extend(similar(sets, pairs))
+            if keep:
+                yield _pairs_batch(keep)
 
     return make
 
 
+def _blocks(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, block): nodes with the same smallest neighbour go together, in blocks of about BLOCK sets and BLOCK_BYTES."""
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    near = ends.groupBy("node").agg(F.least(F.min("other"), "node").alias("near"))
+    sized = near.join(sets.select("node", F.length("members").alias("bytes")), "node")
+    many = sized.groupBy("near").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
+    return sized.join(many, "near").select("node", F.xxhash64("near", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+
+
 def _sorted(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(slots(rows.sparkSession), "tree", "order").sortWithinPartitions("tree", "order")
 
@@ -295,15 +330,26 @@ def _turned(trees: DataFrame, large: DataFrame) -> DataFrame:
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """The pairs whose full sets are as similar as that."""
+    """The pairs whose full sets are as similar as that.
+
+    Pairs are dealt by the blocks of their two ends, and a set goes once to each pair of blocks that needs it: where
+    nearly all of a group's members are pairs of each other, that is once for BLOCK pairs.
+    """
     nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     sets = cut(_full_sets(docs, text_col, words, nodes))
-    both = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-        .select("a", "b", "x", "y")
+    blocks = cut(_blocks(pairs, sets))
+    placed = (
+        pairs.join(blocks.select(F.col("node").alias("a"), F.col("block").alias("x")), "a")
+        .join(blocks.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
+        .select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "a", "b")
+    )
+    placed = cut(placed)
+    wanted = placed.select("p", "q", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+    rows = wanted.select("p", "q", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "members").unionByName(
+        placed.withColumn("members", F.lit(None).cast("binary"))
     )
-    return cut(both.mapInArrow(_confirm(similarity), "a long, b long"))
+    dealt = rows.repartition(slots(docs.sparkSession), "p", "q").sortWithinPartitions("p", "q", F.col("b").isNotNull(), "a", "b")
+    return cut(dealt.mapInArrow(_confirm(similarity), "a long, b long"))
 
 
 def links(docs: DataFrame, marks: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
