@@ -7,33 +7,35 @@
    pieces share longer prefixes: the depth adapts to the region, and range partitioning splits it over tasks.
 3. In a piece, estimates from the whole sketch give a spanning forest of the most similar pairs and a link of each class
    to a leader, at most two candidates a class.
-4. Candidates of all trees, each once, are confirmed on the full sets, block against block of neighbours. Their components are the parts of the second round,
-   in which every pair of a piece that is likely, in different parts and not yet looked at is confirmed too: a pair that
-   shares a piece is left out only if its estimate falls short. In this round the classes of a region that was cut, and is
-   not all one part, are sorted again by TURNS rotations below the shared values, so that a pair cut apart in one order meets
-   in another. Components come from the links of both rounds.
+4. Candidates of all trees, each once, are confirmed on the full sets, block against block of neighbours. Their components
+   are the parts of the second round, which doubts two kinds of classes: those with a likely partner of another part in a
+   piece, and those of regions that were cut (by size, or by the borders of range partitions) and hold more than one part.
+5. Doubtful classes of different parts are matched exactly: a class is found by those of its shingles that are rarest among
+   all doubtful classes. Two sets so similar have a shingle in common early in both, at places that leave enough to share.
+   These pairs are confirmed like the others, and components come from the links of both rounds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
 from .shared import connected_components, cut, slots
 
-TREES, DEPTH, PIECE, TURNS = 20, 3, 512, 8
+TREES, DEPTH, PIECE = 20, 3, 512
 #: Hashes that the trees sort by, more of which estimates alone use one byte, and all values of an order below the region's.
 HASHES, EXTRA = TREES * DEPTH, 36
 BELOW = HASHES - DEPTH + EXTRA
 SALTS = 32
+#: Classes that share a rare shingle and are matched in one task; more are dealt over several.
+SHARE = 4096
 #: Full sets of a block, by number and by bytes, while pairs are confirmed.
 BLOCK, BLOCK_BYTES = 64, 1 << 20
 _rng = np.random.default_rng(9)
@@ -77,12 +79,12 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(make, f"id {kind}, n_shingles long, key long, sig binary")
 
 
-OWN = 4 * DEPTH + 1  # bytes of an order that name the region
+OWN = 4 * DEPTH  # bytes of an order that name the region
 
 
 def _forest(batches):
-    """Rows (tree, order, key and the columns after sig): order is the tree's own values in full and the turn (0), then one byte of
-    each other value, in turn."""
+    """Rows (tree, order, key and the columns after sig): order is the tree's own values in full, then one byte of each other
+    value, in turn."""
     for batch in batches:
         keys = batch.column(0)
         whole = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 4 * HASHES + EXTRA)
@@ -90,7 +92,7 @@ def _forest(batches):
         for tree in range(TREES):
             own = sig[:, tree * DEPTH : (tree + 1) * DEPTH].reshape(len(sig), -1)
             turned = np.roll(sig[:, :, 3], -(tree + 1) * DEPTH, axis=1)[:, : HASHES - DEPTH]
-            order = np.concatenate([own, np.zeros((len(sig), 1), np.uint8), turned, extra], axis=1)
+            order = np.concatenate([own, turned, extra], axis=1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(sig), tree, np.int32)), _binary(order), keys, *batch.columns[2:]],
                 ["tree", "order", "key", *batch.schema.names[2:]],
@@ -103,18 +105,6 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(edges), pa.py_buffer(rows)])
 
 
-def _turns(batches):
-    """The rows of large regions once more for each further turn of what comes below the region's values."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        order = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        for turn in range(1, TURNS):
-            rest = np.roll(order[:, OWN:], -turn * BELOW // TURNS, axis=1)
-            made = np.concatenate([order[:, : OWN - 1], np.full((len(order), 1), turn, np.uint8), rest], axis=1)
-            yield batch.set_column(1, "order", _binary(made))
-
-
 def _likely(bytes_: np.ndarray, least: int) -> np.ndarray:
     """How many values of the sketch agree for each pair of a piece; 0 below least."""
     same = np.zeros((len(bytes_), len(bytes_)), np.int16)
@@ -152,22 +142,25 @@ def _candidates(keys: np.ndarray, sketch: np.ndarray, least: int, close: int) ->
 
 def _pieces(batches):
     """For each batch, the pieces of regions that end in it, as rows (prefix, sketch, key and what else the batches hold), and the
-    (tree, prefix) of regions that were cut."""
+    (tree, prefix) of regions that may have been cut: the large ones, and a partition's first and last."""
     held: list = []  # the open region's rows so far
     for batch in batches:
-        done, large = [], set()
+        done, split = [], set()
         for tree, order, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             prefix = (tree, order[:OWN])
-            if held and held[-1][0] != prefix:
+            if not held:
+                split.add(prefix)
+            elif held[-1][0] != prefix:
                 done.append(held)
                 held = []
             elif len(held) == PIECE:  # go on in the same region: one row in eight stays, so that pieces overlap
                 done.append(held)
-                large.add(prefix)
+                split.add(prefix)
                 held = held[::8]
             held.append((prefix, order[OWN:], *rest))
-        yield [rows for rows in done if len(rows) > 1], large
-    yield [held] if len(held) > 1 else [], set()
+        yield [rows for rows in done if len(rows) > 1], split
+    if held:
+        yield [held] if len(held) > 1 else [], {held[-1][0]}
 
 
 def _sketch(rows: list) -> np.ndarray:
@@ -180,46 +173,44 @@ def _least(similarity: float) -> int:
 
 
 def _regions(similarity: float):
-    """Candidates (a, b), and (tree, prefix) of regions that were cut."""
+    """Candidates (a, b) of the first round."""
     least, close = _least(similarity), int(BELOW * similarity)
 
     def make(batches):
-        for pieces, large in _pieces(batches):
+        for pieces, _ in _pieces(batches):
             found: set = set()
             for rows in pieces:
                 found |= _candidates(np.array([r[2] for r in rows], np.int64), _sketch(rows), least, close)
-            if found or large:
-                a, b = zip(*sorted(found), strict=True) if found else ((), ())
-                tree, prefix = zip(*large, strict=True) if large else ((), ())
-                none = [None] * max(len(a), len(tree))
-                cols = [(a, pa.int64()), (b, pa.int64()), (tree, pa.int32()), (prefix, pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array([*c, *none[len(c) :]], kind) for c, kind in cols], ["a", "b", "tree", "prefix"])
+            if found:
+                yield _pairs_batch(sorted(found))
 
     return make
 
 
-def _apart(similarity: float):
-    """Every pair of a piece whose estimate and sizes allow the similarity and whose classes are in different parts."""
+def _doubts(similarity: float):
+    """The classes of a piece with a likely partner of another part (key), and regions that may have been cut (tree, prefix)."""
     least, percent = _least(similarity), round(100 * similarity)
 
     def make(batches):
-        for pieces, _ in _pieces(batches):
+        for pieces, split in _pieces(batches):
             found: set = set()
             for rows in pieces:
                 keys, part, size = np.array([r[2:] for r in rows], np.int64).T
                 if (part == part[0]).all():
                     continue
                 fits = (part[:, None] != part[None, :]) & (100 * np.minimum(size[:, None], size[None, :]) >= percent * np.maximum(size[:, None], size[None, :]))
-                for i, j in np.argwhere(np.triu(fits & (_likely(_sketch(rows), least) > 0), 1)):
-                    found.add((int(min(keys[i], keys[j])), int(max(keys[i], keys[j]))))
-            if found:
-                yield _pairs_batch(found)
+                found.update(keys[(fits & (_likely(_sketch(rows), least) > 0)).any(axis=1)].tolist())
+            if found or split:
+                tree, prefix = zip(*sorted(split), strict=True) if split else ((), ())
+                none = [None] * max(len(found), len(split))
+                cols = [(sorted(found), pa.int64()), (tree, pa.int32()), (prefix, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([*c, *none[len(c) :]], kind) for c, kind in cols], ["key", "tree", "prefix"])
 
     return make
 
 
-def _pairs_batch(found: set | list) -> pa.RecordBatch:
-    a, b = zip(*sorted(found), strict=True)
+def _pairs_batch(found: list) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -316,27 +307,51 @@ def _prefix():
     return F.expr(f"substring(order, 1, {OWN})")
 
 
-def _split(trees: DataFrame, large: DataFrame) -> DataFrame:
-    """The large regions (tree, prefix) whose classes are not all in one part by now."""
-    own = trees.select("tree", _prefix().alias("prefix"), "part").join(large, ["tree", "prefix"], "left_semi")
-    ends = own.groupBy("tree", "prefix").agg(F.min("part").alias("least"), F.max("part").alias("most"))
-    return cut(ends.where("least < most").select("tree", "prefix"))
+def _doubtful(parted: DataFrame, similarity: float) -> DataFrame:
+    """node: the classes that may have a partner of another part that the pieces did not show."""
+    seen = cut(_sorted(parted).mapInArrow(_doubts(similarity), "key long, tree int, prefix binary"))
+    split = seen.where("tree IS NOT NULL").select("tree", "prefix").distinct()
+    own = cut(parted.withColumn("prefix", F.expr(f"substring(order, 1, {OWN})")).join(split, ["tree", "prefix"], "left_semi").select("tree", "prefix", "key", "part"))
+    ends = own.groupBy("tree", "prefix").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most")
+    keys = own.join(ends, ["tree", "prefix"], "left_semi").select("key").unionByName(seen.where("key IS NOT NULL").select("key"))
+    return cut(keys.select(F.col("key").alias("node")).distinct())
+
 
+def _members(batches):
+    for batch in batches:
+        for node, part, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = np.frombuffer(members, np.int64)
+            many = [pa.array(np.full(len(found), v, np.int64)) for v in (node, part, len(found))]
+            yield pa.RecordBatch.from_arrays([*many, pa.array(found)], ["node", "part", "size", "member"])
 
-def _turned(trees: DataFrame, large: DataFrame) -> DataFrame:
-    """The rows of large regions (tree, prefix) in their further turns."""
-    rows = trees.withColumn("prefix", _prefix()).join(large, ["tree", "prefix"], "left_semi")
-    return rows.select(trees.columns).mapInArrow(_turns, trees.schema)
 
+def _matched(sets: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every pair of sets (node, members) of different parts (node, part) that may be as similar as that, none left out.
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    Members are taken in one order for all sets, rarest first. If the first member that x and y share is at places i of x
+    and j of y (from 0), they share at most min(|x| - i, |y| - j), which has to reach what the similarity asks for.
+    """
+    p = round(100 * similarity)
+    members = sets.join(parts, "node").select("node", "part", "members").mapInArrow(_members, "node long, part long, size long, member long")
+    held = members.groupBy("member").agg(F.count("*").alias("held"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("held", "member")) - 1
+    early = members.join(held, "member").withColumn("left", F.col("size") - place).where((F.col("held") > 1) & (100 * F.col("left") >= p * F.col("size")))
+    early = cut(early.withColumn("deals", F.expr(f"held div {SHARE} + 1")))
+    side = [early.select("member", "salt", *(F.col(c).alias(c + s) for c in ("node", "part", "size", "left"))) for s, early in (
+        ("_x", early.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("deals")))),
+        ("_y", early.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)))),
+    )]
+    reach = (100 + p) * F.least("left_x", "left_y") >= p * (F.col("size_x") + F.col("size_y"))
+    met = side[0].join(side[1], ["member", "salt"]).where((F.col("node_x") < F.col("node_y")) & (F.col("part_x") != F.col("part_y")) & reach)
+    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose full sets are as similar as that.
 
     Pairs are dealt by the blocks of their two ends, and a set goes once to each pair of blocks that needs it: where
     nearly all of a group's members are pairs of each other, that is once for BLOCK pairs.
     """
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = cut(_full_sets(docs, text_col, words, nodes))
     blocks = cut(_blocks(pairs, sets))
     placed = (
         pairs.join(blocks.select(F.col("node").alias("a"), F.col("block").alias("x")), "a")
@@ -348,25 +363,24 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, text_col: str, words: int, sim
     rows = wanted.select("p", "q", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "members").unionByName(
         placed.withColumn("members", F.lit(None).cast("binary"))
     )
-    dealt = rows.repartition(slots(docs.sparkSession), "p", "q").sortWithinPartitions("p", "q", F.col("b").isNotNull(), "a", "b")
+    dealt = rows.repartition(slots(pairs.sparkSession), "p", "q").sortWithinPartitions("p", "q", F.col("b").isNotNull(), "a", "b")
     return cut(dealt.mapInArrow(_confirm(similarity), "a long, b long"))
 
 
 def links(docs: DataFrame, marks: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
     """Confirmed links (a, b) between classes, named by the key of their sets; marks are the sketches of docs."""
     classes = marks.where(F.col("sig").isNotNull()).groupBy("key").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
-    plain, kind = classes.select("key", "sig"), "a long, b long, tree int, prefix binary"
-    seen = cut(_sorted(_trees(plain)).mapInArrow(_regions(similarity), kind))
-    pairs = cut(seen.where("a IS NOT NULL").select("a", "b").distinct())
-    first = _confirmed(docs, pairs, text_col, words, similarity)
-    parts = connected_components(first).select(F.col("node").alias("key"), "label")
-    parted = _trees(classes.join(parts, "key", "left").select("key", "sig", F.coalesce("label", "key").alias("part"), "size"), ", part long, size long")
-    orders, large = [_sorted(parted)], seen.where("tree IS NOT NULL").select("tree", "prefix").distinct()
-    if large.limit(1).count():
-        orders.append(_sorted(_turned(parted, _split(parted, large))))
-    apart = reduce(DataFrame.unionByName, [o.mapInArrow(_apart(similarity), "a long, b long") for o in orders]).distinct()
-    rest = cut(apart.join(pairs, ["a", "b"], "left_anti"))
-    return first.unionByName(_confirmed(docs, rest, text_col, words, similarity)) if rest.limit(1).count() else first
+    pairs = cut(_sorted(_trees(classes.select("key", "sig"))).mapInArrow(_regions(similarity), "a long, b long").distinct())
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    first = _confirmed(pairs, cut(_full_sets(docs, text_col, words, nodes)), similarity)
+    joined = connected_components(first).select(F.col("node").alias("key"), "label")
+    parts = cut(classes.join(joined, "key", "left").select("key", "sig", F.coalesce("label", "key").alias("part"), "size"))
+    doubtful = _doubtful(_trees(parts, ", part long, size long"), similarity)
+    if not doubtful.limit(1).count():
+        return first
+    sets = cut(_full_sets(docs, text_col, words, doubtful))
+    rest = cut(_matched(sets, parts.select(F.col("key").alias("node"), "part"), similarity))
+    return first.unionByName(_confirmed(rest, sets, similarity)) if rest.limit(1).count() else first
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
