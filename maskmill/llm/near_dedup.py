@@ -310,10 +310,13 @@ def _prefix():
 def _doubtful(parted: DataFrame, similarity: float) -> DataFrame:
     """node: the classes that may have a partner of another part that the pieces did not show."""
     seen = cut(_sorted(parted).mapInArrow(_doubts(similarity), "key long, tree int, prefix binary"))
-    split = seen.where("tree IS NOT NULL").select("tree", "prefix").distinct()
-    own = cut(parted.withColumn("prefix", F.expr(f"substring(order, 1, {OWN})")).join(split, ["tree", "prefix"], "left_semi").select("tree", "prefix", "key", "part"))
-    ends = own.groupBy("tree", "prefix").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most")
-    keys = own.join(ends, ["tree", "prefix"], "left_semi").select("key").unionByName(seen.where("key IS NOT NULL").select("key"))
+    # a region's classes are dealt over SALTS tasks
+    regions, salts = ["tree", "prefix"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))
+    split = seen.where("tree IS NOT NULL").select(*regions).distinct().withColumn("salt", salts)
+    named = parted.select("tree", F.expr(f"substring(order, 1, {OWN})").alias("prefix"), "key", "part", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
+    own = cut(named.join(split, [*regions, "salt"], "left_semi"))
+    ends = own.groupBy(*regions).agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").withColumn("salt", salts)
+    keys = own.join(ends, [*regions, "salt"], "left_semi").select("key").unionByName(seen.where("key IS NOT NULL").select("key"))
     return cut(keys.select(F.col("key").alias("node")).distinct())
 
 
