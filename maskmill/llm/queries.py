@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, classify, decontaminate, html_text, mixing, mixing_lm, near_dedup, oracles, pii, url_filter
+from . import ann, ball_codes, classify, decontaminate, html_text, mixing, mixing_lm, near_dedup, oracles, pii, signature_tree, turn_repair, url_filter
 from .shared import fold_of
 
 #: Which urls are listed: host, path, verdict.
@@ -77,13 +77,26 @@ def op10_dom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.audits(turn_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op12_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.jaccard_join(_table(spark, sf_dir, "documents"), words=4, similarity=0.85)
+
+
+def op13_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes.compress(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pfair_mix, op2_url_rules, op3_quality, op4_context_mixing, op5_decontaminate, op6_pruned_graph, op7_personal_data, op8_toxicity, op9_minhash_forest, op10_dom_model)
+    f.__name__: f for f in (op1_pfair_mix, op2_url_rules, op3_quality, op4_context_mixing, op5_decontaminate, op6_pruned_graph, op7_personal_data, op8_toxicity, op9_minhash_forest, op10_dom_model, op11_turn_repair, op12_signature_tree, op13_ball_codes)
 }
 
 #: The learned, approximate and parsing operators have none: tests hold them against brute force or held-out rows.
 ORACLE_SQL: dict[str, str] = {
     "op2_url_rules": oracles.url_rules(URL_RULES),
     "op5_decontaminate": oracles.DECONTAMINATION,
-    "op9_minhash_forest": oracles.NEAR_DUPLICATES,
+    "op9_minhash_forest": oracles.near_duplicates(80, ", d.doc_id = component_id AS kept"),
+    "op12_signature_tree": oracles.near_duplicates(85, ""),
 }
