@@ -25,6 +25,16 @@ class Redactor:
         self.rules = [(r, re.compile(r.pattern)) for r in policy.fold]
         self.sensitive, self.strict = re.compile(SENSITIVE_FIELD), re.compile(STRICT_FIELD)
 
+    def spans(self, value: str) -> list[tuple[int, int, int]]:
+        """(rule's place in the fold, start, end) of what each rule would mask in the text as it is, in fold order."""
+        plain = value.translate(_FOLD).lower()
+        out = []
+        for i, (rule, pattern) in enumerate(self.rules):
+            if not rule.anchors or any(a in (plain if rule.anchor_ci else value) for a in rule.anchors):
+                ends = ((m.end(rule.before[-1]) if rule.before else m.start(), m.start(rule.after[0]) if rule.after else m.end()) for m in pattern.finditer(value))
+                out += [(i, a, b) for a, b in ends if b > a]
+        return out
+
     def text(self, value: str, hits: Counter) -> str:
         plain = None
         for rule, pattern in self.rules:
@@ -90,6 +100,25 @@ class Redactor:
         except RecursionError:
             return None, Counter(), "too deep"
 
+    def parts(self, body: str, named: bool = False) -> tuple[str | None, Counter, str | None]:
+        """json of a list's items (messages), or of a mapping's values (call parameters), whose own names are not classified."""
+        hits: Counter = Counter()
+        try:
+            value = json.loads(body)
+        except ValueError:
+            return None, hits, "malformed"
+        if not isinstance(value, dict if named else list):
+            return None, hits, "not a mapping" if named else "not a list"
+        if not self.policy.enabled:
+            return body, hits, None
+        try:
+            done = {k: self.tree(v, hits) for k, v in value.items()} if named else self.tree(value, hits)
+        except KeyCollision:
+            return None, Counter(), "colliding keys"
+        except RecursionError:
+            return None, Counter(), "too deep"
+        return json.dumps(done, separators=(",", ":")), +hits, None
+
     def data(self, body: bytes) -> tuple[bytes, Counter]:
         """Bytes that are not UTF-8 survive."""
         hits: Counter = Counter()

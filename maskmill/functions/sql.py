@@ -13,39 +13,34 @@ from .rules import DEFAULT, Policy
 
 
 def register(spark: SparkSession, policy: Policy = DEFAULT) -> None:
-    """redact_text(string), scan_redactions(string), redact_payload(json string) and scan_payload(json string: how many hits) in the
-    session's SQL. Null stays null; a payload that is malformed or whose keys collide becomes null."""
+    """Eight names in the session's SQL: redact_text and scan_redactions of a string; redact_payload, redact_messages (a JSON list) and
+    redact_params (a JSON mapping, whose own names are not classified) of JSON text, and scan_payload, scan_messages and
+    scan_params, which say how many hits. Null stays null; what is malformed, of another kind or has colliding keys becomes null."""
 
-    @F.pandas_udf("string")
-    def redact_text(values: pd.Series) -> pd.Series:
-        redactor = Redactor(policy)
-        return values.map(lambda v: redactor.text(v, Counter()), na_action="ignore")
+    kinds = {
+        "payload": lambda r, v: r.json(v),
+        "messages": lambda r, v: r.parts(v),
+        "params": lambda r, v: r.parts(v, named=True),
+        "text": lambda r, v: (r.text(v, hits := Counter()), hits, None),
+    }
 
-    @F.pandas_udf("long")
-    def scan_redactions(values: pd.Series) -> pd.Series:
-        redactor = Redactor(policy)
+    for kind, f in kinds.items():
 
-        def count(v: str) -> int:
-            hits: Counter = Counter()
-            redactor.text(v, hits)
-            return hits.total()
+        def redact(values: pd.Series, f=f) -> pd.Series:
+            redactor = Redactor(policy)
+            return values.map(lambda v: f(redactor, v)[0], na_action="ignore")
 
-        return values.map(count, na_action="ignore").astype("Int64")
+        def count(values: pd.Series, f=f) -> pd.Series:
+            redactor = Redactor(policy)
+            done = [None if v is None else f(redactor, v) for v in values]
+            return pd.Series([None if d is None or d[0] is None else d[1].total() for d in done], dtype="Int64")
 
-    @F.pandas_udf("string")
-    def redact_payload(values: pd.Series) -> pd.Series:
-        redactor = Redactor(policy)
-        return values.map(lambda v: redactor.json(v)[0], na_action="ignore")
+        spark.udf.register(f"redact_{kind}", _series_udf(redact, "string"))
+        spark.udf.register("scan_redactions" if kind == "text" else f"scan_{kind}", _series_udf(count, "long"))
 
-    @F.pandas_udf("long")
-    def scan_payload(values: pd.Series) -> pd.Series:
-        redactor = Redactor(policy)
 
-        def count(v: str) -> int | None:
-            done, hits, _ = redactor.json(v)
-            return None if done is None else hits.total()
+def _series_udf(body, returned: str):
+    def one(values: pd.Series) -> pd.Series:
+        return body(values)
 
-        return pd.Series([None if v is None else count(v) for v in values], dtype="Int64")
-
-    for name, f in {"redact_text": redact_text, "scan_redactions": scan_redactions, "redact_payload": redact_payload, "scan_payload": scan_payload}.items():
-        spark.udf.register(name, f)
+    return F.pandas_udf(one, returned)

@@ -1,8 +1,14 @@
-"""Chat datasets: one message format to the other, rejects with a reason, and responses put together from stream chunks."""
+"""Chat datasets: one message format to the other, rejects with a reason, and responses put together from stream chunks.
+
+A request is parsed once, as a variant, and its messages, tools and reject reason come out of that one value as arrays: no branch
+of the plan reads the table again, and nothing is shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskmill.functions.columns import usage_normalize
@@ -14,12 +20,23 @@ from .nested import redact_json
 CHUNK = "struct<choices:array<struct<delta:struct<content:string,tool_calls:array<struct<index:int,id:string,function:struct<name:string,arguments:string>>>>>>,usage:struct<prompt_tokens:bigint,input_tokens:bigint,completion_tokens:bigint,output_tokens:bigint,total_tokens:bigint>>"
 _TEXT_PARTS, _IMAGE_PARTS = ["input_text", "output_text", "text"], ["input_image", "image_url"]
 _ROLES = ["user", "assistant", "system", "developer"]
+_CALLS, _RESULTS = ["function_call", "custom_tool_call"], ["function_call_output", "custom_tool_call_output"]
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _get(body: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(body, path, kind)
 
 
+def _list(body: Column, path: str) -> Column:
+    """The items at path; null if there is no list."""
+    return _get(body, path, "array<variant>")
+
+
 def _type(body: Column, path: str) -> Column:
     """OBJECT, ARRAY, STRING, BOOLEAN, BIGINT, ... of what is at path; null if there is nothing."""
     return F.regexp_extract(F.schema_of_variant(F.try_variant_get(body, path, "variant")), "^([A-Z]+)", 1)
@@ -33,10 +50,26 @@ def _missing(body: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(body, path, "variant").isNull(), F.lit(True))
 
 
-def _explode(df: DataFrame, col: str, out: str) -> DataFrame:
-    """A row for each item of the variant array in col, with pos."""
-    items = df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(col).outer()))
-    return items.withColumnRenamed("value", out).drop("key")
+def _absent(body: Column, path: str) -> Column:
+    """Missing or null."""
+    return _missing(body, path) | _is(body, path, "VOID")
+
+
+def _text(body: Column, path: str) -> Column:
+    """The text at path; null if it is none."""
+    return F.when(_is(body, path, "STRING"), _get(body, path))
+
+
+def _quoted(text: Column) -> Column:
+    return F.to_json(text.cast("variant"))
+
+
+def _none() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _first(reasons: Column) -> Column:
+    return F.get(F.filter(reasons, lambda x: x.isNotNull()), F.lit(0))
 
 
 def parse(df: DataFrame, id_col: str, col: str) -> DataFrame:
@@ -46,26 +79,59 @@ def parse(df: DataFrame, id_col: str, col: str) -> DataFrame:
 
 def request_items(parsed: DataFrame) -> DataFrame:
     """(id, pos, item) of the input lists."""
-    lists = parsed.where(_is(F.col("body"), "$.input", "ARRAY")).select("id", F.try_variant_get("body", "$.input", "variant").alias("input"))
-    return _explode(lists, "input", "item").select("id", "pos", "item")
+    return parsed.select("id", F.posexplode(_list(F.col("body"), "$.input")).alias("pos", "item"))
+
+
+def _part(part: Column) -> Column:
+    """struct<why, text, json> of a content part; text is null for an image."""
+    text, kind = _text(part, "$.text"), F.coalesce(_get(part, "$.type"), F.lit(""))
+    # the url counts where image_url is missing or empty
+    open_ = _absent(part, "$.image_url") | F.coalesce(F.to_json(F.try_variant_get(part, "$.image_url", "variant")).isin('""', "{}", "[]", "0", "false"), F.lit(False))
+    plain = F.coalesce(F.nullif(_text(part, "$.image_url"), F.lit("")), F.when(open_, F.nullif(_text(part, "$.url"), F.lit(""))))
+    # an image's own object goes on as it is, else one is made of its url
+    made = F.when(F.length(_text(part, "$.image_url.url")) > 0, F.to_json(F.try_variant_get(part, "$.image_url", "variant"))).when(
+        open_ & (F.length(_text(part, "$.url.url")) > 0), F.to_json(F.try_variant_get(part, "$.url", "variant"))
+    ).when(plain.isNotNull(), F.concat(F.lit('{"url":'), _quoted(plain), F.lit("}")))
+    detail = F.when(_missing(part, "$.image_url.detail") & _missing(part, "$.url.detail"), F.nullif(_text(part, "$.detail"), F.lit("")))
+
+    def judged(p: Column) -> Column:
+        is_text, is_image = p["kind"].isin(_TEXT_PARTS), p["kind"].isin(_IMAGE_PARTS)
+        why = (
+            F.when(~_is(part, "$", "OBJECT"), "content item must be an object")
+            .when(~is_text & ~is_image, "unsupported content item")
+            .when(is_text & p["text"].isNull(), "text content requires text")
+            .when(is_image & p["url"].isNull(), "image content requires image_url")
+            .when(is_image & ~_absent(part, "$.detail") & ~_is(part, "$.detail", "STRING"), "image detail must be text")
+        )
+        url = F.when(p["detail"].isNull(), p["url"]).otherwise(F.concat(F.left(p["url"], F.length(p["url"]) - 1), F.lit(',"detail":'), _quoted(p["detail"]), F.lit("}")))
+        json = F.when(is_text, F.concat(F.lit('{"type":"text","text":'), _quoted(p["text"]), F.lit("}"))).otherwise(F.concat(F.lit('{"type":"image_url","image_url":'), url, F.lit("}")))
+        return F.struct(why.alias("why"), F.when(is_text, p["text"]).alias("text"), json.alias("json"))
+
+    return _let(F.struct(kind.alias("kind"), text.alias("text"), made.alias("url"), detail.alias("detail")), judged)
+
+
+def _content(item: Column) -> Column:
+    """struct<why, content> of an item's content as chat content: text, or the text parts joined by newlines, or the JSON list of
+    parts if any is an image, with its detail folded in."""
+
+    def of_parts(parts: Column) -> Column:
+        texts = F.filter(F.transform(parts, lambda p: p["text"]), lambda t: t.isNotNull())
+        listed = F.concat(F.lit("["), F.array_join(F.transform(parts, lambda p: p["json"]), ","), F.lit("]"))
+        joined = F.when(F.exists(parts, lambda p: p["text"].isNull()), listed).otherwise(F.array_join(texts, "\n"))
+        why = (
+            F.when(_missing(item, "$.content"), "message content is required")
+            .when(_is(item, "$.content", "STRING"), None)
+            .when(F.coalesce(F.size(parts), F.lit(0)) < 1, "content must be text or a non-empty list")
+            .otherwise(_first(F.transform(parts, lambda p: p["why"])))
+        )
+        return F.struct(why.alias("why"), F.coalesce(_text(item, "$.content"), joined).alias("content"))
+
+    return _let(F.transform(_list(item, "$.content"), _part), of_parts)
 
 
 def content_to_chat(item: Column) -> Column:
-    """An item's content as chat content: text, or the text parts joined by newlines, or the JSON list of parts if any is an
-    image, with its detail folded in."""
-    part = "array<struct<type:string,text:string,image_url:string,url:string,detail:string>>"
-    parts = F.from_json(F.to_json(F.try_variant_get(item, "$.content", "variant")), part)
-    texts = F.array_join(F.transform(F.filter(parts, lambda p: p["type"].isin(_TEXT_PARTS)), lambda p: p["text"]), "\n")
-
-    def image(p: Column) -> Column:
-        given = F.coalesce(F.nullif(p["image_url"], F.lit("")), p["url"])
-        typed = F.from_json(given, "struct<url:string,detail:string>")
-        url, detail = F.coalesce(typed["url"], given), F.coalesce(typed["detail"], F.nullif(p["detail"], F.lit("")))
-        return F.to_json(F.struct(F.lit("image_url").alias("type"), F.struct(url.alias("url"), detail.alias("detail")).alias("image_url")))
-
-    listed = F.transform(parts, lambda p: F.when(p["type"].isin(_IMAGE_PARTS), image(p)).otherwise(F.to_json(F.struct(F.lit("text").alias("type"), p["text"].alias("text")))))
-    has_image = F.exists(parts, lambda p: p["type"].isin(_IMAGE_PARTS))
-    return F.when(_is(item, "$.content", "STRING"), _get(item, "$.content")).when(has_image, F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]"))).otherwise(texts)
+    """An item's content as chat content."""
+    return _content(item)["content"]
 
 
 def item_type(item: Column) -> Column:
@@ -76,123 +142,137 @@ def tool_name(item: Column) -> Column:
     return F.concat_ws("__", F.nullif(_get(item, "$.namespace"), F.lit("")), _get(item, "$.name"))
 
 
+def _output(item: Column) -> Column:
+    """struct<why, content> of a tool's output: text, or the text of its parts joined by newlines."""
+
+    def of_parts(parts: Column) -> Column:
+        why = (
+            F.when(_absent(item, "$.output"), "tool output is required")
+            .when(_is(item, "$.output", "STRING"), None)
+            .when(F.coalesce(F.size(parts), F.lit(0)) < 1, "tool output must be text or a text list")
+            .when(F.exists(parts, lambda t: t.isNull()), "unsupported tool output")
+        )
+        return F.struct(why.alias("why"), F.coalesce(_text(item, "$.output"), F.array_join(parts, "\n")).alias("content"))
+
+    return _let(F.transform(_list(item, "$.output"), lambda p: F.when(_get(p, "$.type") == "input_text", _text(p, "$.text"))), of_parts)
+
+
+def _message(item: Column) -> Column:
+    """struct<why, role, content, tool_calls, tool_call_id>: an input item as a chat message, or why it is none."""
+    kind = F.when(_missing(item, "$.type"), "message").otherwise(_text(item, "$.type"))
+    call_id, name = _text(item, "$.call_id"), _text(item, "$.name")
+
+    def shape(why: Column, role: Column | None = None, content: Column | None = None, calls: Column | None = None, call: Column | None = None) -> Column:
+        values = {"role": role, "content": content, "tool_calls": calls, "tool_call_id": call}
+        return F.struct(why.alias("why"), *((_none() if v is None else v).alias(k) for k, v in values.items()))
+
+    def said(c: Column) -> Column:
+        role = _text(item, "$.role")
+        why = F.when(F.coalesce(F.length(role), F.lit(0)) == 0, "message role is required").when(~role.isin(_ROLES), "unsupported role").otherwise(c["why"])
+        return shape(why, role, c["content"])
+
+    def called(arguments: Column) -> Column:
+        why = (
+            F.when(F.coalesce(F.length(call_id), F.lit(0)) == 0, "call_id is required")
+            .when(F.coalesce(F.length(name), F.lit(0)) == 0, "tool call requires name")
+            .when(~_absent(item, "$.namespace") & ~_is(item, "$.namespace", "STRING"), "namespace must be text")
+            .when(arguments.isNull(), "arguments must be text")
+        )
+        call = F.to_json(F.array(F.struct(call_id.alias("id"), F.lit("function").alias("type"), F.struct(tool_name(item).alias("name"), arguments.alias("arguments")).alias("function"))))
+        return shape(why, F.lit("assistant"), None, call)
+
+    def answered(c: Column) -> Column:
+        return shape(F.when(F.coalesce(F.length(call_id), F.lit(0)) == 0, "call_id is required").otherwise(c["why"]), F.lit("tool"), c["content"], None, call_id)
+
+    def of_kind(k: Column) -> Column:
+        arguments = F.when(k == "function_call", _text(item, "$.arguments")).otherwise(_text(item, "$.input"))
+        odd = F.when(~_is(item, "$", "OBJECT"), "input item must be an object").when(k.isNull(), "item type must be text").otherwise("unsupported item type")
+        return (
+            F.when(~_is(item, "$", "OBJECT"), shape(odd)).when(k == "message", _let(_content(item), said)).when(k.isin(_CALLS), _let(arguments, called))
+            .when(k.isin(_RESULTS), _let(_output(item), answered)).otherwise(shape(odd))
+        )
+
+    return _let(kind, of_kind)
+
+
 def tool_items(items: DataFrame) -> DataFrame:
     """(id, pos, role, content, tool_calls, tool_call_id) of tool calls and tool outputs."""
-    kind, item = _get(F.col("item"), "$.type"), F.col("item")
-    call = kind.isin("function_call", "custom_tool_call")
-    arguments = F.when(kind == "function_call", _get(item, "$.arguments")).otherwise(_get(item, "$.input"))
-    calls = F.to_json(F.array(F.struct(_get(item, "$.call_id").alias("id"), F.lit("function").alias("type"), F.struct(tool_name(item).alias("name"), arguments.alias("arguments")).alias("function"))))
-    listed = F.from_json(F.to_json(F.try_variant_get(item, "$.output", "variant")), "array<struct<type:string,text:string>>")
-    output = F.when(_is(item, "$.output", "STRING"), _get(item, "$.output")).otherwise(F.array_join(F.transform(listed, lambda p: p["text"]), "\n"))
-    tools = items.where(kind.isin("function_call", "custom_tool_call", "function_call_output", "custom_tool_call_output"))
-    return tools.select(
-        "id", "pos", F.when(call, "assistant").otherwise("tool").alias("role"), F.when(~call, output).alias("content"), F.when(call, calls).alias("tool_calls"), F.when(~call, _get(item, "$.call_id")).alias("tool_call_id")
+    tools = items.where(item_type(F.col("item")).isin(_CALLS + _RESULTS))
+    return tools.select("id", "pos", _message(F.col("item")).alias("m")).select("id", "pos", "m.role", "m.content", "m.tool_calls", "m.tool_call_id")
+
+
+def _tool(tool: Column, namespace: Column) -> Column:
+    """struct<why, name, description, parameters, strict> of a function tool."""
+    why = (
+        F.when(F.coalesce(F.length(_text(tool, "$.name")), F.lit(0)) == 0, "function tool requires name")
+        .when(~_absent(tool, "$.description") & ~_is(tool, "$.description", "STRING"), "description must be text")
+        .when(~_is(tool, "$.parameters", "OBJECT"), "parameters must be an object")
+        .when(~_absent(tool, "$.strict") & ~_is(tool, "$.strict", "BOOLEAN"), "strict must be boolean")
     )
+    return F.struct(
+        why.alias("why"), F.concat_ws("__", namespace, _get(tool, "$.name")).alias("name"), F.coalesce(_get(tool, "$.description"), F.lit("")).alias("description"),
+        F.to_json(F.try_variant_get(tool, "$.parameters", "variant")).alias("parameters"), _get(tool, "$.strict", "boolean").alias("strict"),
+    )
 
 
-def conversion_rejects(df: DataFrame, id_col: str, col: str) -> DataFrame:
-    """(id, reject_reason): each payload that cannot be converted, with the first reason found."""
-    parsed = parse(df, id_col, col)
-    body, item = F.col("body"), F.col("item")
-    whole = parsed.select(
-        "id",
-        F.lit(-1).alias("pos"),
+def _bad_tool(why: str) -> Column:
+    none = _none()
+    return F.struct(F.lit(why).alias("why"), none.alias("name"), none.alias("description"), none.alias("parameters"), F.lit(None).cast("boolean").alias("strict"))
+
+
+def _tools(body: Column) -> Column:
+    """array<struct<why, name, description, parameters, strict>> of the payload's tools, those of a namespace one by one."""
+
+    def of_one(tool: Column) -> Column:
+        namespace, kind = _text(tool, "$.name"), _text(tool, "$.type")
+
+        def inside(tools: Column) -> Column:
+            each = F.transform(tools, lambda t: F.when(F.coalesce(_get(t, "$.type") == "function", F.lit(False)), _tool(t, namespace)).otherwise(_bad_tool("namespace supports only function tools")))
+            return F.when(F.coalesce(F.length(namespace), F.lit(0)) == 0, F.array(_bad_tool("namespace requires name"))).when(F.coalesce(F.size(tools), F.lit(0)) < 1, F.array(_bad_tool("namespace requires tools"))).otherwise(each)
+
+        return F.when(kind == "function", F.array(_tool(tool, _none()))).when(kind == "namespace", _let(_list(tool, "$.tools"), inside)).otherwise(F.array(_bad_tool("unsupported tool type")))
+
+    return F.flatten(F.transform(_list(body, "$.tools"), of_one))
+
+
+def conversions(df: DataFrame, id_col: str, col: str) -> DataFrame:
+    """(id, reject_reason, messages, tools) of each payload: messages (pos, role, content, tool_calls, tool_call_id), instructions
+    first at pos -1; tools (pos, name, description, parameters, strict). A payload that cannot be converted has the first reason found, in the
+    order instructions, input, tools, and null messages and tools; a null payload is malformed."""
+    body = F.col("body")
+    found = parse(df, id_col, col).select("id", "body", F.transform(_list(body, "$.input"), _message).alias("items"), _tools(body).alias("tools"))
+    why = (
         F.when(body.isNull(), "malformed JSON")
-        .when(~_missing(body, "$.instructions") & ~_is(body, "$.instructions", "STRING") & ~_is(body, "$.instructions", "VOID"), "instructions must be text")
-        .when(~_is(body, "$.input", "STRING") & ~_is(body, "$.input", "ARRAY"), "input must be text or a list")
-        .when(F.to_json(F.try_variant_get(body, "$.input", "variant")) == "[]", "input list cannot be empty")
-        .when(~_missing(body, "$.tools") & ~_is(body, "$.tools", "ARRAY"), "tools must be a list")
-        .alias("why"),
+        .when(~_absent(body, "$.instructions") & ~_is(body, "$.instructions", "STRING"), "instructions must be text")
+        .when(~_is(body, "$.input", "STRING") & F.col("items").isNull(), "input must be text or a list")
+        .when(F.size("items") == 0, "input list cannot be empty")
+        .otherwise(F.coalesce(_first(F.transform("items", lambda m: m["why"])), F.when(~_missing(body, "$.tools") & ~_is(body, "$.tools", "ARRAY"), "tools must be a list"), _first(F.transform("tools", lambda t: t["why"]))))
     )
-    kind = F.when(_missing(item, "$.type"), "message").otherwise(_get(item, "$.type"))
-    text = lambda path: _is(item, path, "STRING") & (F.length(_get(item, path)) > 0)
-    call, result = kind.isin("function_call", "custom_tool_call"), kind.isin("function_call_output", "custom_tool_call_output")
-    arguments = F.when(kind == "function_call", _is(item, "$.arguments", "STRING")).otherwise(_is(item, "$.input", "STRING"))
-    parts = F.from_json(F.to_json(F.try_variant_get(item, "$.content", "variant")), "array<struct<type:string,text:string,image_url:string,url:string,detail:string>>")
-    bad_part = lambda p: p.isNull() | p["type"].isNull() | ~p["type"].isin(_TEXT_PARTS + _IMAGE_PARTS)
-    no_text = lambda p: p["type"].isin(_TEXT_PARTS) & p["text"].isNull()
-    no_url = lambda p: p["type"].isin(_IMAGE_PARTS) & F.coalesce(F.nullif(p["image_url"], F.lit("")), F.nullif(p["url"], F.lit(""))).isNull()
-    outputs = F.from_json(F.to_json(F.try_variant_get(item, "$.output", "variant")), "array<struct<type:string,text:string>>")
-    per_item = request_items(parsed).select(
-        "id",
-        "pos",
-        F.when(~F.schema_of_variant(item).startswith("OBJECT"), "input item must be an object")
-        .when(~_missing(item, "$.type") & ~_is(item, "$.type", "STRING"), "item type must be text")
-        .when((kind == "message") & ~text("$.role"), "message role is required")
-        .when((kind == "message") & ~_get(item, "$.role").isin(_ROLES), "unsupported role")
-        .when((kind == "message") & _missing(item, "$.content"), "message content is required")
-        .when((kind == "message") & ~_is(item, "$.content", "STRING") & (F.coalesce(F.size(parts), F.lit(0)) < 1), "content must be text or a non-empty list")
-        .when((kind == "message") & _is(item, "$.content", "ARRAY") & F.exists(parts, bad_part), "unsupported content item")
-        .when((kind == "message") & _is(item, "$.content", "ARRAY") & F.exists(parts, no_text), "text content requires text")
-        .when((kind == "message") & _is(item, "$.content", "ARRAY") & F.exists(parts, no_url), "image content requires image_url")
-        .when((call | result) & ~text("$.call_id"), "call_id is required")
-        .when(call & ~text("$.name"), "tool call requires name")
-        .when(call & ~_missing(item, "$.namespace") & ~_is(item, "$.namespace", "STRING"), "namespace must be text")
-        .when(call & ~arguments, "arguments must be text")
-        .when(result & (_missing(item, "$.output") | _is(item, "$.output", "VOID")), "tool output is required")
-        .when(result & ~_is(item, "$.output", "STRING") & (F.coalesce(F.size(outputs), F.lit(0)) < 1), "tool output must be text or a text list")
-        .when(result & _is(item, "$.output", "ARRAY") & F.exists(outputs, lambda o: o.isNull() | F.coalesce(o["type"] != "input_text", F.lit(True)) | o["text"].isNull()), "unsupported tool output")
-        .when(~(kind == "message") & ~call & ~result, "unsupported item type")
-        .alias("why"),
-    )
-    bad_tools = _tool_rows(parsed).select("id", (F.col("at") + (1 << 40)).alias("pos"), F.col("why"))
-    # null reasons go after the aggregate: a filter below it would repeat every reason's expression in itself
-    found = whole.unionByName(per_item).unionByName(bad_tools)
-    first = F.min_by("why", F.when(F.col("why").isNotNull(), F.col("pos")))
-    return found.groupBy("id").agg(first.alias("reject_reason")).where("reject_reason IS NOT NULL")
+    one = lambda pos, role, content: F.struct(F.lit(pos).alias("pos"), F.lit(role).alias("role"), content.alias("content"), _none().alias("tool_calls"), _none().alias("tool_call_id"))
+    system, plain = F.array(one(-1, "system", _text(body, "$.instructions"))), F.array(one(0, "user", _text(body, "$.input")))
+    said = F.transform("items", lambda m, i: F.struct(i.alias("pos"), m["role"].alias("role"), m["content"].alias("content"), m["tool_calls"].alias("tool_calls"), m["tool_call_id"].alias("tool_call_id")))
+    messages = F.concat(F.filter(system, lambda m: F.length(m["content"]) > 0), F.coalesce(said, plain))
+    tools = F.transform("tools", lambda t, i: F.struct(i.alias("pos"), *(t[c].alias(c) for c in ("name", "description", "parameters", "strict"))))
+    judged = found.select("id", why.alias("reject_reason"), messages.alias("messages"), tools.alias("tools"))
+    good = F.col("reject_reason").isNull()
+    return judged.select("id", "reject_reason", F.when(good, F.col("messages")).alias("messages"), F.when(good, F.col("tools")).alias("tools"))
+
+
+def conversion_rejects(df: DataFrame, id_col: str, col: str) -> DataFrame:
+    """(id, reject_reason): each payload that cannot be converted, with the first reason found."""
+    return conversions(df, id_col, col).where("reject_reason IS NOT NULL").select("id", "reject_reason")
 
 
 def responses_to_chat(df: DataFrame, id_col: str, col: str) -> DataFrame:
     """(id, pos, role, content, tool_calls, tool_call_id): the messages of each payload that converts, instructions first."""
-    rejected = conversion_rejects(df, id_col, col).select("id")
-    parsed = parse(df, id_col, col)
-    body = F.col("body")
-    none = F.lit(None).cast("string")
-    shape = lambda role, content: (role.alias("role"), content.alias("content"), none.alias("tool_calls"), none.alias("tool_call_id"))
-    system = parsed.where(F.length(_get(body, "$.instructions")) > 0).select("id", F.lit(-1).alias("pos"), *shape(F.lit("system"), _get(body, "$.instructions")))
-    plain = parsed.where(_is(body, "$.input", "STRING")).select("id", F.lit(0).alias("pos"), *shape(F.lit("user"), _get(body, "$.input")))
-    items = request_items(parsed)
-    said = items.where(F.coalesce(_get(F.col("item"), "$.type"), F.lit("message")) == "message").select("id", "pos", *shape(_get(F.col("item"), "$.role"), content_to_chat(F.col("item"))))
-    return system.unionByName(plain).unionByName(said).unionByName(tool_items(items)).join(rejected, "id", "left_anti")
-
-
-def _tool_rows(parsed: DataFrame) -> DataFrame:
-    """(id, at, namespace, tool, why): the tools of each payload, those of a namespace one by one."""
-    lists = parsed.where(_is(F.col("body"), "$.tools", "ARRAY")).select("id", F.try_variant_get("body", "$.tools", "variant").alias("tools"))
-    top = _explode(lists, "tools", "tool").where("tool IS NOT NULL").select("id", F.col("pos").alias("outer_pos"), "tool")
-    tool = F.col("tool")
-    kind = _get(tool, "$.type")
-    named = top.where(kind == "namespace").select("id", "outer_pos", _get(tool, "$.name").alias("namespace"), F.try_variant_get("tool", "$.tools", "variant").alias("inner_tools"))
-    good = named.where((F.length("namespace") > 0) & F.schema_of_variant("inner_tools").startswith("ARRAY") & (F.to_json("inner_tools") != "[]"))
-    inner = _explode(good, "inner_tools", "tool").select("id", (F.col("outer_pos") * (1 << 31) + F.col("pos")).alias("at"), "namespace", "tool")
-    flat = top.where(kind == "function").select("id", (F.col("outer_pos") * (1 << 31)).alias("at"), F.lit(None).cast("string").alias("namespace"), "tool")
-    functions = flat.unionByName(inner)
-    is_null = lambda path: _missing(tool, path) | _is(tool, path, "VOID")
-    why = (
-        F.when(F.coalesce(_get(tool, "$.type") != "function", F.lit(True)), "namespace supports only function tools")
-        .when(~(_is(tool, "$.name", "STRING") & (F.length(_get(tool, "$.name")) > 0)), "function tool requires name")
-        .when(~is_null("$.description") & ~_is(tool, "$.description", "STRING"), "description must be text")
-        .when(~_is(tool, "$.parameters", "OBJECT"), "parameters must be an object")
-        .when(~is_null("$.strict") & ~_is(tool, "$.strict", "BOOLEAN"), "strict must be boolean")
-    )
-    judged = functions.select("id", "at", "namespace", "tool", why.alias("why"))
-    null_tool = F.lit(None).cast("variant")
-    blank = lambda df, reason: df.select("id", (F.col("outer_pos") * (1 << 31)).alias("at"), F.lit(None).cast("string").alias("namespace"), null_tool.alias("tool"), F.lit(reason).alias("why"))
-    odd = blank(top.where(F.coalesce(~kind.isin("function", "namespace"), F.lit(True))), "unsupported tool type")
-    unnamed = blank(named.where(F.coalesce(F.length("namespace") == 0, F.lit(True))), "namespace requires name")
-    empty = blank(named.where((F.length("namespace") > 0) & (F.col("inner_tools").isNull() | ~F.schema_of_variant("inner_tools").startswith("ARRAY") | (F.to_json("inner_tools") == "[]"))), "namespace requires tools")
-    return judged.unionByName(odd).unionByName(unnamed).unionByName(empty)
+    return conversions(df, id_col, col).select("id", F.inline("messages"))
 
 
 def tools_to_chat(df: DataFrame, id_col: str, col: str) -> DataFrame:
-    """(id, pos, name, description, parameters, strict) of the function tools, flat and namespaced (namespace__name)."""
-    tools = _tool_rows(parse(df, id_col, col)).where("why IS NULL")
-    tool = F.col("tool")
-    order = Window.partitionBy("id").orderBy("at")
-    return tools.select(
-        "id", (F.row_number().over(order) - 1).alias("pos"), F.concat_ws("__", "namespace", _get(tool, "$.name")).alias("name"), F.coalesce(_get(tool, "$.description"), F.lit("")).alias("description"),
-        F.to_json(F.try_variant_get("tool", "$.parameters", "variant")).alias("parameters"), _get(tool, "$.strict", "boolean").alias("strict"),
-    )
+    """(id, pos, name, description, parameters, strict) of the function tools, flat and namespaced (namespace__name). Tools that
+    cannot be converted are left out here; conversion_rejects has their payload."""
+    good = parse(df, id_col, col).select("id", F.filter(_tools(F.col("body")), lambda t: t["why"].isNull()).alias("tools"))
+    return good.select("id", F.posexplode("tools").alias("pos", "t")).select("id", "pos", "t.name", "t.description", "t.parameters", "t.strict")
 
 
 def chat_params(df: DataFrame, id_col: str, col: str) -> DataFrame:
@@ -245,58 +325,104 @@ def safe_responses_to_chat(df: DataFrame, id_col: str, col: str, policy: Policy
     return responses_to_chat(redact_json(df, col, policy), id_col, col)
 
 
-def chunk_events(df: DataFrame, id_col: str = "response_id", seq: str = "seq", chunk: str = "chunk") -> DataFrame:
-    """(id, ord, data) of each response's server-sent events, in order. Bytes are joined before they are decoded, so characters and
-    line ends may be split over chunks. Events after [DONE] are left out. A response is one group: its size is that of one answer."""
+def _joined_bytes(df: DataFrame, id_col: str, seq: str, chunk: str) -> DataFrame:
+    """(id, t): each response's text. Bytes are joined before they are decoded, so characters and line ends may be split over chunks."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.hex(F.col(chunk).cast("binary")).alias("h"))))
-    whole = df.groupBy(F.col(id_col).alias("id")).agg(ordered.alias("c")).select("id", F.try_validate_utf8(F.unhex(F.array_join(F.transform("c", lambda x: x["h"]), "")).cast("string")).alias("ok"), F.unhex(F.array_join(F.transform("c", lambda x: x["h"]), "")).alias("raw"))
-    text = whole.select("id", F.regexp_replace(F.coalesce("ok", F.make_valid_utf8(F.col("raw").cast("string"))), r"\r\n|\r", "\n").alias("t"))
-    blocks = text.select("id", F.posexplode(F.split("t", r"\n\n+")).alias("ord", "block"))
-    lines = F.filter(F.split("block", "\n"), lambda x: x.startswith("data:"))
-    data = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"^data:(?U)\s*", "")), "\n")
-    events = blocks.select("id", "ord", data.alias("data")).where("data <> ''")
-    end = F.min(F.when(F.col("data") == "[DONE]", F.col("ord"))).over(Window.partitionBy("id"))
-    return events.withColumn("end", end).where(F.col("end").isNull() | (F.col("ord") < F.col("end"))).select("id", "ord", F.from_json("data", CHUNK).alias("d"))
+    raw = df.groupBy(F.col(id_col).alias("id")).agg(F.unhex(F.array_join(F.transform(ordered, lambda x: x["h"]), "")).alias("raw"))
+    return raw.select("id", F.regexp_replace(F.make_valid_utf8(F.col("raw").cast("string")), r"\r\n|\r", "\n").alias("t"))
+
+
+def _calls(deltas: Column, key: Column) -> Column:
+    """array<struct<index, call_id, name, arguments>> of tool-call deltas in order, calls by first appearance. A delta without an index
+    begins the next call: its index is how many there are so far. Names and arguments are joined, the last id that is not empty counts."""
+    seen = lambda acc: acc["seen"]
+
+    def step(acc: Column, delta: Column) -> Column:
+        return _let(F.coalesce(delta["index"], F.size(seen(acc))), lambda i: F.struct(F.array_union(seen(acc), F.array(i)).alias("seen"), F.array_append(acc["at"], i).alias("at")))
 
+    none = F.array().cast("array<int>")
+    placed = F.aggregate(deltas, F.struct(none.alias("seen"), none.alias("at")), step)
 
-def chunk_texts(events: DataFrame) -> DataFrame:
-    """(id, ord, delta): the text deltas."""
-    deltas = F.array_join(F.transform(F.filter("d.choices", lambda c: F.length(c["delta"]["content"]) > 0), lambda c: c["delta"]["content"]), "")
-    return events.select("id", "ord", deltas.alias("delta")).where("delta <> ''")
+    def merge(p: Column) -> Column:
+        rows = F.zip_with(p["at"], deltas, lambda i, d: F.struct(i.alias("i"), d.alias("d")))
 
+        def one(index: Column) -> Column:
+            own = F.filter(rows, lambda r: r["i"] == index)
+            ids = F.filter(F.transform(own, lambda r: r["d"]["id"]), lambda x: F.length(x) > 0)
+            text = lambda f: F.array_join(F.transform(own, lambda r: F.coalesce(r["d"]["function"][f], F.lit(""))), "")
+            named = F.coalesce(F.try_element_at(ids, F.lit(-1)), F.concat(F.lit("call_"), key.cast("string"), F.lit("_"), index.cast("string")))
+            return F.struct(index.alias("index"), named.alias("call_id"), text("name").alias("name"), text("arguments").alias("arguments"))
 
-def merge_tool_calls(events: DataFrame) -> DataFrame:
-    """(id, index, call_id, name, arguments): names and arguments concatenated in order, the last id that is not empty."""
-    each = events.select("id", "ord", F.posexplode(F.flatten(F.transform("d.choices", lambda c: c["delta"]["tool_calls"]))).alias("n", "c"))
-    rows = each.where("c IS NOT NULL").select("id", F.coalesce("c.index", F.lit(0)).alias("index"), F.struct("ord", "n").alias("at"), F.nullif("c.id", F.lit("")).alias("call"), F.coalesce("c.function.name", F.lit("")).alias("name"), F.coalesce("c.function.arguments", F.lit("")).alias("arguments"))
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col(c).alias("v")))), lambda x: x["v"]), "")
-    out = rows.groupBy("id", "index").agg(F.max_by("call", F.when(F.col("call").isNotNull(), F.col("at"))).alias("call"), joined("name").alias("name"), joined("arguments").alias("arguments"))
-    return out.select("id", "index", F.coalesce("call", F.concat(F.lit("call_"), F.col("id").cast("string"), F.lit("_"), F.col("index").cast("string"))).alias("call_id"), "name", "arguments")
+        return F.transform(seen(p), one)
+
+    return _let(placed, merge)
+
+
+def assembled(df: DataFrame, id_col: str = "response_id", seq: str = "seq", chunk: str = "chunk") -> DataFrame:
+    """(id, complete, deltas, calls, usage) of each response: its text deltas, tool calls and last usage. complete: whether [DONE] came;
+    what follows it is left out. One aggregate by response; a response is one group, whose size is that of one answer. Null
+    chunks and events that are no JSON hold nothing."""
+    blocks = F.split("t", r"\n\n+")
+    lines = lambda b: F.filter(F.split(b, "\n"), lambda x: x.startswith("data:"))
+    data = F.transform(blocks, lambda b: F.array_join(F.transform(lines(b), lambda x: F.regexp_replace(x, r"^data:(?U)\s*", "")), "\n"))
+    events = _joined_bytes(df, id_col, seq, chunk).select("id", data.alias("data"), F.array_position(data, "[DONE]").alias("end"))
+    kept = F.when(F.col("end") > 0, F.slice("data", F.lit(1), F.greatest(F.col("end") - 1, F.lit(0)).cast("int"))).otherwise(F.col("data"))
+    parsed = events.select("id", (F.coalesce("end", F.lit(0)) > 0).alias("complete"), F.transform(F.filter(kept, lambda x: x != ""), lambda x: F.from_json(x, CHUNK)).alias("d"))
+    full = lambda a: F.filter(a, lambda x: x.isNotNull())
+    flat = lambda a: F.coalesce(F.flatten(full(a)), F.array())
+    said = parsed.select("id", "complete", flat(F.transform("d", lambda d: F.transform(d["choices"], lambda c: c["delta"]))).alias("said"), F.try_element_at(full(F.transform("d", lambda d: d["usage"])), F.lit(-1)).alias("u"))
+    texts = F.filter(F.transform("said", lambda x: x["content"]), lambda x: F.length(x) > 0)
+    calls = said.select("id", "complete", texts.alias("deltas"), full(flat(F.transform("said", lambda x: x["tool_calls"]))).alias("parts"), usage_normalize(F.col("u")).alias("usage"))
+    return calls.select("id", "complete", F.coalesce("deltas", F.array().cast("array<string>")).alias("deltas"), _calls(F.col("parts"), F.col("id")).alias("calls"), "usage")
+
+
+def merge_tool_calls(made: DataFrame) -> DataFrame:
+    """(id, index, call_id, name, arguments): the tool calls of assembled responses, a row each."""
+    return made.select("id", F.inline("calls"))
+
+
+def call_list(calls: Column) -> Column:
+    """Tool calls as JSON; null if there are none."""
+    each = F.transform(calls, lambda c: F.struct(c["call_id"].alias("call_id"), c["name"].alias("name"), c["arguments"].alias("arguments")))
+    return F.when(F.size(calls) > 0, F.to_json(each))
 
 
 def assemble_chunks(df: DataFrame, id_col: str = "response_id", seq: str = "seq", chunk: str = "chunk") -> DataFrame:
     """(id, text, tool_calls, input_tokens, output_tokens, total_tokens) of each response; the last usage counts. A response whose
     chunks hold no event has empty text; null chunks hold nothing."""
-    events = chunk_events(df, id_col, seq, chunk)
-    texts = chunk_texts(events).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "delta"))), lambda x: x["delta"]), "").alias("text"))
-    calls = merge_tool_calls(events).groupBy("id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("index", "call_id", "name", "arguments"))), lambda c: F.struct(c["call_id"].alias("call_id"), c["name"].alias("name"), c["arguments"].alias("arguments")))).alias("tool_calls"))
-    usage = events.where("d.usage IS NOT NULL").groupBy("id").agg(F.max_by("d.usage", "ord").alias("u")).select("id", usage_normalize(F.col("u")).alias("u"))
-    every = df.select(F.col(id_col).alias("id")).distinct()
-    return every.join(texts, "id", "left").join(calls, "id", "left").join(usage, "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"), "tool_calls", "u.*")
+    made = assembled(df, id_col, seq, chunk)
+    return made.select("id", F.array_join("deltas", "").alias("text"), call_list(F.col("calls")).alias("tool_calls"), "usage.*")
 
 
 def response_events(df: DataFrame, id_col: str = "response_id", seq: str = "seq", chunk: str = "chunk") -> DataFrame:
-    """(id, n, type, text): created, item added, the deltas, items done, completed, in order."""
-    events = chunk_events(df, id_col, seq, chunk)
-    deltas = chunk_texts(events).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "delta"))), lambda x: x["delta"]).alias("deltas"))
-    calls = merge_tool_calls(events).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "name", "arguments"))), lambda c: F.concat(c["name"], F.lit("("), c["arguments"], F.lit(")"))).alias("calls"))
-    rows = df.select(F.col(id_col).alias("id")).distinct().join(deltas, "id", "left").join(calls, "id", "left")
-    event = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
-    none, some = F.lit(None).cast("string"), F.size(F.coalesce("deltas", F.array().cast("array<string>"))) > 0
+    """(id, n, type, text, item, response): created, item added, the deltas, items done (the message, then tool calls by first
+    appearance), completed, in order. text: what the message holds so far or gains; item and response: JSON of the event's
+    own. Ids come from the response's. Every stream is completed at its end, [DONE] or not."""
+    key = F.col("id").cast("string")
+    text = F.array_join("deltas", "")
+    message = lambda t: F.concat(F.lit('{"type":"message","role":"assistant","id":'), _quoted(F.concat(F.lit("msg_"), key)), F.lit(',"content":[{"type":"output_text","text":'), _quoted(t), F.lit("}]}"))
+    call = lambda c: F.to_json(F.struct(F.lit("function_call").alias("type"), c["call_id"].alias("call_id"), c["name"].alias("name"), c["arguments"].alias("arguments")))
+    none, some = _none(), F.size("deltas") > 0
+
+    def event(kind: str, said: Column = none, item: Column = none, response: Column = none) -> Column:
+        return F.struct(F.lit(kind).alias("type"), said.alias("text"), item.alias("item"), response.alias("response"))
+
+    zero = F.lit(0).cast("long")
+    usage = F.col("usage")
+    counted = F.to_json(
+        F.struct(
+            usage["input_tokens"].alias("input_tokens"), F.struct(zero.alias("cached_tokens")).alias("input_tokens_details"), usage["output_tokens"].alias("output_tokens"),
+            F.struct(zero.alias("reasoning_tokens")).alias("output_tokens_details"), usage["total_tokens"].alias("total_tokens"),
+        )
+    )
+    items = F.concat(F.filter(F.array(F.col("said")), lambda _x: some), F.transform("calls", call))
+    head = F.concat(F.lit('{"id":'), _quoted(F.concat(F.lit("resp_"), key)), F.lit(',"status":'))
+    done = F.concat(head, F.lit('"completed","output":['), F.array_join("items", ","), F.lit('],"usage":'), F.coalesce(F.when(usage.isNotNull(), counted), F.lit("null")), F.lit(',"end_turn":true}'))
+    rows = assembled(df, id_col, seq, chunk).withColumn("text", text).withColumn("said", message(F.col("text"))).withColumn("items", items)
     if_some = lambda x: F.filter(F.array(x), lambda _x: some)
-    each = lambda col, kind: F.coalesce(F.transform(col, lambda t: event(kind, t)), F.array().cast("array<struct<type:string,text:string>>"))
     whole = F.concat(
-        F.array(event("response.created", none)), if_some(event("response.output_item.added", F.lit(""))), each("deltas", "response.output_text.delta"),
-        if_some(event("response.output_item.done", F.array_join("deltas", ""))), each("calls", "response.output_item.done"), F.array(event("response.completed", F.when(some, F.array_join("deltas", "")))),
+        F.array(event("response.created", response=F.concat(head, F.lit('"in_progress"}')))), if_some(event("response.output_item.added", F.lit(""), message(F.lit("")))),
+        F.transform("deltas", lambda t: event("response.output_text.delta", t)), if_some(event("response.output_item.done", F.col("text"), F.col("said"))),
+        F.transform("calls", lambda c: event("response.output_item.done", item=call(c))), F.array(event("response.completed", F.when(some, F.col("text")), response=done)),
     )
-    return rows.select("id", F.posexplode(whole).alias("n", "e")).select("id", "n", "e.type", "e.text")
+    return rows.select("id", F.posexplode(whole).alias("n", "e")).select("id", "n", "e.type", "e.text", "e.item", "e.response")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ipaddress
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,14 +197,16 @@ def _small(df: DataFrame) -> DataFrame:
 
 def allowlist(df: DataFrame, url: str, allowed: DataFrame) -> DataFrame:
     """df with allowed: whether the url has scheme, host and effective port of an allowed one, and its path or one below it, after
-    decoding and resolving dots. An empty list allows all; a null or malformed url is allowed by no entry."""
+    decoding and resolving dots. An empty list allows all but urls with user info, which are never allowed; a null or
+    malformed url is allowed by no entry."""
+    plain = F.coalesce(url_part(F.col(url), "userinfo") == "", F.lit(True))
     if allowed.isEmpty():
-        return df.withColumn("allowed", F.lit(True))
+        return df.withColumn("allowed", plain)
     keys = lambda u: (url_part(u, "scheme"), url_part(u, "host"), X.effective_port(u), X.normalize_path(url_part(u, "path")))
     names = ("__s", "__h", "__p", "__path")
     listed = allowed.select(*(k.alias(n) for k, n in zip(keys(F.col("url")), ("s", "h", "p", "root"), strict=True))).distinct()
     # the distinct targets are looked up, not every row
-    own = df.select(F.col(url).alias("__url")).distinct().select("__url", *(k.alias(n) for k, n in zip(keys(F.col("__url")), names, strict=True)))
+    own = df.where(plain).select(F.col(url).alias("__url")).distinct().select("__url", *(k.alias(n) for k, n in zip(keys(F.col("__url")), names, strict=True)))
     below = (F.col("root") == "/") | (F.col("__path") == F.col("root")) | F.startswith("__path", F.concat("root", F.lit("/")))
     found = own.join(_small(listed), (F.col("__s") == F.col("s")) & (F.col("__h") == F.col("h")) & (F.col("__p") == F.col("p")) & below, "left_semi").select("__url", F.lit(True).alias("__ok"))
     return df.join(found, df[url] == found["__url"], "left").select(*df.columns, F.coalesce("__ok", F.lit(False)).alias("allowed"))
@@ -244,22 +248,43 @@ def reserved_ranges(spark: SparkSession, blocks: list[str] = RESERVED) -> DataFr
     return spark.createDataFrame(rows, "lo string, hi string, name string")
 
 
+def _bounds(ranges: DataFrame) -> tuple[list[str], list[str]]:
+    """(first, last) addresses of disjoint ranges, sorted, that cover the same addresses."""
+    out: list[list[str]] = []
+    for lo, hi in ranges.select(F.lower("lo"), F.lower("hi")).where("lo <= hi").distinct().orderBy("lo", "hi").collect():
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return [x[0] for x in out], [x[1] for x in out]
+
+
+def _inside(ip: Column, ranges: DataFrame) -> Column:
+    """Whether an address (hex text) lies in one of the ranges: a binary search in their sorted bounds, which go to the tasks once."""
+    first, last = (np.array(x, dtype="U32") for x in _bounds(ranges))
+
+    def search(values: pa.Array) -> pa.Array:
+        given = np.array([v or "" for v in values.to_pylist()], dtype="U32")
+        at = np.searchsorted(first, given, "right") - 1
+        return pa.array((at >= 0) & (given <= last[at]) if len(first) else np.zeros(len(given), bool), pa.bool_())
+
+    search.__annotations__ = {"values": pa.Array, "return": pa.Array}
+    return F.arrow_udf(search, "boolean")(ip)
+
+
 def private_targets(df: DataFrame, url: str, hosts: DataFrame, ranges: DataFrame) -> DataFrame:
     """df with private: whether any address of the url's host lies in a reserved range. A host that is an address stands for
     itself; a host without a known address counts as private.
 
-    hosts: host, ip (hex text); ranges: lo, hi (hex text of equal width). The range join runs on distinct addresses, and its key is
-    as many leading digits as both ends of a range share; there are at most 33 lengths of them.
+    hosts: host, ip (hex text); ranges: lo, hi (hex text of equal width), at most BROADCAST_ROWS of them, or ValueError. Distinct hosts are
+    shuffled once and meet their addresses and verdict where they are; the table is shuffled once to get them.
     """
+    if ranges.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} ranges: merge them first")
     host = url_part(F.col(url), "host")
     targets = df.select(host.alias("__host")).distinct()
     plain = F.regexp_replace("__host", r"^\[|\]$|%[^\]]*(?=\]$)", "")
-    known = targets.join(hosts.select(F.lower("host").alias("__host"), "ip").distinct(), "__host", "left").withColumn("ip", F.coalesce(ipv4_hex(F.col("__host")), ipv6_hex(plain), "ip"))
-    common = F.aggregate(F.sequence(F.lit(1), F.length("lo")), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substr(F.col("lo"), i, F.lit(1)) == F.substr(F.col("hi"), i, F.lit(1))), i).otherwise(n))
-    keyed = ranges.select("lo", "hi", common.alias("n")).withColumn("key", F.left("lo", F.col("n")))
-    lengths = sorted(r["n"] for r in keyed.select("n").distinct().collect())
-    looked = known.select("ip").where("ip IS NOT NULL").distinct().withColumn("n", F.explode(F.lit(lengths).cast("array<int>"))).withColumn("key", F.left("ip", F.col("n")))
-    inside = F.col("ip").between(F.col("lo"), F.col("hi")) & (looked["n"] == keyed["n"]) & (looked["key"] == keyed["key"])
-    reserved = looked.join(_small(keyed), inside, "left_semi").select("ip", F.lit(True).alias("__in")).distinct()
-    judged = known.join(reserved, "ip", "left").groupBy("__host").agg(F.bool_or(F.col("ip").isNull() | F.coalesce("__in", F.lit(False))).alias("private"))
+    known = targets.join(hosts.select(F.lower("host").alias("__host"), F.lower("ip").alias("ip")), "__host", "left")
+    known = known.select("__host", F.coalesce(ipv4_hex(F.col("__host")), ipv6_hex(plain), "ip").alias("ip"))
+    judged = known.select("__host", (F.col("ip").isNull() | _inside(F.col("ip"), ranges)).alias("bad")).groupBy("__host").agg(F.bool_or("bad").alias("private"))
     return df.withColumn("__host", host).join(judged, "__host", "left").select(*df.columns, F.coalesce("private", F.lit(True)).alias("private"))

@@ -7,16 +7,19 @@ above such a chain kept the optimizer busy without end.) Null texts stay null wi
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import replace
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskmill.functions.columns import hits, may_match
 from maskmill.functions.pyrules import Redactor
-from maskmill.functions.rules import AUDIT, DEFAULT, Policy, Rule
+from maskmill.functions.rules import AUDIT, DEFAULT, Policy, Rule, custom_rules, rule_reason
 
 _FOUND = "struct<text:string,redactions:bigint,rule_hits:map<string,bigint>>"
 
@@ -85,38 +88,87 @@ def rule_overlap(df: DataFrame, col: str = "text", policy: Policy = DEFAULT) ->
     return out.agg(*raw, *kept).select(F.inline(F.array(*rows)))
 
 
-def _finds(pattern: str):
-    return lambda line: F.regexp_extract_all(line, F.lit("(?U)" + pattern), F.lit(0))
+def rule_attribution(df: DataFrame, col: str = "text", policy: Policy = DEFAULT) -> DataFrame:
+    """(taker, loser, n): how many matches of the rule loser, found in the texts as they were, an earlier rule took.
+
+    A sweep over the spans that each rule would mask, in fold order: a span free of earlier ones is its rule's own; one that meets
+    a span already taken is lost to the first rule, in fold order, that holds part of it. Context rules take only what they mask.
+    Null texts have no spans; counts are summed in each batch before the shuffle.
+    """
+
+    def count(batches):
+        redactor, lost = Redactor(policy), Counter()
+        names = [r.name for r, _ in redactor.rules]
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                lost.update(_lost_spans(redactor.spans(value)) if value else ())
+        if lost:
+            pairs, n = zip(*lost.items(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in pairs]), pa.array([names[j] for _, j in pairs]), pa.array(n, pa.int64())], ["taker", "loser", "n"])
+
+    found = df.select(F.col(col).cast("string")).mapInArrow(count, "taker string, loser string, n long")
+    return found.groupBy("taker", "loser").agg(F.sum("n").alias("n"))
+
+
+def _lost_spans(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(taker, loser) of spans (rule, start, end) in fold order; a rule's own spans do not overlap."""
+    starts, taken, out = [], [], []  # disjoint spans (start, end, rule) by start
+    for rule, start, end in spans:
+        at = bisect_right(starts, start)
+        first = at - 1 if at and taken[at - 1][1] > start else at
+        last = bisect_left(starts, end)
+        if first < last:
+            out.append((min(t[2] for t in taken[first:last]), rule))
+        else:
+            starts.insert(at, start)
+            taken.insert(at, (start, end, rule))
+    return out
+
+
+def _named_digest(rule: str, digest: Callable[[Column], Column]):
+    return lambda m: F.struct(F.lit(rule).alias("rule"), digest(m).alias("digest"))
 
 
-def _named_digest(rule: str):
-    return lambda m: F.struct(F.lit(rule).alias("rule"), F.left(F.sha2(m, 256), F.lit(8)).alias("digest"))
+def _replaced(state: Column, value: Column, placeholder: str) -> Column:
+    """struct<t, n> with the value replaced in t; n grows by how often."""
+    n = ((F.length(state["t"]) - F.length(F.replace(state["t"], value, F.lit("")))) / F.length(value)).cast("long")
+    return F.struct(F.replace(state["t"], value, F.lit(placeholder)).alias("t"), (state["n"] + n).alias("n"))
 
 
-def line_detect(df: DataFrame, col: str, detectors: dict[str, str], policy: Policy = DEFAULT) -> DataFrame:
-    """df with what detectors (name: pattern) find in single lines replaced everywhere in the text, and rule_hits.
+def line_detect(df: DataFrame, col: str, detectors: dict[str, str], policy: Policy = DEFAULT, eager: dict[str, str] | None = None) -> DataFrame:
+    """df with what detectors (name: pattern) find in single lines replaced everywhere in the text, redactions and rule_hits.
 
-    A found value with commas is split first: its parts, trimmed of blanks and quotes, are replaced; if none occurs, the whole is.
-    Values are replaced in the order found, each counted as often as it is replaced; hits go to detect:<name>.
+    All values are found in the text as it was, line by line, then replaced in that order. A value with commas is split first: its parts,
+    trimmed of white space and quotes, are replaced; if none occurs, the whole is. eager: detectors that look at a text only if
+    the others find nothing in it. Each value counts as often as it is replaced; hits go to detect:<name>. Null and blank texts
+    stay as they are.
     """
-    text_, hit = "__mm_text", "__mm_hit_"
-    out, sums = df.withColumn(text_, F.col(col)), {}
-    for i, (name, pattern) in enumerate(detectors.items()):
-        lines = F.split(F.col(text_), r"\r\n|\n|\r", -1)
-        found = F.flatten(F.transform(lines, _finds(pattern)))
-        trimmed = lambda v: F.regexp_replace(F.trim(v), "^[\"']+|[\"']+$", "")
-        parts = F.flatten(F.transform(found, lambda v: F.when(F.contains(v, F.lit(",")), F.filter(F.transform(F.split(v, ","), trimmed), lambda p: p != "")).otherwise(F.array(v))))
-        values = F.filter(F.array_distinct(parts), lambda v: v != "")
-        start = F.struct(F.col(text_).alias("t"), F.lit(0).cast("long").alias("n"))
-        step = lambda acc, v: F.struct(
-            F.replace(acc["t"], v, F.lit(policy.placeholder)).alias("t"),
-            (acc["n"] + ((F.length(acc["t"]) - F.length(F.replace(acc["t"], v, F.lit("")))) / F.length(v)).cast("long")).alias("n"),
+    names = list(detectors) + list(eager or {})
+    lines = F.split(F.col(col), r"\r\n|\n|\r", -1)
+
+    def finds(some: dict[str, str], first: int) -> Column:
+        each = lambda i, pattern: lambda line: F.transform(F.regexp_extract_all(line, F.lit("(?U)" + pattern), F.lit(0)), lambda v: F.struct(F.lit(i).alias("i"), v.alias("v")))
+        found = lambda line: F.concat(*(each(first + k, p)(line) for k, p in enumerate(some.values())))
+        return F.filter(F.flatten(F.transform(lines, found)), lambda f: f["v"] != "")
+
+    def step(acc: Column, found: Column) -> Column:
+        value, start = found["v"], F.struct(acc["t"].alias("t"), F.lit(0).cast("long").alias("n"))
+        trimmed = lambda v: F.regexp_replace(F.regexp_replace(v, r"(?U)^\s+|\s+$", ""), "^[\"']+|[\"']+$", "")
+        parts = F.filter(F.transform(F.split(value, ","), trimmed), lambda p: p != "")
+        done = F.when(~F.contains(value, F.lit(",")), _replaced(start, value, policy.placeholder)).otherwise(
+            F.get(F.transform(F.array(F.aggregate(parts, start, lambda s, p: _replaced(s, p, policy.placeholder))), lambda d: F.when(d["n"] > 0, d).otherwise(_replaced(d, value, policy.placeholder))), F.lit(0))
         )
-        out = out.withColumn("__mm_fold", F.aggregate(values, start, step)).withColumn(text_, F.coalesce("__mm_fold.t", text_)).withColumn(f"{hit}{i}", F.coalesce("__mm_fold.n", F.lit(0)))
-        sums[f"detect:{name}"] = F.col(f"{hit}{i}")
-    pairs = [x for rule, n in sums.items() for x in (F.lit(rule), n)]
-    rest = [F.col(text_).alias(c) if c == col else F.col(c) for c in df.columns if c not in ("redactions", "rule_hits")]
-    return out.select(*rest, reduce(lambda a, b: a + b, sums.values()).alias("redactions"), F.map_filter(F.create_map(*pairs), lambda _k, v: v > 0).alias("rule_hits"))
+        return F.get(F.transform(F.array(done), lambda d: F.struct(d["t"].alias("t"), F.transform(acc["h"], lambda h, i: F.when(i == found["i"], h + d["n"]).otherwise(h)).alias("h"))), F.lit(0))
+
+    out = df.withColumn("__mm_found", F.when(F.rlike(F.col(col), F.lit(r"(?U)\S")), finds(detectors, 0)))
+    if eager:
+        out = out.withColumn("__mm_found", F.when(F.size("__mm_found") == 0, finds(eager, len(detectors))).otherwise(F.col("__mm_found")))
+    none = F.array(*(F.lit(0).cast("long") for _ in names))
+    out = out.withColumn("__mm", F.aggregate("__mm_found", F.struct(F.col(col).alias("t"), none.alias("h")), step))
+    counts = F.coalesce("__mm.h", none)
+    rest = [F.coalesce("__mm.t", F.col(col)).alias(c) if c == col else F.col(c) for c in df.columns if c not in ("redactions", "rule_hits")]
+    labels = F.array(*(F.lit(f"detect:{n}") for n in names))
+    return out.select(*rest, F.aggregate(counts, F.lit(0).cast("long"), lambda a, h: a + h).alias("redactions"), F.map_filter(F.map_from_arrays(labels, counts), lambda _k, v: v > 0).alias("rule_hits"))
 
 
 def merge_stats(hits_: DataFrame, *by: str) -> DataFrame:
@@ -154,11 +206,82 @@ def leak_check(redacted: DataFrame, col: str, originals: DataFrame, value_col: s
     return redacted.join(known, key).where(F.contains(F.col(col), F.col("__mm_value"))).drop("__mm_value")
 
 
-def secret_reuse(df: DataFrame, key: str, col: str, rules: tuple[Rule, ...] = AUDIT) -> DataFrame:
-    """(digest, rule, rows): secrets that more than one row holds, by the first 8 characters of their digest only."""
-    found = [F.transform(F.when(may_match(F.col(col), r), F.regexp_extract_all(col, F.lit(r.java), F.lit(0))).otherwise(F.array().cast("array<string>")), _named_digest(r.name)) for r in rules]
+#: Known values are found by windows of so many bytes at their end (all of a shorter value).
+WINDOW, FILTER_BITS = 8, 24
+_MULT = 0x9E3779B97F4A7C15
+
+
+def _windows(data: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each window of so many bytes."""
+    n = len(data) - size + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for j in range(size if n > 0 else 0):
+        out = (out ^ data[j : j + n]) * np.uint64(_MULT)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _value_ends(batches):
+    """(value, size, hash) of known values: the hash is that of the last WINDOW bytes."""
+    for batch in batches:
+        values = batch.column(0).to_pylist()
+        ends = [v.encode()[-WINDOW:] for v in values]
+        found = [int(_windows(np.frombuffer(e, np.uint8).astype(np.uint64), len(e))[0].astype(np.int64)) for e in ends]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(e) for e in ends], pa.int32()), pa.array(found, pa.int64())], ["value", "size", "hash"])
+
+
+def corpus_leaks(df: DataFrame, key: str, col: str, values: DataFrame, value_col: str) -> DataFrame:
+    """(key, digest, n): which rows of a table hold which of the known values, wherever these come from, and how often.
+
+    The texts' windows of bytes are looked up in a filter of the values' ends, of 2 MB whatever the number of values; only windows
+    that pass are rows, joined with the values by their hash and compared in full. So no value meets a text that does not hold
+    its end. Values are named by the first 8 characters of their digest, and told apart by all of it. Overlapping places count
+    one by one. Null and empty values and null texts are found nowhere; rows that repeat a key are counted together.
+    """
+    spark = df.sparkSession
+    wanted = values.select(F.col(value_col).cast("string").alias("value")).where(F.length("value") > 0).distinct().mapInArrow(_value_ends, "value string, size int, hash long")
+    slot = F.col("hash").bitwiseAND((1 << FILTER_BITS) - 1)
+    bits = wanted.groupBy("size", (slot / 32).cast("long").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((hash & {(1 << FILTER_BITS) - 1}) % 32 AS int))")).alias("mask")).toPandas()
+    sizes, longest = sorted(set(bits["size"])), wanted.agg(F.max(F.octet_length("value"))).first()[0] or 0
+    filters = {}
+    for size in sizes:
+        words = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+        own = bits[bits["size"] == size]
+        words[own["word"].to_numpy(np.int64)] = own["mask"].to_numpy(np.int64).astype(np.uint32)
+        filters[size] = words
+    held = spark.sparkContext.broadcast(filters)
+
+    def places(batches):
+        for batch in batches:
+            rows = []
+            for k, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                raw = (text or "").encode()
+                data = np.frombuffer(raw, np.uint8).astype(np.uint64)
+                for size, words in held.value.items():
+                    found = _windows(data, size)
+                    low = (found & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+                    for at in np.flatnonzero((words[low >> 5] >> (low & 31).astype(np.uint32)) & 1):
+                        rows.append((k, size, int(found[at].astype(np.int64)), raw[max(0, at + size - longest) : at + size]))
+            if rows:
+                k, size, hashed, before = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in k], batch.column(0).type), pa.array(size, pa.int32()), pa.array(hashed, pa.int64()), pa.array(before, pa.binary())], ["k", "size", "hash", "before"])
+
+    kind = df.schema[key].dataType.simpleString()
+    near = df.select(F.col(key).alias("k"), F.col(col).cast("string").alias("t")).mapInArrow(places, f"k {kind}, size int, hash long, before binary")
+    met = near.join(wanted, ["size", "hash"]).where(F.endswith(F.col("before"), F.col("value").cast("binary")))
+    full = met.groupBy("k", F.sha2("value", 256).alias("whole")).agg(F.count("*").alias("n"))
+    return full.select(F.col("k").alias(key), F.left("whole", F.lit(8)).alias("digest"), "n")
+
+
+def secret_reuse(df: DataFrame, key: str, col: str, rules: tuple[Rule, ...] = AUDIT, digest: Callable[[Column], Column] = lambda m: F.sha2(m, 256), sketch: bool = False) -> DataFrame:
+    """(digest, rule, rows): secrets that more than one row holds, told apart by their whole digest, shown by its first 8 characters.
+    sketch adds rows_sketch, a mergeable sketch of the rows' keys, from which the rows of several tables or days are counted
+    together (hll_union_agg, hll_sketch_estimate). Null texts hold nothing; rows that repeat a key count once."""
+    found = [F.transform(F.when(may_match(F.col(col), r), F.regexp_extract_all(col, F.lit(r.java), F.lit(0))).otherwise(F.array().cast("array<string>")), _named_digest(r.name, digest)) for r in rules]
     each = df.select(F.col(key).alias("k"), F.explode(F.concat(*found)).alias("m"))
-    return each.groupBy("m.digest", "m.rule").agg(F.count_distinct("k").alias("rows")).where(F.col("rows") > 1)
+    more = [F.hll_sketch_agg(F.col("k").cast("string")).alias("rows_sketch")] if sketch else []
+    counted = each.groupBy("m.digest", "m.rule").agg(F.count_distinct("k").alias("rows"), *more).where(F.col("rows") > 1)
+    return counted.withColumn("digest", F.left("digest", F.lit(8)))
 
 
 def redaction_sample(df: DataFrame, col: str, n: int, policy: Policy = DEFAULT) -> DataFrame:
@@ -170,30 +293,68 @@ def redaction_sample(df: DataFrame, col: str, n: int, policy: Policy = DEFAULT)
     )
 
 
-def _as_pattern(value: Column) -> Column:
-    """A pattern that matches the value as it is: an end of quoting inside it is quoted by itself."""
-    return F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+def sample_by_reason(judged: DataFrame, key: str, raw: str, done: str, n: int, k: int) -> DataFrame:
+    """(key, reject_reason, raw, raw_cut, redacted, redacted_cut): for each reject reason, and for rows without one, the k rows of the
+    smallest key, their texts cut at n characters. judged has the texts before and after (null for a rejected row) and
+    reject_reason. Each task keeps k rows a reason before the shuffle, whatever a reason's share; null keys come last."""
+    order = Window.partitionBy("reject_reason").orderBy(F.asc_nulls_last(key), raw)
+    few = judged.withColumn("__mm_n", F.row_number().over(order)).where(F.col("__mm_n") <= k)
+    cut = lambda c, name: (F.left(F.col(c), F.lit(n)).alias(name), (F.length(c) > n).alias(f"{name}_cut"))
+    return few.select(key, "reject_reason", *cut(raw, "raw"), *cut(done, "redacted"))
+
+
+#: Own rules of one tenant: more, or longer ones, are refused.
+MAX_RULES, MAX_RULE_CHARS, SALTS = 20, 1024, 32
+
+
+def tenant_rules(rules: DataFrame, allow_regex: bool = False) -> DataFrame:
+    """rules (tenant, ord, type, value, name) with reason: why a rule is refused, or null. Regex rules are refused unless
+    the policy allows them (they may run away), and all rules of a tenant that has more than MAX_RULES."""
+
+    def why(kind: pa.Array, value: pa.Array, name: pa.Array) -> pa.Array:
+        return pa.array([rule_reason(*r) for r in zip(kind.to_pylist(), value.to_pylist(), name.to_pylist(), strict=True)], pa.string())
 
+    why.__annotations__ = {"kind": pa.Array, "value": pa.Array, "name": pa.Array, "return": pa.Array}
+    many = rules.groupBy("tenant").agg(F.count("*").alias("__mm_many"))
+    reason = (
+        F.when(F.col("tenant").isNull(), "no tenant").when(F.col("__mm_many") > MAX_RULES, "too many rules").when(F.length("value") > MAX_RULE_CHARS, "rule too long")
+        .when(F.lit(not allow_regex) & (F.col("type") == "regex"), "regex not allowed").otherwise(F.col("__mm_why"))
+    )
+    judged = rules.withColumn("__mm_why", F.arrow_udf(why, "string")("type", "value", "name"))
+    return judged.join(many, "tenant", "left").select(*rules.columns, reason.alias("reason"))
 
-def redact_per_tenant(df: DataFrame, col: str, key: str, rules: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """df with col redacted: each row's own rules first, then the policy's.
 
-    rules: tenant, ord, type, value: 'exact' rules of more than 16 characters are replaced as they are, shorter ones mask the
-    token that ends in them; 'regex' rules are refused (they may run away) and left out. Values are compared as text, never as
-    patterns. The rules of a tenant travel as one array; the table is aggregated by tenant and joined on it. Tenants without
-    rules, and null tenants, get the policy alone.
+def scan_per_tenant(df: DataFrame, col: str, key: str, rules: DataFrame, policy: Policy = DEFAULT, allow_regex: bool = False) -> DataFrame:
+    """df with col redacted, redactions and rule_hits: each row's own rules first, in their order, then the policy's.
+
+    rules: tenant, ord, type, value, name, as for custom rules; tenant_rules says which are refused, and these are left out. A tenant's
+    rules, at most MAX_RULES, travel as one array, dealt over SALTS tasks for a tenant that many rows have, and are compiled
+    once a task and tenant. Tenants without rules, and null tenants, get the policy alone; null texts stay null.
     """
-    usable = rules.where((F.col("type") == "exact") & (F.length("value") >= 8) & F.col("tenant").isNotNull())
-    own = usable.select("tenant", F.struct("ord", "value").alias("r")).groupBy("tenant").agg(F.array_sort(F.collect_list("r")).alias("__mm_rules"))
-    joined = df.join(own, df[key] == own["tenant"], "left").drop(own["tenant"])
-    mark = policy.placeholder
-    escaped = mark.replace("\\", "\\\\").replace("$", "\\$")
-
-    def one(text: Column, rule: Column) -> Column:
-        value = rule["value"]
-        tail = F.concat(F.lit(r"(?<![A-Za-z0-9_./+-])[A-Za-z0-9_./+-]{8,}"), _as_pattern(value), F.lit(r"(?![A-Za-z0-9_./+=-])"))
-        changed = F.when(F.length(value) > 16, F.replace(text, value, F.lit(mark))).otherwise(F.regexp_replace(text, tail, F.lit(escaped)))
-        return F.when(F.contains(text, value), changed).otherwise(text)
-
-    text = F.when(F.col("__mm_rules").isNotNull(), F.aggregate("__mm_rules", F.col(col), one)).otherwise(F.col(col))
-    return redact_text(joined.withColumn(col, text).select(df.columns), col, policy)
+    usable = tenant_rules(rules, allow_regex).where("reason IS NULL")
+    own = usable.groupBy("tenant").agg(F.array_sort(F.collect_list(F.struct("ord", "type", "value", "name"))).alias("__mm_rules"))
+    dealt = own.withColumnsRenamed({"tenant": "__mm_tenant"}).withColumn("__mm_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    salted = df.withColumn("__mm_salt", F.pmod(F.xxhash64(col), F.lit(SALTS)))
+    joined = salted.join(dealt, (F.col(key) == F.col("__mm_tenant")) & (salted["__mm_salt"] == dealt["__mm_salt"]), "left")
+
+    def scan(texts: pa.Array, rules_: pa.Array) -> pa.Array:
+        redactors: dict = {}
+        out = []
+        for value, specs in zip(texts.to_pylist(), rules_.to_pylist(), strict=True):
+            name = tuple(tuple(r.values()) for r in specs or ())
+            if name not in redactors:
+                redactors[name] = Redactor(replace(policy, rules=custom_rules(specs or []) + policy.rules))
+            hits_: Counter = Counter()
+            done = None if value is None else redactors[name].text(value, hits_)
+            out.append({"text": done, "redactions": hits_.total(), "rule_hits": list(hits_.items())})
+        return pa.array(out, pa.struct([("text", pa.string()), ("redactions", pa.int64()), ("rule_hits", pa.map_(pa.string(), pa.int64()))]))
+
+    scan.__annotations__ = {"texts": pa.Array, "rules_": pa.Array, "return": pa.Array}
+    found = joined.withColumn("__mm", F.arrow_udf(scan, _FOUND).asNondeterministic()(F.col(col), F.col("__mm_rules")))
+    rest = [F.col("__mm.text").alias(c) if c == col else F.col(c) for c in df.columns if c not in ("redactions", "rule_hits")]
+    return found.select(*rest, "__mm.redactions", "__mm.rule_hits")
+
+
+def redact_per_tenant(df: DataFrame, col: str, key: str, rules: DataFrame, policy: Policy = DEFAULT, allow_regex: bool = False) -> DataFrame:
+    """scan_per_tenant without the hits."""
+    return scan_per_tenant(df, col, key, rules, policy, allow_regex).select(*(c for c in df.columns if c not in ("redactions", "rule_hits")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +13,7 @@ from maskmill.functions import columns as X
 from maskmill.functions.rules import AUDIT, BUILTIN, PLACEHOLDER, Policy, Rule, custom_rules
 from maskmill.operators import chat, nested, requests, text
 from maskmill.sources import tables
-from maskmill.sources.derived import view
+from maskmill.sources.derived import VIEWS, view
 from maskmill.streaming import redaction
 
 from . import sqltext as S
@@ -211,6 +212,15 @@ def t9_rule_overlap(spark, d):
     return text.rule_overlap(seeded(spark, d))
 
 
+_MATCHED = " UNION ALL ".join(f"SELECT k, {i} AS i, {S.quoted(r.name)} AS rule FROM two WHERE regexp_matches(text, {S.quoted(r.pattern)})" for i, r in enumerate(BUILTIN))
+
+
+@query(f"{S.views('seeded')}, two AS (SELECT k, text FROM seeded), m AS ({_MATCHED}), w AS (SELECT k, rule AS loser, i, first_value(rule) OVER (PARTITION BY k ORDER BY i) AS taker, min(i) OVER (PARTITION BY k) AS least FROM m) SELECT taker, loser, count(*) AS n FROM w WHERE i > least GROUP BY ALL")
+def t9_rule_attribution(spark, d):
+    """A seeded row holds one secret, so that of the rules that match it the first one takes the others' match."""
+    return text.rule_attribution(seeded(spark, d))
+
+
 @query(f"{S.views('seeded')} SELECT k, text FROM seeded")
 def t10_switched_off(spark, d):
     return text.redact_text(seeded(spark, d), policy=Policy(enabled=False))
@@ -221,6 +231,23 @@ def t11_line_detect(spark, d):
     return text.line_detect(seeded(spark, d), "text", {"sk": "sk-[a-z]+-"}).select("k", "text", "redactions")
 
 
+_LISTS = "SELECT k, CASE WHEN k % 5 = 0 THEN 'see ' || h || ' end' ELSE 'say v=' || translate(substr(h, 1, 12), '01', ', ') || ';' || CASE WHEN k % 7 = 0 THEN chr(10) || 'v=,,;' ELSE '' END || ' end' END AS text FROM seeded"
+_SWAP = f"{{'t': replace(a.t, v, {_MASK}), 'n': a.n + (length(a.t) - length(replace(a.t, v, ''))) // length(v)}}"
+
+
+@query(
+    f"{S.views('seeded')}, x AS ({_LISTS}), f AS (SELECT k, text, regexp_extract_all(text, 'v=([0-9a-f, ]+);', 1) AS f1, regexp_extract_all(text, 'e[a-z]+') AS f2 FROM x),"
+    f" g AS (SELECT k, list_reduce(CASE WHEN len(f1) > 0 THEN f1 ELSE f2 END, lambda acc, found: list_reduce([list_reduce(CASE WHEN contains(found, ',') THEN list_filter(list_transform(string_split(found, ','), lambda p: trim(p)), lambda p: p <> '') ELSE [found] END,"
+    f" lambda a, v: {_SWAP}, {{'t': acc.t, 'n': 0::bigint}})], lambda z, r: {{'t': CASE WHEN r.n = 0 AND contains(found, ',') THEN replace(r.t, found, {_MASK}) ELSE r.t END,"
+    " 'n': z.n + r.n + CASE WHEN r.n = 0 AND contains(found, ',') THEN (length(r.t) - length(replace(r.t, found, ''))) // length(found) ELSE 0 END}, {'t': acc.t, 'n': acc.n}), {'t': text, 'n': 0::bigint}) AS r FROM f) SELECT k, r.t AS text, r.n AS redactions FROM g"
+)
+def t11_detected_lists(spark, d):
+    """Lists of every shape, some of commas only; rows without a list are looked at by a second detector."""
+    made = F.expr(f"({_LISTS[_LISTS.index('CASE') : _LISTS.index(' AS text')]})")
+    rows = view(spark, d, "seeded").select("k", made.alias("text"))
+    return text.line_detect(rows, "text", {"list": "(?<=v=)[0-9a-f, ]+(?=;)"}, eager={"word": "e[a-z]+"}).select("k", "text", "redactions")
+
+
 @query(_SEEDED_FOLD + f"SELECT k, t AS text FROM f{len(BUILTIN)}")
 def t12_redact_binary(spark, d):
     rows = seeded(spark, d).withColumn("text", F.col("text").cast("binary"))
@@ -276,7 +303,17 @@ def p3_classify_key(spark, d):
 
 @query(f"{_PAYLOADS}, l AS (SELECT req_id, u.fullkey AS path, u.key AS key, u.atom AS a FROM j, json_tree(j.body) u WHERE json_valid(j.body) AND u.type NOT IN ('OBJECT', 'ARRAY')) SELECT req_id AS row_id, path, a ->> '$' AS value, {S.key_class('key')} AS key_class FROM l")
 def p4_payload_leaves(spark, d):
-    return nested.payload_leaves(_json_requests(spark, d), "req_id", "body", depth=4).select("row_id", "path", "value", "key_class")
+    return nested.payload_leaves(_json_requests(spark, d), "req_id", "body").select("row_id", "path", "value", "key_class")
+
+
+_DEEP = "'{\"a\":[{\"b\":{\"c\":{\"clientSecret\":{\"e\":[[[{\"f\":' || body || ',\"g\":[1,2.50,true,null]}]]]}}}}]}'"
+
+
+@query(f"{_PAYLOADS}, w AS (SELECT req_id, {_DEEP} AS body FROM j), l AS (SELECT req_id, u.fullkey AS path, u.atom AS a FROM w, json_tree(w.body) u WHERE json_valid(w.body) AND u.type NOT IN ('OBJECT', 'ARRAY')) SELECT req_id AS row_id, path, a ->> '$' AS value, 'strict' AS key_class FROM l")
+def p4_deep_leaves(spark, d):
+    """Leaves of payloads twelve levels down, below one strict name."""
+    rows = _json_requests(spark, d).withColumn("body", F.expr(_DEEP))
+    return nested.payload_leaves(rows, "req_id", "body").select("row_id", "path", "value", "key_class")
 
 
 @query(f"SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN {_MASK} WHEN o_orderkey % 3 = 1 THEN CASE WHEN length(trim(v)) >= 8 THEN {_MASK} ELSE v END ELSE v END AS value, CASE WHEN o_orderkey % 3 = 0 THEN {_MASK} ELSE CAST(o_orderkey AS varchar) END AS number FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'short' ELSE md5(CAST(o_orderkey AS varchar)) END AS v FROM orders)")
@@ -300,6 +337,16 @@ def p7_key_collisions(spark, d):
     return nested.key_collisions(rows, "m").select("k", "collides")
 
 
+@query(f"{S.views('seeded')}, a AS (SELECT k, text, 1 AS n FROM seeded UNION ALL SELECT k, {_OTHER_KEY}, 2 FROM seeded WHERE k % 2 = 0), {S.fold('a', 'k, n', count=False)} SELECT k, CASE WHEN count(DISTINCT t) < count(*) THEN 'colliding keys' END AS reject_reason, CASE WHEN count(DISTINCT t) = count(*) THEN string_agg(t, '|' ORDER BY n) END AS keys FROM f{len(BUILTIN)} GROUP BY k")
+def p7_nested_rejects(spark, d):
+    """The same maps three levels down: rows whose innermost keys become equal are rejects, not an error."""
+    more = F.concat(F.expr("substr(text, 1, length(text) - 4)"), F.lit("1 end"))
+    inner = F.when(F.col("k") % 2 == 0, F.create_map("text", F.lit("v"), more, F.lit("w"))).otherwise(F.create_map("text", F.lit("v")))
+    rows = seeded(spark, d).select("k", F.create_map(F.lit("outer"), F.array(F.struct(F.create_map(F.lit("mid"), inner).alias("s")))).alias("m"))
+    done = nested.nested_or_reject(rows, "m")
+    return done.select("k", "reject_reason", F.array_join(F.map_keys(F.col("m")["outer"][0]["s"]["mid"]), "|").alias("keys"))
+
+
 _TURNS = f"{S.views('seeded')}, c AS (SELECT conv_id, turn, role, text || ' ' || coalesce((SELECT s.text FROM seeded s WHERE s.k = conv_id), '') AS text FROM conversations), {S.fold('c', 'conv_id, turn, role')}"
 
 
@@ -319,6 +366,19 @@ def p9_scan_messages(spark, d):
     return nested.scan_messages(_turns(spark, d))
 
 
+@query(f"{_TURNS}, l AS ({S.long_hits('conv_id')}) SELECT conv_id, rule, sum(hits)::bigint AS hits FROM l GROUP BY ALL")
+def p9_message_hits(spark, d):
+    return nested.message_hits(_turns(spark, d))
+
+
+@query(f"{_TURNS}, l AS ({S.long_hits('conv_id')}), r AS (SELECT conv_id, rule, sum(hits)::bigint AS hits FROM l GROUP BY ALL), o AS (SELECT conv_id, sum(hits)::bigint AS redactions, string_agg(rule || '=' || hits, ',' ORDER BY rule) AS hits FROM r GROUP BY conv_id) SELECT c.conv_id, coalesce(o.redactions, 0) AS redactions, coalesce(o.hits, '') AS hits FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN o ON o.conv_id = c.conv_id")
+def p9_scan_message_lists(spark, d):
+    """Whole conversations as lists, with the hits of each rule."""
+    lists = _turns(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
+    each = F.transform(F.array_sort(F.map_entries("rule_hits")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return nested.scan_message_lists(lists).select("conv_id", "redactions", F.array_join(each, ",").alias("hits"))
+
+
 @query(f"{_SEEDED_FOLD} SELECT k, t AS content, t AS stop, 0.5::double AS temperature, (2 * ({S.total()}))::bigint AS redactions FROM f{len(BUILTIN)}")
 def p10_redact_params(spark, d):
     rows = seeded(spark, d).select("k", F.struct(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("messages"), F.col("text").alias("stop"), F.lit(0.5).alias("temperature")).alias("params"))
@@ -406,6 +466,14 @@ def j1_allowlist(spark, d):
     return requests.allowlist(view(spark, d, "request_log"), "url", spark.createDataFrame(ALLOWED, "url string")).select("req_id", "allowed")
 
 
+@query(f"{S.views('request_log')}, u AS (SELECT req_id, CASE WHEN req_id % 2 = 0 THEN replace(url, '://', '://' || substr(md5(url), 1, req_id % 3) || '@') ELSE url END AS url FROM request_log), p AS (SELECT req_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS place, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM u) SELECT req_id, (NOT contains(place, '@') OR starts_with(place, '@')) AND regexp_replace(lower(replace(place, '@', '')), ':443$', '') = 'allowed.example' AND (path = '/v1' OR starts_with(path, '/v1/')) AND NOT contains(path, '..') AS allowed FROM p")
+def j1_userinfo(spark, d):
+    """Urls with user info are never allowed; an @ with nothing before it is none."""
+    made = F.expr("CASE WHEN req_id % 2 = 0 THEN replace(url, '://', '://' || substr(md5(url), 1, int(req_id % 3)) || '@') ELSE url END")
+    rows = view(spark, d, "request_log").select("req_id", made.alias("url"))
+    return requests.allowlist(rows, "url", spark.createDataFrame(ALLOWED, "url string")).select("req_id", "allowed")
+
+
 @query(f"{S.views('request_log')} SELECT req_id, req_id % 5 IN (2, 3) AS private FROM request_log")
 def j2_private_targets(spark, d):
     return requests.private_targets(view(spark, d, "request_log"), "url", spark.createDataFrame(HOSTS, "host string, ip string"), requests.reserved_ranges(spark)).select("req_id", "private")
@@ -418,6 +486,34 @@ def j3_redact_per_tenant(spark, d):
     return text.redact_per_tenant(rows, "text", "tenant", rules).select("k", "text")
 
 
+_OWN_RULES = "SELECT DISTINCT 't' || (k % 7) AS tenant, 1 AS ord, CASE WHEN k % 7 < 3 THEN 'regex' ELSE 'exact' END AS type, CASE WHEN k % 7 < 3 THEN 'note [a-f' || (k % 7) || ']+' ELSE 'belongs to tenant ' || (k % 7) || '.' END AS value, 'own_' || (k % 7) AS name FROM seeded WHERE k % 7 < 6"
+_OF_TENANT = "SELECT k, 't' || (k % 7) AS tenant, text || ' belongs to tenant ' || (k % 6) || '.' AS text FROM seeded"
+
+
+@query(
+    f"{S.views('seeded')}, u AS ({_OWN_RULES}), o AS ({_OF_TENANT}), r AS (SELECT k, CASE WHEN u.type = 'regex' THEN regexp_replace(text, value, {_MASK}, 'g') WHEN u.type = 'exact' THEN replace(text, value, {_MASK}) ELSE text END AS text,"
+    " CASE WHEN u.type = 'regex' THEN len(regexp_extract_all(text, value)) WHEN u.type = 'exact' THEN (length(text) - length(replace(text, value, ''))) // length(value) ELSE 0 END AS own FROM o LEFT JOIN u ON u.tenant = o.tenant),"
+    f" {S.fold('r', 'k, own')} SELECT k, t AS text, own::bigint AS own_hits, (own + {S.total()})::bigint AS redactions FROM f{len(BUILTIN)}"
+)
+def j3_scan_per_tenant(spark, d):
+    """Each tenant has one rule of its own, a pattern or a literal; the last tenant has none."""
+    base = view(spark, d, "seeded")
+    base.createOrReplaceTempView("mm_j3_seeded")
+    rules, rows = (spark.sql(re.sub(r"\bseeded\b", "mm_j3_seeded", q)) for q in (_OWN_RULES, _OF_TENANT))
+    out = text.scan_per_tenant(tables.spread(rows), "text", "tenant", rules, allow_regex=True)
+    own = F.aggregate(F.map_values(F.map_filter("rule_hits", lambda r, _n: r.startswith("own_"))), F.lit(0).cast("long"), lambda a, n: a + n)
+    return out.select("k", "text", own.alias("own_hits"), "redactions")
+
+
+_TENANT_RULES = "SELECT 'c' || (o_custkey % 100) AS tenant, o_orderkey AS ord, CASE WHEN o_orderkey % 3 = 0 THEN 'regex' ELSE 'exact' END AS type, substr(md5('x'), 1, CAST(o_orderkey % 17 AS int)) AS value, CASE WHEN o_orderkey % 5 = 0 THEN 'no name' ELSE 'n' END AS name FROM orders WHERE o_orderkey % 100 < 20"
+
+
+@query(f"WITH t AS ({_TENANT_RULES.replace(' AS int', ' AS integer')}), n AS (SELECT *, count(*) OVER (PARTITION BY tenant) AS many FROM t) SELECT tenant, ord, CASE WHEN many > 20 THEN 'too many rules' WHEN type = 'regex' THEN 'regex not allowed' WHEN value = '' THEN 'empty' WHEN length(value) < 8 THEN 'exact under 8 characters' WHEN name = 'no name' THEN 'bad name' END AS reason FROM n")
+def j3_tenant_rules(spark, d):
+    tables.table(spark, d, "orders").createOrReplaceTempView("mm_j3_orders")
+    return text.tenant_rules(spark.sql(_TENANT_RULES.replace("FROM orders", "FROM mm_j3_orders"))).select("tenant", "ord", "reason")
+
+
 # Aggregates
 
 
@@ -471,6 +567,21 @@ def a6_leak_check(spark, d):
     return text.leak_check(text.redact_text(seeded(spark, d)), "text", known, "value", "k").select("k")
 
 
+_LEAKY = "t || ' seen ' || md5(CAST(f.k + 7 AS STR)) || CASE WHEN f.k % 3 = 0 THEN md5(CAST(f.k + 7 AS STR)) ELSE '' END"
+
+
+@query(
+    f"{S.views('seeded')}, {S.fold('seeded', 'k', rules=AUDIT, count=False)}, x AS (SELECT k, {_LEAKY.replace('STR', 'varchar')} AS text FROM f{len(AUDIT)} f),"
+    " own AS (SELECT x.k, s.h FROM x JOIN seeded s ON s.k = x.k WHERE contains(x.text, s.h)), other AS (SELECT x.k, s.h FROM x JOIN seeded s ON s.k = x.k + 7),"
+    " b AS (SELECT * FROM own UNION ALL SELECT * FROM other) SELECT b.k, substr(sha256(h), 1, 8) AS digest, ((length(text) - length(replace(text, h, ''))) // length(h))::bigint AS n FROM b JOIN x ON x.k = b.k"
+)
+def a6_corpus_leaks(spark, d):
+    """Texts scanned by the sure rules alone, each with another row's value put in: all known values are looked for in all rows."""
+    known = view(spark, d, "seeded").select("h")
+    done = text.audit_scan(seeded(spark, d)).select("k", F.col("text").alias("t")).alias("f")
+    return text.corpus_leaks(done.select("k", F.expr(_LEAKY.replace("STR", "string")).alias("text")), "k", "text", known, "h")
+
+
 _TWICE = "SELECT k, text FROM seeded UNION ALL SELECT k + 1000000000, text FROM seeded WHERE k % 3 = 0"
 _EACH = " UNION ALL ".join(f"SELECT k, {S.quoted(r.name)} AS rule, unnest(regexp_extract_all(text, {S.quoted(r.pattern)})) AS m FROM w" for r in AUDIT)
 
@@ -487,6 +598,19 @@ def a8_redaction_sample(spark, d):
     return text.redaction_sample(seeded(spark, d), "text", 40)
 
 
+_DONE = f"""'{{"model":"m","max_tokens":1024,"password":"' || {_MASK} || '","apiKey":"' || {_MASK} || '","messages":[{{"role":"user","content":"' || replace(t, chr(10), chr(92) || 'n') || '"}}]}}'"""
+
+
+@query(
+    f"{_PAYLOADS}, c AS (SELECT req_id, json_extract_string(body, '$.messages[0].content') AS text FROM j WHERE json_valid(body)), {S.fold('c', 'req_id', count=False)},"
+    f" b AS (SELECT j.req_id, body, {_DONE} AS done, CASE WHEN f.req_id IS NULL THEN 'malformed' END AS reject_reason FROM j LEFT JOIN f{len(BUILTIN)} f ON f.req_id = j.req_id), n AS (SELECT *, row_number() OVER (PARTITION BY reject_reason ORDER BY req_id) AS n FROM b)"
+    " SELECT req_id, reject_reason, substr(body, 1, 160) AS raw, length(body) > 160 AS raw_cut, substr(done, 1, 160) AS redacted, length(done) > 160 AS redacted_cut FROM n WHERE n <= 50"
+)
+def a8_payload_sample(spark, d):
+    """Fifty payloads of each kind, sound and malformed."""
+    return nested.payload_sample(_json_requests(spark, d), "req_id", "body", 160, 50)
+
+
 # Functions
 
 
@@ -602,6 +726,22 @@ def c8_safe_responses_to_chat(spark, d):
     return chat.safe_responses_to_chat(view(spark, d, "responses_log"), "k", "body")
 
 
+_SAFE = "replace(replace(body, '\"hi ', '\"hi sk-ant-'), '\"a ', '\"apiKey=')"
+
+
+@query(
+    f"{_CHAT}, s AS (SELECT k, h FROM seeded WHERE {_GOOD}) SELECT k AS id, -1 AS pos, 'system' AS role, 'be brief' AS content, NULL AS tool_calls, NULL AS tool_call_id FROM s WHERE k % 3 = 0"
+    f" UNION ALL SELECT k, 0, 'user', 'hi ' || {_MASK}, NULL, NULL FROM s WHERE k % 6 = 0"
+    f" UNION ALL SELECT k, 0, 'user', 'apiKey=' || {_MASK}, NULL, NULL FROM s WHERE k % 6 = 1 UNION ALL SELECT k, 1, 'assistant', 'b' || chr(10) || 'c', NULL, NULL FROM s WHERE k % 6 = 1"
+    """ UNION ALL SELECT k, 0, 'assistant', NULL, '[{"id":"c1","type":"function","function":{"name":"n__f","arguments":"x' || substr(h,1,4) || '"}}]', NULL FROM s WHERE k % 6 = 2 UNION ALL SELECT k, 1, 'tool', 'o1' || chr(10) || 'o2', NULL, 'c1' FROM s WHERE k % 6 = 2"""
+    """ UNION ALL SELECT k, 0, 'user', '[{"type":"text","text":"see"},{"type":"image_url","image_url":{"url":"http://i/' || substr(h,1,4) || '","detail":"low"}}]', NULL, NULL FROM s WHERE k % 6 = 5"""
+)
+def c8_safe_messages(spark, d):
+    """The same log with secrets in its texts."""
+    log = view(spark, d, "responses_log").withColumn("body", F.expr(_SAFE))
+    return chat.safe_responses_to_chat(tables.spread(log), "k", "body")
+
+
 # Streams
 
 
@@ -628,6 +768,23 @@ def m3_assemble_chunks(spark, d):
     return chat.assemble_chunks(view(spark, d, "chunks")).select("id", "text")
 
 
+_CALL_ROWS = (
+    "t AS (SELECT conv_id AS id, turn % 3 AS index, min(turn) AS first, coalesce(max(CASE WHEN turn < 3 THEN 'c' || CAST(conv_id AS varchar) || '_' || CAST(turn AS varchar) END), 'call_' || CAST(conv_id AS varchar) || '_' || CAST(turn % 3 AS varchar)) AS call_id,"
+    " coalesce(string_agg(CASE WHEN turn < 3 THEN 'f' END, ''), '') AS name, string_agg('a' || CAST(turn AS varchar), '' ORDER BY turn) AS arguments FROM conversations WHERE turn % 2 = 1 GROUP BY conv_id, turn % 3)"
+)
+_CALL_JSON = """'{"call_id":"' || call_id || '","name":"' || name || '","arguments":"' || arguments || '"}'"""
+_TOOL_ANSWERS = (
+    f"WITH {_CALL_ROWS}, c AS (SELECT id, '[' || string_agg({_CALL_JSON}, ',' ORDER BY first) || ']' AS tool_calls FROM t GROUP BY id), a AS (SELECT conv_id AS id, coalesce(string_agg(CASE WHEN turn % 2 = 0 THEN 't' || CAST(turn AS varchar) || ' ' END, '' ORDER BY turn), '') AS text, max(turn)::bigint AS last FROM conversations GROUP BY conv_id)"
+    " SELECT a.id AS id, text, tool_calls, last AS input_tokens, 2::bigint AS output_tokens, last + 2 AS total_tokens FROM a LEFT JOIN c ON c.id = a.id"
+)
+
+
+@query(_TOOL_ANSWERS)
+def m3_tool_answers(spark, d):
+    """Text, tool calls and usage."""
+    return chat.assemble_chunks(view(spark, d, "tool_chunks"))
+
+
 @query("SELECT conv_id AS response_id, string_agg(substr(md5(CAST(conv_id * 1000 + turn AS varchar)), 1, 8), '' ORDER BY turn) AS text, TRUE AS complete FROM conversations GROUP BY conv_id")
 def m4_stream_assemble(spark, d):
     made = F.expr("concat('data: {\"choices\":[{\"delta\":{\"content\":\"', substr(md5(cast(conv_id * 1000 + turn as string)), 1, 8), '\"}}]}', '\\r\\n\\r\\n')")
@@ -636,6 +793,18 @@ def m4_stream_assemble(spark, d):
     stream = tables.stream_table(spark, d, "conversations").join(last, "conv_id")
     chunk = F.when(F.col("turn") == F.col("last"), F.concat(made, F.lit("data: [DONE]\n\n"))).otherwise(made)
     rows = stream.select(F.col("conv_id").alias("response_id"), (F.col("turn") - F.col("first")).alias("seq"), chunk.cast("binary").alias("chunk"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"))
+    return _run_stream(redaction.stream_assemble(rows), "append").select("response_id", "text", "complete")
+
+
+@query(_TOOL_ANSWERS.replace("a.id AS id, text", "a.id AS response_id, text").replace("AS total_tokens", "AS total_tokens, TRUE AS complete"))
+def m4_stream_tool_answers(spark, d):
+    """The same answers out of a stream of chunks, which end with [DONE]."""
+    chunk = re.search(r"turn as seq, (.*) as chunk from", VIEWS["tool_chunks"])[1]
+    made = F.expr(re.sub(r"(?i)\bas STR\b", "as string", chunk))
+    last = tables.table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"), F.min("turn").alias("first"))
+    stream = tables.stream_table(spark, d, "conversations").join(last, "conv_id")
+    ended = F.when(F.col("turn") == F.col("last"), F.concat(made, F.lit("data: [DONE]\n\n"))).otherwise(made)
+    rows = stream.select(F.col("conv_id").alias("response_id"), (F.col("turn") - F.col("first")).alias("seq"), ended.cast("binary").alias("chunk"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"))
     return _run_stream(redaction.stream_assemble(rows), "append")
 
 
@@ -643,7 +812,15 @@ def m4_stream_assemble(spark, d):
     f"{S.views('tool_chunks')}, t AS (SELECT conv_id AS id, turn % 3 AS index, turn FROM conversations WHERE turn % 2 = 1) SELECT id, index::int AS index, coalesce(max(CASE WHEN turn < 3 THEN 'c' || CAST(id AS varchar) || '_' || CAST(turn AS varchar) END), 'call_' || CAST(id AS varchar) || '_' || CAST(index AS varchar)) AS call_id, coalesce(string_agg(CASE WHEN turn < 3 THEN 'f' END, ''), '') AS name, string_agg('a' || CAST(turn AS varchar), '' ORDER BY turn) AS arguments FROM t GROUP BY id, index"
 )
 def m5_merge_tool_calls(spark, d):
-    return chat.merge_tool_calls(chat.chunk_events(view(spark, d, "tool_chunks")))
+    return chat.merge_tool_calls(chat.assembled(view(spark, d, "tool_chunks")))
+
+
+@query("WITH t AS (SELECT conv_id AS id, turn, role, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::int AS index FROM conversations) SELECT id, index, 'call_' || id || '_' || index AS call_id, role AS name, '{\"turn\":' || turn || '}' AS arguments FROM t")
+def m5_calls_without_index(spark, d):
+    """Deltas that carry no index: each begins the next call."""
+    delta = F.expr("""'data: {"choices":[{"delta":{"tool_calls":[{"function":{"name":"' || role || '","arguments":"{\\\\"turn\\\\":' || turn || '}"}}]}}]}' || chr(10) || chr(10)""")
+    chunks = tables.table(spark, d, "conversations").select(F.col("conv_id").alias("response_id"), F.col("turn").alias("seq"), delta.alias("chunk"))
+    return chat.merge_tool_calls(chat.assembled(chunks))
 
 
 @query(
@@ -651,7 +828,27 @@ def m5_merge_tool_calls(spark, d):
     " SELECT id, 0 AS n, 'response.created' AS type, NULL AS text FROM w UNION ALL SELECT id, 1, 'response.output_item.added', '' FROM w UNION ALL SELECT id, (r + 1)::int, 'response.output_text.delta', t FROM c UNION ALL SELECT id, (n + 2)::int, 'response.output_item.done', t FROM w UNION ALL SELECT id, (n + 3)::int, 'response.completed', t FROM w"
 )
 def m6_response_events(spark, d):
-    return chat.response_events(view(spark, d, "chunks"))
+    return chat.response_events(view(spark, d, "chunks")).select("id", "n", "type", "text")
+
+
+_MESSAGE = """'{"type":"message","role":"assistant","id":"msg_' || id || '","content":[{"type":"output_text","text":"' || text || '"}]}'"""
+_ITEM = """'{"type":"function_call",' || substr(""" + _CALL_JSON + ", 2)"
+
+
+@query(
+    f"WITH {_CALL_ROWS}, c AS (SELECT id, {_ITEM} AS item, (row_number() OVER (PARTITION BY id ORDER BY first) - 1)::int AS r, first FROM t), o AS (SELECT id, string_agg(item, ',' ORDER BY first) AS items, count(*) AS n FROM c GROUP BY id),"
+    " d AS (SELECT conv_id AS id, turn, 't' || turn || ' ' AS text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::int AS r FROM conversations WHERE turn % 2 = 0), x AS (SELECT id, string_agg(text, '' ORDER BY turn) AS text, count(*) AS n FROM d GROUP BY id),"
+    " a AS (SELECT i.id, x.text, coalesce(x.n, 0) AS texts, coalesce(o.n, 0) AS calls, items, last FROM (SELECT conv_id AS id, max(turn) AS last FROM conversations GROUP BY conv_id) i LEFT JOIN x ON x.id = i.id LEFT JOIN o ON o.id = i.id), b AS (SELECT *, CASE WHEN texts > 0 THEN 2 ELSE 0 END AS m FROM a)"
+    """ SELECT id, 0 AS n, 'response.created' AS type, NULL AS text, NULL AS item, '{"id":"resp_' || id || '","status":"in_progress"}' AS response FROM b"""
+    f" UNION ALL SELECT id, 1, 'response.output_item.added', '', {_MESSAGE.replace(' text ', chr(32) + chr(39) * 2 + chr(32))}, NULL FROM b WHERE texts > 0"
+    " UNION ALL SELECT id, r + 2, 'response.output_text.delta', text, NULL, NULL FROM d"
+    f" UNION ALL SELECT id, (texts + 2)::int, 'response.output_item.done', text, {_MESSAGE}, NULL FROM b WHERE texts > 0"
+    " UNION ALL SELECT c.id, (m + texts + 1 + c.r)::int, 'response.output_item.done', NULL, c.item, NULL FROM c JOIN b ON b.id = c.id"
+    f""" UNION ALL SELECT id, (m + texts + 1 + calls)::int, 'response.completed', text, NULL, '{{"id":"resp_' || id || '","status":"completed","output":[' || concat_ws(',', CASE WHEN texts > 0 THEN {_MESSAGE} END, items) || '],"usage":{{"input_tokens":' || last || ',"input_tokens_details":{{"cached_tokens":0}},"output_tokens":2,"output_tokens_details":{{"reasoning_tokens":0}},"total_tokens":' || (last + 2) || '}},"end_turn":true}}' FROM b"""
+)
+def m6_tool_events(spark, d):
+    """Every event of answers with text, tool calls and usage, as JSON."""
+    return chat.response_events(view(spark, d, "tool_chunks"))
 
 
 # SQL surface
@@ -667,6 +864,18 @@ def u1_sql_function(spark, d):
     return spark.sql(f"SELECT k, redact_text(text) AS text FROM {name}")
 
 
+@query(f"""{_SEEDED_FOLD} SELECT k, '[{{"role":"user","content":"' || replace(t, chr(10), chr(92) || 'n') || '"}}]' AS messages, '{{"stop":"' || replace(t, chr(10), chr(92) || 'n') || '"}}' AS params, ({S.total()})::bigint AS message_hits, ({S.total()})::bigint AS param_hits FROM f{len(BUILTIN)}""")
+def u1_sql_messages(spark, d):
+    """Message lists and call parameters under their SQL names."""
+    from maskmill.functions.sql import register
+
+    register(spark)
+    line = F.replace(F.col("text"), F.lit("\n"), F.lit("\\n"))
+    rows = seeded(spark, d).select("k", F.concat(F.lit('[{"role":"user","content":"'), line, F.lit('"}]')).alias("m"), F.concat(F.lit('{"stop":"'), line, F.lit('"}')).alias("p"))
+    rows.createOrReplaceTempView("mm_u1_messages")
+    return spark.sql("SELECT k, redact_messages(m) AS messages, redact_params(p) AS params, scan_messages(m) AS message_hits, scan_params(p) AS param_hits FROM mm_u1_messages")
+
+
 @query(f"{S.views('seeded')}, {S.fold('seeded', 'k', rules=CUSTOM + AUDIT, placeholder='###')} SELECT k, t AS text, ({S.total(CUSTOM + AUDIT)})::bigint AS redactions FROM f{len(CUSTOM + AUDIT)}")
 def u2_policy(spark, d):
     return text.scan_text(seeded(spark, d), policy=Policy(rules=CUSTOM, builtin=AUDIT, placeholder="###")).select("k", "text", "redactions")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,7 +57,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = f"{with_views(name, string='string')} SELECT * FROM {name}"
     for t in _TABLES:
         if re.search(rf"\b(?:FROM|from|join) {t}\b", sql):
-            own = f"mm_{abs(hash((sf_dir, t)))}_{t}"
+            own = f"mm_{hashlib.md5(sf_dir.encode()).hexdigest()}_{t}"
             table(spark, sf_dir, t).createOrReplaceTempView(own)
             sql = re.sub(rf"\b(FROM|from|join) {t}\b", rf"\1 {own}", sql)
     return spark.sql(sql)
