@@ -98,5 +98,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_url_rules": oracles.url_rules(URL_RULES),
     "op5_decontaminate": oracles.DECONTAMINATION,
     "op9_minhash_forest": oracles.near_duplicates(80, ", d.doc_id = component_id AS kept"),
+    "op11_turn_repair": oracles.TURN_REPAIR,
     "op12_signature_tree": oracles.near_duplicates(85, ""),
+    "op13_ball_codes": oracles.ball_codes(),
 }
