@@ -83,9 +83,9 @@ d AS (SELECT conv_id, n + 1 AS i, '000000000' AS q0, '000000004II' AS qs, '00000
 SELECT conv_id, i, {some('b0', insert('u'))}, {some('bs', insert('u'))}, u, {some('ba', insert('bu'))} FROM (SELECT *, {some('bu', insert('ba'))} AS u FROM (SELECT d.conv_id AS conv_id, g.i AS i, {some(drop('q0'), move('u', 'qu'), keep_s)} AS b0, {some(drop('qs'), move('u', 'qu'))} AS bs, {some(drop('qu'), move('a', 'qa'))} AS bu, {some(drop('qa'), move('u', 'qu'))} AS ba
 FROM d JOIN g ON g.conv_id IS NOT DISTINCT FROM d.conv_id AND g.i = d.i - 1))),
 p AS (SELECT o.*, CAST(substr(q0, 1, 9) AS bigint) AS cost, substr(q0, 10) AS audit FROM o JOIN d ON d.conv_id IS NOT DISTINCT FROM o.conv_id AND d.i = 1),
-e AS (SELECT conv_id, at, substr(audit, at, 1) AS edit, length(replace(substr(audit, 1, at), 'I', '')) AS i, length(replace(substr(audit, 1, at), 'D', '')) AS place, length(replace(audit, 'D', '')) % 2 AS odd FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS at FROM p)),
-l AS (SELECT e.conv_id AS conv_id, at, CASE WHEN edit = 'K' THEN role WHEN (place - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END AS line FROM e JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id AND g.i = greatest(e.i, 1) WHERE edit <> 'D'),
-w AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY at)) AS sha FROM l GROUP BY conv_id)
+e AS (SELECT conv_id, spot, substr(audit, spot, 1) AS edit, length(replace(substr(audit, 1, spot), 'I', '')) AS i, length(replace(substr(audit, 1, spot), 'D', '')) AS place, length(replace(audit, 'D', '')) % 2 AS odd FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS spot FROM p) AS places),
+l AS (SELECT e.conv_id AS conv_id, spot, CASE WHEN edit = 'K' THEN role WHEN (place - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END AS line FROM e JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id AND g.i = greatest(e.i, 1) WHERE edit <> 'D'),
+w AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY spot)) AS sha FROM l GROUP BY conv_id)
 SELECT a.conv_id AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN p ON p.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM a.conv_id"""
 
