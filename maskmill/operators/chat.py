@@ -37,13 +37,12 @@ def _list(body: Column, path: str) -> Column:
     return _get(body, path, "array<variant>")
 
 
-def _type(body: Column, path: str) -> Column:
-    """OBJECT, ARRAY, STRING, BOOLEAN, BIGINT, ... of what is at path; null if there is nothing."""
-    return F.regexp_extract(F.schema_of_variant(F.try_variant_get(body, path, "variant")), "^([A-Z]+)", 1)
-
-
 def _is(body: Column, path: str, kind: str) -> Column:
-    return F.coalesce(_type(body, path) == kind, F.lit(False))
+    """Whether what is at path is an OBJECT, ARRAY, STRING, BOOLEAN or VOID (null); nothing is none of them."""
+    whole = {"OBJECT": "map<string,variant>", "ARRAY": "array<variant>"}
+    if kind in whole:
+        return _get(body, path, whole[kind]).isNotNull()
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(body, path, "variant")) == kind, F.lit(False))
 
 
 def _missing(body: Column, path: str) -> Column:
@@ -260,19 +259,25 @@ def conversions(df: DataFrame, id_col: str, col: str) -> DataFrame:
 
 def conversion_rejects(df: DataFrame, id_col: str, col: str) -> DataFrame:
     """(id, reject_reason): each payload that cannot be converted, with the first reason found."""
-    return conversions(df, id_col, col).where("reject_reason IS NOT NULL").select("id", "reject_reason")
+    return _rows(conversions(df, id_col, col).select("id", F.array(F.struct("reject_reason")).alias("why")), "why", "reject_reason")
 
 
 def responses_to_chat(df: DataFrame, id_col: str, col: str) -> DataFrame:
     """(id, pos, role, content, tool_calls, tool_call_id): the messages of each payload that converts, instructions first."""
-    return conversions(df, id_col, col).select("id", F.inline("messages"))
+    return _rows(conversions(df, id_col, col), "messages", "role")
+
+
+def _rows(df: DataFrame, col: str, must: str) -> DataFrame:
+    """id and the fields of the structs in col, where must is not null. The outer form: from the inner one, as from a filter below
+    it, Spark would infer filters that evaluate the whole expression of col again."""
+    return df.select("id", F.inline_outer(col)).where(F.col(must).isNotNull())
 
 
 def tools_to_chat(df: DataFrame, id_col: str, col: str) -> DataFrame:
     """(id, pos, name, description, parameters, strict) of the function tools, flat and namespaced (namespace__name). Tools that
     cannot be converted are left out here; conversion_rejects has their payload."""
     good = parse(df, id_col, col).select("id", F.filter(_tools(F.col("body")), lambda t: t["why"].isNull()).alias("tools"))
-    return good.select("id", F.posexplode("tools").alias("pos", "t")).select("id", "pos", "t.name", "t.description", "t.parameters", "t.strict")
+    return _rows(good.select("id", F.transform("tools", lambda t, i: F.struct(i.alias("pos"), *(t[c].alias(c) for c in ("name", "description", "parameters", "strict")))).alias("tools")), "tools", "pos")
 
 
 def chat_params(df: DataFrame, id_col: str, col: str) -> DataFrame:

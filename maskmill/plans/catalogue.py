@@ -306,7 +306,7 @@ def p4_payload_leaves(spark, d):
     return nested.payload_leaves(_json_requests(spark, d), "req_id", "body").select("row_id", "path", "value", "key_class")
 
 
-_DEEP = "'{\"a\":[{\"b\":{\"c\":{\"clientSecret\":{\"e\":[[[{\"f\":' || body || ',\"g\":[1,2.50,true,null]}]]]}}}}]}'"
+_DEEP = "'{\"a\":[{\"b\":{\"c\":{\"clientSecret\":{\"e\":[[[{\"f\":' || body || ',\"g\":[1,2.5,true,null]}]]]}}}}]}'"
 
 
 @query(f"{_PAYLOADS}, w AS (SELECT req_id, {_DEEP} AS body FROM j), l AS (SELECT req_id, u.fullkey AS path, u.atom AS a FROM w, json_tree(w.body) u WHERE json_valid(w.body) AND u.type NOT IN ('OBJECT', 'ARRAY')) SELECT req_id AS row_id, path, a ->> '$' AS value, 'strict' AS key_class FROM l")
@@ -683,7 +683,7 @@ _GOOD = "k % 6 NOT IN (3, 4)"
     """ UNION ALL SELECT k, 0, 'user', '[{"type":"text","text":"see"},{"type":"image_url","image_url":{"url":"http://i/' || substr(h,1,4) || '","detail":"low"}}]', NULL FROM s WHERE k % 6 = 5"""
 )
 def c1_responses_to_chat(spark, d):
-    return chat.responses_to_chat(view(spark, d, "responses_log"), "k", "body").select("id", "pos", "role", "content", "tool_call_id")
+    return chat.responses_to_chat(tables.spread(view(spark, d, "responses_log")), "k", "body").select("id", "pos", "role", "content", "tool_call_id")
 
 
 @query(f"""{_CHAT} SELECT k AS id, 0 AS pos, CASE WHEN k % 6 = 1 THEN 'a ' || h WHEN k % 6 = 4 THEN 'z' ELSE '[{{"type":"text","text":"see"}},{{"type":"image_url","image_url":{{"url":"http://i/' || substr(h,1,4) || '","detail":"low"}}}}]' END AS content FROM seeded WHERE k % 6 IN (1, 4, 5) UNION ALL SELECT k, 1, 'b' || chr(10) || 'c' FROM seeded WHERE k % 6 = 1""")
@@ -699,17 +699,17 @@ def c3_tool_items(spark, d):
 
 @query(f"{_CHAT} SELECT k AS id, 0 AS pos, 'f' || CAST(k % 7 AS varchar) AS name, 'd' AS description, '{{}}' AS parameters FROM seeded UNION ALL SELECT k, 1, 'ns__g', '', '{{}}' FROM seeded")
 def c4_tools_to_chat(spark, d):
-    return chat.tools_to_chat(view(spark, d, "responses_log"), "k", "body").select("id", "pos", "name", "description", "parameters")
+    return chat.tools_to_chat(tables.spread(view(spark, d, "responses_log")), "k", "body").select("id", "pos", "name", "description", "parameters")
 
 
 @query(f"{_CHAT} SELECT k AS id, CASE k % 6 WHEN 3 THEN 'input list cannot be empty' ELSE 'unsupported role' END AS reject_reason FROM seeded WHERE k % 6 IN (3, 4)")
 def c5_conversion_rejects(spark, d):
-    return chat.conversion_rejects(view(spark, d, "responses_log"), "k", "body")
+    return chat.conversion_rejects(tables.spread(view(spark, d, "responses_log")), "k", "body")
 
 
 @query(f"{_CHAT} SELECT k AS id, 'm' AS model, k % 2 = 0 AS stream, CASE WHEN k % 5 = 0 THEN 'auto' END AS tool_choice, (k % 100)::bigint AS max_tokens, CASE WHEN k % 2 = 0 THEN '{{\"include_usage\":true}}' END AS stream_options FROM seeded")
 def c6_chat_params(spark, d):
-    return chat.chat_params(view(spark, d, "responses_log"), "k", "body").select("id", "model", "stream", "tool_choice", "max_tokens", "stream_options")
+    return chat.chat_params(tables.spread(view(spark, d, "responses_log")), "k", "body").select("id", "model", "stream", "tool_choice", "max_tokens", "stream_options")
 
 
 @query(
@@ -723,7 +723,7 @@ def c7_chat_to_responses(spark, d):
 
 @query()
 def c8_safe_responses_to_chat(spark, d):
-    return chat.safe_responses_to_chat(view(spark, d, "responses_log"), "k", "body")
+    return chat.safe_responses_to_chat(tables.spread(view(spark, d, "responses_log")), "k", "body")
 
 
 _SAFE = "replace(replace(body, '\"hi ', '\"hi sk-ant-'), '\"a ', '\"apiKey=')"
