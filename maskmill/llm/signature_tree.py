@@ -17,6 +17,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +28,8 @@ from . import near_dedup
 from .shared import connected_components, cut, slots
 
 FAN, PIECE, PIECE_BYTES, BLOCK, SALTS = 8, 1024, 16 << 20, 256, 32
+#: Sets that share a first shingle are looked at in pairs, by their sizes and the shingle's places, up to so many.
+RUN = 64
 #: Bits of a bitmap for each shingle of the largest set of its band, at least.
 BITS = 4
 #: Shingles that so many sets of one look hold are counted over all; of these, those in HOT_SETS sets or more are put last. The list
@@ -127,36 +131,79 @@ def _firsts(words: int, percent: int, hot: tuple[np.ndarray, np.ndarray]):
     return make
 
 
-def _runs(batches):
-    """(tag, lead, key) of rows (token, key, band) sorted by token and key: in each token's run the first key of a tag leads it."""
-    token, leads = None, {}
-    for batch in batches:
-        tokens, keys, bands = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        same = np.zeros(len(tokens) + 1, bool)
-        same[1:-1] = tokens[1:] == tokens[:-1]
-        same[0] = same[-1] = True  # a run may go on from one batch to the next
-        out: list = []
-        rows = np.flatnonzero(same[1:] | same[:-1])
-        for t, key, band in zip(tokens[rows].tolist(), keys[rows].tolist(), bands[rows].tolist(), strict=True):
-            if t != token:
-                token, leads = t, {}
-            for tag in (band, band + 1):
-                lead = leads.setdefault(tag, [key, False])
-                if lead[0] != key:
-                    if not lead[1]:
-                        lead[1] = True
-                        out.append((tag, lead[0], lead[0]))
-                    out.append((tag, lead[0], key))
+def _near(run: list[tuple[int, int, int]], percent: int, edges: list[int]):
+    """(tag, lead, key) of the sets (key, size, place) of one shingle's run that may have a partner there. If the shingle is the first
+    that a pair shares, the pair shares no more than what the smaller rest of the two holds; if it is not, the pair meets at that one."""
+    members: dict[int, set[int]] = {}
+    for i, (x, size_x, at_x) in enumerate(run):
+        for y, size_y, at_y in run[:i]:
+            if (100 + percent) * min(size_x - at_x, size_y - at_y) >= percent * (size_x + size_y):
+                members.setdefault(bisect_right(edges, max(size_x, size_y)) - 1, set()).update((x, y))
+    for tag, keys in members.items():
+        lead = min(keys)
+        yield from ((tag, lead, key) for key in keys)
+
+
+def _led(leads: dict[int, list], key: int, band: int):
+    """The rows of one more set of a run in which the first key of a tag leads it."""
+    for tag in (band, band + 1):
+        lead = leads.setdefault(tag, [key, False])
+        if lead[0] != key:
+            if not lead[1]:
+                lead[1] = True
+                yield tag, lead[0], lead[0]
+            yield tag, lead[0], key
+
+
+def _runs(percent: int):
+    """(tag, lead, key) of rows (token, key, size, place) sorted by token and key. Runs of more than RUN sets are not held: in these the
+    first key of a tag leads it, and no pair is looked at."""
+    edges = _edges(percent).tolist()
+
+    def make(batches):
+        token, run, leads, last = None, [], None, None  # the run's sets, or its leaders once it is too long to be held
+        for batch in batches:
+            tokens, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            same = np.zeros(len(tokens) + 1, bool)
+            same[1:-1] = tokens[1:] == tokens[:-1]
+            same[0] = same[-1] = True  # a run may go on from one batch to the next
+            out: list = []
+            rows = np.flatnonzero(same[1:] | same[:-1])
+            for t, key, size, place in zip(tokens[rows].tolist(), *(c[rows].tolist() for c in rest), strict=True):
+                if t != token:
+                    out.extend(_near(run, percent, edges))
+                    token, run, leads, last = t, [], None, None
+                if key == last:
+                    continue
+                last = key
+                if leads is None:
+                    run.append((key, size, place))
+                    if len(run) <= RUN:
+                        continue
+                    leads = {}
+                    added, run = run, []
+                else:
+                    added = [(key, size, place)]
+                out.extend(row for k, n, _ in added for row in _led(leads, k, bisect_right(edges, n) - 1))
+            if out:
+                yield _region_rows(out)
+        out = list(_near(run, percent, edges))
         if out:
-            tag, lead, key = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(tag, pa.int32()), pa.array(lead, pa.int64()), pa.array(key, pa.int64())], ["tag", "lead", "key"])
+            yield _region_rows(out)
+
+    return make
+
+
+def _region_rows(rows: list) -> pa.RecordBatch:
+    tag, lead, key = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(tag, pa.int32()), pa.array(lead, pa.int64()), pa.array(key, pa.int64())], ["tag", "lead", "key"])
 
 
-def _regions(firsts: DataFrame) -> DataFrame:
+def _regions(firsts: DataFrame, percent: int) -> DataFrame:
     """(tag, lead, key): which sets may have a partner among those that share a first shingle with lead."""
     spark = firsts.sparkSession
-    cold = firsts.select(F.explode("cold").alias("token"), "key", "band")
-    runs = cold.repartition(slots(spark), "token").sortWithinPartitions("token", "key").mapInArrow(_runs, "tag int, lead long, key long")
+    cold = firsts.select(F.posexplode("cold").alias("place", "token"), "key", F.col("size").cast("int").alias("size")).select("token", "key", "size", "place")
+    runs = cold.repartition(slots(spark), "token").sortWithinPartitions("token", "key").mapInArrow(_runs(percent), "tag int, lead long, key long")
     # tokens that many sets hold are never one task's: leaders by an aggregate, rows dealt over SALTS
     often = firsts.select(F.explode("hot").alias("token"), "key", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tag"))
     leads = often.groupBy("token", "tag").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead < last").drop("last")
@@ -357,7 +404,7 @@ def links(docs: DataFrame, marks: DataFrame, text_col: str, words: int, similari
     percent, spark = round(100 * similarity), docs.sparkSession
     shape = "key long, size long, band int, cold array<long>, hot array<long>, bits binary"
     firsts = cut(docs.select(text_col).mapInArrow(_firsts(words, percent, _hot(marks)), shape))
-    regions = cut(_regions(firsts))
+    regions = cut(_regions(firsts, percent))
     sets = firsts.select("key", "size", "bits").groupBy("key").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
     placed = cut(regions.join(sets, "key").select("tag", "lead", "key", "size", "bits"))
     order = ["tag", "lead", "size", "key"]

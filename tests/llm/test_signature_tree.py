@@ -56,9 +56,9 @@ def _corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "piece", "block", "hot"), [(1, 1024, 256, 64), (2, 40, 16, 64), (3, 40, 16, 8)])
-def test_components_match_all_pairs(spark, monkeypatch, seed, piece, block, hot):
-    for name, value in (("PIECE", piece), ("BLOCK", block), ("HOT_SETS", hot)):
+@pytest.mark.parametrize(("seed", "piece", "block", "hot", "run"), [(1, 1024, 256, 64, 64), (3, 40, 16, 8, 5)])
+def test_components_match_all_pairs(spark, monkeypatch, seed, piece, block, hot, run):
+    for name, value in (("PIECE", piece), ("BLOCK", block), ("HOT_SETS", hot), ("RUN", run)):
         monkeypatch.setattr(signature_tree, name, value)
     texts = _corpus(seed)
     df = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, key string, size long").repartition(4)
