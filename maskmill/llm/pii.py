@@ -5,7 +5,8 @@
    log2(p(word, entity) / (p(word) p(entity))); the entity's own information is -log2 p(entity). A word whose share of the
    entity's information reaches `disclosure` says nearly as much as the entity itself.
 3. Such words are spans of kind `term` wherever they occur in documents that hold the entity: removed where they disclose all of it, else generalised.
-Contexts that are word for word the same count once, so copies of a document are no evidence by themselves.
+What is counted is distinct texts, on all sides (with the word, with the entity, with both, all of them), so copies of a document
+change nothing. A word also needs `support` contexts of the entity that are not word for word the same.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 WINDOW = 8
 SUPPORT = 3
+SALTS = 32
 DISCLOSURE = 0.9
 
 
@@ -143,7 +145,7 @@ _CONTEXT = pa.struct([("word", pa.int64()), ("entity", pa.int64()), ("context",
 def _find(batches):
     for batch in batches:
         spans, contexts, entities = [], [], []
-        for text in batch.column(2).to_pylist():
+        for text in batch.column(3).to_pylist():
             found = base_spans(text or "")
             spans.append(found)
             contexts.append(_contexts(text, found) if found else [])
@@ -152,11 +154,11 @@ def _find(batches):
         named = [[{"kind": KINDS[k], "lo": a, "hi": b} for k, a, b in found] for found in spans]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0), batch.column(1), *counts,
+                batch.column(0), batch.column(1), batch.column(2), *counts,
                 pa.array(named, pa.list_(pa.struct([("kind", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())]))),
                 pa.array(contexts, pa.list_(_CONTEXT)), pa.array(entities, pa.list_(pa.int64())),
             ],
-            ["id", "row", *(f"n_{k}" for k in KINDS), "base", "contexts", "entities"],
+            ["id", "row", "same", *(f"n_{k}" for k in KINDS), "base", "contexts", "entities"],
         )
 
 
@@ -169,36 +171,71 @@ def _bit_filter(words: DataFrame, bits: int = 22) -> np.ndarray:
     return out
 
 
-def _document_counts(docs: DataFrame, text_col: str, words: DataFrame) -> DataFrame:
-    """(word, docs): in how many documents each of the words occurs, over the whole corpus; summed in tasks first."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bit_filter(words))
+def _document_counts(docs: DataFrame, text_col: str, words: DataFrame, copied: DataFrame) -> DataFrame:
+    """(word, docs): in how many distinct texts each of the words occurs, over the whole corpus. copied: same, the hashes of texts that
+    several rows have.
+
+    Texts that no other row has are summed in tasks. A text that may be copied (a filter of fixed size tells) gives its wanted words
+    once a task, under its hash, and once for all after a shuffle of these few.
+    """
+    spark = docs.sparkSession
+    bits = spark.sparkContext.broadcast((_bit_filter(words), _bit_filter(copied.select(F.col("same").alias("word")))))
     low = np.uint64((1 << 22) - 1)
 
     def make(batches):
-        want = bits.value
+        want, may_repeat = bits.value
         for batch in batches:
             totals: list[np.ndarray] = []
-            for lo, hi, data, offsets in tokens.pieces(pa.array(map(_plain, batch.column(0).to_pylist()), pa.large_string())):
+            copies: dict[int, bytes] = {}
+            same = batch.column(0).to_pylist()
+            slot = np.array(same, np.int64) & ((1 << 22) - 1)
+            repeats = (may_repeat[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 > 0
+            for lo, hi, data, offsets in tokens.pieces(pa.array(map(_plain, batch.column(1).to_pylist()), pa.large_string())):
                 starts, ends, first = tokens.spans(data, offsets, tokens.ALNUM)
                 h = tokens.hashes(data, starts, ends)
                 slot = (h & low).astype(np.int64)
                 hit = (want[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 > 0
-                doc = np.repeat(np.arange(hi - lo), np.diff(first))[hit]
-                pair = np.unique(np.stack([doc.astype(np.uint64), h[hit]]), axis=1) if len(doc) else np.zeros((2, 0), np.uint64)
+                doc = np.repeat(np.arange(lo, hi), np.diff(first))[hit]
+                h = h[hit]
+                for i in np.flatnonzero(repeats[lo:hi]) + lo:
+                    if same[i] not in copies:
+                        a, b = np.searchsorted(doc, (i, i + 1))
+                        copies[same[i]] = (np.unique(h[a:b]) ^ np.uint64(1 << 63)).tobytes()
+                once = ~repeats[doc]
+                pair = np.unique(np.stack([doc[once].astype(np.uint64), h[once]]), axis=1) if once.any() else np.zeros((2, 0), np.uint64)
                 totals.append(pair[1])
             word, n = np.unique(np.concatenate(totals) if totals else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((word ^ np.uint64(1 << 63)).view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+            rows = len(word) + len(copies)
+            none = lambda k, kind: pa.nulls(k, kind)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array((word ^ np.uint64(1 << 63)).view(np.int64)), none(len(copies), pa.int64())]), pa.concat_arrays([pa.array(n.astype(np.int64)), none(len(copies), pa.int64())]),
+                    pa.concat_arrays([none(rows - len(copies), pa.int64()), pa.array(list(copies), pa.int64())]), pa.concat_arrays([none(rows - len(copies), pa.binary()), pa.array(list(copies.values()), pa.binary())]),
+                ],
+                ["word", "n", "same", "words"],
+            )
+
+    def unpack(batches):
+        for batch in batches:
+            for words_ in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words_, np.int64))], ["word"])
 
-    return docs.select(text_col).mapInArrow(make, "word long, n long").groupBy("word").agg(F.sum("n").alias("docs")).join(words, "word", "left_semi")
+    found = cut(docs.select(F.xxhash64(text_col).alias("same"), text_col).mapInArrow(make, "word long, n long, same long, words binary"))
+    copies = found.where("same IS NOT NULL").groupBy("same").agg(F.first("words").alias("words")).select("words").mapInArrow(unpack, "word long")
+    counted = found.where("word IS NOT NULL").select("word", "n").unionByName(copies.select("word", F.lit(1).cast("long").alias("n")))
+    return counted.groupBy("word").agg(F.sum("n").alias("docs")).join(words, "word", "left_semi")
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, total: int, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(word, entity, share): the words that carry at least the share `disclosure` of an entity's information."""
-    each = found.where(F.size("contexts") > 0).select("row", F.explode("contexts").alias("c")).select("row", "c.word", "c.entity", "c.context")
-    pairs = cut(each.groupBy("word", "entity", "context").agg(F.lit(1)).groupBy("word", "entity").agg(F.count("*").alias("both")).where(F.col("both") >= support))
-    n_entity = each.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    texts = found.groupBy("same").agg(F.count("*").alias("rows"))
+    total, copied = texts.count(), texts.where(F.col("rows") > 1).select("same")
+    each = found.where(F.size("contexts") > 0).select("same", F.explode("contexts").alias("c")).select("same", "c.word", "c.entity", "c.context")
+    near = each.groupBy("word", "entity").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("same").alias("both"))
+    pairs = cut(near.where(F.col("contexts") >= support).select("word", "entity", "both"))
+    n_entity = each.select("entity", "same").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     words = pairs.select("word").distinct()
-    counted = pairs.join(_document_counts(docs, text_col, words), "word").join(n_entity, "entity")
+    counted = pairs.join(_document_counts(docs, text_col, words, copied), "word").join(n_entity, "entity")
     information = -F.log2(F.col("n_entity") / F.lit(float(max(total, 1))))
     mutual = F.log2(F.least(F.col("both"), F.col("n_entity"), F.col("docs")) * F.lit(float(max(total, 1))) / (F.col("docs") * F.col("n_entity")))
     return counted.select("word", "entity", (mutual / information).alias("share")).where((information > 0) & (F.col("share") >= disclosure))
@@ -227,12 +264,14 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     points, ends are exclusive. Null text counts as empty. Rows that repeat id and text have the same answer. Extra columns
     are not read; an empty table gives an empty table.
     """
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    kind = f"id {docs.schema[id_col].dataType.simpleString()}, row long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<kind:string,lo:int,hi:int>>, contexts array<struct<word:long,entity:long,context:long,lo:int,hi:int>>, entities array<long>"
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), F.xxhash64(text_col).alias("same"), F.col(text_col).alias("text"))
+    kind = f"id {docs.schema[id_col].dataType.simpleString()}, row long, same long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<kind:string,lo:int,hi:int>>, contexts array<struct<word:long,entity:long,context:long,lo:int,hi:int>>, entities array<long>"
     found = cut(keyed.mapInArrow(_find, kind))
-    terms = disclosing_terms(found, docs, text_col, found.count(), support, disclosure)
-    held = found.where(F.size("entities") > 0).select("row", F.explode("entities").alias("entity")).distinct()
-    wanted = held.join(terms, "entity").groupBy("row", "word").agg(F.max("share").alias("share")).groupBy("row").agg(F.collect_list(F.struct("word", "share")).alias("wanted"))
+    terms = disclosing_terms(found, docs, text_col, support, disclosure)
+    # an entity of many documents is dealt over SALTS tasks
+    held = found.where(F.size("entities") > 0).select("row", F.explode("entities").alias("entity")).distinct().withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    wanted = held.join(salted, ["entity", "salt"]).groupBy("row", "word").agg(F.max("share").alias("share")).groupBy("row").agg(F.collect_list(F.struct("word", "share")).alias("wanted"))
     texts = keyed.select("row", "text").join(wanted, "row").select("row", "text", "wanted")
     spans = texts.mapInArrow(_places, "row long, terms array<struct<lo:int,hi:int,share:double>>").dropDuplicates(["row"])
     none = F.expr("cast(array() AS array<struct<lo:int,hi:int,share:double>>)")

@@ -246,6 +246,35 @@ def test_disclosing_terms_of_any_script_go_from_the_whole_document(spark):
     assert all(clean[i] == t for i, t in rows if i >= 40) and "wrote" in clean[0]
 
 
+def _plain_terms(texts):
+    """word -> entities it gives away, from the definition, over distinct texts."""
+    texts = sorted(set(texts))
+    words = [[w.lower() for w in re.findall(r"[^\W_]+", re.sub(r"\S+@\S+", " ", t))] for t in texts]
+    held = [set(re.findall(r"[a-z]+@[a-z]+\.example", t)) for t in texts]
+    out = set()
+    for e in set().union(*held):
+        own = [i for i, h in enumerate(held) if e in h]
+        for w in {w for i in own for w in words[i]}:
+            both, n_word = sum(w in words[i] for i in own), sum(w in x for x in words)
+            share = math.log2(both * len(texts) / (n_word * len(own))) / -math.log2(len(own) / len(texts)) if len(own) < len(texts) else 0
+            if both >= 3 and share >= 0.9:
+                out.add((w, e))
+    return out
+
+
+@pytest.mark.parametrize("copies", [0, 5, 50])
+def test_copies_of_a_document_change_no_terms(spark, copies):
+    """Short texts, so that a whole text is the context of its entity; some entities are in many documents, some words common."""
+    rng, names = random.Random(6), [f"name{k}" for k in range(6)]
+    texts = [f"{names[k]} seen{rng.randrange(4)} x{i} a{k}@corp.example told {rng.choice(names) if rng.random() < 0.02 else 'us'}".replace(f"a{k}@", f"{'abcdef'[k]}@") for i in range(90) for k in [min(i % 9, 5)]]
+    texts += [f"seen{rng.randrange(4)} told other{i} us" for i in range(300)] + [texts[0]] * copies + [texts[5]] * (copies // 2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {(i, t[s["lo"] : s["hi"]]) for r in pii.personal_data(df).collect() for i, t in [(r["doc_id"], texts[r["doc_id"]])] for s in r["terms"]}
+    given_away = _plain_terms(texts)
+    want = {(i, w) for i, t in enumerate(texts) for w in t.split() for e in re.findall(r"[a-z]+@[a-z]+\.example", t) if (w, e) in given_away}
+    assert found == want and {w for _, w in want} >= {f"name{k}" for k in range(5)}
+
+
 def _plain_mix(blocks: dict, weights: dict) -> list:
     """Sources slot by slot: earliest deadline first among released blocks, anew whenever a source runs out."""
     left, out = dict(blocks), []
@@ -317,6 +346,31 @@ def test_factors_see_what_two_terms_say_together(spark):
     assert right["factors"] >= 980 and right["linear"] < 800
 
 
+def test_factors_see_pairs_of_rare_words():
+    """Each of two words is in 2 % of the texts and tells nothing alone: with both the label is 1, with one of them 0."""
+    rng, rows = np.random.default_rng(7), []
+    slots = {k: np.unique(rng.integers(0, 1 << classify.BITS, 9000))[k] for k in (17, 4000)}
+    filler = np.unique(rng.integers(0, 1 << classify.BITS, 6000))
+    for i in range(10_000):
+        kind = i % 100 if i % 100 < 3 else None  # both, the first, the second
+        own = rng.choice(filler, 120, replace=False).tolist() + [slots[17]] * (kind in (0, 1)) + [slots[4000]] * (kind in (0, 2))
+        label = float(rng.random() < 0.5) if kind is None else float(kind == 0 or (rng.random() < 0.0))
+        rows.append((np.unique(own), None, label, kind))
+    # as many texts with both as with one alone, so that neither word says anything by itself
+    rows = [r for i, r in enumerate(rows) if r[3] != 0] + [r for r in rows if r[3] == 0]
+    learn, held_out = rows[::2], [r for r in rows[1::2] if r[3] is not None]
+    known = classify._telling([r[:3] for r in learn])
+    assert {slots[17], slots[4000]} <= set(known.tolist())
+    fitted = classify.fit_factors([r[:3] for r in learn])
+    linear, factors = fitted["linear"], fitted["factors"]
+
+    def score(at):
+        total = factors[at].sum(axis=0)
+        return linear[-1] + linear[at].sum() + 0.5 * (total @ total - (factors[at] ** 2).sum())
+
+    assert sum((score(r[0]) >= 0) == r[2] for r in held_out) >= 0.95 * len(held_out)
+
+
 def test_scores_are_the_models_sums():
     """Both scores against the plain double loop over a text's features."""
     texts = pa.array(["one two three two", "insult the group", ""])
