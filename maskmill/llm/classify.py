@@ -21,8 +21,8 @@ BITS = 20
 FACTORS = 8
 PREFIXES = (4, 6)
 LEAST_Z = 5.0
-#: So many of the most frequent terms of the sample are looked at in pairs.
-PAIR_TERMS = 2048
+#: The likelihood ratio of a pair: chance reaches it once in 1e11 pairs.
+LEAST_G = 46.0
 
 #: 0 blank, 1 word, 2 sign: a token is a run of one class.
 _KIND = np.full(256, 2, np.uint8)
@@ -61,13 +61,15 @@ def ngrams(texts: pa.Array):
 
 
 def terms(texts: pa.Array):
-    """(row, slots, values): the distinct hashed words of a text and their starts of PREFIXES bytes, each with value 1."""
+    """(row, slots, values): the distinct hashed words of a text (odd slots) and their starts of PREFIXES bytes (even ones), each with
+    value 1."""
     for lo, hi, data, offsets in tokens.pieces(texts):
         starts, ends, first = tokens.spans(data, offsets, tokens.ALNUM)
         words = [tokens.hashes(data, starts, ends)]
         for n in PREFIXES:
             words.append(tokens.mix64(tokens.hashes(data, starts, np.minimum(ends, starts + n)) + np.uint64(n)))
-        h = (np.stack(words, axis=1) >> np.uint64(64 - BITS)).astype(np.int64)
+        h = (np.stack(words, axis=1) >> np.uint64(64 - BITS)).astype(np.int64) & ~1
+        h[:, 0] |= 1
         for i in range(hi - lo):
             slot = np.unique(h[first[i] : first[i + 1]])
             yield lo + i, slot, np.broadcast_to(np.float32(1), slot.shape)
@@ -119,29 +121,44 @@ def _telling(rows) -> np.ndarray:
     p = seen.sum(axis=1) / len(rows)
     error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / positive + 1 / negative))
     alone = (np.abs(seen[:, 1] / positive - seen[:, 0] / negative) >= LEAST_Z * error) & (seen.sum(axis=1) >= 3)
-    frequent = np.argsort(-seen.sum(axis=1), kind="stable")[:PAIR_TERMS]
-    return np.union1d(np.flatnonzero(alone), _paired(rows, frequent[seen[frequent].sum(axis=1) >= 10]))
+    share = seen[:, 1] / np.maximum(seen.sum(axis=1), 1)
+    most = 2 * seen.sum(axis=1) * _entropy(share)
+    words = np.flatnonzero((most >= LEAST_G) & (np.arange(1 << BITS) % 2 == 1))
+    return np.union1d(np.flatnonzero(alone), _paired(rows, words))
 
 
-def _paired(rows, frequent: np.ndarray) -> np.ndarray:
-    """Terms of pairs in which each changes what the other says: among the texts with one of them, the share of label 1 with and
-    without the other differs by LEAST_Z standard errors, both ways round."""
+def _entropy(p):
+    """Of a share, in nats."""
+    return -(p * np.log(np.maximum(p, 1e-300)) + (1 - p) * np.log(np.maximum(1 - p, 1e-300)))
+
+
+def _paired(rows, some: np.ndarray) -> np.ndarray:
+    """Words of pairs in which each changes what the other says: among the texts with one of them, the labels with and without the
+    other differ by a likelihood ratio of LEAST_G, both ways round.
+
+    All words are looked at that can reach it, however rare: at most, what their labels hold in all. The texts of each are gone
+    through once, so only pairs that occur are counted; no table of all pairs is made.
+    """
     own = np.full(1 << BITS, -1, np.int32)
-    own[frequent] = np.arange(len(frequent))
-    both = np.zeros((2, len(frequent), len(frequent)), np.float32)
-    for label in (0, 1):
-        some = [own[s][own[s] >= 0] for s, _, y in rows if int(y) == label]
-        for lo in range(0, len(some), 1024):
-            x = np.zeros((len(some[lo : lo + 1024]), len(frequent)), np.float32)
-            for i, at in enumerate(some[lo : lo + 1024]):
-                x[i, at] = 1
-            both[label] += x.T @ x
-    with_, ones = both.sum(axis=0), both[1]
-    without, ones_without = np.diag(with_)[:, None] - with_, np.diag(ones)[:, None] - ones
-    share = np.diag(ones)[:, None] / np.maximum(np.diag(with_)[:, None], 1)
-    gap = np.abs(ones / np.maximum(with_, 1) - ones_without / np.maximum(without, 1))
-    far = (gap >= LEAST_Z * np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / np.maximum(with_, 1) + 1 / np.maximum(without, 1)))) & (with_ >= 10) & (without >= 10)
-    return frequent[(far & far.T).any(axis=1)]
+    own[some] = np.arange(len(some))
+    lists = [own[s][own[s] >= 0] for s, _, _ in rows]
+    label = np.array([int(y) for *_, y in rows])
+    doc, flat = np.repeat(np.arange(len(rows)), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int32)])
+    by = np.argsort(flat, kind="stable")
+    edges = np.searchsorted(flat[by], np.arange(len(some) + 1))
+    passed: list[np.ndarray] = []
+    for a in range(len(some)):
+        at = doc[by[edges[a] : edges[a + 1]]]
+        n, positive = len(at), at[label[at] == 1]
+        with_ = np.bincount(np.concatenate([lists[d] for d in at]), minlength=len(some)).astype(np.float64)
+        ones = np.bincount(np.concatenate([lists[d] for d in positive]), minlength=len(some)) if len(positive) else np.zeros(len(some))
+        without = n - with_
+        rest = with_ * _entropy(ones / np.maximum(with_, 1)) + without * _entropy((len(positive) - ones) / np.maximum(without, 1))
+        b = np.flatnonzero((2 * (n * _entropy(len(positive) / n) - rest) >= LEAST_G) & (with_ >= 10) & (without >= 10))
+        passed.append(a * len(some) + b)
+    pairs = np.concatenate([*passed, np.zeros(0, np.int64)]).astype(np.int64)
+    both = np.intersect1d(pairs, pairs % max(len(some), 1) * len(some) + pairs // max(len(some), 1))
+    return some[np.unique(both // max(len(some), 1))]
 
 
 def fit_factors(rows, epochs: int = 4, rate: float = 0.02, decay: float = 1e-3) -> dict[str, np.ndarray]:
