@@ -51,7 +51,8 @@ HINTS_FOR = re.compile(r"(?:^|[-_ ])(?:article\w*|content|post|entry|story|main|
 #: Elements that hold a part of a page; names of other elements (a paragraph, a heading) say less.
 PARTS = frozenset("div section article aside header footer nav form ul ol dl table details dialog figure fieldset menu span".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]{0,2000}\"|'[^']{0,2000}')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)", re.S)
+_TAG_SIGN = re.compile("[>\"']")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: A name that says how a page is laid out, not what the element is.
 _LAYOUT = re.compile(r"^(?:no|not|has|have|with|without|is|js)[-_]")
@@ -66,6 +67,7 @@ class Page:
         self.parent, self.tag, self.names, self.text = [-1], ["#page"], [""], [""]
         self._stack, self._opened = [0], Counter()
         at, end = 0, len(source)
+        self._dead: set[int] = set()  # quotes that open an attribute from which no tag's end is reached
         while at < end:
             m = _TOKEN.search(source, at)
             if m is None:
@@ -74,14 +76,15 @@ class Page:
             if m.start() > at:
                 self._say(source[at : m.start()])
             at = m.end()
-            tag = m[2] or m[5]
-            if not tag:
+            if not m[2]:
                 continue
-            tag = tag.lower()
-            if m[1] or m[4]:
+            tag = m[2].lower()
+            stop = self._tag_end(source, at)
+            rest = source[at:stop]
+            at = min(stop + 1, end)
+            if m[1]:
                 self._close(tag)
                 continue
-            rest = (m[3] or m[6]) or ""
             self._open(tag, rest)
             if tag in RAW and not rest.endswith("/"):
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
@@ -90,6 +93,22 @@ class Page:
                 self._close(tag)
                 at = stop.end() if stop else end
 
+    def _tag_end(self, source: str, at: int) -> int:
+        """Where the > is that ends a tag: the first one outside quotes, or, if the quotes do not come out even, the first one at all. A quote
+        is gone over once by the tags that fail, so odd quotes cost no more than one pass over the page."""
+        opened, place = [], at
+        while (m := _TAG_SIGN.search(source, place)) is not None:
+            if m[0] == ">":
+                return m.start()
+            close = -1 if m.start() in self._dead else source.find(m[0], m.end())
+            opened.append(m.start())
+            if close < 0:
+                break
+            place = close + 1
+        self._dead.update(opened)
+        first = source.find(">", at)
+        return len(source) if first < 0 else first
+
     def _node(self, tag: str, names: str, text: str) -> int:
         self.parent.append(self._stack[-1])
         self.tag.append(tag)

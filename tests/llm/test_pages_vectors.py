@@ -72,6 +72,28 @@ def test_odd_long_pages_take_linear_time(odd):
     assert time.time() - began < 10
 
 
+@pytest.mark.parametrize("quote", "\"'")
+def test_attributes_of_any_length_stay_out_of_the_text(quote):
+    inside = "x>y <b>z</b> " * 80_000
+    page = f"<body><article><p data-html={quote}{inside}{quote} class='lead'>Some text.</p><p>More</p></article></body>"
+    began = time.time()
+    assert html_text.main_text(page, html_text.Model()) == "Some text. More"
+    odd = f"<body><article><p>One</p><a b={quote}{'x>' * 100_000}"
+    assert html_text.main_text(odd, html_text.Model()).startswith("One")
+    assert html_text.main_text("<p a='\"' b=\"'>\">Kept</p>", html_text.Model()) == "Kept"
+    assert time.time() - began < 10
+
+
+@pytest.mark.parametrize("odd", ["<a b=\"'>", "<a b='\">", "<a \"' ", "<a b=\"x' c='y\""])
+def test_quotes_that_do_not_come_out_even_take_linear_time(odd):
+    times = []
+    for n in (20_000, 80_000):
+        began = time.time()
+        html_text.main_text(odd * n, html_text.Model())
+        times.append(time.time() - began)
+    assert times[1] < 12 * times[0] + 1
+
+
 def test_url_rules_match_plain_rules(spark):
     hosts, paths = ["example.com", "www.example.com", "a.www.example.com", "xexample.com", "example.net", "COM", "com.evil", ""], ["", "/", "/en/", "/en", "/es/x", "/fr/?a=/en/", "/EN/", "#/en/"]
     urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "no scheme", "a://b://c/"]
