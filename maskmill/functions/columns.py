@@ -132,7 +132,7 @@ def url_part(url: Column, part: str) -> Column:
     place = F.regexp_replace(authority, r"^.*@", "")
     if part == "host":
         return F.lower(F.regexp_extract(place, r"^(\[[^\]]*\]|[^:]*)", 1))
-    return F.regexp_extract(place, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
+    return F.regexp_extract(place, r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1)
 
 
 def effective_port(url: Column) -> Column:

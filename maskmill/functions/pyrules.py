@@ -15,6 +15,13 @@ from .rules import Policy
 _FOLD = str.maketrans(*FOLDED)
 
 
+def _folded(value: str) -> str:
+    """The text in lower case, those characters as what they match. Few texts hold one, and looking for them is much cheaper."""
+    if not value.isascii() and any(c in value for c in FOLDED[0]):
+        value = value.translate(_FOLD)
+    return value.lower()
+
+
 class KeyCollision(ValueError):
     """Two keys of one mapping become equal."""
 
@@ -27,7 +34,7 @@ class Redactor:
 
     def spans(self, value: str) -> list[tuple[int, int, int]]:
         """(rule's place in the fold, start, end) of what each rule would mask in the text as it is, in fold order."""
-        plain = value.translate(_FOLD).lower()
+        plain = _folded(value)
         out = []
         for i, (rule, pattern) in enumerate(self.rules):
             if not rule.anchors or any(a in (plain if rule.anchor_ci else value) for a in rule.anchors):
@@ -40,7 +47,7 @@ class Redactor:
         for rule, pattern in self.rules:
             if rule.anchor_ci:
                 if plain is None:
-                    plain = value.translate(_FOLD).lower()
+                    plain = _folded(value)
                 if not any(a in plain for a in rule.anchors):
                     continue
             elif rule.anchors and not any(a in value for a in rule.anchors):

@@ -178,7 +178,7 @@ def _bad_pattern():
 
 def validate_base_url(df: DataFrame, url: str) -> DataFrame:
     """df with url_reason: why a url cannot be a base url, or null."""
-    part = lambda p: url_part(F.regexp_replace(F.col(url), "/+$", ""), p)
+    part = lambda p: url_part(F.regexp_replace(F.col(url), "(?<=[^/:])/+$", ""), p)
     port = part("port")
     reason = (
         F.when(F.col(url).isNull() | ~part("scheme").isin("http", "https"), "scheme")

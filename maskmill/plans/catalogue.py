@@ -322,6 +322,19 @@ def p5_mask_field(spark, d):
     return rows.select("k", X.mask_field(F.col("v"), "string", F.col("c")).alias("value"), X.mask_field(F.col("k"), "number", F.col("c")).alias("number"))
 
 
+_FIELD_MIX = "SELECT o_orderkey AS k, repeat(' ', CAST(o_orderkey % 3 AS int)) || substr(md5(CAST(o_orderkey AS STR)), 1, CAST(o_orderkey % 13 AS int)) || repeat(chr(9), CAST(o_orderkey % 2 AS int)) AS v, element_at({}('normal', 'sensitive', 'strict'), CAST(o_orderkey {} 13 % 3 AS int) + 1) AS c FROM {}"
+
+
+@query(
+    f"WITH f AS ({_FIELD_MIX.format('list_value', '//', 'orders').replace('STR', 'varchar').replace('element_at(', 'list_extract(')}), n AS (SELECT *, length(trim(v, chr(32) || chr(9))) AS n FROM f) SELECT k, CASE WHEN n > 0 AND (c = 'strict' OR c = 'sensitive' AND n >= 8) THEN {_MASK} ELSE v END AS value, CASE WHEN c = 'strict' THEN {_MASK} ELSE CAST(k AS varchar) END AS number FROM n"
+)
+def p5_field_mix(spark, d):
+    """Blank, short and long values with blanks around them, under names of each class."""
+    tables.table(spark, d, "orders").createOrReplaceTempView("mm_p5_orders")
+    rows = spark.sql(_FIELD_MIX.format("array", "div", "mm_p5_orders").replace("STR", "string"))
+    return rows.select("k", X.mask_field(F.col("v"), "string", F.col("c")).alias("value"), X.mask_field(F.col("k"), "number", F.col("c")).alias("number"))
+
+
 @query(f"{_SEEDED_FOLD} SELECT k, t AS key FROM f{len(BUILTIN)}")
 def p6_map_keys(spark, d):
     rows = seeded(spark, d).select("k", F.create_map("text", F.lit("v")).alias("m"))
@@ -437,6 +450,71 @@ def f6_mask_headers(spark, d):
     return _header_rows(requests.mask_headers(_with_headers(spark, d)))
 
 
+# Six headers a row out of thirty names, in either case; a connection header names two others.
+_NAMES = (
+    "Connection Keep-Alive Cookie Set-Cookie Host TE Trailer Upgrade Transfer-Encoding Content-Length Proxy-Authorization Authorization X-Api-Key X-Auth-Token X-Target-Base-Url X-Target-Api-Key "
+    "X-Redact-Rules X-Redact X-Request-Id Accept Accept-Encoding Content-Type Content-Encoding Digest ETag User-Agent X-Session-Token X-Client-Secret X-Tokens-Left X-Custom"
+).split()
+_HEADER_VALUE = "CASE WHEN lower(n) = 'connection' THEN {other} || ' , ' || lower({third}) ELSE 'v' || k || '-' || i END"
+
+
+def _header_mix(spark, d):
+    """(k, headers)."""
+    name = "element_at(names, int((k * 7 + {} * 11 + k div 30) % 30) + 1)"
+    value = _HEADER_VALUE.format(other=name.format("(i + 1)"), third=name.format("(i + 2)")).replace("lower(n)", f"lower({name.format('i')})")
+    entry = f"struct(CASE WHEN k % 2 = 0 THEN {name.format('i')} ELSE upper({name.format('i')}) END AS key, {value} AS value)"
+    rows = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.array(*map(F.lit, _NAMES)).alias("names"))
+    return rows.select("k", F.expr(f"map_from_entries(transform(sequence(0, 5), i -> {entry}))").alias("headers"))
+
+
+def _names(values) -> str:
+    return "(" + ", ".join(map(S.quoted, values)) + ")"
+
+
+_NAME_SQL = "names[(k * 7 + {} * 11 + k // 30) % 30 + 1]"
+_HEADER_MIX = (
+    f"WITH o AS (SELECT o_orderkey AS k, [{', '.join(map(S.quoted, _NAMES))}] AS names FROM orders), r AS (SELECT k, names, unnest(range(6)) AS i FROM o), m AS (SELECT k, i, names, {_NAME_SQL.format('i')} AS n FROM r),"
+    f" e AS (SELECT k, CASE WHEN k % 2 = 0 THEN n ELSE upper(n) END AS n, lower(n) AS l, {_HEADER_VALUE.format(other=_NAME_SQL.format('(i + 1)'), third=_NAME_SQL.format('(i + 2)'))} AS v FROM m),"
+    " c AS (SELECT k, list(trim(x)) AS named FROM (SELECT k, unnest(string_split(lower(v), ',')) AS x FROM e WHERE l = 'connection') GROUP BY k), j AS (SELECT e.*, coalesce(list_contains(c.named, l), false) AS named FROM e LEFT JOIN c ON c.k = e.k)"
+)
+_SENSITIVE_NAME = f"regexp_matches(l, {S.quoted(X.SENSITIVE_FIELD)})"
+
+
+def _headers_sql(keep: str, value: str = "v", more: str = "") -> str:
+    kept = f"SELECT k, n || '=' || {value} AS h FROM j WHERE {keep}{more}"
+    return f"{_HEADER_MIX}, h AS ({kept}) SELECT o.k AS k, coalesce(string_agg(h.h, '|' ORDER BY h.h), '') AS headers FROM o LEFT JOIN h ON h.k = o.k GROUP BY o.k"
+
+
+@query(
+    _headers_sql(
+        f"l NOT IN {_names(requests.NOT_FORWARDED + requests.TARGET_SETTINGS)} AND NOT named AND NOT starts_with(l, 'x-redact-') AND CASE WHEN l IN {_names(requests.CLIENT_AUTH)} THEN false ELSE NOT {_SENSITIVE_NAME} END",
+        more=" UNION ALL SELECT k, 'accept-encoding=identity' FROM e GROUP BY k HAVING count(*) FILTER (l = 'accept-encoding') = 0",
+    )
+)
+def f3_header_mix(spark, d):
+    return _header_rows(requests.outgoing_headers(_header_mix(spark, d)), "k")
+
+
+@query(_headers_sql("NOT named"))
+def f4_header_mix(spark, d):
+    return _header_rows(requests.drop_connection_headers(_header_mix(spark, d)), "k")
+
+
+@query(_headers_sql(f"l NOT IN {_names(requests.NOT_RETURNED)} AND NOT named"))
+def f5_header_mix(spark, d):
+    return _header_rows(requests.response_headers(_header_mix(spark, d)), "k")
+
+
+@query(_headers_sql(f"l NOT IN {_names(requests.NOT_RETURNED + requests.STALE_ONCE_TRANSFORMED)} AND NOT named"))
+def f5_transformed_mix(spark, d):
+    return _header_rows(requests.response_headers(_header_mix(spark, d), transformed=True), "k")
+
+
+@query(_headers_sql("true", f"CASE WHEN l IN {_names(requests.MASKED_IN_DEBUG)} OR starts_with(l, 'x-redact-') OR {_SENSITIVE_NAME} THEN '[REDACTED_HEADER]' ELSE v END"))
+def f6_header_mix(spark, d):
+    return _header_rows(requests.mask_headers(_header_mix(spark, d)), "k")
+
+
 @query("SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'empty' WHEN 1 THEN 'exact under 8 characters' WHEN 2 THEN 'does not compile' WHEN 3 THEN 'matches empty text' WHEN 4 THEN 'bad name' END AS reason FROM orders")
 def f7_validate_rules(spark, d):
     case = lambda *v: F.expr("CASE o_orderkey % 6 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(v)) + " END")
@@ -458,6 +536,40 @@ def f9_validate_base_url(spark, d):
     return requests.validate_base_url(tables.table(spark, d, "pages").select("page_id", made.alias("url")), "url").select("page_id", "url_reason")
 
 
+# Urls of every mix of parts.
+_PARTS = {"scheme": ["https://", "http://", "HTTPS://", "ftp://", "//", ""], "userinfo": ["", "", "u@", "u:p@"], "host": ["h.example", "H9.Example", "[::1]", "127.0.0.1", ""], "port": ["", "", ":8080", ":0", ":65535", ":65536", ":x"], "path": ["", "/", "/v1", "/v1/%2e%2E/x/"], "query": ["", "", "", "?a=1"], "fragment": ["", "", "#f"]}
+
+
+def _part_sql(get) -> list[str]:
+    """Each part by its own digits of k, so that all mixes come up."""
+    out, step = [], 1
+    for name, values in _PARTS.items():
+        out.append(f"{get('[' + ', '.join(map(S.quoted, values)) + ']', f'((k * 7 + k % 11) {{div}} {step}) % {len(values)} + 1')} AS {name}")
+        step *= 2
+    return out
+
+
+_PARTS_DUCK = f"WITH p AS (SELECT k, {', '.join(_part_sql(lambda values, at: values + '[' + at.format(div='//') + ']'))} FROM (SELECT o_orderkey AS k FROM orders)), u AS (SELECT *, scheme || userinfo || host || port || path || query || fragment AS url FROM p)"
+
+
+def _url_mix(spark, d):
+    parts = _part_sql(lambda values, at: f"element_at(array{values.replace('[', '(', 1)[:-1]}), int({at.format(div='div')}))")
+    rows = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).selectExpr("k", *parts)
+    return rows.select("k", F.concat(*_PARTS).alias("url"))
+
+
+@query(
+    f"{_PARTS_DUCK} SELECT k, CASE WHEN lower(scheme) NOT IN ('http://', 'https://') THEN 'scheme' WHEN host = '' THEN 'host' WHEN userinfo <> '' THEN 'userinfo' WHEN query <> '' OR fragment <> '' THEN 'query or fragment' WHEN port IN (':65536', ':x') THEN 'port' END AS url_reason FROM u"
+)
+def f9_url_mix(spark, d):
+    return requests.validate_base_url(_url_mix(spark, d), "url").select("k", "url_reason")
+
+
+@query(f"{_PARTS_DUCK} SELECT k, CASE WHEN scheme IN ('//', '') THEN NULL WHEN port IN (':8080', ':65535') THEN CAST(substr(port, 2) AS int) WHEN port IN ('', ':0') THEN CASE lower(scheme) WHEN 'https://' THEN 443 WHEN 'http://' THEN 80 END END AS port FROM u")
+def x4_port_mix(spark, d):
+    return _url_mix(spark, d).select("k", X.effective_port(F.col("url")).alias("port"))
+
+
 # Joins
 
 
@@ -655,6 +767,21 @@ def x6_join_target(spark, d):
     return tables.table(spark, d, "pages").select("page_id", X.join_target(base, path).alias("target"))
 
 
+_BASES, _PATHS = ["https://h.example", "https://h.example/", "https://h.example/v1", "https://h.example/api/v1//", "http://h.example:81/a/b"], ["/v1", "/v1/chat", "v1/chat", "/api/v1/x", "/v10/x", "/b", "/b/c", "/a/b/c", "x", "/"]
+
+
+@query(
+    f"WITH p AS (SELECT o_orderkey AS k, [{', '.join(map(S.quoted, _BASES))}][o_orderkey % 5 + 1] AS base, [{', '.join(map(S.quoted, _PATHS))}][o_orderkey // 5 % 10 + 1] AS path FROM orders),"
+    " r AS (SELECT k, regexp_extract(base, '^[a-z]+://[^/]+') AS origin, rtrim(regexp_extract(base, '^[a-z]+://[^/]+(.*)$', 1), '/') AS root, CASE WHEN starts_with(path, '/') THEN path ELSE '/' || path END AS p FROM p), t AS (SELECT *, '/' || regexp_extract(root, '[^/]*$') AS tail FROM r)"
+    " SELECT k, origin || CASE WHEN root = '' OR p = root OR starts_with(p, root || '/') THEN p WHEN p = tail OR starts_with(p, tail || '/') THEN root || substr(p, length(tail) + 1) ELSE root || p END AS target FROM t"
+)
+def x6_target_mix(spark, d):
+    """Every base with every path."""
+    one = lambda values, at: F.expr(f"element_at(array({', '.join(map(S.quoted, values))}), int({at}) + 1)")
+    rows = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), one(_BASES, "o_orderkey % 5").alias("base"), one(_PATHS, "o_orderkey div 5 % 10").alias("path"))
+    return rows.select("k", X.join_target(F.col("base"), F.col("path")).alias("target"))
+
+
 @query("SELECT o_orderkey AS k, coalesce(nullif(o_orderkey % 4, 0), 5)::bigint AS input_tokens, coalesce(nullif(o_orderkey % 3, 0), 0)::bigint AS output_tokens, coalesce(nullif(o_orderkey % 2, 0), coalesce(nullif(o_orderkey % 4, 0), 5) + o_orderkey % 3)::bigint AS total_tokens FROM orders")
 def x7_usage_normalize(spark, d):
     k = F.col("o_orderkey")
@@ -712,6 +839,25 @@ def c6_chat_params(spark, d):
     return chat.chat_params(tables.spread(view(spark, d, "responses_log")), "k", "body").select("id", "model", "stream", "tool_choice", "max_tokens", "stream_options")
 
 
+_PARAM_MIX = """SELECT k, '{"model":"m' || CAST(k % 3 AS STR) || '"' || CASE WHEN k % 2 = 0 THEN ',"temperature":' || CAST(k % 20 AS STR) || '.5' ELSE '' END || CASE WHEN k % 5 < 3 THEN ',"top_p":0.' || CAST(k % 9 + 1 AS STR) ELSE '' END
+ || CASE k % 7 WHEN 0 THEN ',"parallel_tool_calls":true' WHEN 1 THEN ',"parallel_tool_calls":false' ELSE '' END || CASE k % 4 WHEN 0 THEN ',"stream":true' WHEN 1 THEN ',"stream":false' ELSE '' END
+ || CASE k % 11 WHEN 0 THEN ',"tool_choice":"auto"' WHEN 1 THEN ',"tool_choice":"required"' WHEN 2 THEN ',"tool_choice":"none"' WHEN 3 THEN ',"tool_choice":{"type":"function"}' WHEN 4 THEN ',"tool_choice":"any"' ELSE '' END || CASE WHEN k % 3 = 1 THEN ',"max_output_tokens":' || CAST(k AS STR) ELSE '' END
+ || CASE k % 6 WHEN 0 THEN ',"text":{"format":{"type":"json_schema","name":"n' || h || '","schema":{"type":"object"},"strict":true}}' WHEN 1 THEN ',"text":{"format":{"type":"json_schema","schema":{"k":' || CAST(k AS STR) || '}}}' WHEN 2 THEN ',"text":{"format":{"type":"json_schema","name":""}}' WHEN 3 THEN ',"text":{"format":{"type":"text"}}' WHEN 4 THEN ',"text":{}' ELSE '' END || '}' AS body FROM seeded"""
+
+
+@query(
+    f"{S.views('seeded')}, p AS ({_PARAM_MIX.replace('STR', 'varchar')}), j AS (SELECT k, CAST(body AS json) AS b FROM p)"
+    """ SELECT k AS id, b ->> '$.model' AS model, coalesce(CAST(b ->> '$.stream' AS boolean), false) AS stream, CASE WHEN b ->> '$.tool_choice' IN ('auto', 'none', 'required') THEN b ->> '$.tool_choice' END AS tool_choice, CAST(b ->> '$.parallel_tool_calls' AS boolean) AS parallel_tool_calls,"""
+    """ CAST(b ->> '$.temperature' AS double) AS temperature, CAST(b ->> '$.top_p' AS double) AS top_p, CAST(b ->> '$.max_output_tokens' AS bigint) AS max_tokens,"""
+    """ CASE WHEN b ->> '$.text.format.type' = 'json_schema' THEN '{"type":"json_schema","json_schema":{"name":"' || coalesce(nullif(b ->> '$.text.format.name', ''), 'response') || '","schema":' || coalesce(CAST(b -> '$.text.format.schema' AS varchar), '{}') || ',"strict":' || coalesce(b ->> '$.text.format.strict', 'false') || '}}' END AS response_format,"""
+    """ CASE WHEN CAST(b ->> '$.stream' AS boolean) THEN '{"include_usage":true}' END AS stream_options FROM j"""
+)
+def c6_params_mix(spark, d):
+    """All scalar fields, each there or not."""
+    view(spark, d, "seeded").createOrReplaceTempView("mm_c6_seeded")
+    return chat.chat_params(spark.sql(_PARAM_MIX.replace("STR", "string").replace("FROM seeded", "FROM mm_c6_seeded")), "k", "body")
+
+
 @query(
     f"{S.views('chat_log')}, b AS (SELECT k, h, CASE WHEN k % 4 = 0 THEN CAST(k AS varchar) ELSE 'x' || CAST(k AS varchar) END AS key, coalesce(nullif(k % 10, 0), 7)::bigint AS i, (k % 3)::bigint AS o FROM seeded), u AS ("
     "SELECT k, 0 AS n, 'message' AS type, h AS text, NULL AS call_id, NULL AS name FROM b WHERE k % 3 <> 0 UNION ALL SELECT k, 1, 'function_call', NULL, 't1', 'f' FROM b WHERE k % 2 = 0 UNION ALL SELECT k, 2, 'function_call', NULL, 'call_' || key || '_1', 'tool' FROM b WHERE k % 2 = 0"

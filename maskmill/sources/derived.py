@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .tables import table
+from .tables import spread, table
 
 # A secret for 39 of 50 keys, in the order of the rules; h is a hash of the key, hh is h and its own hash.
 _RECIPES = [
@@ -53,11 +53,12 @@ def with_views(*names: str, string: str) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view of the tables in sf_dir. Its tables are read under names of their own, so sessions can hold several."""
+    """A derived view of the tables in sf_dir. Its tables are read under names of their own, so sessions can hold several; a table of
+    few files is dealt over all cores first, so that the view's expressions are."""
     sql = f"{with_views(name, string='string')} SELECT * FROM {name}"
     for t in _TABLES:
         if re.search(rf"\b(?:FROM|from|join) {t}\b", sql):
             own = f"mm_{hashlib.md5(sf_dir.encode()).hexdigest()}_{t}"
-            table(spark, sf_dir, t).createOrReplaceTempView(own)
+            spread(table(spark, sf_dir, t)).createOrReplaceTempView(own)
             sql = re.sub(rf"\b(FROM|from|join) {t}\b", rf"\1 {own}", sql)
     return spark.sql(sql)

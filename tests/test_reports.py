@@ -209,3 +209,14 @@ def test_sql_names_of_messages_and_parameters(spark):
     assert json.loads(row["m"]) == [{"role": "user", "content": PLACEHOLDER}] and row["nm"] == 1
     assert json.loads(row["p"]) == {"api_key": PLACEHOLDER, "messages": [{"content": PLACEHOLDER}], "extra": {"password": PLACEHOLDER}} and row["np"] == 3
     assert row["a"] is None and row["b"] is None and row["rb"] is None and row["nt"] == 1 and row["pp"] == 3 and SECRET not in row["t"]
+
+
+def test_bracketed_hosts_have_their_own_port(spark):
+    from maskmill.functions import columns as X
+
+    urls = ["http://[::1]", "https://[::1]:8443/x", "https://u:p@[::1]/", "http://h:0/", "https://h:99999", "http:///", "http://h.example///"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
+    ports = {r["i"]: r["p"] for r in df.select("i", X.effective_port(F.col("url")).alias("p")).collect()}
+    assert ports == {0: 80, 1: 8443, 2: 443, 3: 80, 4: None, 5: 80, 6: 80}
+    why = {r["i"]: r["url_reason"] for r in requests.validate_base_url(df, "url").collect()}
+    assert why == {0: None, 1: None, 2: "userinfo", 3: None, 4: "port", 5: "host", 6: None}
