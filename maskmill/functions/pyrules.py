@@ -31,6 +31,7 @@ class Redactor:
         self.policy = policy
         self.rules = [(r, re.compile(r.pattern)) for r in policy.fold]
         self.sensitive, self.strict = re.compile(SENSITIVE_FIELD), re.compile(STRICT_FIELD)
+        self._keys: dict[str, tuple[str, Counter, str]] = {}
 
     def spans(self, value: str) -> list[tuple[int, int, int]]:
         """(rule's place in the fold, start, end) of what each rule would mask in the text as it is, in fold order."""
@@ -72,6 +73,18 @@ class Redactor:
             return "normal"
         return "strict" if self.strict.search(name) else "sensitive"
 
+    def _key(self, key: str) -> tuple[str, Counter, str]:
+        """(redacted key, its hits, its class). The same keys come again in every payload: some thousand are remembered."""
+        known = self._keys.get(key)
+        if known is None:
+            hits: Counter = Counter()
+            known = (self.text(key, hits), hits, self.key_class(key))
+            if len(self._keys) >= 4096:
+                self._keys.clear()
+            if len(key) <= 256:
+                self._keys[key] = known
+        return known
+
     def tree(self, value, hits: Counter, under: str = "normal"):
         """A parsed JSON value. under: the class of the outermost sensitive key above it."""
         if isinstance(value, list):
@@ -79,10 +92,12 @@ class Redactor:
         if isinstance(value, dict):
             out: dict = {}
             for key, item in value.items():
-                name = self.text(key, hits)
+                name, found, kind = self._key(key)
+                if found:
+                    hits.update(found)
                 if name in out:
                     raise KeyCollision
-                out[name] = self.tree(item, hits, self.key_class(key) if under == "normal" else under)
+                out[name] = self.tree(item, hits, kind if under == "normal" else under)
             return out
         if under == "normal":
             return self.text(value, hits) if isinstance(value, str) else value
