@@ -74,6 +74,18 @@ def test_responses_are_put_together_or_time_out(spark, tmp_path):
     assert got[1] == ("ab", True) and got[3] == ("x", True) and got[2][1] is False
 
 
+def test_tables_in_folders_stream_too(spark, tmp_path):
+    from maskmill.plans import catalogue
+
+    turns = spark.createDataFrame([(c, t, "user", "x") for c in range(6) for t in range(3)], "conv_id long, turn long, role string, text string")
+    turns.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    assert catalogue.m4_stream_assemble(spark, str(tmp_path)).where("complete AND length(text) = 24").count() == 6
+    (part,) = turns.coalesce(1).write.parquet(str(tmp_path / "one")) or (tmp_path / "one").glob("part-*.parquet")
+    (tmp_path / "file").mkdir()
+    (tmp_path / "file" / "conversations.parquet").write_bytes(part.read_bytes())
+    assert catalogue.m4_stream_assemble(spark, str(tmp_path / "file")).where("complete AND length(text) = 24").count() == 6
+
+
 def test_the_shared_folder_is_the_sessions(spark):
     assert tables.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert spark.range(3).where(F.lit(True)).count() == 3
