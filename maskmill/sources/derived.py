@@ -42,7 +42,8 @@ VIEWS = {
     "chat_log": """select k, '{"id":"' || case when k % 4 = 0 then '' else 'x' || cast(k as STR) end || '","choices":[{"message":{"role":"assistant","content":' || case when k % 3 = 0 then 'null' else '"' || h || '"' end || case when k % 2 = 0 then ',"tool_calls":[{"id":"t1","function":{"name":"f","arguments":"{}"}},{"id":"","function":{"name":"","arguments":""}}]' else '' end || '}}],"usage":{"prompt_tokens":' || cast(k % 10 as STR) || ',"input_tokens":7,"completion_tokens":' || cast(k % 3 as STR) || ',"total_tokens":0}}' as body from seeded""",
 }
 _NEEDS = {"seeded_docs": ["seeded"], "request_log": ["seeded"], "event_text": ["seeded"], "responses_log": ["seeded"], "chat_log": ["seeded"]}
-_TABLES = ("orders", "documents", "events", "conversations")
+#: The tables and what they are joined and grouped by.
+_TABLES = {"orders": "o_orderkey", "documents": "doc_id", "events": "event_id", "conversations": "conv_id"}
 
 
 def with_views(*names: str, string: str) -> str:
@@ -53,12 +54,13 @@ def with_views(*names: str, string: str) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived view of the tables in sf_dir. Its tables are read under names of their own, so sessions can hold several; a table of
-    few files is dealt over all cores first, so that the view's expressions are."""
+    """A derived view of the tables in sf_dir. Its tables are read under names of their own, so sessions can hold several, and dealt by
+    their keys into as many tasks as the longest of them asks for: the view's expressions, and what follows, run on all cores."""
     sql = f"{with_views(name, string='string')} SELECT * FROM {name}"
-    for t in _TABLES:
-        if re.search(rf"\b(?:FROM|from|join) {t}\b", sql):
-            own = f"mm_{hashlib.md5(sf_dir.encode()).hexdigest()}_{t}"
-            spread(table(spark, sf_dir, t)).createOrReplaceTempView(own)
-            sql = re.sub(rf"\b(FROM|from|join) {t}\b", rf"\1 {own}", sql)
+    read = {t: table(spark, sf_dir, t) for t in _TABLES if re.search(rf"\b(?:FROM|from|join) {t}\b", sql)}
+    rows = max(df.count() for df in read.values())
+    for t, df in read.items():
+        own = f"mm_{hashlib.md5(sf_dir.encode()).hexdigest()}_{t}"
+        spread(df, _TABLES[t], rows=rows).createOrReplaceTempView(own)
+        sql = re.sub(rf"\b(FROM|from|join) {t}\b", rf"\1 {own}", sql)
     return spark.sql(sql)

@@ -98,6 +98,18 @@ def test_streamed_answers_need_no_whole_count_of_turns(spark, tmp_path):
     assert {k: r["tool_calls"] for k, r in got.items()} == whole
 
 
+def test_a_tasks_share_stays_the_same_as_tables_grow(spark, tmp_path):
+    from maskmill.sources import derived
+
+    rows = spark.range(9 * tables.TASK_ROWS).select(F.col("id").alias("o_orderkey"), F.timestamp_seconds("id").alias("o_orderdate"))
+    assert tables.spread(rows).rdd.getNumPartitions() == tables.spread(rows, "o_orderkey").rdd.getNumPartitions() == 9
+    rows.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    for name in ("seeded", "request_log"):
+        log = derived.view(spark, str(tmp_path), name)
+        assert log._jdf.queryExecution().executedPlan().toString().count("Exchange hash") <= 2  # the join uses the tables' own
+        assert log.rdd.getNumPartitions() == 9 and log.count() == rows.count()
+
+
 def test_the_shared_folder_is_the_sessions(spark):
     assert tables.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert spark.range(3).where(F.lit(True)).count() == 3
