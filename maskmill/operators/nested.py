@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from functools import reduce
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from maskmill.functions.columns import classify_key, mask_field, redacted
 from maskmill.functions.pyrules import Redactor
 from maskmill.functions.rules import DEFAULT, Policy
 
-from .text import long_hits, merge_stats, sample_by_reason, scan_text
+from .text import hit_counts, long_hits, merge_stats, sample_by_reason, scan_text
 
 _NUMBERS = (T.IntegralType, T.FractionalType, T.DecimalType)
 
@@ -182,9 +183,9 @@ def redact_json(df: DataFrame, col: str, policy: Policy = DEFAULT) -> DataFrame:
     def make(batches):
         redactor = Redactor(policy)
         for batch in batches:
-            done = [redactor.json(b) if b is not None else (None, {}, None) for b in batch.column(1).to_pylist()]
+            done = [redactor.json(b) if b is not None else (None, Counter(), None) for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([sum(d[1].values()) for d in done], pa.int64()), pa.array([list(d[1].items()) for d in done], pa.map_(pa.string(), pa.int64())), pa.array([d[2] for d in done], pa.string())],
+                [batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([sum(d[1].values()) for d in done], pa.int64()), hit_counts([d[1] for d in done]), pa.array([d[2] for d in done], pa.string())],
                 ["row", "body", "redactions", "rule_hits", "reject_reason"],
             )
 

@@ -24,17 +24,25 @@ from maskmill.functions.rules import AUDIT, DEFAULT, Policy, Rule, custom_rules,
 _FOUND = "struct<text:string,redactions:bigint,rule_hits:map<string,bigint>>"
 
 
+def hit_counts(found: list[Counter]) -> pa.Array:
+    """The hits of each row as an Arrow map."""
+    ends = np.cumsum([0, *map(len, found)])
+    names, counts = [name for f in found for name in f], [n for f in found for n in f.values()]
+    return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()), pa.array(counts, pa.int64()))
+
+
+def _found(texts: list, found: list[Counter]) -> pa.Array:
+    totals = pa.array([f.total() for f in found], pa.int64())
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), totals, hit_counts(found)], ["text", "redactions", "rule_hits"])
+
+
 def folded_text(text: Column, policy: Policy = DEFAULT) -> Column:
     """struct<text, redactions, rule_hits> of a text. Not computed twice where it is used twice."""
 
     def scan(values: pa.Array) -> pa.Array:
-        redactor = Redactor(policy)
-        out = []
-        for value in values.to_pylist():
-            hits: Counter = Counter()
-            done = None if value is None else redactor.text(value, hits)
-            out.append({"text": done, "redactions": hits.total(), "rule_hits": list(hits.items())})
-        return pa.array(out, pa.struct([("text", pa.string()), ("redactions", pa.int64()), ("rule_hits", pa.map_(pa.string(), pa.int64()))]))
+        redactor, given = Redactor(policy), values.to_pylist()
+        found = [Counter() for _ in given]
+        return _found([None if value is None else redactor.text(value, hits) for value, hits in zip(given, found, strict=True)], found)
 
     scan.__annotations__ = {"values": pa.Array, "return": pa.Array}
     return F.arrow_udf(scan, _FOUND).asNondeterministic()(text)
@@ -339,15 +347,14 @@ def scan_per_tenant(df: DataFrame, col: str, key: str, rules: DataFrame, policy:
 
     def scan(texts: pa.Array, rules_: pa.Array) -> pa.Array:
         redactors: dict = {}
-        out = []
+        done, found = [], []
         for value, specs in zip(texts.to_pylist(), rules_.to_pylist(), strict=True):
             name = tuple(tuple(r.values()) for r in specs or ())
             if name not in redactors:
                 redactors[name] = Redactor(replace(policy, rules=custom_rules(specs or []) + policy.rules))
-            hits_: Counter = Counter()
-            done = None if value is None else redactors[name].text(value, hits_)
-            out.append({"text": done, "redactions": hits_.total(), "rule_hits": list(hits_.items())})
-        return pa.array(out, pa.struct([("text", pa.string()), ("redactions", pa.int64()), ("rule_hits", pa.map_(pa.string(), pa.int64()))]))
+            found.append(Counter())
+            done.append(None if value is None else redactors[name].text(value, found[-1]))
+        return _found(done, found)
 
     scan.__annotations__ = {"texts": pa.Array, "rules_": pa.Array, "return": pa.Array}
     found = joined.withColumn("__mm", F.arrow_udf(scan, _FOUND).asNondeterministic()(F.col(col), F.col("__mm_rules")))
