@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,24 +63,56 @@ def substitute(text: Column, rule: Rule, policy: Policy = DEFAULT) -> Column:
     return F.regexp_replace(text, F.lit(rule.java), F.lit(rule.replacement(policy.placeholder, "$", "\\$")))
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _any_held(rules: tuple[Rule, ...]):
+    """Whether a text holds a literal of one of these rules. It is folded once."""
+    plain, caseless = ([a for r in rules if r.anchor_ci is ci for a in (r.anchors or (r.literal,))] for ci in (False, True))
+    held = lambda text, literals: reduce(lambda x, y: x | y, (F.contains(text, F.lit(a)) for a in literals))
+
+    def test(text: Column) -> Column:
+        low = _let(folded(text), lambda t: held(t, caseless)) if caseless else None
+        return low if not plain else held(text, plain) if low is None else held(text, plain) | low
+
+    return test
+
+
+#: Rules that are passed by together where a text holds no literal of any of them. Spark resolves one more level of names for
+#: each group, and gives up at about forty levels.
+_GROUP = 6
+
+
 def _one_rule(rule: Rule, policy: Policy):
     return lambda t: substitute(t, rule, policy)
 
 
+def _chain(rules: tuple[Rule, ...], policy: Policy):
+    """What these rules leave of a text, if it holds a literal of one of them."""
+
+    def step(text: Column) -> Column:
+        out = text
+        for rule in rules:
+            # bound to a name first where the text is used more than once, so that the expression grows by one step a rule
+            out = _let(out, _one_rule(rule, policy)) if policy.mode == "partial" else substitute(out, rule, policy)
+        return F.when(_any_held(rules)(text), out).otherwise(text) if all(r.anchors or r.literal for r in rules) else out
+
+    return step
+
+
 def redacted(text: Column, policy: Policy = DEFAULT) -> Column:
-    """The fold as one expression, for use inside lambdas: texts without any anchor are passed by."""
+    """The fold as one expression, for use inside lambdas. Patterns run only in groups of rules of which a text holds a literal, and
+    texts that hold none at all are passed by."""
     if not policy.fold:
         return text
     out = text
-    for rule in policy.fold:
-        # bound to a name first where the text is used more than once, so that the expression grows by one step a rule
-        out = F.transform(F.array(out), _one_rule(rule, policy))[0] if policy.mode == "partial" else substitute(out, rule, policy)
-    if any(not r.anchors and not r.literal for r in policy.fold) or policy.mode == "partial":
+    for first in range(0, len(policy.fold), _GROUP):
+        out = _let(out, _chain(policy.fold[first : first + _GROUP], policy))
+    if any(not r.anchors and not r.literal for r in policy.fold):
         return out
-    some = None
-    for rule in policy.fold:
-        some = may_match(text, rule) if some is None else some | may_match(text, rule)
-    return F.when(some, out).otherwise(text)
+    return F.when(_any_held(policy.fold)(text), out).otherwise(text)
 
 
 def normalize_key(key: Column) -> Column:
