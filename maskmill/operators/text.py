@@ -214,71 +214,101 @@ def leak_check(redacted: DataFrame, col: str, originals: DataFrame, value_col: s
     return redacted.join(known, key).where(F.contains(F.col(col), F.col("__mm_value"))).drop("__mm_value")
 
 
-#: Known values are found by windows of so many bytes at their end (all of a shorter value).
-WINDOW, FILTER_BITS = 8, 24
+#: Known values are found by windows of so many bytes at their end (all of a shorter value), looked up in a filter of words of 64 bits,
+#: so many of them at least and at most (0.5 and 64 MB), and about one for eight values between. Bytes of text looked at in one go.
+WINDOW, FILTER_WORDS, VALUES_PER_WORD, PIECE = 8, (1 << 16, 1 << 23), 8, 1 << 22
 _MULT = 0x9E3779B97F4A7C15
+#: The bits of a hash that name the four bits it has in its word.
+_BITS_AT = (28, 34, 40, 46)
 
 
-def _windows(data: np.ndarray, size: int) -> np.ndarray:
-    """The hash of each window of so many bytes."""
-    n = len(data) - size + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for j in range(size if n > 0 else 0):
-        out = (out ^ data[j : j + n]) * np.uint64(_MULT)
+def _mixed(parts, n: int) -> np.ndarray:
+    """n hashes, of the bytes that parts hold one after the other."""
+    out = np.zeros(n, np.uint64)
+    for part in parts:
+        out = (out ^ part) * np.uint64(_MULT)
         out ^= out >> np.uint64(29)
     return out
 
 
+def _windows(data: np.ndarray, size: int) -> np.ndarray:
+    """The hash of each window of so many bytes."""
+    n = max(len(data) - size + 1, 0)
+    return _mixed((data[j : j + n] for j in range(size)), n)
+
+
+def _bytes_of(values: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The texts of an array in one, and where each begins and the last ends; nulls are empty."""
+    each = [v or b"" for v in values.cast(pa.binary()).to_pylist()]
+    return b"".join(each), np.cumsum([0, *map(len, each)])
+
+
+def _filter_words(values: int) -> int:
+    """A power of two: the fewest words that hold so many values, within the bounds."""
+    least, most = FILTER_WORDS
+    return min(max(least, 1 << max(-(-values // VALUES_PER_WORD) - 1, 0).bit_length()), most)
+
+
 def _value_ends(batches):
     """(value, size, hash) of known values: the hash is that of the last WINDOW bytes."""
     for batch in batches:
-        values = batch.column(0).to_pylist()
-        ends = [v.encode()[-WINDOW:] for v in values]
-        found = [int(_windows(np.frombuffer(e, np.uint8).astype(np.uint64), len(e))[0].astype(np.int64)) for e in ends]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(e) for e in ends], pa.int32()), pa.array(found, pa.int64())], ["value", "size", "hash"])
+        raw, at = _bytes_of(batch.column(0))
+        data, sizes = np.frombuffer(raw, np.uint8).astype(np.uint64), np.minimum(np.diff(at), WINDOW)
+        found = np.zeros(batch.num_rows, np.uint64)
+        for size in np.unique(sizes):
+            own = np.flatnonzero(sizes == size)
+            found[own] = _mixed((data[at[own + 1] - size + j] for j in range(size)), len(own))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(found.astype(np.int64))], ["value", "size", "hash"])
 
 
 def corpus_leaks(df: DataFrame, key: str, col: str, values: DataFrame, value_col: str) -> DataFrame:
     """(key, digest, n): which rows of a table hold which of the known values, wherever these come from, and how often.
 
-    The texts' windows of bytes are looked up in a filter of the values' ends, of 2 MB whatever the number of values; only windows
-    that pass are rows, joined with the values by their hash and compared in full. So no value meets a text that does not hold
-    its end. Values are named by the first 8 characters of their digest, and told apart by all of it. Overlapping places count
-    one by one. Null and empty values and null texts are found nowhere; rows that repeat a key are counted together.
+    The texts' windows of bytes are looked up in a filter of the values' ends, which grows with the number of values up to 64 MB (of 64
+    million values one window in thirty passes by chance); only windows that pass are rows, joined with the values by their hash
+    and compared in full. So no value meets a text that does not hold its end. Values are named by the first 8 characters of their
+    digest, and told apart in full. Overlapping places count one by one. Null and empty values and null texts are found nowhere;
+    rows that repeat a key are counted together.
     """
     spark = df.sparkSession
-    wanted = values.select(F.col(value_col).cast("string").alias("value")).where(F.length("value") > 0).distinct().mapInArrow(_value_ends, "value string, size int, hash long")
-    slot = F.col("hash").bitwiseAND((1 << FILTER_BITS) - 1)
-    bits = wanted.groupBy("size", (slot / 32).cast("long").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((hash & {(1 << FILTER_BITS) - 1}) % 32 AS int))")).alias("mask")).toPandas()
-    sizes, longest = sorted(set(bits["size"])), wanted.agg(F.max(F.octet_length("value"))).first()[0] or 0
-    filters = {}
-    for size in sizes:
-        words = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-        own = bits[bits["size"] == size]
-        words[own["word"].to_numpy(np.int64)] = own["mask"].to_numpy(np.int64).astype(np.uint32)
-        filters[size] = words
-    held = spark.sparkContext.broadcast(filters)
+    given = values.select(F.col(value_col).cast("string").alias("value")).where(F.length("value") > 0)
+    wanted = given.distinct().mapInArrow(_value_ends, "value string, size int, hash long")
+    words = _filter_words(given.count())
+    one = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(hash, {b}) & 63 AS int))" for b in _BITS_AT)
+    bits = wanted.groupBy((F.col("hash").bitwiseAND(words - 1)).alias("word"), "size").agg(F.bit_or(F.expr(one)).alias("mask"), F.max(F.octet_length("value")).alias("longest")).toPandas()
+    table, sizes, longest = np.zeros(words, np.uint64), [int(x) for x in sorted(set(bits["size"]))], int(bits["longest"].max()) if len(bits) else 0
+    np.bitwise_or.at(table, bits["word"].to_numpy(np.int64), bits["mask"].to_numpy(np.int64).astype(np.uint64))
+    held = spark.sparkContext.broadcast(table)
 
     def places(batches):
+        table = held.value
         for batch in batches:
-            rows = []
-            for k, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                raw = (text or "").encode()
+            whole, ends, first = *_bytes_of(batch.column(1)), 0
+            while first < batch.num_rows:
+                n = max(1, int(np.searchsorted(ends, ends[first] + PIECE, "right")) - 1 - first)
+                raw, at = whole[ends[first] : ends[first + n]], ends[first : first + n + 1] - ends[first]
                 data = np.frombuffer(raw, np.uint8).astype(np.uint64)
-                for size, words in held.value.items():
+                for size in sizes:
                     found = _windows(data, size)
-                    low = (found & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-                    for at in np.flatnonzero((words[low >> 5] >> (low & 31).astype(np.uint32)) & 1):
-                        rows.append((k, size, int(found[at].astype(np.int64)), raw[max(0, at + size - longest) : at + size]))
-            if rows:
-                k, size, hashed, before = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in k], batch.column(0).type), pa.array(size, pa.int32()), pa.array(hashed, pa.int64()), pa.array(before, pa.binary())], ["k", "size", "hash", "before"])
+                    mask = np.zeros(len(found), np.uint64)
+                    for b in _BITS_AT:
+                        mask |= np.uint64(1) << ((found >> np.uint64(b)) & np.uint64(63))
+                    begin = np.flatnonzero((table[(found & np.uint64(len(table) - 1)).astype(np.int64)] & mask) == mask)
+                    row = np.searchsorted(at[1:], begin, "right")
+                    inside = begin + size <= at[row + 1]  # a window that ends in the next text is none
+                    begin, row = begin[inside], row[inside]
+                    cuts = zip(np.maximum(at[row], begin + size - longest).tolist(), (begin + size).tolist(), strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(first + row)), pa.array(np.full(len(row), size), pa.int32()), pa.array(found[begin].astype(np.int64)), pa.array([raw[x:y] for x, y in cuts], pa.binary())],
+                        ["k", "size", "hash", "before"],
+                    )
+                first += n
 
     kind = df.schema[key].dataType.simpleString()
     near = df.select(F.col(key).alias("k"), F.col(col).cast("string").alias("t")).mapInArrow(places, f"k {kind}, size int, hash long, before binary")
     met = near.join(wanted, ["size", "hash"]).where(F.endswith(F.col("before"), F.col("value").cast("binary")))
-    full = met.groupBy("k", F.sha2("value", 256).alias("whole")).agg(F.count("*").alias("n"))
-    return full.select(F.col("k").alias(key), F.left("whole", F.lit(8)).alias("digest"), "n")
+    full = met.groupBy("k", "value").agg(F.count("*").alias("n"))
+    return full.select(F.col("k").alias(key), F.left(F.sha2("value", 256), F.lit(8)).alias("digest"), "n")
 
 
 def secret_reuse(df: DataFrame, key: str, col: str, rules: tuple[Rule, ...] = AUDIT, digest: Callable[[Column], Column] = lambda m: F.sha2(m, 256), sketch: bool = False) -> DataFrame:

@@ -59,6 +59,19 @@ def test_leaks_are_found_in_any_row(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_the_filter_of_known_values_grows_with_them(spark, monkeypatch):
+    """Most windows are told from values by the filter, however many there are; a full filter, and texts in small pieces, change nothing."""
+    assert [text._filter_words(n) for n in (0, 1 << 19, (1 << 19) + 1, 9_000_000, 54_000_000, 1 << 40)] == [1 << 16, 1 << 16, 1 << 17, 1 << 21, 1 << 23, 1 << 23]
+    value = lambda i: __import__("hashlib").md5(str(i).encode()).hexdigest()
+    known = spark.createDataFrame([(value(i),) for i in range(3000)], "value string")
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else f"é{value(i)}{value(i + 5000)}" * (i % 3)) for i in range(0, 6000, 10)], "k int, text string").repartition(2)
+    want = {(i, 1 if i % 3 == 1 else 2) for i in range(0, 3000, 10) if i % 7 and i % 3}
+    for bounds, piece in (((1 << 16, 1 << 23), 1 << 22), ((1, 1), 1 << 22), ((1, 1 << 9), 100)):
+        monkeypatch.setattr(text, "FILTER_WORDS", bounds)
+        monkeypatch.setattr(text, "PIECE", piece)
+        assert {(r["k"], r["n"]) for r in text.corpus_leaks(df, "k", "text", known, "value").collect()} == want
+
+
 def test_secrets_with_one_short_digest_stay_apart(spark):
     one, two = "ghp_" + "a" * 36, "ghp_" + "b" * 36
     df = spark.createDataFrame([(1, one), (2, one), (2, one), (3, two), (4, two), (5, "ghp_" + "c" * 36), (6, None)], "k int, text string")
