@@ -343,6 +343,8 @@ def sample_by_reason(judged: DataFrame, key: str, raw: str, done: str, n: int, k
 
 #: Own rules of one tenant: more, or longer ones, are refused.
 MAX_RULES, MAX_RULE_CHARS, SALTS = 20, 1024, 32
+#: Rules of all tenants above this number (10 MB at most) are joined by a shuffle, not broadcast.
+BROADCAST_RULES = 10_000
 
 
 def tenant_rules(rules: DataFrame, allow_regex: bool = False) -> DataFrame:
@@ -366,14 +368,18 @@ def scan_per_tenant(df: DataFrame, col: str, key: str, rules: DataFrame, policy:
     """df with col redacted, redactions and rule_hits: each row's own rules first, in their order, then the policy's.
 
     rules: tenant, ord, type, value, name, as for custom rules; tenant_rules says which are refused, and these are left out. A tenant's
-    rules, at most MAX_RULES, travel as one array, dealt over SALTS tasks for a tenant that many rows have, and are compiled
-    once a task and tenant. Tenants without rules, and null tenants, get the policy alone; null texts stay null.
+    rules, at most MAX_RULES, travel as one array, broadcast if all tenants have at most BROADCAST_RULES, else dealt over SALTS tasks
+    for a tenant that many rows have, and are compiled once a batch and tenant. Tenants without rules, and null tenants, get the policy alone; null texts stay null.
     """
     usable = tenant_rules(rules, allow_regex).where("reason IS NULL")
     own = usable.groupBy("tenant").agg(F.array_sort(F.collect_list(F.struct("ord", "type", "value", "name"))).alias("__mm_rules"))
-    dealt = own.withColumnsRenamed({"tenant": "__mm_tenant"}).withColumn("__mm_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-    salted = df.withColumn("__mm_salt", F.pmod(F.xxhash64(col), F.lit(SALTS)))
-    joined = salted.join(dealt, (F.col(key) == F.col("__mm_tenant")) & (salted["__mm_salt"] == dealt["__mm_salt"]), "left")
+    named = own.withColumnsRenamed({"tenant": "__mm_tenant"})
+    if usable.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:  # the rows stay as they are dealt
+        joined = df.join(F.broadcast(named), F.col(key) == F.col("__mm_tenant"), "left")
+    else:
+        dealt = named.withColumn("__mm_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+        salted = df.withColumn("__mm_salt", F.pmod(F.xxhash64(col), F.lit(SALTS)))
+        joined = salted.join(dealt, (F.col(key) == F.col("__mm_tenant")) & (salted["__mm_salt"] == dealt["__mm_salt"]), "left")
 
     def scan(texts: pa.Array, rules_: pa.Array) -> pa.Array:
         redactors: dict = {}

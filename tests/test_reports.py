@@ -134,6 +134,16 @@ def test_rules_of_tenants_are_counted_and_judged(spark):
     assert got[None] == (p, 1, {"anthropic_key": 1}) and got["d"] == (None, 0, {})
 
 
+def test_few_rules_of_tenants_leave_rows_where_they_are(spark, monkeypatch):
+    df = spark.range(60).select("id", F.concat(F.lit("t"), F.col("id") % 3).alias("tenant"), F.lit("own-value-1 and own-value-2").alias("text")).repartition(9, "id")
+    rules = spark.createDataFrame([("t0", 1, "exact", "own-value-1 and own", "a"), ("t1", 1, "exact", "own-value-2" + "x" * 9, "b")], "tenant string, ord int, type string, value string, name string")
+    few = text.redact_per_tenant(df, "text", "tenant", rules)
+    assert few.rdd.getNumPartitions() == 9
+    monkeypatch.setattr(text, "BROADCAST_RULES", 1)
+    many = text.redact_per_tenant(df, "text", "tenant", rules)
+    assert sorted(few.collect()) == sorted(many.collect()) and few.where(F.contains("text", F.lit(PLACEHOLDER))).count() == 20
+
+
 def test_maps_at_any_depth_redact_or_reject(spark):
     inner = "map<string,struct<note:string,tokens:map<string,int>,n:int>>"
     kind = f"map<string,array<map<string,{inner}>>>"
