@@ -77,7 +77,8 @@ _NOT_AUDITED = {"assigned_secret", "auth_header", "url_credentials"}
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern and what it leaves of a match. look: the pattern is `before`, then a token, bounded by look-arounds."""
+    """A pattern and what it leaves of a match. look: the pattern is `before`, then a token, bounded by look-arounds. Rules whose anchors
+    are in any case (anchor_ci) match a name that holds one, up to the : or = behind it, and a value."""
 
     name: str
     pattern: str
